@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.llm import queries_basic
+from quillon.llm import queries_basic, queries_text
 
-_MODULES = [queries_basic]
+_MODULES = [queries_basic, queries_text]
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}

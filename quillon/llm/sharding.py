@@ -48,7 +48,7 @@ def communication_matrix(counts: list[int], sizes: np.ndarray, seed: int) -> np.
     return out
 
 
-def uniform_shards(df: DataFrame, shards: int = 16, seed: int = 8, source_rows: int = 16_384, bucket_rows: int = 16_384) -> DataFrame:
+def uniform_shards(df: DataFrame, shards: int = 16, seed: int = 8, source_rows: int = 1_024, bucket_rows: int = 2_048) -> DataFrame:
     """``df`` with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard), a uniformly random order.
 
     Shard sizes differ by one row at most. Null values in any column, empty and long texts and repeated rows are
