@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.common import table
+from quillon.llm.packing import pack_along_curve, with_crc32
 from quillon.llm.substring_dedup import substring_dedup
 from quillon.llm.tiff import page_features, store_texts, tiff_pages
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = pack_along_curve(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return with_crc32(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op3_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = store_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
     pages = page_features(tiff_pages(stored))
@@ -40,5 +48,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_tiff": op3_tiff, "op10_substring_dedup": op10_substring_dedup}
+QUERIES = {"op2_packing": op2_packing, "op3_tiff": op3_tiff, "op10_substring_dedup": op10_substring_dedup}
 ORACLES: dict[str, str] = {}
