@@ -1,7 +1,7 @@
 """Line dedup with DataFrame functions alone: drop lines that many documents hold, keep one copy of each.
 
-Lines are normalised and hashed to 128 bits with their positions; hashes are counted with map-side sums; documents
-are counted exactly for the few hashes that enough lines have; documents are put together again by position.
+Lines are normalised and hashed to 128 bits; each document's distinct hashes are counted with map-side sums; the
+positions of lines whose hash enough documents hold are gathered by document, which is put together again by position.
 """
 
 from __future__ import annotations
@@ -15,8 +15,19 @@ BLANK = " \t\n\x0b\x0c\r"
 
 
 def line_key(line: Column) -> Column:
-    """The line without ASCII white space at its ends and with A-Z in lower case."""
-    return F.translate(F.btrim(line, F.lit(BLANK)), UPPER, LOWER)
+    """The line without ASCII white space at its ends and with A-Z in lower case.
+
+    lower() is the same for a line of ASCII and much faster; it changes other letters too, so other lines go by
+    translate().
+    """
+    bare = F.btrim(line, F.lit(BLANK))
+    return F.when(F.octet_length(bare) == F.char_length(bare), F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
+
+
+def line_hashes(text: Column, min_chars: int) -> Column:
+    """For each line of text the 128-bit hash of its key, null where the key is shorter than min_chars."""
+    keys = F.transform(F.split(text, "\n", -1), line_key)
+    return F.transform(keys, lambda k: F.when(F.char_length(k) >= min_chars, F.struct(F.xxhash64(k).alias("h"), F.xxhash64(F.lit(7), k).alias("g"))))
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -24,40 +35,36 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
 
     A line's key is :func:`line_key`. Keys of at least ``min_chars`` code points found in at least ``min_docs``
     documents lose all their lines except those in the largest ``id_col`` holding them. A null or empty text is one
-    empty line and becomes ''. Rows that repeat an id count as one document when documents are counted, and all of
-    them keep or lose a line alike. Rows whose id is null are kept whole, and their lines count for nothing. Columns
-    of docs called n_lines or n_dropped are replaced; names that start with ``__`` are reserved.
+    empty line and becomes ''. Each row counts as a document; rows that repeat an id keep a line together if that id
+    is the largest holding it. Rows whose id is null are kept whole, and their lines count for nothing. Columns of
+    docs called n_lines or n_dropped are replaced; names that start with ``__`` are reserved.
     """
     docs = docs.drop("n_lines", "n_dropped")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.withColumn("__t", F.xxhash64(F.lit(3), text))
-    lines = (
-        rows.filter(F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("__d"), "__t", F.posexplode(F.split(text, "\n", -1)).alias("__i", "__line"))
-        .withColumn("__key", line_key(F.col("__line")))
-        .filter(F.char_length("__key") >= min_chars)
-        .select("__d", "__t", "__i", F.xxhash64("__key").alias("__h"), F.xxhash64(F.lit(7), "__key").alias("__g"))
-    )
-    key = ["__h", "__g"]
+    hashed = rows.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__d"), "__t", line_hashes(text, min_chars).alias("__hs"))
     frequent = (
-        lines.groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("__n"), F.max("__d").alias("__keep"), F.min("__d").alias("__least"))
-        .filter((F.col("__n") >= min_docs) & ((F.col("__least") < F.col("__keep")) | F.lit(min_docs <= 1)))
-        .select(*key, "__keep")
+        hashed.select("__d", F.explode(F.array_distinct(F.filter("__hs", lambda x: x.isNotNull()))).alias("__x"))  # once a document
+        .groupBy(F.col("__x.h").alias("__h"), F.col("__x.g").alias("__g"))
+        .agg(F.count(F.lit(1)).alias("__n"), F.max("__d").alias("__keep"))
+        .filter(F.col("__n") >= min_docs)
+        .drop("__n")
+    )
+    lines = (
+        hashed.select("__d", "__t", F.posexplode("__hs").alias("__i", "__x"))
+        .filter(F.col("__x").isNotNull())
+        .select("__d", "__t", "__i", F.col("__x.h").alias("__h"), F.col("__x.g").alias("__g"))
     )
-    hits = lines.join(frequent, key)
-    spread = hits.select(*key, "__d").distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("__docs")).filter(F.col("__docs") >= min_docs).select(*key)
     dropped = (
-        hits.filter(F.col("__d") < F.col("__keep"))
-        .join(spread, key, "left_semi")
+        lines.join(frequent, ["__h", "__g"])
+        .filter(F.col("__d") < F.col("__keep"))
         .groupBy("__d", "__t")
         .agg(F.collect_set("__i").alias("__drop"))  # positions within one text
     )
-    cut = F.split(text, "\n", -1)
     drop = F.coalesce(F.col("__drop"), F.array().cast("array<int>"))
     joined = rows.join(dropped, (rows[id_col] == dropped["__d"]) & (rows["__t"] == dropped["__t"]), "left").drop(dropped["__t"])
     return (
-        joined.withColumn("__lines", cut)
+        joined.withColumn("__lines", F.split(text, "\n", -1))
         .withColumn("n_lines", F.size("__lines").cast("long"))
         .withColumn("n_dropped", F.size(drop).cast("long"))
         .withColumn(
