@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.llm import bpe
 from quillon.llm.common import table
 from quillon.llm.packing import pack_along_curve, with_crc32
 from quillon.llm.substring_dedup import substring_dedup
@@ -36,6 +37,17 @@ def op3_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    return bpe.decode(encoded, ranks).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = substring_dedup(docs)
@@ -48,5 +60,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_packing": op2_packing, "op3_tiff": op3_tiff, "op10_substring_dedup": op10_substring_dedup}
+QUERIES = {"op2_packing": op2_packing, "op3_tiff": op3_tiff, "op4_bpe": op4_bpe, "op10_substring_dedup": op10_substring_dedup}
 ORACLES: dict[str, str] = {}
