@@ -66,7 +66,7 @@ class Block:
     """What has been read of a block: its index, a digest of its texts, and what the reader keeps."""
 
     def __init__(self):
-        self.index, self.digest, self.bytes, self.kept = Index(), hashlib.blake2b(digest_size=8), 0, []
+        self.index, self.digest, self.bytes, self.kept, self.extra = Index(), hashlib.blake2b(digest_size=8), 0, [], np.zeros(0, np.int64)
 
     @property
     def number(self) -> int:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import toxicity
+from quillon.llm.class_lm import class_lm_scores
 from quillon.llm.common import table
 
 
@@ -25,5 +26,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"), F.col("toxic").alias("predicted"))
 
 
-QUERIES = {"op7_toxicity": op7_toxicity}
+def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), F.coalesce(fold(7) != 2, F.lit(True)))
+
+
+QUERIES = {"op6_class_lm": op6_class_lm, "op7_toxicity": op7_toxicity}
 ORACLES: dict[str, str] = {}
