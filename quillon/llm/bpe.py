@@ -1,17 +1,22 @@
 """Byte-level BPE encoding and decoding with a global shuffle of distinct words.
 
-Texts are cut into pre-tokens, whose positions are kept as codes into the dictionary of their block. The dictionaries'
-words are shuffled by word; each distinct word of the corpus is encoded once, its ids come back to every block that
-has it, and documents are put together again by position. Decoding looks ids up in the table of token bytes, which
-has the size of the vocabulary.
+Texts are cut into words, whose positions are kept as codes into the dictionary of their block. The dictionaries' words
+are shuffled by word; each distinct word of the corpus is encoded once, its ids come back to every block that has it,
+and documents are put together again by position. Decoding joins ids with the table of token bytes, which has the
+size of the vocabulary.
+
+A word is one or more whole pre-tokens: a text is cut before its spaces, over which no pre-token reaches unless more
+white space precedes them. Texts where it does are cut into the pre-tokens themselves.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +26,10 @@ from quillon.llm.blocks import MEET, Block, blocks, blocks_met, by_bucket, meet,
 from quillon.llm.common import parallelism
 
 
+#: White space that cuts before spaces would not leave in whole pre-tokens.
+IRREGULAR = re.compile(r"\s \s|\s \Z")
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """Token bytes -> rank, from a file of base64 and number on each line."""
     with open(path, "rb") as f:
@@ -49,14 +58,31 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     split = regex.compile(pattern).findall
 
-    def note(block: Block, part: pa.RecordBatch) -> None:
-        index = block.index
-        for text in part["text"].to_pylist():
-            for piece in dict.fromkeys(split(text)):
-                index[piece]
+    def code(block: Block, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Words of each text, and all their codes; new words get the next places in the block's index."""
+        index, texts = block.index, part["text"]
+        odd = np.array([bool(IRREGULAR.search(t)) for t in texts.to_pylist()], bool)
+        even = texts.filter(pa.array(~odd))
+        parts = pc.split_pattern(even, " ")
+        lengths = np.zeros(len(odd), np.int64)
+        lengths[~odd] = np.asarray(pc.list_value_length(parts))
+        coded = parts.flatten().dictionary_encode()
+        place = np.fromiter((index[" " + w] for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        flat = place[np.asarray(coded.indices)] if len(coded) else np.zeros(0, np.int64)
+        starts = np.cumsum(lengths[~odd]) - lengths[~odd]
+        flat[starts] = np.fromiter((index[t.partition(" ")[0]] for t in even.to_pylist()), np.int64, len(even))  # no space before it
+        if not odd.any():
+            return lengths, flat
+        pieces = [split(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+        lengths[odd] = [len(x) for x in pieces]
+        codes = np.zeros(int(lengths.sum()), np.int64)
+        own = np.repeat(odd, lengths)
+        codes[~own] = flat
+        codes[own] = [index[p] for x in pieces for p in x]
+        return lengths, codes
 
     def words(batches):
-        for block in blocks(batches, note):
+        for block in blocks(batches, code):
             known = [w.encode() for w in block.index]
             found = [(b, block.number, squeeze(at), pack_words([known[i] for i in at.tolist()])) for b, at in by_bucket(known, buckets)]
             columns = list(zip(*found, strict=True)) or [()] * 4
@@ -65,7 +91,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def once(batches):
         """Each distinct word that comes to this partition is encoded once."""
-        piece = _encoding(path, pattern)._encode_single_piece
+        one = _encoding(path, pattern).encode_ordinary  # each match of the pattern apart
         known: dict[bytes, list[int]] = {}
         for batch in batches:
             out = []
@@ -74,24 +100,20 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 for word in unpack_words(packed):
                     found = known.get(word)
                     if found is None:
-                        found = known[word] = piece(word)
+                        found = known[word] = one(word.decode())
                     ids.append(found)
                 out.append((number, 0, [], squeeze(unsqueeze(places)[0], np.fromiter(map(len, ids), np.uint32, len(ids)), np.fromiter((i for x in ids for i in x), np.uint32))))
             yield meet_rows(out)
 
-    def code(block: Block, part: pa.RecordBatch) -> None:
-        place, lengths, codes = block.index.__getitem__, [], []
-        for text in part["text"].to_pylist():
-            pieces = split(text)
-            for piece in dict.fromkeys(pieces):
-                block.index[piece]
-            lengths.append(len(pieces))
-            codes.append(np.fromiter(map(place, pieces), np.uint32, len(pieces)))
+    def keep(block: Block, part: pa.RecordBatch) -> None:
+        lengths, codes = code(block, part)
+        ends = np.concatenate([[0], np.cumsum(lengths)])
         for at in range(0, len(lengths), 512):
-            block.kept.append((part["id"].slice(at, 512).to_pylist(), squeeze(np.array(lengths[at : at + 512]), np.concatenate(codes[at : at + 512]))))
+            to = min(at + 512, len(lengths))
+            block.kept.append((part["id"].slice(at, 512).to_pylist(), squeeze(lengths[at:to], codes[ends[at] : ends[to]])))
 
     def documents(batches):
-        for block in blocks(batches, code):
+        for block in blocks(batches, keep):
             for ids, data in block.kept:
                 yield meet_rows([(block.number, 1, ids, data)])
 
@@ -121,14 +143,26 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     vocabulary fails the job. A column called decoded is replaced."""
     keep = [f for f in encoded.schema.fields if f.name != "decoded"]
     names = [f.name for f in keep]
-    tokens = encoded.sparkSession.sparkContext.broadcast({rank: token for token, rank in read_ranks(path).items()})  # the vocabulary
+    ranks = read_ranks(path)
+    table = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        table[rank] = token
+    shared = encoded.sparkSession.sparkContext.broadcast(table)  # the vocabulary
 
     def join(batches):
-        token = tokens.value.__getitem__
+        tokens = pa.array(shared.value, pa.large_binary())
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                raw = [None if x is None else b"".join(map(token, x)) for x in part[ids_col].to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part[c] for c in names), pa.array(raw, pa.binary())], names=[*names, "decoded"])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                lists = part[ids_col]
+                ends = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0), dtype=np.int64))])
+                joined = tokens.take(lists.flatten())  # their bytes stand one after the other
+                if not len(joined):
+                    raw = pa.array([b""] * len(lists), pa.large_binary())
+                else:
+                    bounds = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + len(joined) + 1]
+                    raw = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(np.ascontiguousarray(bounds[ends])), joined.buffers()[2]])
+                raw = pc.if_else(lists.is_valid(), raw, None).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in names), raw], names=[*names, "decoded"])
 
     return encoded.mapInArrow(join, T.StructType([*keep, T.StructField("decoded", T.BinaryType())]))
