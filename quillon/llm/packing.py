@@ -12,56 +12,62 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.llm.bpe import IRREGULAR, read_ranks
 from quillon.llm.common import mix64, parallelism, slices, written
 
 DIMENSIONS, KEY_BITS = 4, 12
-#: Distinct pre-tokens that a worker remembers; then it starts anew.
-REMEMBERED = 400_000
+#: Distinct words that a worker remembers; then it starts anew.
+REMEMBERED = 500_000
 SPECIAL = "<|endoftext|>"
 #: Where the next id ends a document.
 END_ID = 0
 
-
 class Encoder:
-    """Ids of whole texts by a ``tokenizers`` file of 2^16 ids at most; each distinct pre-token is encoded once."""
+    """Ids of whole texts by a ``tokenizers`` file of 2^16 ids at most.
+
+    A text is cut before its spaces: no pre-token reaches over a space that something else precedes, so the words are
+    encoded apart and each distinct one once, by the rank file of the same vocabulary. Texts with a special token's
+    string, or with white space that such cuts would not leave whole, go to the tokenizer as they are.
+    """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, ranks: str, pattern: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.split = regex.compile(pattern).findall
+        self.one = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=read_ranks(ranks), special_tokens={}).encode_ordinary
         self.known: dict[str, bytes] = {}
 
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 16-bit ids of each text, without special tokens added."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        pieces = [self.split(t) for t in texts]
-        new = list({p for ps in pieces for p in ps} - self.known.keys())
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, "<u2").tobytes()
-        get = self.known.__getitem__
-        # a special token's string is one id to the tokenizer, wherever it stands: such texts go to it whole
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        cut = [t.split(" ") if SPECIAL not in t and not IRREGULAR.search(t) else None for t in texts]
+        for word in set().union(*(words[1:] for words in cut if words)):
+            if word not in known:
+                known[word] = np.array(self.one(" " + word), "<u2").tobytes()
+        get, first = known.__getitem__, self.one
         return [
-            np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u2").tobytes() if SPECIAL in t else b"".join(map(get, ps)) for t, ps in zip(texts, pieces, strict=True)
+            self.whole(t) if words is None else np.array(first(words[0]), "<u2").tobytes() + b"".join(map(get, words[1:])) for t, words in zip(texts, cut, strict=True)
         ]
 
 
 _encoders: dict[tuple, Encoder] = {}
 
 
-def _encoder(path: str, pattern: str) -> Encoder:
-    if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = Encoder(path, pattern)
-    return _encoders[path, pattern]
+def _encoder(*paths: str) -> Encoder:
+    if paths not in _encoders:
+        _encoders[paths] = Encoder(*paths)
+    return _encoders[paths]
 
 
 def token_directions(size: int = 1 << 16, dimensions: int = DIMENSIONS, seed: int = 2) -> np.ndarray:
@@ -100,11 +106,11 @@ def hilbert_key(points: np.ndarray, bits: int = KEY_BITS) -> np.ndarray:
     return key
 
 
-def tokenised(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenised(docs: DataFrame, path: str, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, curve (the Hilbert key) and ids (16-bit, little-endian, with the end id) of each document."""
 
     def encode(batches):
-        encoder, directions = _encoder(path, pattern), token_directions()
+        encoder, directions = _encoder(path, ranks, pattern), token_directions()
         for batch in slices(batches, "text", 4 << 20):
             ids = [x + END_ID.to_bytes(2, "little") for x in encoder.ids(batch["text"].to_pylist())]
             flat = np.frombuffer(b"".join(ids), "<u2")
@@ -121,8 +127,11 @@ def _powers(n: int) -> list[int]:
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
 
 
-def pack_along_curve(docs: DataFrame, path: str, pattern: str, length: int = 1024, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
-    """Packs documents into sequences of at most ``length`` tokens (a power of two); one row per piece:
+def pack_along_curve(docs: DataFrame, path: str, ranks: str, pattern: str, length: int = 1024, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
+    """``path``: the tokenizers file whose ids are packed; ``ranks``: its vocabulary as a rank file; ``pattern``: of its
+    pre-tokens.
+
+    Packs documents into sequences of at most ``length`` tokens (a power of two); one row per piece:
     id_col, ``start`` (the document's ids before it), ``length``, ``ids``, ``doc_tokens``, ``sequence_id``, ``offset``
     (its place in the sequence).
 
@@ -131,7 +140,7 @@ def pack_along_curve(docs: DataFrame, path: str, pattern: str, length: int = 102
     content. Only id and text are read; other columns are not returned. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    table = written(tokenised(docs, path, pattern, id_col, text_col), "tokens")
+    table = written(tokenised(docs, path, ranks, pattern, id_col, text_col), "tokens")
     n = partitions or parallelism(spark)
 
     def pack(batches):

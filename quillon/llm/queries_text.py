@@ -15,7 +15,7 @@ from quillon.llm.tiff import page_features, store_texts, tiff_pages
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    pieces = pack_along_curve(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    pieces = pack_along_curve(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return with_crc32(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
