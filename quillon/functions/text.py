@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Accented letters and their plain forms, letters that become two, apostrophes.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝŸ"
@@ -51,7 +52,7 @@ def fold(c: Column) -> Column:
     return ascii_lower(fold_keep_case(c))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_entities(s: pd.Series) -> pd.Series:
     """HTML entities decoded until nothing changes, three times at most."""
 
