@@ -30,6 +30,11 @@ INVARIANT = ["lli", "plai", "plus", "pls", "anru", "anah", "hlm", "sne", "apl"]
 DEPARTMENTS = {"75": "Paris", "77": "Seine-et-Marne", "78": "Yvelines", "91": "Essonne", "92": "Hauts-de-Seine", "93": "Seine-Saint-Denis", "94": "Val-de-Marne", "95": "Val-d'Oise"}
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with value computed once and its expression written once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z, other letters as they are."""
     return F.translate(c, UPPER, LOWER)

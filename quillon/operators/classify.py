@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.functions.text import ascii_lower, decode_entities, field_key, fold, fold_keep_case, inflected_pattern
+from quillon.functions.text import ascii_lower, decode_entities, field_key, fold, fold_keep_case, inflected_pattern, let
 from quillon.schema import ELIGIBLE, EXCLUDED, listing_text
 
 # Confidence by tier, what other tiers add or take, limits, the least that a mixed source needs.
@@ -111,11 +111,6 @@ def signal(tier, tenure, reason: Column, evidence: Column, position=None, length
     )
 
 
-def _let(value: Column, f) -> Column:
-    """f(value), with value computed once: expressions in lambdas are not shared otherwise."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def _none() -> Column:
     return F.array().cast(NO_SIGNALS)
 
@@ -166,10 +161,10 @@ def excluded_word(cased: Column) -> Column:
         return F.when(key.rlike(_ANY_KEY), F.coalesce(*found))
 
     split = F.regexp_replace(F.regexp_replace(cased, "([a-z0-9])([A-Z])", "$1 $2"), "[^A-Za-z0-9]+", " ")
-    both = F.transform(F.array(cased, split), lambda x: _let(ascii_lower(x), of))
+    both = F.transform(F.array(cased, split), lambda x: let(ascii_lower(x), of))
     key = F.regexp_replace(ascii_lower(cased), "[^a-z0-9]", "")
     # a value without a letter can't hold a word
-    return F.when(cased.rlike("[A-Za-z]"), F.coalesce(F.get(F.filter(both, lambda x: x.isNotNull()), F.lit(0)), _let(key, squashed)))
+    return F.when(cased.rlike("[A-Za-z]"), F.coalesce(F.get(F.filter(both, lambda x: x.isNotNull()), F.lit(0)), let(key, squashed)))
 
 
 def _doubt(tier: int, what: Column, word: Column) -> Column:
@@ -199,20 +194,20 @@ def field_signals(entries: Column) -> Column:
             )
             return F.when(
                 cased.rlike("(?i)plus"),
-                _let(found, lambda x: F.when(x["at"].isNotNull() & ~F.array_contains(places, F.coalesce(x["at"], F.lit(-1))), F.array(signal(1, x["tenure"], F.concat(F.lit("field "), name), F.lit("PLUS"), x["at"])))),
+                let(found, lambda x: F.when(x["at"].isNotNull() & ~F.array_contains(places, F.coalesce(x["at"], F.lit(-1))), F.array(signal(1, x["tenure"], F.concat(F.lit("field "), name), F.lit("PLUS"), x["at"])))),
             )
 
         says = lambda hits: F.concat(
             F.transform(hits, lambda h: signal(1, h["tenure"], F.concat(F.lit("field "), name), h["literal"], h["position"])), F.coalesce(acronym(F.transform(hits, lambda h: h["position"])), _none())
         )
-        return _let(label_hits(ascii_lower(cased)), says)
+        return let(label_hits(ascii_lower(cased)), says)
 
     def of(e: Column) -> Column:
         name, cased = e["name"], e["cased"]
-        by_name = _let(excluded_word(e["name_cased"]), lambda w: F.when(w.isNotNull(), F.array(_doubt(1, F.concat(F.lit("name of field "), name), w))).otherwise(_none()))
+        by_name = let(excluded_word(e["name_cased"]), lambda w: F.when(w.isNotNull(), F.array(_doubt(1, F.concat(F.lit("name of field "), name), w))).otherwise(_none()))
         unreadable = F.array(signal(1, "UNKNOWN", F.concat(F.lit("check: unreadable field "), name), F.lit("?")))
         plain = F.when(cased.isNull() & e["given"], unreadable).otherwise(
-            _let(excluded_word(cased), lambda w: F.when(w.isNotNull(), F.array(_doubt(1, F.concat(F.lit("field "), name), w))).otherwise(_none()))
+            let(excluded_word(cased), lambda w: F.when(w.isNotNull(), F.array(_doubt(1, F.concat(F.lit("field "), name), w))).otherwise(_none()))
         )
         return F.concat(by_name, F.when(e["key"].isin(TENURE_FIELDS), F.coalesce(financing(e), _none())).otherwise(plain))
 
@@ -221,7 +216,7 @@ def field_signals(entries: Column) -> Column:
 
 def identity_signals(named: Column) -> Column:
     """named: array of struct(name, cased)."""
-    found = F.transform(named, lambda x: _let(excluded_word(x["cased"]), lambda w: F.when(w.isNotNull(), _doubt(1, x["name"], w))))
+    found = F.transform(named, lambda x: let(excluded_word(x["cased"]), lambda w: F.when(w.isNotNull(), _doubt(1, x["name"], w))))
     return F.filter(found, lambda x: x.isNotNull())
 
 
@@ -238,11 +233,11 @@ def text_signals(folded: Column, cased: Column) -> Column:
 
     at = lambda p: F.nullif(F.regexp_instr(cased, F.lit(p)), F.lit(0)) - 1
     plus = F.coalesce(
-        _let(at(PLUS_SURE), lambda x: F.when(x.isNotNull(), F.array(signal(2, "PLUS", F.lit("text: PLUS in context"), F.lit("PLUS"), x)))),
-        _let(F.coalesce(at(PLUS_UNSURE), at(PLUS_ALONE)), lambda x: F.when(x.isNotNull(), F.array(signal(2, "UNKNOWN", F.lit("check: PLUS"), F.lit("PLUS?"), x)))),
+        let(at(PLUS_SURE), lambda x: F.when(x.isNotNull(), F.array(signal(2, "PLUS", F.lit("text: PLUS in context"), F.lit("PLUS"), x)))),
+        let(F.coalesce(at(PLUS_UNSURE), at(PLUS_ALONE)), lambda x: F.when(x.isNotNull(), F.array(signal(2, "UNKNOWN", F.lit("check: PLUS"), F.lit("PLUS?"), x)))),
         _none(),
     )
-    return F.concat(_let(label_hits(folded), says), F.when(cased.contains("PLUS"), plus).otherwise(_none()))
+    return F.concat(let(label_hits(folded), says), F.when(cased.contains("PLUS"), plus).otherwise(_none()))
 
 
 def income_band(amount: Column, bands: list[tuple[str, int, int]]) -> Column:
