@@ -21,9 +21,9 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 
-from quillon.llm.common import SLICE_BYTES, parallelism, slices
+from quillon.llm.common import SLICE_BYTES, give_back, parallelism, slices
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:
@@ -76,7 +76,7 @@ class Block:
 def blocks(batches, read: Callable[[Block, pa.RecordBatch], None]) -> Iterator[Block]:
     """Reads batches (columns id and text) slice by slice into blocks, and yields each block when it is full."""
     block = None
-    for part in slices(batches, "text", SLICE_BYTES // 2):
+    for part in slices(batches, "text", SLICE_BYTES):
         block = block or Block()
         texts = part["text"]
         sizes = pc.fill_null(pc.binary_length(texts), 0)
@@ -91,6 +91,8 @@ def blocks(batches, read: Callable[[Block, pa.RecordBatch], None]) -> Iterator[B
             block = None
     if block is not None:
         yield block
+    del block
+    give_back()
 
 
 def by_bucket(words: list[bytes], buckets: int) -> Iterator[tuple[int, np.ndarray]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker holds at a time, besides one text that is longer.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +47,15 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers outlive their tasks and wait beside the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def slices(batches, column: str, limit: int = SLICE_BYTES):
     """Cuts record batches so that the strings of ``column`` in each hold at most ``limit`` bytes, or are one row."""
     for batch in batches:
@@ -58,6 +68,8 @@ def slices(batches, column: str, limit: int = SLICE_BYTES):
             to = max(at + 1, int(np.searchsorted(size, base + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+        del batch, size
+    give_back()
 
 
 def words(texts: pa.Array, lower: bool = True):

@@ -305,7 +305,7 @@ def tiff_pages(df: DataFrame, media_col: str = "media") -> DataFrame:
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
 
     def read(batches):
-        for batch in slices(batches, media_col, 4 << 20):
+        for batch in slices(batches, media_col):
             found = [_pages_of(x) for x in batch[media_col].to_pylist()]
             at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
             columns = list(zip(*(row for x in found for row in x), strict=True)) or [()] * len(kinds)
@@ -332,7 +332,7 @@ def store_texts(docs: DataFrame, text_col: str = "text", width: int = 64) -> Dat
     schema = T.StructType([*keep, T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
 
     def write(batches):
-        for batch in slices(batches, text_col, 4 << 20):
+        for batch in slices(batches, text_col):
             raw = [(x or "").encode() for x in batch[text_col].to_pylist()]
             media = [payload_tiff(b + b"\0" * (-len(b) % width if b else width), width) for b in raw]
             yield pa.RecordBatch.from_arrays(
@@ -349,7 +349,7 @@ def page_features(df: DataFrame) -> DataFrame:
     names = [f.name for f in schema.fields]
 
     def add(batches):
-        for batch in slices(batches, "samples", 4 << 20):
+        for batch in slices(batches, "samples"):
             out = []
             for w, h, data in zip(*(batch[c].to_pylist() for c in ("width", "height", "samples")), strict=True):
                 if data is None:
