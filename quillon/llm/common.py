@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,6 +91,11 @@ def words(texts: pa.Array, lower: bool = True):
     return coded.dictionary, codes, np.concatenate([[0], np.cumsum(lengths)])
 
 
+def word_hashes(values: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string, the same on every machine."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, values.to_pylist()), np.uint64, len(values))
+
+
 def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit finaliser (multiply, xor, shift): well spread, the same on every machine."""
     with np.errstate(over="ignore"):

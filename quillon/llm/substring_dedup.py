@@ -16,14 +16,13 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import mix64, slices, words
+from quillon.llm.common import mix64, slices, word_hashes, words
 
 #: Words that a digest covers at least.
 CONTEXT = 8
@@ -34,14 +33,12 @@ BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 def _of(dictionary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each word: hash without regard to A-Z, starts with a capital, with a small letter, ends a sentence."""
-    low = pc.ascii_lower(dictionary).to_numpy(zero_copy_only=False)
     first = pc.utf8_slice_codeunits(dictionary, 0, 1)
     capital = np.asarray(pc.utf8_is_upper(first), dtype=bool)
     small = np.asarray(pc.utf8_is_lower(first), dtype=bool)
     last = pc.utf8_slice_codeunits(dictionary, -1)
     ends = np.asarray(pc.is_in(last, value_set=pa.array([".", "!", "?"])), dtype=bool)
-    hashed = pd.util.hash_array(low.astype(object), categorize=False) if len(low) else np.zeros(0, np.uint64)
-    return hashed, capital, small, ends
+    return word_hashes(pc.ascii_lower(dictionary)), capital, small, ends
 
 
 def units(texts: pa.Array) -> dict[str, np.ndarray]:

@@ -14,14 +14,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import mix64, slices, words
+from quillon.llm.common import mix64, slices, word_hashes, words
 
 #: Labelled rows that a model is fitted on at most.
 MAX_ROWS = 16_000
@@ -41,8 +40,7 @@ def term_ids(dictionary: pa.Array, bits: int = BITS) -> np.ndarray:
     length = np.asarray(pc.utf8_length(bare), dtype=np.int64)
     out = np.full((3, len(length)), -1, np.int64)
     for k, (least, part) in enumerate(((1, bare), (6, pc.utf8_slice_codeunits(bare, 0, 4)), (6, pc.utf8_slice_codeunits(bare, 0, 5)))):
-        hashed = pd.util.hash_array(part.to_numpy(zero_copy_only=False).astype(object), categorize=False) if len(length) else np.zeros(0, np.uint64)
-        out[k] = np.where(length >= least, (mix64(hashed, 70 + k) >> np.uint64(64 - bits)).astype(np.int64), -1)
+        out[k] = np.where(length >= least, (mix64(word_hashes(part), 70 + k) >> np.uint64(64 - bits)).astype(np.int64), -1)
     return out
 
 
