@@ -36,9 +36,24 @@ def test_mail(spark, tmp_path):
 
 
 def test_robots(spark):
-    rules = spark.createDataFrame([("/a", False), ("/a/b", True), ("/*.pdf$", False), ("/a/b", False)], "pattern string, allow boolean")
-    paths = spark.createDataFrame([("/",), ("/a/x",), ("/a/b/c",), ("/x.pdf",), ("/x.pdf?y",)], "path string")
-    assert {r.path: r.allowed for r in L.robots_allows(rules, paths).collect()} == {"/": True, "/a/x": False, "/a/b/c": True, "/x.pdf": False, "/x.pdf?y": True}
+    rules = spark.createDataFrame([("s", "/a", False), ("s", "/a/b", True), ("s", "/*.pdf$", False), ("s", "/a/b", False), ("t", "/", False)], "site string, pattern string, allow boolean")
+    paths = spark.createDataFrame([("s", p) for p in ("/", "/a/x", "/a/b/c", "/x.pdf", "/x.pdf?y")] + [("t", "/t"), ("u", "/u")], "site string, path string")
+    want = {"/": True, "/a/x": False, "/a/b/c": True, "/x.pdf": False, "/x.pdf?y": True, "/t": False, "/u": True}
+    assert {r.path: r.allowed for r in L.robots_allows(rules, paths).collect()} == want
+
+
+def test_embedded_json(spark):
+    page = '<script>no</script><script id="data" type="x">{"items": [1]}</script>'
+    from pyspark.sql import functions as F
+
+    (r,) = spark.createDataFrame([(page,)], "html string").select(F.to_json(L.embedded_json(F.col("html"), 'id="data"')).alias("j")).collect()
+    assert r.j == '{"items":[1]}'
+
+
+def test_incomplete_sources(spark):
+    pages = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "source string, item int")
+    declared = spark.createDataFrame([("a", 2), ("b", 2), ("c", 1)], "source string, total int")
+    assert {(r.source, r["items"]) for r in L.complete(pages, declared).collect()} == {("b", 1), ("c", 0)}
 
 
 def test_failures_stay_apart(spark):
