@@ -131,6 +131,17 @@ def delete(table: DataFrame, keys: DataFrame) -> DataFrame:
     return table.join(keys, keys.columns, "left_anti")
 
 
+def lookup(rows: DataFrame, table: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """rows with columns of the table's row of the same key; nulls where there is none."""
+    return rows.join(table.select(key, *columns), key, "left")
+
+
+def migrated(table: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """table with the columns that a newer schema adds, filled as given, where it lacks them."""
+    missing = {k: v for k, v in columns.items() if k not in table.columns}
+    return table.withColumns(missing) if missing else table
+
+
 def not_notified(listings: DataFrame, state: DataFrame, key: str = "key") -> DataFrame:
     """Listings whose key was not notified yet."""
     return listings.join(state.filter(F.col("notified_at").isNotNull()).select(key), key, "left_anti")

@@ -64,6 +64,36 @@ def q_upsert(spark, sf):
     return state.delete(state.upsert(old, new, ["o_custkey"]), gone)
 
 
+def q_point_lookup(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    known = table(spark, sf, "customer").filter("c_custkey % 4 <> 0")
+    return state.lookup(o, known, "c_custkey", ["c_mktsegment"])
+
+
+def q_schema_migration(spark, sf):
+    old = table(spark, sf, "supplier").select("s_suppkey", "s_name")
+    return state.migrated(old, {"s_name": F.lit("lost"), "seen_epoch": F.col("s_suppkey") * 60, "tenure": F.lit(None).cast("string")})
+
+
+def q_harvest_union(spark, sf):
+    """Two sources' rows as one, the columns of either where the other lacks them."""
+    a = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit(1).alias("rooms"))
+    b = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+def q_event_rows(spark, sf):
+    from quillon.sources.sinks import event_rows
+
+    o = table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    judged = o.select(
+        F.element_at(F.array(F.lit("MATCH"), F.lit("DIGEST"), F.lit("REJECT")), (k % 3 + 1).cast("int")).alias("outcome"), F.format_string("o%08d", k).alias("headline"), F.lit("t").alias("text"),
+        (k % 5 == 0).alias("high_priority"), (k % 2 == 0).alias("is_new_match"), (k % 7 == 0).alias("rent_drop"),
+    )
+    return event_rows(judged).withColumn("text", F.md5("text"))
+
+
 def q_group_history(spark, sf):
     log = state.change_log(sightings(spark, sf))
     members = log.select("key").distinct().withColumn("group_key", F.when(F.col("key") % 4 != 3, F.col("key") % 4))
@@ -166,6 +196,13 @@ ORACLES = {
     "q_current_state": f"""WITH {SIGHTINGS_SQL} SELECT key, arg_max('u' || seq, at_epoch * 1000000 + seq) FILTER (WHERE seq % 3 = 0) AS url, CAST(NULL AS VARCHAR) AS title,
       arg_max(rent, at_epoch * 1000000 + seq) FILTER (WHERE rent IS NOT NULL) AS rent, min(at_epoch) AS first_seen, max(at_epoch) AS seen_epoch FROM sightings GROUP BY key""",
     "q_upsert": "SELECT o_custkey, CASE WHEN o_custkey % 3 = 0 THEN max(o_orderkey) ELSE min(o_orderkey) END AS k FROM orders WHERE o_custkey % 10 <> 0 GROUP BY o_custkey",
+    "q_point_lookup": "SELECT o_custkey AS c_custkey, o_orderkey, CASE WHEN o_custkey % 4 <> 0 THEN c_mktsegment END AS c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey",
+    "q_schema_migration": "SELECT s_suppkey, s_name, s_suppkey * 60 AS seen_epoch, CAST(NULL AS VARCHAR) AS tenure FROM supplier",
+    "q_harvest_union": "SELECT s_suppkey AS id, s_name AS name, 1 AS rooms FROM supplier UNION ALL SELECT c_custkey, c_name, NULL FROM customer",
+    "q_event_rows": """WITH j AS (SELECT ['MATCH', 'DIGEST', 'REJECT'][CAST(o_orderkey % 3 + 1 AS INTEGER)] AS outcome, printf('o%08d', o_orderkey) AS headline, o_orderkey AS k FROM orders)
+      SELECT 'match' AS kind, CASE WHEN k % 5 = 0 THEN 5 ELSE 3 END AS priority, headline AS title, md5('t') AS text FROM j WHERE outcome = 'MATCH' AND k % 2 = 0
+      UNION ALL SELECT 'rent_drop', 3, headline, md5('t') FROM j WHERE outcome = 'MATCH' AND k % 7 = 0
+      UNION ALL SELECT 'digest', 2, 'digest', md5(string_agg(headline, chr(10) ORDER BY headline)) FROM j WHERE outcome = 'DIGEST' AND k % 2 = 0""",
     "q_group_history": f"""WITH {SIGHTINGS_SQL}, {_LAG} SELECT key % 4 AS group_key, key, rent, seq, row_number() OVER (PARTITION BY key % 4 ORDER BY at_epoch, seq, key) AS step FROM changes WHERE rent IS NOT NULL AND rent IS DISTINCT FROM previous AND key % 4 <> 3""",
     "q_replay_in_order": f"""WITH {SIGHTINGS_SQL}, {_LAG}, n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY at_epoch, seq) AS k FROM changes) SELECT key, k AS seq, rent, previous, rent - previous AS delta, coalesce(rent < previous, false) AS is_drop FROM n""",
     "q_stream_sightings": f"WITH {SIGHTINGS_SQL} SELECT key, count(*) AS sightings, CAST(1 AS BIGINT) AS new FROM sightings GROUP BY key",
