@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Tolerances of rent (euros, share) and surface (square metres, share), facts that must agree.
 RENT_EUROS, RENT_SHARE, SURFACE_M2, SURFACE_SHARE, FACTS = 30.0, 0.03, 2.0, 0.03, 2
@@ -54,47 +52,38 @@ def duplicate_pairs(listings: DataFrame) -> DataFrame:
     return by_rent.select(*pick).unionByName(by_surface.select(*pick))
 
 
-CLUSTER = T.StructType([T.StructField("id", T.LongType()), T.StructField("survivor", T.LongType())])
+def _kept(df: DataFrame) -> DataFrame:
+    """df computed once, in the folder of spark.checkpoint.dir (one of our own where that is unset, as in tests)."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"/tmp/quillon-checkpoints-{context.applicationId}")
+    return df.checkpoint()
 
 
 def clusters(listings: DataFrame, order: str = "seq") -> DataFrame:
     """(id, survivor): greedily in the order of arrival, a listing joins the first survivor that it is one property
     with, or becomes a survivor. Survivors alone are compared; rows without a place stand alone.
 
-    A block is a family and place: it is what the definition makes sequential, and as large as one place's offers.
+    The order is kept without one task that holds a place: a listing survives once no earlier partner is undecided or
+    survives, its later partners are absorbed, and so on, in as many rounds as the longest chain of such decisions.
     """
-    facts = ["rent", "surface_m2", "rooms", "floor"]
-
-    def near(x, y, absolute, share):
-        gap = abs(x - y)
-        return gap <= absolute or max(x, y) > 0 and gap <= share * max(x, y)
-
-    def one(a, b) -> bool:
-        if a.source == b.source:
-            return False
-        agreed = 0
-        for f in facts:
-            x, y = getattr(a, f), getattr(b, f)
-            if pd.isna(x) or pd.isna(y):
-                continue
-            same = near(x, y, RENT_EUROS, RENT_SHARE) if f == "rent" else near(x, y, SURFACE_M2, SURFACE_SHARE) if f == "surface_m2" else x == y
-            if not same:
-                return False
-            agreed += f != "floor"
-        return agreed >= FACTS
-
-    def greedy(block: pd.DataFrame) -> pd.DataFrame:
-        survivors, out = [], []
-        for row in block.sort_values(order).itertuples(index=False):
-            first = next((s for s in survivors if one(row, s)), None)
-            if first is None:
-                survivors.append(row)
-            out.append((row.id, (first or row).id))
-        return pd.DataFrame(out, columns=["id", "survivor"])
-
-    placed = F.col("place_key").isNotNull() & (F.col("place_key") != "")
-    grouped = listings.filter(placed).groupBy("family", "place_key").applyInPandas(greedy, CLUSTER)
-    return grouped.unionByName(listings.filter(~F.coalesce(placed, F.lit(False))).select(F.col("id").cast("long"), F.col("id").cast("long").alias("survivor")))
+    when = listings.select("id", F.struct(order, "id").alias("at"))
+    pairs = duplicate_pairs(listings)
+    told = pairs.join(when.withColumnsRenamed({"id": "id_a", "at": "at_a"}), "id_a").join(when.withColumnsRenamed({"id": "id_b", "at": "at_b"}), "id_b")
+    first = F.col("at_a") < F.col("at_b")
+    edges = _kept(told.select(F.when(first, F.col("id_a")).otherwise(F.col("id_b")).alias("early"), F.when(first, F.col("id_b")).otherwise(F.col("id_a")).alias("late"), F.least("at_a", "at_b").alias("at")))
+    left, absorbed = edges.select("early", "late"), None
+    while not left.isEmpty():
+        waiting = left.select(F.col("late").alias("early")).distinct()
+        gone = _kept(left.join(waiting, "early", "left_anti").select("late").distinct())  # their early partner survives
+        absorbed = gone if absorbed is None else absorbed.unionByName(gone)
+        left = _kept(left.join(gone, "late", "left_anti").join(gone.withColumnRenamed("late", "early"), "early", "left_anti"))
+    if absorbed is not None:
+        survivors = edges.join(absorbed.withColumnRenamed("late", "early"), "early", "left_anti")
+        joined = survivors.join(absorbed, "late", "left_semi").groupBy("late").agg(F.min_by("early", "at").alias("survivor"))
+        found = listings.select("id").join(joined, F.col("id") == F.col("late"), "left")
+        return found.select(F.col("id").cast("long"), F.coalesce("survivor", "id").cast("long").alias("survivor"))
+    return listings.select(F.col("id").cast("long"), F.col("id").cast("long").alias("survivor"))
 
 
 def within_source(listings: DataFrame, key: str = "dedup_key", order: str = "seq") -> DataFrame:
