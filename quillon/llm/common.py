@@ -44,8 +44,15 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_or_empty(column: str = "text"):
-    return F.coalesce(F.col(column), F.lit(""))
+#: Parts that the rows of one key are dealt into.
+SALTS = 8
+
+
+def salted_join(rows: DataFrame, totals: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """rows joined with totals (one row for each key): a key that a third of all rows have goes to SALTS tasks by the
+    hash of another column, and both sides are plain shuffles, so that Spark can split what is still large."""
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(F.lit(5), by), F.lit(SALTS)).cast("int"))
+    return dealt.join(totals.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*keys, "__salt"]).drop("__salt")
 
 
 def give_back() -> None:

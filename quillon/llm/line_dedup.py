@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import salted_join
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: ASCII white space: space and 0x09 to 0x0D.
 BLANK = " \t\n\x0b\x0c\r"
@@ -56,7 +58,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
         .select("__d", "__t", "__i", F.col("__x.h").alias("__h"), F.col("__x.g").alias("__g"))
     )
     dropped = (
-        lines.join(frequent, ["__h", "__g"])
+        salted_join(lines, frequent, ["__h", "__g"], "__d")
         .filter(F.col("__d") < F.col("__keep"))
         .groupBy("__d", "__t")
         .agg(F.collect_set("__i").alias("__drop"))  # positions within one text
