@@ -230,17 +230,19 @@ def _directories(data: bytes):
         at = struct.unpack_from(order + ("Q" if big else "I"), data, base + cell * count)[0]
 
 
-def _undo(block: np.ndarray, predictor: int, order: str) -> np.ndarray:
-    """block: rows x columns x samples, of unsigned numbers."""
+def _undo(block: np.ndarray, predictor: int) -> np.ndarray:
+    """block (rows x columns x samples, unsigned numbers as stored) without its predictor, in the machine's byte order."""
+    native = block.dtype.newbyteorder("=")
     if predictor == 1:
-        return block
+        return block.astype(native)
     if predictor == 2:
-        return np.cumsum(block, axis=1, dtype=block.dtype)
-    if predictor == 3:  # bytes of each row: all first bytes, then all second bytes, ...; the differences run over them
+        return np.cumsum(block.astype(native), axis=1, dtype=native)
+    if predictor == 3:  # of each row all first bytes, then all second bytes, ...; differences run over them
         rows, cols, samples = block.shape
-        raw = np.cumsum(block.view(np.uint8).reshape(rows, -1, samples), axis=1, dtype=np.uint8).reshape(rows, block.itemsize, cols * samples)
-        raw = raw.transpose(0, 2, 1)  # most significant byte first
-        return np.ascontiguousarray(raw).view(block.dtype.newbyteorder(">")).reshape(rows, cols, samples).astype(block.dtype)
+        width = block.dtype.itemsize
+        raw = np.cumsum(np.ascontiguousarray(block).view(np.uint8).reshape(rows, -1, samples), axis=1, dtype=np.uint8)
+        planes = raw.reshape(rows, width, cols * samples).transpose(0, 2, 1)  # the most significant byte first
+        return np.ascontiguousarray(planes).view(block.dtype.newbyteorder(">")).reshape(rows, cols, samples).astype(native)
     raise ValueError(f"predictor {predictor}")
 
 
@@ -265,10 +267,10 @@ def tiff_decode(data: bytes):
             plane, y, x = k // (across * down), k // across % down * tall, k % across * wide
             rows = tall if tiled else min(tall, height - y)
             raw = decode(data[places[k] : places[k] + counts[k]])[: rows * wide * each * kind.itemsize]
-            block = np.frombuffer(raw, np.uint8 if predictor == 3 and bits == 8 else kind)
+            block = np.frombuffer(raw, kind)
             if len(block) < rows * wide * each:
                 raise ValueError("a strip or tile is cut short")
-            block = _undo(block.astype(kind.newbyteorder("=")) if predictor != 3 else block, predictor, order) if block.ndim == 3 else _undo(block.reshape(rows, wide, each).astype(kind.newbyteorder("=")) if predictor != 3 else block.reshape(rows, wide, each), predictor, order)
+            block = _undo(block.reshape(rows, wide, each), predictor)
             part = out[y : y + rows, x : x + wide, plane : plane + each]
             part[...] = block[: part.shape[0], : part.shape[1]]
         yield tags, out

@@ -158,7 +158,7 @@ def test_tiff_big_endian_16_bits_planar_and_float_predictor():
     f = np.array([[1.5, -2.25, 3e10, 0.0]], np.float32)
     raw = f.astype(">f4").view(np.uint8).reshape(1, 4, 4).transpose(0, 2, 1).reshape(1, 16)
     coded = np.concatenate([raw[:, :1], np.diff(raw, axis=1)], axis=1)
-    back = tiff._undo(np.ascontiguousarray(coded).view(np.uint32).reshape(1, 4, 1), 3, "<")
+    back = tiff._undo(np.ascontiguousarray(coded).view(np.uint32).reshape(1, 4, 1), 3)
     assert (np.ascontiguousarray(back[:, :, 0]).view(np.float32) == f).all()
 
 
