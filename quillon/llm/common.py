@@ -16,8 +16,17 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the corpus tables below ``sf_dir``, read by Spark alone (any store)."""
+    """One of the corpus tables below ``sf_dir``, read by Spark alone (any store).
+
+    Where the session has Spark's default of 10,000 rows for a batch that goes to Python, it gets 3,000: rows here are
+    documents of some KB, and several batches of them stand beside an executor's heap at a time.
+    """
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "3000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import mix64, slices, word_hashes, words
+from quillon.llm.common import give_back, mix64, slices, word_hashes, words
 
 #: Labelled rows that a model is fitted on at most.
 MAX_ROWS = 16_000
@@ -92,11 +92,12 @@ def fit_arrays(rows: np.ndarray, terms: np.ndarray, labels: np.ndarray, bits: in
     rng = np.random.default_rng(seed)
     # chi-square of each term's presence against the label; a rare or neutral term can only be learnt by heart
     with_term = np.bincount(terms, minlength=size).astype(float)
-    in_positive = np.bincount(terms, labels[rows], size)
+    in_positive = np.bincount(terms[(labels > 0)[rows]], minlength=size)
     expected = with_term * positive / n
     spread = expected * (1 - positive / n) * (1 - with_term / n)
     related = (with_term >= LEAST_ROWS) & ((in_positive - expected) ** 2 >= LEAST_CHI2 * np.maximum(spread, 1e-9))
-    rows, terms = rows[related[terms]], terms[related[terms]]
+    use = related[terms]
+    rows, terms = rows[use].astype(np.int64), terms[use].astype(np.int64)
     at = np.searchsorted(rows, np.arange(n + 1))
     # weights: follow the regularised leader, each coordinate with its own step and an L1 threshold
     z, g2 = np.zeros(size), np.zeros(size)
@@ -168,9 +169,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: st
         .limit(max_rows)
         .toArrow()
     )
+    labels = np.asarray(sample["__y"], dtype=np.float64)
     lists = sample["terms"].combine_chunks()
-    rows = np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists), dtype=np.int64))
-    return fit_arrays(rows, np.asarray(lists.flatten(), dtype=np.int64), np.asarray(sample["__y"], dtype=np.float64))
+    del sample
+    rows = np.repeat(np.arange(len(lists), dtype=np.int32), np.asarray(pc.list_value_length(lists), dtype=np.int64))
+    model = fit_arrays(rows, np.asarray(lists.flatten()), labels)
+    del rows, lists
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
