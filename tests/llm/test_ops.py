@@ -116,6 +116,49 @@ def test_substring_dedup_cuts_repeats_alone(spark):
     assert substring_dedup.substring_dedup(table(spark, [])).count() == 0
 
 
+def test_substring_dedup_cuts_passages_inside_sentences(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    plain = " ".join(word() for _ in range(51))  # no mark at all
+    marked = plain[:100] + '." ' + plain[100:]
+    ideographic = " ".join("日本語。" + word() for _ in range(60))
+    rows = []
+    for n, passage in enumerate((plain, marked, ideographic)):
+        rows += [(10 * n + i, f"The {word()} {word()} {passage} {word()} {word()}. End {word()}") for i in range(3)]
+    rows.append((90, " ".join(plain.split()[:49])))  # too short
+    out = by_id(substring_dedup.substring_dedup(table(spark, rows)))
+    for n, passage in enumerate((plain, marked, ideographic)):
+        for i in range(3):
+            (r,), text = out[10 * n + i], dict(rows)[10 * n + i]
+            assert [text[s["start"] : s["end"]] for s in r.removed] == ([passage] if i else [])
+    assert not out[90][0].removed
+
+
+def plain_windows(rows, size):
+    """The kept words of each text: a window with an earlier occurrence goes."""
+    seen, out = {}, {}
+    for i, t in sorted(rows):
+        ws = t.split()
+        gone = set()
+        for a in range(len(ws) - size + 1):
+            before = seen.get(tuple(ws[a : a + size]))
+            if before is not None and (before[0] != i or a - before[1] > 1):
+                gone |= set(range(a, a + size))
+            if before is None or (before[0] == i and a - before[1] == 1):
+                seen[tuple(ws[a : a + size])] = (i, a) if before is None else before
+        out[i] = [w for k, w in enumerate(ws) if k not in gone]
+    return out
+
+
+def test_substring_dedup_against_plain(spark):
+    rng = random.Random(8)
+    pool = [[f"w{rng.randint(0, 400)}" for _ in range(30)] for _ in range(40)]
+    rows = [(i, " ".join(w for _ in range(rng.randint(0, 6)) for w in rng.choice(pool)[rng.randint(0, 9) : rng.randint(10, 30)])) for i in range(300)]
+    out = by_id(substring_dedup.substring_dedup(table(spark, rows).repartition(7), min_words=12))
+    expected = plain_windows(rows, 12)
+    assert all(out[i][0].text.split() == expected[i] for i, _ in rows) and sum(map(len, expected.values())) < sum(len(t.split()) for _, t in rows)
+
+
 def test_units_digest_depends_on_words_alone():
     a, b = (substring_dedup.units(pa.array([t])) for t in ("zz Yy one two three four five six seven eight. Tail x", "other Text. Yy one  two three four five six seven eight. end"))
     assert set(a["digest"].tolist()) & set(b["digest"].tolist())
