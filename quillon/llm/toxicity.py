@@ -5,8 +5,8 @@ letters of longer words. The score is the logistic of a bias, a weight for each
 product of two short vectors: pairs weigh more (or less) than their terms do alone.
 
 The model is fitted on a bounded sample of labelled rows (``MAX_ROWS``, chosen by a hash of the id over the whole
-label table): terms that go with neither label more than chance would have it are left out; the others get weights
-with an L1 penalty, which leaves few; then weights and vectors of those are fitted together. Scoring reads every whole text and needs no shuffle.
+label table): terms that go with a label more than chance would have it get weights with an L1 penalty, which leaves
+few; then vectors of all terms of at least ``LEAST_ROWS`` rows are fitted, and those weights with them. Scoring reads every whole text and needs no shuffle.
 """
 
 from __future__ import annotations
@@ -28,8 +28,11 @@ MAX_ROWS = 16_000
 BITS = 18
 #: Length of a term's vector.
 FACTORS = 8
-#: A term counts if so many rows of the sample have it and its chi-square with the label is at least this.
+#: A term has a vector if so many rows of the sample have it, and may have a weight if its chi-square with the label is at
+#: least this.
 LEAST_ROWS, LEAST_CHI2 = 3, 16.0
+#: Vectors: how often the sample is gone through, step and L2 penalty.
+ROUNDS, RATE, SHRINK = 12, 0.02, 0.3
 #: Code points trimmed from the ends of words.
 MARKS = ".,;:!?\"'()[]{}<>|%$&*#@~^_=+/\\-"
 
@@ -65,7 +68,7 @@ class ToxicityModel:
     vectors: np.ndarray  # of all hashed terms
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        rows, terms = term_sets(texts, int(np.log2(len(self.weights))), self.weights != 0)
+        rows, terms = term_sets(texts, int(np.log2(len(self.weights))), (self.weights != 0) | self.vectors.any(axis=1))
         return _logistic(_raw(self.bias, self.weights, self.vectors, rows, terms, len(texts)))
 
 
@@ -90,12 +93,15 @@ def fit_arrays(rows: np.ndarray, terms: np.ndarray, labels: np.ndarray, bits: in
         # nothing to tell apart: the share of label 1, and 0 without labels
         return ToxicityModel(35.0 if n and positive else -35.0, weights, vectors)
     rng = np.random.default_rng(seed)
-    # chi-square of each term's presence against the label; a rare or neutral term can only be learnt by heart
+    # chi-square of each term's presence against the label; the weight of a rare or neutral term can only be learnt by
+    # heart, but a term that is neutral alone may matter in a pair: all that are not rare get vectors
     with_term = np.bincount(terms, minlength=size).astype(float)
     in_positive = np.bincount(terms[(labels > 0)[rows]], minlength=size)
     expected = with_term * positive / n
     spread = expected * (1 - positive / n) * (1 - with_term / n)
-    related = (with_term >= LEAST_ROWS) & ((in_positive - expected) ** 2 >= LEAST_CHI2 * np.maximum(spread, 1e-9))
+    common = with_term >= LEAST_ROWS
+    counted = rows[common[terms]], terms[common[terms]]
+    related = common & ((in_positive - expected) ** 2 >= LEAST_CHI2 * np.maximum(spread, 1e-9))
     use = related[terms]
     rows, terms = rows[use].astype(np.int64), terms[use].astype(np.int64)
     at = np.searchsorted(rows, np.arange(n + 1))
@@ -118,25 +124,68 @@ def fit_arrays(rows: np.ndarray, terms: np.ndarray, labels: np.ndarray, bits: in
             gb += float(error.sum()) ** 2
             bias -= 0.5 * float(error.sum()) / (1 + np.sqrt(gb))
     weights = np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / (4.0 * (1.0 + np.sqrt(g2)) + l2))
-    # weights and vectors of the terms that are left
-    active = np.flatnonzero(weights)
-    place = np.full(size, -1)
+    _fit_weights(model := ToxicityModel(bias, weights, vectors), rows, terms, labels, l2)
+    del rows, terms
+    _fit_pairs(model, *counted, labels, rng)
+    return model
+
+
+def _fit_weights(model: ToxicityModel, rows, terms, labels, l2: float) -> None:
+    """Bias and the weights that are not 0, with the L2 penalty alone."""
+    n = len(labels)
+    active = np.flatnonzero(model.weights)
+    place = np.full(len(model.weights), -1)
     place[active] = np.arange(len(active))
     use = place[terms] >= 0
     rows, terms = rows[use], place[terms[use]]
-    w, v = weights[active], rng.normal(0, 0.01, (len(active), factors))
-    hw, hv, hb = np.full(len(active), 1e-6), np.full(v.shape, 1e-6), 1e-6
+    w, bias = model.weights[active], model.bias
+    hw, hb = np.full(len(active), 1e-6), 1e-6
     for _ in range(200):
-        own = [np.bincount(rows, v[terms, f], n) for f in range(factors)]
-        error = (_logistic(_raw(bias, w, v, rows, terms, n)) - labels) / n
+        error = (_logistic(bias + np.bincount(rows, w[terms], n)) - labels) / n
         gw = np.bincount(terms, error[rows], len(active)) + l2 * w / n
-        gv = np.stack([np.bincount(terms, error[rows] * (own[f][rows] - v[terms, f]), len(active)) + l2 * v[:, f] / n for f in range(factors)], axis=1) if len(active) else v
         hw += gw * gw
-        hv += gv * gv
         hb += float(error.sum()) ** 2
-        w, v, bias = w - 0.1 * gw / np.sqrt(hw), v - 0.02 * gv / np.sqrt(hv), bias - 0.1 * float(error.sum()) / np.sqrt(hb)
-    weights[active], vectors[active] = np.where(w == 0, 1e-12, w), v
-    return ToxicityModel(float(bias), weights, vectors)
+        w, bias = w - 0.1 * gw / np.sqrt(hw), bias - 0.1 * float(error.sum()) / np.sqrt(hb)
+    model.weights[active], model.bias = w, float(bias)
+
+
+def _fit_pairs(model: ToxicityModel, rows, terms, labels, rng, rounds: int = ROUNDS, rate: float = RATE, shrink: float = SHRINK) -> None:
+    """Vectors of all terms given, and bias and weights with them, in blocks of rows."""
+    n, size, factors = len(labels), *model.vectors.shape
+    at = np.searchsorted(rows, np.arange(n + 1))
+    has = np.zeros(size, bool)
+    has[terms] = True
+    v = np.where(has[:, None], rng.normal(0, 0.01, (size, factors)), 0).astype(np.float32)
+    w, bias = model.weights, model.bias
+    hv, hw, hb = np.full((size, factors), 1e-4, np.float32), np.full(size, 1.0), 1.0
+    blocks = []
+    for block in np.array_split(rng.permutation(n), -(-n // 128)):
+        block = block[at[block + 1] > at[block]]
+        if len(block):
+            own = terms[np.concatenate([np.arange(at[i], at[i + 1]) for i in block])].astype(np.int32)
+            order = np.argsort(own, kind="stable").astype(np.int32)
+            head = np.flatnonzero(np.append(True, own[order][1:] != own[order][:-1])).astype(np.int32)
+            blocks.append((block, own, order, head))
+    for _ in range(rounds):
+        for k in rng.permutation(len(blocks)):
+            block, own, order, head = blocks[k]
+            lengths = at[block + 1] - at[block]
+            starts = np.cumsum(lengths) - lengths
+            one = v[own]
+            total = np.add.reduceat(one, starts)
+            pairs = 0.5 * ((total * total).sum(1) - np.add.reduceat((one * one).sum(1), starts))
+            error = (_logistic(bias + np.add.reduceat(w[own], starts) + pairs) - labels[block]).astype(np.float32)
+            each = np.repeat(error, lengths)
+            used = own[order[head]]
+            g = np.add.reduceat((each[:, None] * (np.repeat(total, lengths, axis=0) - one))[order], head) + shrink * v[used]
+            hv[used] += g * g
+            v[used] -= rate * g / np.sqrt(hv[used])
+            gw = np.where(w[used] != 0, np.add.reduceat(each[order], head), 0)
+            hw[used] += gw * gw
+            w[used] -= rate * gw / np.sqrt(hw[used])
+            hb += float(error.sum()) ** 2
+            bias -= rate * float(error.sum()) / np.sqrt(hb)
+    model.vectors[:], model.bias = v, float(bias)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", seed: int = 7) -> ToxicityModel:

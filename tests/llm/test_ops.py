@@ -318,6 +318,24 @@ def test_toxicity_learns_pairs():
     assert model.vectors[1] @ model.vectors[2] > 0
 
 
+def test_toxicity_learns_pairs_of_neutral_terms():
+    rng = np.random.default_rng(2)
+    rows, terms, labels = [], [], []
+    for i in range(8000):
+        a = rng.random() < 0.1
+        b = rng.random() < 0.1
+        own = {int(x) for x in rng.integers(10, 2000, 20)} | ({1} if a else set()) | ({2} if b else set())
+        rows += [i] * len(own)
+        terms += sorted(own)
+        labels.append(float(a and b or not a and not b and rng.random() < 0.1))
+    rows, terms, labels = np.array(rows), np.array(terms), np.array(labels)
+    assert all(abs(labels[np.unique(rows[terms == t])].mean() - labels.mean()) < 0.04 for t in (1, 2))
+    model = toxicity.fit_arrays(rows, terms, labels, bits=12)
+    assert not model.weights[1] and not model.weights[2]
+    raw = lambda ts: toxicity._logistic(toxicity._raw(model.bias, model.weights, model.vectors, np.zeros(len(ts), int), np.array(ts), 1))[0]
+    assert raw([1, 2]) > 0.5 and raw([1]) < 0.3 and raw([2]) < 0.3
+
+
 def test_toxicity_on_held_out_texts(spark):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 7)))
