@@ -1,26 +1,31 @@
 """Near-duplicate documents: improved consistent weighted sampling over TF-IDF shingles, bands, weighted Jaccard.
 
 1. Shingles are runs of five words. Their document frequencies over all documents are kept in 2^18 hashed counters, so
-   the table has one size whatever the input; a shingle weighs (1 + TF x ln tf) x (1 + IDF x ln(N / df) / ln N). TF and
-   IDF are small, so that a few unique words in one of thousands of copies, whose shingles are frequent, don't
-   outweigh all that they share.
+   the table has one size whatever the input. What other shingles add to a counter is taken off again (the median of
+   all counters): what is left of it grows with the square root of the documents alone, so the weights tell frequent
+   from rare shingles at every size. A shingle weighs (1 + TF x ln tf) x (1 + IDF x ln(N / df) / ln N).
 2. Each of BANDS x ROWS samples picks one shingle with a probability in proportion to its weight, consistently over
    documents (Ioffe 2010; the sample's second part is left out, Li 2015). The random variables come from a pool that
    hashed shingles index.
-3. Equal texts are one candidate. Candidates that share a band are compared: all pairs in buckets of at most SMALL,
-   all with LEADERS of them in larger ones: members whose bands have the most company, as the origin of a group of
-   copies has. Larger buckets whose members are not all in one class by then are divided by the next bands, until they are
-   small; when all bands are used they go on with other leaders. So nothing is capped, and no group is compared pair by pair. A
-   pair counts if the exact weighted Jaccard similarity of its shingles (or that of the plain sets) reaches the
-   threshold.
-4. Classes are the connected components, found by alternating stars. Links and components stay distributed.
+3. Equal texts are one candidate, named by their digest. Candidates that share a band are compared: all pairs in
+   buckets of at most SMALL. In larger ones all members are compared with one leader (the member whose bands have the
+   most company, as the origin of a group of copies has), and, while that links many, what is not yet of the bucket's
+   main class with other members of it.
+4. What large buckets still hold of several classes is settled exactly, in blocks. Two texts of the wanted similarity
+   share one of the rarest shingles of both (their prefixes: a fifth of the weight at 0.8), so texts whose prefix no
+   text of another class shares are done. The others outside their bucket's main class are compared with all members
+   of other classes, inside tasks that hold some MB of either side; each pair in the first band that it shares.
+   Nothing is capped and no pairs are written out. A pair counts if the exact weighted Jaccard similarity of its
+   shingles reaches the threshold.
+5. Classes are the connected components, found by alternating stars. Links and components stay distributed.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import mix64, salted_join, slices, word_hashes, words, written
@@ -30,13 +35,15 @@ BANDS, ROWS = 12, 3
 #: Hashed counters of document frequencies: 2 to the power of this.
 DF_BITS = 18
 #: How much a unique shingle weighs more than one that all documents have.
-IDF = 0.1
+IDF = 0.2
 #: How much a shingle weighs more that a text repeats e times.
-TF = 0.1
+TF = 0.2
 POOL_BITS, LEVEL = 16, 0.03125
 SMALL = 32
-#: Leaders of a larger bucket of one band, each from its own share of the members.
-LEADERS = 4
+#: Leaders go on while they link at least this share of what is compared with them.
+WORTH = 0.1
+#: Bytes of text of either side that a block of a large bucket holds.
+BLOCK_BYTES = 4 << 20
 _PRIMES = [np.uint64(x) for x in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 HASH_BITS = 52
 
@@ -96,7 +103,9 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
 
 
 def idf_weights(frequencies: np.ndarray, documents: int) -> np.ndarray:
-    return (1 + IDF * np.log((documents + 1) / (np.minimum(frequencies, documents) + 1)) / np.log(documents + 2)).astype(np.float32)
+    """The weight of a counter's shingles, without what a counter has of other shingles."""
+    own = np.clip(frequencies - np.median(frequencies), 1, max(documents, 1))
+    return (1 + IDF * np.log((documents + 1) / own) / np.log(documents + 2)).astype(np.float32)
 
 
 def weights_of(hashes: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -138,35 +147,97 @@ def band_hashes(texts: pa.Array, idf: np.ndarray, pool: np.ndarray) -> tuple[np.
 
 
 def weighted_jaccard(left: pa.Array, right: pa.Array, idf: np.ndarray) -> np.ndarray:
-    """Similarity of left[i] and right[i]: the shingles' smaller weights over the larger ones, or their number in both
-    over that in either, if this is more."""
+    """Similarity of left[i] and right[i]: the shingles' smaller weights over the larger ones."""
     n = len(left)
     sides = [shingles(x) for x in (left, right)]
-    weight = [weights_of(h, c, idf) for _, h, c in sides]
+    w = np.concatenate([weights_of(h, c, idf) for _, h, c in sides])
     rows = np.concatenate([s[0] for s in sides])
     key = rows.astype(np.uint64) << np.uint64(HASH_BITS) | np.concatenate([s[1] for s in sides])
-    w = np.concatenate(weight)
     order = np.argsort(key, kind="stable")
     key, w, rows = key[order], w[order], rows[order]
     same = np.flatnonzero(key[1:] == key[:-1])  # a shingle of both
     both = np.bincount(rows[same], np.minimum(w[same], w[same + 1]), n)
     either = np.bincount(rows, w, n) - both
-    common = np.bincount(rows[same], minlength=n)
-    distinct = np.bincount(rows, minlength=n) - common
-    return np.where(either > 0, np.maximum(both / np.maximum(either, 1e-12), common / np.maximum(distinct, 1)), 0.0)
+    return np.where(either > 0, both / np.maximum(either, 1e-12), 0.0)
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
-    """pairs (a, b) with their similarity."""
+def prefixes(texts: pa.Array, idf: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of each text's prefix: its shingles from the heaviest counter (the rarest) on, as long as they and
+    what follows weigh at least threshold x all. Two texts of at least this similarity have the first of their common
+    shingles in both prefixes."""
+    rows, hashes, counts = shingles(texts)
+    weight = weights_of(hashes, counts, idf)
+    order = np.lexsort((hashes, -idf[counter_of(hashes)], rows))
+    rows, hashes, weight = rows[order], hashes[order], weight[order]
+    total = np.bincount(rows, weight, len(texts))
+    before = np.cumsum(weight) - weight
+    start = np.searchsorted(rows, np.arange(len(texts)))
+    rest = total[rows] - (before - before[np.minimum(start, len(before) - 1)][rows]) if len(rows) else weight
+    keep = rest >= threshold * total[rows] * (1 - 1e-9)
+    return rows[keep], hashes[keep]
+
+
+def block_links(asked: pa.Table, held: pa.Table, idf: np.ndarray, threshold: float, band: int) -> list[tuple[bytes, bytes]]:
+    """Links of the texts asked with those held (node, root, bands, text) of other classes, whose first common band is
+    ``band``."""
+
+    def weighted(table: pa.Table):
+        texts = table["text"].combine_chunks()
+        found, at = [], 0
+        for part in range(0, len(texts), 4096):
+            rows, hashes, counts = shingles(texts.slice(part, 4096))
+            found.append((rows + part, hashes, weights_of(hashes, counts, idf)))
+        return [np.concatenate(x) for x in zip(*found, strict=True)]
+
+    def numbers(table: pa.Table):
+        root = np.array([hash(r) for r in table["root"].to_pylist()], np.int64)
+        bands = np.asarray(table["bands"].combine_chunks().flatten(), dtype=np.int64).reshape(-1, BANDS)
+        return root, bands
+
+    rows, hashes, weight = weighted(held)
+    own_rows, own_hashes, own_weight = weighted(asked)
+    known, codes = np.unique(hashes, return_inverse=True)
+    size, own_size = np.bincount(rows, weight, held.num_rows), np.bincount(own_rows, own_weight, asked.num_rows)
+    (root, bands), (own_root, own_bands) = numbers(held), numbers(asked)
+    at = np.searchsorted(own_rows, np.arange(asked.num_rows + 1))
+    ends = np.searchsorted(rows, np.arange(held.num_rows + 1))
+    names, own_names = held["node"].to_pylist(), asked["node"].to_pylist()
+    mark = np.zeros(len(known) + 1)
+    out = []
+    for i in range(asked.num_rows):
+        able = (root != own_root[i]) & (bands[:, band] == own_bands[i, band]) & (np.minimum(size, own_size[i]) >= threshold * np.maximum(size, own_size[i]))
+        if band:
+            able &= ~(bands[:, :band] == own_bands[i, :band]).any(axis=1)
+        able = np.flatnonzero(able)
+        if not len(able):
+            continue
+        a, b = at[i], at[i + 1]
+        place = np.searchsorted(known, own_hashes[a:b])
+        there = known[np.minimum(place, len(known) - 1)] == own_hashes[a:b]
+        mark[place[there]] = own_weight[a:b][there]
+        lengths = ends[able + 1] - ends[able]
+        cells = np.repeat(ends[able] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+        both = np.bincount(np.repeat(np.arange(len(able)), lengths), np.minimum(weight[cells], mark[codes[cells]]), len(able))
+        mark[place[there]] = 0
+        linked = able[both >= threshold * (size[able] + own_size[i] - both)]
+        out += [(own_names[i], names[j]) for j in linked.tolist()]
+    return out
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, idf, threshold: float, hot: bool) -> DataFrame:
+    """The pairs (a, b) that are similar. With ``hot`` b may be one text of very many pairs."""
 
     def compare(batches):
         for batch in parts(batches, "ta"):
-            s = weighted_jaccard(batch["ta"], batch["tb"], idf.value)
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(s)], names=["a", "b", "s"])
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                linked = pa.array(weighted_jaccard(some["ta"], some["tb"], idf.value) >= threshold)
+                yield pa.RecordBatch.from_arrays([some["a"].filter(linked), some["b"].filter(linked)], names=["a", "b"])
 
-    one = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta"))
-    two = texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long, s double")
+    one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    two = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
+    met = salted_join(one, two.join(pairs.select("b").distinct(), "b", "left_semi"), ["b"], "a") if hot else one.join(two, "b")
+    return met.select("a", "b", "ta", "tb").mapInArrow(compare, "a binary, b binary")
 
 
 def _counted(df: DataFrame, name: str, *columns: str) -> tuple[DataFrame, tuple]:
@@ -193,49 +264,80 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _divided(left: DataFrame, depth: int, to: int) -> DataFrame:
-    """The members of unresolved buckets, in the buckets of one to so many further bands at once."""
-    around = F.concat(F.slice("bands", F.col("band") + 1, BANDS), F.slice("bands", 1, F.col("band")))  # the key's own bands first
-    finer = left.select("rep", "bands", "weight", "band", "key", F.explode(F.sequence(F.lit(depth + 1), F.lit(to))).alias("depth"))
-    return finer.withColumn("key", F.xxhash64("key", F.slice(around, depth + 1, F.col("depth") - depth)))
+def _with_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
+    return members.join(roots.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").drop("__node").withColumn("root", F.coalesce("root", "node"))
+
+
+def _unresolved(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of large buckets of several classes, with their ``root`` and their bucket's ``main`` class."""
+    placed = _with_roots(large, roots)
+    mains = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count(F.lit(1)).alias("classes"))
+    return salted_join(placed, mains.filter("classes > 1").select("key", "main"), ["key"], "node")
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    return components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
 def _classes(members: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """node and root for the texts of members (rep, bands, weight, band: the first of the bands that key stands for,
-    depth: how many these are, key) that have a link."""
-    roots, depth = None, 1
-    own = Window.partitionBy("rep", "band").orderBy("depth")
-    while True:
-        part = F.pmod(F.xxhash64("rep"), F.lit(LEADERS if roots is None else 1))
-        tops = [F.max_by("rep", F.when(part == j, F.struct("weight", F.xxhash64("key", "rep")))) for j in range(LEADERS if roots is None else 1)]
-        sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.filter(F.array(*tops), lambda x: x.isNotNull()).alias("leaders"))
-        placed = salted_join(members, sizes.filter("n > 1"), ["key"], "rep")
-        if roots is not None:  # several depths: the first whose bucket is small
-            placed = placed.withColumn("above", F.lag("n").over(own)).join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        else:
-            placed = placed.withColumn("above", F.lit(None).cast("long")).withColumn("root", F.col("rep"))
-        small = placed.filter((F.col("n") <= SMALL) & (F.col("above").isNull() | (F.col("above") > SMALL))).select("key", "rep", "root")
-        other = small.select("key", F.col("rep").alias("b"), F.col("root").alias("other"))
-        large = placed.filter(F.col("n") > SMALL)
-        lead = large.filter(F.array_contains("leaders", F.col("rep"))).select("key", F.col("rep").alias("leader"), F.col("root").alias("other"))
-        pairs = (
-            small.withColumnRenamed("rep", "a").join(other, "key").filter("a < b and root <> other").select("a", "b")
-            .unionByName(salted_join(large, lead, ["key"], "rep").filter("root <> other and rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")))
-            .distinct()
-        )
-        linked, (links, _) = _counted(_similar(pairs, texts, idf).filter(F.col("s") >= threshold).select("a", "b"), "links", "a", "b")
-        if roots is None or links:
-            roots = components(linked if roots is None else linked.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-        # the deepest larger buckets that are not one class by now
-        large = salted_join(members.filter(F.col("depth") == depth), sizes.filter(F.col("n") > SMALL).drop("n"), ["key"], "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        split = large.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
-        left = salted_join(large, split, ["key"], "rep")
-        to = min(depth + 7, BANDS)
-        left = _divided(left, depth, to) if depth < BANDS else left.filter(~F.array_contains("leaders", F.col("rep")))
-        depth = to
-        members, (n, _) = _counted(left.select("rep", "bands", "weight", "band", "depth", "key"), "members", "rep")
+    """node and root for the texts of members (node, bands, weight, band, key, n: the bucket's size) that have a link."""
+    small, large = members.filter(F.col("n") <= SMALL), members.filter(F.col("n") > SMALL)
+    other = small.select("key", F.col("node").alias("b"))
+    near = small.select("key", F.col("node").alias("a")).join(other, "key").filter("a < b").select("a", "b").distinct()
+    leaders = large.groupBy("key").agg(F.max_by("node", F.struct("weight", F.xxhash64("key", "node"))).alias("b"))
+    led = salted_join(large.select("key", F.col("node").alias("a")), leaders, ["key"], "a").filter("a <> b").select("a", "b").distinct()
+    links, _ = _counted(_similar(near, texts, idf, threshold, False).unionByName(_similar(led, texts, idf, threshold, True)), "links", "a", "b")
+    roots = components(links)
+    step = 0
+    while True:  # other leaders, for what is not of a bucket's main class
+        step += 1
+        left, (n, _) = _counted(_unresolved(large, roots).select("node", "root", "bands", "band", "key", "main"), "left", "node")
         if not n:
             return roots
+        leaders = left.filter("root = main").groupBy("key").agg(F.max_by("node", F.xxhash64(F.lit(step), "key", "node")).alias("b"))
+        asked, (compared, _) = _counted(salted_join(left.filter("root <> main").select("key", F.col("node").alias("a")), leaders, ["key"], "a").select("a", "b").distinct(), "asked", "a", "b")
+        links, (found, _) = _counted(_similar(asked, texts, idf, threshold, True), "links", "a", "b")
+        if found:
+            roots = _joined(roots, links)
+        if found < WORTH * compared:
+            break
+    if found:
+        left, _ = _counted(_unresolved(large, roots).select("node", "root", "bands", "band", "key", "main"), "left", "node")
+    links, (found, _) = _counted(_block_pass(left, texts, idf, threshold), "links", "a", "b")
+    return _joined(roots, links) if found else roots
+
+
+def _block_pass(left: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """All links (a, b) between texts of different classes that share a large bucket."""
+
+    def rare(batches):
+        for batch in parts(batches, "text"):
+            rows, hashes = prefixes(batch["text"], idf.value, threshold)
+            at = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch["node"].take(at), batch["root"].take(at)], names=["s", "node", "root"])
+
+    prefix = left.select("node", "root").distinct().join(texts, "node").select("node", "root", "text").mapInArrow(rare, "s long, node binary, root binary")
+    prefix = written(prefix, "prefixes")
+    mixed = prefix.groupBy("s").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("s")
+    active = salted_join(prefix.select("s", "node"), mixed, ["s"], "node").select("node").distinct()
+    rows = left.join(active, "node", "left_semi").join(texts, "node").withColumn("bytes", F.octet_length("text").cast("long"))
+    rows = written(rows.select("key", "band", "node", "root", "bands", "bytes", "text", (F.col("root") != F.col("main")).alias("asks")), "unresolved")
+    blocks = lambda c: F.ceil(F.sum(c) / BLOCK_BYTES).cast("int")
+    grid = rows.groupBy("key").agg(blocks("bytes").alias("wide"), blocks(F.when(F.col("asks"), F.col("bytes"))).alias("tall")).filter("tall > 0")
+    placed = salted_join(rows, grid, ["key"], "node")
+    part = lambda c: F.pmod(F.xxhash64(F.lit(4), "node"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    columns = ["key", "band", "node", "root", "bands", "text"]
+    held = placed.select(*columns, F.lit(False).alias("asks"), every("tall").alias("p"), part("wide").alias("q"))
+    asks = placed.filter("asks").select(*columns, "asks", part("tall").alias("p"), every("wide").alias("q"))
+
+    def compare(block: pa.Table) -> pa.Table:
+        mask = block["asks"].combine_chunks()
+        found = block_links(block.filter(mask), block.filter(pc.invert(mask)), idf.value, threshold, block["band"][0].as_py())
+        columns = list(zip(*found, strict=True)) or [(), ()]
+        return pa.table([pa.array(c, pa.binary()) for c in columns], names=["a", "b"])
+
+    return held.unionByName(asks).groupBy("key", "p", "q").applyInArrow(compare, "a binary, b binary").distinct()
 
 
 def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,37 +345,40 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, id_col: str
 
     Texts are one class if they are equal or linked by pairs whose weighted Jaccard similarity is at least threshold.
     Null texts are empty; texts without words equal only those with the same characters. Ids are integers; rows with
-    a null id take no part; an id that several rows repeat has the smallest of their classes. Other columns don't
-    matter. An empty table gives no rows.
+    a null id take no part. An id that several rows repeat, with one text or with several, is in the class of each of
+    its texts, and gets the smallest class_id of them. Other columns don't matter. An empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumn("node", F.unhex(F.md5("text")))
     frequencies, documents = document_frequencies(rows)
     idf = spark.sparkContext.broadcast(idf_weights(frequencies, documents))  # 2^DF_BITS numbers
+    names = [f"b{k}" for k in range(BANDS)]
 
     def sign(batches):
         pool = sampling_table()
         for batch in parts(batches, "text"):
             sizes, bands = band_hashes(batch["text"], idf.value, pool)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))]), pa.int32()), pa.array(bands[sizes > 0].ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["t1"], batch["t2"], lists], names=["id", "t1", "t2", "bands"])
-
-    hashed = rows.select("id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(11), "text").alias("t2"), "text")
-    signed = written(hashed.mapInArrow(sign, "id long, t1 long, t2 long, bands array<long>"), "signed")
-    texts_of = signed.groupBy("t1", "t2").agg(F.min("id").alias("rep"))
-    reps = signed.join(texts_of.withColumnRenamed("rep", "id"), ["t1", "t2", "id"]).select(F.col("id").alias("rep"), "bands").dropDuplicates(["rep"])
-    inside = reps.filter(F.size("bands") > 0).select("rep", "bands", F.posexplode("bands").alias("band", "h")).withColumn("key", F.xxhash64("band", "h"))
+            columns = [pa.array(bands[:, k].view(np.int64), mask=sizes == 0) for k in range(BANDS)]
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["node"], *columns], names=["id", "node", *names])
+
+    signed = written(rows.select("id", "node", "text").mapInArrow(sign, "id long, node binary, " + ", ".join(f"{c} long" for c in names)), "signed")
+    one = written(signed.groupBy("node").agg(F.min("id").alias("id"), *[F.min(c).alias(c) for c in names]).select("node", "id", F.array(*names).alias("bands")), "texts")  # equal texts have equal bands
+    inside = one.filter(F.col("bands")[0].isNotNull()).select("node", "bands", F.posexplode("bands").alias("band", "h")).withColumn("key", F.xxhash64("band", "h"))
     shared = inside.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    company = F.sum("n").over(Window.partitionBy("rep"))
-    members = written(inside.join(shared, "key").select("rep", "bands", company.alias("weight"), "band", F.lit(1).alias("depth"), "key"), "members")
-    wanted = members.select("rep").distinct()
-    texts = written(rows.join(wanted, rows["id"] == wanted["rep"]).select("rep", "text").dropDuplicates(["rep"]), "texts")
+    company = F.sum("n").over(Window.partitionBy("node"))  # BANDS rows at most
+    members = written(salted_join(inside.drop("h"), shared, ["key"], "node").withColumn("weight", company), "members")
+    wanted = one.join(members.select("node").distinct(), "node", "left_semi").select("node", "id")
+    texts = written(rows.join(wanted, ["node", "id"]).select("node", "text").dropDuplicates(["node"]), "texts")
     roots = _classes(members, texts, idf, threshold)
-    named = texts_of.join(roots, texts_of["rep"] == roots["node"], "left").select("t1", "t2", F.coalesce("root", "rep").alias("class_id"))
-    return signed.select("id", "t1", "t2").join(named, ["t1", "t2"]).groupBy(F.col("id").alias(id_col)).agg(F.min("class_id").alias("class_id"))
+    found = _with_roots(one.select("node", "id"), roots)
+    smallest = found.groupBy("root").agg(F.min("id").alias("class_id"))
+    named = salted_join(roots, smallest, ["root"], "node").select("node", "class_id")
+    return signed.join(named.unionByName(one.join(roots.select("node"), "node", "left_anti").select("node", F.col("id").alias("class_id"))), "node").groupBy(F.col("id").alias(id_col)).agg(F.min("class_id").alias("class_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents whose class has a smaller id; rows with a null id stay."""
+    """docs without the documents whose class has a smaller id; rows with a null id stay. Rows as in
+    :func:`near_duplicate_classes`; an empty table gives no rows."""
     gone = near_duplicate_classes(docs, threshold, id_col, text_col).filter(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("__gone"))
     return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")

@@ -427,33 +427,85 @@ def test_near_duplicates(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, _ in rows if cls[i] == i}
 
 
-def test_large_buckets_are_divided_until_links_are_found(spark, monkeypatch):
+def plain_links(rows, threshold):
+    """{(i, j): weighted Jaccard} of rows whose similarity is at least threshold, from all pairs."""
+    counted = {i: Counter(shingle_list(t)) for i, t in rows}
+    df = Counter(x for c in counted.values() for x in c)
+    n = len(rows)
+    idf = {x: 1 + near_dedup.IDF * np.log((n + 1) / k) / np.log(n + 2) for x, k in df.items()}
+    w = {i: {x: (1 + near_dedup.TF * np.log(k)) * idf[x] for x, k in c.items()} for i, c in counted.items()}
+    out, ids = {}, sorted(w)
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            both = sum(min(w[i][x], w[j][x]) for x in w[i].keys() & w[j].keys())
+            either = sum(w[i].values()) + sum(w[j].values()) - both
+            if either and both >= threshold * either:
+                out[i, j] = both / either
+    return out
+
+
+def shingle_list(t):
+    w = t.lower().split()
+    return [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))]
+
+
+def copies_of(rng, word, origin, n, changes, chain=0.3):
+    """n texts, each a changed copy of the origin or, with a probability of chain, of an earlier copy."""
+    made = [origin]
+    for _ in range(n):
+        copy = list(rng.choice(made) if rng.random() < chain else origin)
+        for _ in range(rng.choice(changes)):
+            copy[rng.randrange(len(copy))] = word()
+        made.append(copy)
+    return [" ".join(x) for x in made]
+
+
+def test_near_duplicates_lose_no_link(spark, monkeypatch):
+    """One large group with copies of copies, and many small groups, by bands of similarity."""
     monkeypatch.setattr(near_dedup, "SMALL", 4)
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 60_000)
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
-    ws = [word() for _ in range(200)]
-    rows = []
-    for j in range(80):
-        copy = list(ws)
-        for _ in range(rng.choice([1, 2, 3, 6])):
-            copy[rng.randrange(200)] = word()
-        rows.append((j, " ".join(copy)))
-    sets = {i: shingle_set(t) for i, t in rows}
-    root = {i: i for i in sets}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i in sets:
-        for j in sets:
-            if i < j and len(sets[i] & sets[j]) >= 0.81 * len(sets[i] | sets[j]):
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
+    large = copies_of(rng, word, [word() for _ in range(150)], 250, [1, 2, 3, 4, 5])
+    some = [t for _ in range(10) for t in copies_of(rng, word, [word() for _ in range(100)], 6, [1, 2, 3])]
+    rows = list(enumerate(large + some))
+    links = plain_links(rows, 0.79)
+    cls = {r.doc_id: r.class_id for r in near_dedup.near_duplicate_classes(table(spark, rows)).collect()}
+    for low, high in ((0.805, 0.85), (0.85, 0.9), (0.9, 1.1)):  # hashed counters of frequencies move a similarity by some thousandths
+        band = [(i, j) for (i, j), s in links.items() if low <= s < high]
+        assert len(band) > 20 and all(cls[i] == cls[j] for i, j in band)
+    root = {i: i for i, _ in rows}
+    for i, j in sorted(links):  # and no classes but those of the links
+        a, b = root[i], root[j]
+        if a != b:
+            root = {k: min(a, b) if r in (a, b) else r for k, r in root.items()}
+    assert all(root[i] == root[c] for i, c in cls.items()) and len(set(cls.values())) > 11
+
+
+def test_near_duplicates_of_one_id_with_several_texts(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    a, b = ([word() for _ in range(80)] for _ in range(2))
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a[:-1], word()])), (3, " ".join([*b[:-1], word()])), (4, " ".join(b))]
     cls = {r.doc_id: r.class_id for r in near_dedup.near_duplicate_classes(table(spark, rows)).collect()}
-    for i in sets:
-        assert cls[i] == cls[find(i)]
+    assert cls == {1: 1, 2: 1, 3: 1, 4: 1}
+
+
+def test_block_links_and_prefixes_against_pairs():
+    rng = random.Random(10)
+    word = lambda: rng.choice("abcdefghijklmnopqrstuvw")
+    texts = copies_of(rng, word, [word() for _ in range(60)], 40, [1, 2, 4]) + ["a b", "a b c d e f"]
+    idf = near_dedup.idf_weights(*(lambda c: (c, 42))(np.bincount(near_dedup.counter_of(near_dedup.shingles(pa.array(texts))[1]), minlength=1 << near_dedup.DF_BITS)))
+    n = len(texts)
+    left, right = (pa.array([texts[k] for k in x]) for x in zip(*[(i, j) for i in range(n) for j in range(n)], strict=True))
+    s = np.concatenate([near_dedup.weighted_jaccard(left[k : k + 500], right[k : k + 500], idf) for k in range(0, n * n, 500)]).reshape(n, n)
+    t = pa.table({"node": [bytes([i]) for i in range(n)], "root": [bytes([i]) for i in range(n)], "bands": [[1] * near_dedup.BANDS] * n, "text": texts})
+    found = near_dedup.block_links(t, t, idf, 0.8, 0)
+    assert sorted(found) == sorted((bytes([i]), bytes([j])) for i in range(n) for j in range(n) if i != j and s[i, j] >= 0.8)
+    assert not near_dedup.block_links(t, t, idf, 0.8, 1)  # they share the first band already
+    rows, hashes = near_dedup.prefixes(pa.array(texts), idf, 0.8)
+    own = [set(hashes[rows == i].tolist()) for i in range(n)]
+    assert all(own[i] & own[j] for i in range(n) for j in range(n) if s[i, j] >= 0.8) and sum(map(len, own)) < 0.4 * sum(len(set(shingle_list(t))) for t in texts)
 
 
 def test_components(spark):
