@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillon.functions import extract as X
 from quillon.functions import text as S
 from quillon.functions.format import drop_text
-from quillon.functions.redact import RULES, redact
+from quillon.functions.redact import redact, redact_sql
 from quillon.plans.tables import table
 from quillon.sources import listings as L
 
@@ -110,12 +110,23 @@ def q_map_items(spark, sf):
     return out.select(F.col("external_id").cast("long").alias("event_id"), "commune", "rent_cc", "floor", "has_elevator", "url")
 
 
+def _messages():
+    """Texts with a secret of each kind in turn."""
+    k = F.col("event_id").cast("string")
+    kinds = [
+        F.concat(F.lit("GET https://me:pw"), k, F.lit("@host.org/x?api_key=k"), k, F.lit("&page=2")), F.concat(F.lit("Authorization: Bearer abcdefgh"), k), F.concat(F.lit("a1 LOGIN user"), k, F.lit(" \"pass word\"")),
+        F.concat(F.lit("LOGIN failed for session number "), k), F.concat(F.lit('{"accessToken": "t'), k, F.lit('", "topic":"x"}')), F.concat(F.lit("https://api.telegram.org/bot12345678:AA"), k, F.lit("/send ntfy.example.org/mine")),
+        F.concat(F.lit("Mot de passe : s"), k, F.lit("; RFR : 23 456, mail a.b"), k, F.lit("@c.co.uk")), F.concat(F.lit("AUTH PLAIN dXNlcgBwYXNzd29yZA\nS: QWxhZGRpbjpvcGVuIHNlc2FtZQ"), k, F.lit("==")), F.concat(F.lit("the key is on the table: "), k),
+    ]
+    return F.element_at(F.array(*kinds), (F.col("event_id") % len(kinds) + 1).cast("int"))
+
+
 def q_redact(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(F.regexp_replace("text", RULES[-1][0], RULES[-1][1])).alias("masked"))
+    return table(spark, sf, "events").select("event_id", redact(_messages()).alias("masked"))
 
 
 def q_redact_all(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", (redact(F.col("text")) != F.col("text")).alias("had_secrets"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(redact(F.col("text"))).alias("masked"))
 
 
 def q_drop_text(spark, sf):
@@ -157,7 +168,11 @@ ORACLES = {
     "q_html_links": "SELECT page_id, len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS links FROM pages",
     "q_flatten": "SELECT event_id, 'true' AS a0, json_extract_string(props, '$.k') AS k, CAST(2 AS BIGINT) AS n FROM events",
     "q_map_items": "SELECT event_id, event_type AS commune, CAST(event_id % 2000 AS INTEGER) AS rent_cc, 3 AS floor, true AS has_elevator, 'https://example.org/' || event_id AS url FROM events",
-    "q_redact": "SELECT doc_id, md5(regexp_replace(text, '[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{2,}', '[masked]', 'g')) AS masked FROM documents",
+    "q_redact": """SELECT event_id, [
+      'GET https://[masked]@host.org/x?api_key=[masked]&page=2', 'Authorization: [masked]', 'a1 LOGIN [masked]', 'LOGIN failed for session number ' || event_id, '{"accessToken": [masked], "topic":[masked]}',
+      'https://api.telegram.org/bot[masked]/send ntfy.example.org/[masked]', 'Mot de passe : [masked]; RFR : [masked], mail [masked]', 'AUTH PLAIN [masked]' || chr(10) || 'S: [masked]', 'the key is on the table: ' || event_id
+      ][CAST(event_id % 9 + 1 AS INTEGER)] AS masked FROM events""",
+    "q_redact_all": f"SELECT doc_id, md5({redact_sql('text')}) AS masked FROM documents",
     "q_drop_text": """SELECT o_orderkey, replace(format('{:,}', b), ',', ' ') || ' € → ' || replace(format('{:,}', n), ',', ' ') || ' € (−' || replace(format('{:,}', b - n), ',', ' ') || ' €, −'
       || regexp_replace(replace(printf('%.1f', round((b - n) * 100.0 / b, 1)), '.', ','), ',0$', '') || ' %)' AS text FROM (SELECT o_orderkey, o_orderkey % 3000 + 1000 AS b, o_orderkey % 900 + 500 AS n FROM orders)""",
 }

@@ -55,6 +55,8 @@ def test_iso_epoch(spark):
     [
         ("see https://me:pw@host/x", "me:pw"), ("password=hunter2 next", "hunter2"), ("Authorization: Bearer abcdefgh12345", "abcdefgh12345"), ("mail a.b@c.org now", "a.b@c.org"),
         ("LOGIN user secretword", "secretword"), ("key=abc123", "abc123"), ("RFR : 23 456", "456"), ('{"topic":"mytopic"}', "mytopic"),
+        ("dbPassword=hunter2", "hunter2"), ("PASS hunter2", "hunter2"), ("bot 123456789:" + "Ab1_" * 9, "Ab1_"), ("x https://ntfy.sh/my-topic?x", "my-topic"), ("tokenValue => 'a b c'", "a b c"),
+        ("AUTHENTICATE PLAIN abc=", "abc"), ("blob " + "Ab1/" * 8 + "== end", "Ab1/"), ("+ " + "Ab1/" * 8 + "\nnext", "Ab1/"), ("SMTP_PASS: 'p w'", "p w"), ("mot de passe = azerty", "azerty"),
     ],
 )
 def test_redact(spark, raw, gone):
@@ -63,6 +65,14 @@ def test_redact(spark, raw, gone):
 
 
 def test_redact_leaves_text(spark):
-    text = "LOGIN failed: the key was not found"
-    assert one(spark, redact, text, None) == [text, None]
+    texts = ["LOGIN failed: the key was not found", "compass: north", "the tokens: 3", "monkey=banana", "https://host/a:b@c", "a long_identifier_name_of_this_kind=value", None]
+    assert one(spark, redact, *texts) == texts
+    assert one(spark, redact, "password=[masked] and Bearer [masked]") == ["password=[masked] and Bearer [masked]"]
     assert one(spark, lambda c: redact(c, ["abcd", "abcdef", "xy"]), "abcdef xy") == ["[masked] xy"]
+
+
+def test_sniffers(spark):
+    assert one(spark, X.sniff_rent, "Loyer : 1 250,50 € hors charges, soit 1 400 € / mois CC", "prix 950 euros, dépôt 1900 EUR", "frais 90 €, loyer 850€", "12 €", "rien", None) == [1400, 950, 850, None, None, None]
+    assert one(spark, X.sniff_surface, "T3 de 62,5 m² au 2e", "3 m2", "m² 45 m^2", None) == [62.5, None, 45.0, None]
+    assert one(spark, X.sniff_rooms, "Appartement T 4", "F2 meublé", "4 pièces", "3 pieces T2", "T0", "néant") == [4, 2, 4, 3, None, None]
+    assert one(spark, X.sniff_postcode, "à 92100 Boulogne", "13001 Marseille 75011 Paris", "750112") == ["92100", "75011", None]
