@@ -20,6 +20,10 @@ from pyspark.sql import types as T
 
 #: Virtual source partitions at most: bounds the matrix (this x shards numbers) that the driver draws and broadcasts.
 MAX_SOURCES = 65_536
+#: Buckets of all shards at most: bounds the table of their starts, which is broadcast.
+MAX_BUCKETS = 262_144
+#: Populations that numpy draws from.
+NUMPY_LIMIT = 10**9
 
 
 def exact_sizes(rows: int, shards: int) -> np.ndarray:
@@ -27,6 +31,26 @@ def exact_sizes(rows: int, shards: int) -> np.ndarray:
     return np.full(shards, rows // shards, np.int64) + (np.arange(shards) < rows % shards)
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
+    """How many of sample rows, drawn without replacement, are among the good ones; the same exact law at any size.
+
+    Beyond numpy's limit by inversion: neighbouring counts have a rational ratio of probabilities, so logarithms are
+    summed from the mode outwards, over 12 standard deviations (what lies beyond has less than 10^-30)."""
+    if good < NUMPY_LIMIT and bad < NUMPY_LIMIT:
+        return int(rng.hypergeometric(good, bad, sample))
+    total = good + bad
+    low, high = max(0, sample - bad), min(sample, good)
+    share = good / total
+    reach = int(12 * np.sqrt(sample * share * (1 - share))) + 64
+    mode = min(max((sample + 1) * (good + 1) // (total + 2), low), high)
+    low, high = max(low, mode - reach), min(high, mode + reach)
+    k = np.arange(low, high, dtype=np.float64)  # the ratio of k + 1 to k
+    steps = np.log(good - k) + np.log(sample - k) - np.log(k + 1) - np.log(bad - sample + k + 1)
+    chance = np.concatenate([[0.0], np.cumsum(steps)])
+    chance = np.cumsum(np.exp(chance - chance.max()))
+    return low + min(int(np.searchsorted(chance, rng.random() * chance[-1], side="right")), high - low)
+
+
 def communication_matrix(counts: list[int], sizes: np.ndarray, seed: int) -> np.ndarray:
     """Rows of each source (``counts``) to each shard (``sizes``), drawn as a random permutation would."""
     rng = np.random.default_rng(seed)
@@ -38,11 +62,7 @@ def communication_matrix(counts: list[int], sizes: np.ndarray, seed: int) -> np.
             if not rest:
                 break
             other = left - int(free[j])
-            # numpy's generator takes populations below 10^9; a binomial draw, clipped to what is possible, is used beyond
-            if free[j] < 10**9 and other < 10**9:
-                take = int(rng.hypergeometric(int(free[j]), other, rest)) if left else 0
-            else:
-                take = int(np.clip(rng.binomial(rest, free[j] / left), max(0, rest - other), min(rest, int(free[j]))))
+            take = hypergeometric(rng, int(free[j]), other, rest) if left else 0
             out[p, j], left, rest = take, other, rest - take
         free -= out[p]
     return out
@@ -52,7 +72,7 @@ def uniform_shards(df: DataFrame, shards: int = 16, seed: int = 8, source_rows:
     """``df`` with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard), a uniformly random order.
 
     Shard sizes differ by one row at most. Null values in any column, empty and long texts and repeated rows are
-    rows like others; rows equal in every column are interchangeable. An empty table gives no rows. Columns of df
+    rows like others; rows equal in every column are interchangeable and lie in one source. An empty table gives no rows. Columns of df
     named shard or slot are replaced; names that start with ``__`` are reserved.
     """
     spark = df.sparkSession
@@ -61,7 +81,7 @@ def uniform_shards(df: DataFrame, shards: int = 16, seed: int = 8, source_rows:
     keyed = df.withColumn("__k", F.xxhash64(F.lit(seed), *content))
     rows = df.count()
     sources = int(min(MAX_SOURCES, max(1, -(-rows // source_rows))))
-    buckets = int(min(MAX_SOURCES, max(1, -(-rows // (shards * bucket_rows)))))
+    buckets = int(max(1, min(MAX_BUCKETS // shards, -(-rows // (shards * bucket_rows)))))
     keyed = keyed.withColumn("__p", F.pmod("__k", F.lit(sources)).cast("int"))
     counts = dict(keyed.groupBy("__p").count().collect())  # one number for each source, MAX_SOURCES at most
     matrix = communication_matrix([counts.get(p, 0) for p in range(sources)], exact_sizes(rows, shards), seed)
