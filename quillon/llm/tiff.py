@@ -21,9 +21,6 @@ FIELD_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11:
 FIELD_CODE = {1: "B", 3: "H", 4: "I", 16: "Q", 18: "Q"}
 CLEAR, END = 256, 257
 
-#: Directories in one file at most; more are reported as an error of the file, as a loop of directories is.
-MAX_PAGES = 65_535
-
 
 def packbits_encode(data: bytes) -> bytes:
     """Runs of three or more bytes as (1 - n, byte), the rest as (n - 1, bytes), 128 bytes at most in either."""
@@ -213,7 +210,7 @@ def _directories(data: bytes):
     seen: set[int] = set()
     head, cell, inline = ("Q", 20, 8) if big else ("H", 12, 4)
     while at:
-        if at in seen or len(seen) >= MAX_PAGES:
+        if at in seen:
             raise ValueError("directories form a loop")
         seen.add(at)
         count = struct.unpack_from(order + head, data, at)[0]
@@ -247,33 +244,57 @@ def _undo(block: np.ndarray, predictor: int) -> np.ndarray:
 
 
 def tiff_decode(data: bytes):
-    """Yields (tags, samples) of each page; samples: height x width x samples, unsigned numbers of 8, 16 or 32 bits."""
+    """Yields (tags, samples) of each page; samples: height x width x samples, unsigned numbers of 8, 16 or 32 bits
+    (those of 1, 2 or 4 bits as 8). A page that can't be decoded yields (tags, the error), and the walk goes on."""
     for order, tags in _directories(data):
-        one = lambda tag, default=None, t=tags: t[tag][0] if tag in t else default
-        width, height, spp, bits = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(BITS, 1)
-        if not width or not height or bits not in (8, 16, 32):
-            raise ValueError("size or sample width missing, or not 8, 16 or 32 bits")
-        compression, predictor, planar = one(COMPRESSION, 1), one(PREDICTOR, 1), one(PLANAR, 1)
-        if compression not in CODECS:
-            raise ValueError(f"compression {compression}")
-        decode, kind = CODECS[compression][1], np.dtype(f"u{bits // 8}").newbyteorder(order)
-        tiled = TILE_OFFSETS in tags
-        tall, wide = (one(TILE_HEIGHT), one(TILE_WIDTH)) if tiled else (min(one(ROWS_PER_STRIP, height), height), width)
-        places, counts = (tags[TILE_OFFSETS], tags[TILE_COUNTS]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_COUNTS])
-        across, down = -(-width // wide), -(-height // tall)
-        planes, each = (spp, 1) if planar == 2 else (1, spp)
-        out = np.zeros((height, width, spp), kind.newbyteorder("="))
-        for k in range(planes * across * down):
-            plane, y, x = k // (across * down), k // across % down * tall, k % across * wide
-            rows = tall if tiled else min(tall, height - y)
-            raw = decode(data[places[k] : places[k] + counts[k]])[: rows * wide * each * kind.itemsize]
-            block = np.frombuffer(raw, kind)
+        try:
+            page = _page(data, order, tags)
+        except Exception as e:
+            page = e
+        yield tags, page
+
+
+def _unpacked(raw: bytes, rows: int, across: int, bits: int) -> np.ndarray:
+    """Samples of 1, 2 or 4 bits, the first in a byte's upper bits; each row begins with a byte of its own."""
+    width = -(-across * bits // 8)
+    lines = np.frombuffer(raw[: rows * width], np.uint8)
+    if len(lines) < rows * width:
+        raise ValueError("a strip or tile is cut short")
+    shifts = np.arange(8 - bits, -1, -bits, dtype=np.uint8)
+    return ((lines[:, None] >> shifts) & ((1 << bits) - 1)).astype(np.uint8).reshape(rows, -1)[:, :across]
+
+
+def _page(data: bytes, order: str, tags: dict) -> np.ndarray:
+    one = lambda tag, default=None: tags[tag][0] if tag in tags else default
+    width, height, spp, bits = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(BITS, 1)
+    if not width or not height or bits not in (1, 2, 4, 8, 16, 32):
+        raise ValueError("size missing, or samples not of 1, 2, 4, 8, 16 or 32 bits")
+    compression, predictor, planar = one(COMPRESSION, 1), one(PREDICTOR, 1), one(PLANAR, 1)
+    if compression not in CODECS:
+        raise ValueError(f"compression {compression}")
+    if bits < 8 and predictor != 1:
+        raise ValueError(f"predictor {predictor} on samples of {bits} bits")
+    decode, kind = CODECS[compression][1], np.dtype(f"u{max(bits // 8, 1)}").newbyteorder(order)
+    tiled = TILE_OFFSETS in tags
+    tall, wide = (one(TILE_HEIGHT), one(TILE_WIDTH)) if tiled else (min(one(ROWS_PER_STRIP, height), height), width)
+    places, counts = (tags[TILE_OFFSETS], tags[TILE_COUNTS]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_COUNTS])
+    across, down = -(-width // wide), -(-height // tall)
+    planes, each = (spp, 1) if planar == 2 else (1, spp)
+    out = np.zeros((height, width, spp), kind.newbyteorder("="))
+    for k in range(planes * across * down):
+        plane, y, x = k // (across * down), k // across % down * tall, k % across * wide
+        rows = tall if tiled else min(tall, height - y)
+        raw = decode(data[places[k] : places[k] + counts[k]])
+        if bits < 8:
+            block = _unpacked(raw, rows, wide * each, bits).reshape(rows, wide, each)
+        else:
+            block = np.frombuffer(raw[: rows * wide * each * kind.itemsize], kind)
             if len(block) < rows * wide * each:
                 raise ValueError("a strip or tile is cut short")
             block = _undo(block.reshape(rows, wide, each), predictor)
-            part = out[y : y + rows, x : x + wide, plane : plane + each]
-            part[...] = block[: part.shape[0], : part.shape[1]]
-        yield tags, out
+        part = out[y : y + rows, x : x + wide, plane : plane + each]
+        part[...] = block[: part.shape[0], : part.shape[1]]
+    return out
 
 
 PAGE_FIELDS = [
@@ -288,9 +309,12 @@ def _pages_of(data: bytes | None) -> list[tuple]:
     rows = []
     try:
         for i, (tags, a) in enumerate(tiff_decode(data)):
-            rows.append((i, a.shape[1], a.shape[0], a.shape[2], a.dtype.itemsize * 8, tags.get(COMPRESSION, (1,))[0], a.astype(a.dtype.newbyteorder("<")).tobytes(), None))
+            if isinstance(a, Exception):
+                rows.append((i, *[None] * 6, f"{type(a).__name__}: {a}"))
+                continue
+            rows.append((i, a.shape[1], a.shape[0], a.shape[2], tags.get(BITS, (1,))[0], tags.get(COMPRESSION, (1,))[0], a.astype(a.dtype.newbyteorder("<")).tobytes(), None))
     except Exception as e:  # a damaged file is a value, not a failure of the job
-        rows.append((len(rows), None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+        rows.append((len(rows), *[None] * 6, f"{type(e).__name__}: {e}"))
     return rows
 
 
@@ -298,8 +322,9 @@ def tiff_pages(df: DataFrame, media_col: str = "media") -> DataFrame:
     """One row per page of the TIFF in ``media_col``: df's columns and page, width, height, samples_per_pixel, bits,
     compression, samples (decoded, row by row, little-endian) and error.
 
-    A file that can't be read further gives its readable pages and then one row whose ``error`` is set and whose
-    other page columns but ``page`` are null; a null file gives no row. Columns of df with these names are replaced.
+    A page that can't be decoded is a row whose ``error`` is set and whose other page columns but ``page`` are null, and
+    the pages after it come out; a file whose directories can't be followed further ends with such a row. Samples of 1,
+    2 or 4 bits are a byte each, ``bits`` says what the page has. A null file gives no row. Columns of df with these names are replaced.
     """
     names = {f.name for f in PAGE_FIELDS}
     keep = [f for f in df.schema.fields if f.name not in names]
