@@ -1,7 +1,7 @@
 """Line dedup with DataFrame functions alone: drop lines that many documents hold, keep one copy of each.
 
 Lines are normalised and hashed to 128 bits; each document's distinct hashes are counted with map-side sums; the
-positions of lines whose hash enough documents hold are gathered by document, which is put together again by position.
+positions of lines whose hash enough documents hold are gathered by document, which is put together again by position. A document is an id: each (hash, id) counts once.
 """
 
 from __future__ import annotations
@@ -37,8 +37,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
 
     A line's key is :func:`line_key`. Keys of at least ``min_chars`` code points found in at least ``min_docs``
     documents lose all their lines except those in the largest ``id_col`` holding them. A null or empty text is one
-    empty line and becomes ''. Each row counts as a document; rows that repeat an id keep a line together if that id
-    is the largest holding it. Rows whose id is null are kept whole, and their lines count for nothing. Columns of
+    empty line and becomes ''. Rows that repeat an id are one document and count once; they keep a line together if
+    that id is the largest holding it. Rows whose id is null are kept whole, and their lines count for nothing. Columns of
     docs called n_lines or n_dropped are replaced; names that start with ``__`` are reserved.
     """
     docs = docs.drop("n_lines", "n_dropped")
@@ -46,8 +46,10 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
     rows = docs.withColumn("__t", F.xxhash64(F.lit(3), text))
     hashed = rows.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__d"), "__t", line_hashes(text, min_chars).alias("__hs"))
     frequent = (
-        hashed.select("__d", F.explode(F.array_distinct(F.filter("__hs", lambda x: x.isNotNull()))).alias("__x"))  # once a document
-        .groupBy(F.col("__x.h").alias("__h"), F.col("__x.g").alias("__g"))
+        hashed.select("__d", F.explode(F.array_distinct(F.filter("__hs", lambda x: x.isNotNull()))).alias("__x"))
+        .select("__d", F.col("__x.h").alias("__h"), F.col("__x.g").alias("__g"))
+        .distinct()  # once a document
+        .groupBy("__h", "__g")
         .agg(F.count(F.lit(1)).alias("__n"), F.max("__d").alias("__keep"))
         .filter(F.col("__n") >= min_docs)
         .drop("__n")
