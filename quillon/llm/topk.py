@@ -2,9 +2,11 @@
 
 The second moments of all vectors give a rotation (their singular vectors) after which the first few coordinates hold
 most of an inner product; the rest is at most the product of the residual lengths. Candidates are dealt into bands of
-descending length. The longest vectors of all give each query a first threshold: bands too short to reach it are
-never sent to it. In a cell (a group of queries and a band) chunks of candidates are bounded by their partial sums,
-and the exact product is computed for those that can still enter the query's top k.
+descending length, and a band into parts of some thousand rows (bands of one common length too). The longest vectors
+of all give each query a first threshold; queries whose thresholds reach as many bands are grouped, and a band's
+candidates go to those groups alone that reach it. In a cell (a group of queries and a part of a band) chunks of
+candidates are bounded by their partial sums, and the exact product is computed for those that can still enter the
+query's top k.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.llm.common import written
+
 #: Rotated coordinates in the partial sums.
 HEAD = 16
 #: Longest vectors that give the first thresholds, and bands of length, at most.
@@ -101,6 +105,19 @@ def search_cell(q_ids, q, least, c_ids, c, k: int, rotation: np.ndarray) -> tupl
     return best
 
 
+def levels(reaches: dict[int, int], query_rows: int) -> tuple[dict[int, int], dict[int, int]]:
+    """Queries by how many bands they reach, joined to levels of at least query_rows queries, the last one aside: the
+    level (the largest reach in it) of each reach, and the queries of each level."""
+    level, counts, joined = {}, {}, []
+    for reach in sorted(reaches):
+        joined.append(reach)
+        if sum(reaches[r] for r in joined) >= query_rows or reach == max(reaches):
+            level |= dict.fromkeys(joined, reach)
+            counts[reach] = sum(reaches[r] for r in joined)
+            joined = []
+    return level, counts or {1: 1}
+
+
 def rotation_of(vectors: DataFrame, dim: int) -> np.ndarray:
     """Singular vectors of all rows, the strongest first: dim x dim, from sums that each partition makes beforehand."""
 
@@ -153,23 +170,23 @@ def top_k(
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, from_pandas=True)], names=["id", "v", "norm", "least"])
 
     bands = int(min(MAX_BANDS, max(1, -(-(rows or 0) // band_rows))))
-    splits = int(max(1, -(-(rows or 0) // (bands * band_rows))))  # cells of a band, so that none grows with the table
-    groups = int(max(1, -(-queries.count() // query_rows)))
     cuts = sorted(vectors.approxQuantile("norm", [b / bands for b in range(1, bands)], 0.2 / bands) if bands > 1 and rows else [], reverse=True)
     tops = F.array(*[F.lit(float(x) * (1 + 1e-9)) for x in [longest or 0.0, *cuts]])  # the largest norm of each band
     band = F.size(F.filter(F.array(*[F.lit(float(x)) for x in cuts]).cast("array<double>"), lambda x: x > F.col("norm")))
     reach = F.size(F.filter(tops, lambda top: F.col("least").isNull() | (top * F.col("norm") + 1e-6 * F.abs("least") + 1 >= F.col("least"))))
-    asked = (
-        queries.mapInArrow(first_threshold, "id long, v array<long>, norm double, least double")
-        .withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
-        .withColumn("band", F.explode(F.sequence(F.lit(0), F.greatest(reach, F.lit(1)) - 1)))
-        .withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
-    )
-    held = (
-        vectors.withColumn("band", band)
-        .withColumn("split", F.pmod(F.xxhash64("id", "v"), F.lit(splits)).cast("int"))
-        .withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    )
+    # of each band: its rows, hence its parts, so that no cell grows with the table (MAX_BANDS numbers)
+    sizes = dict(vectors.groupBy(band.alias("band")).count().collect())
+    splits = F.array(*[F.lit(max(1, -(-sizes.get(b, 0) // band_rows))) for b in range(bands)])
+    bounded = written(queries.mapInArrow(first_threshold, "id long, v array<long>, norm double, least double").withColumn("reach", F.greatest(reach, F.lit(1))), "queries")
+    level, counts = levels(dict(bounded.groupBy("reach").count().collect()), query_rows)  # MAX_BANDS numbers
+    own = F.array(*[F.lit(level.get(r, r)) for r in range(1, bands + 1)])
+    parts = F.array(*[F.lit(-(-counts.get(r, 1) // query_rows)) for r in range(1, bands + 1)])
+    grouped = bounded.withColumn("level", F.get(own, F.col("reach") - 1)).withColumn("g", F.pmod(F.xxhash64("id"), F.get(parts, F.col("level") - 1)).cast("int"))
+    asked = grouped.withColumn("band", F.explode(F.sequence(F.lit(0), F.col("reach") - 1))).withColumn("split", F.explode(F.sequence(F.lit(0), F.get(splits, F.col("band")) - 1)))
+    # the groups that a band's candidates go to: those of levels that reach it
+    reached = F.array(*[F.struct(F.lit(r).alias("level"), F.lit(-(-n // query_rows)).alias("parts")) for r, n in sorted(counts.items())])
+    held = vectors.withColumn("band", band).withColumn("split", F.pmod(F.xxhash64("id", "v"), F.get(splits, F.col("band"))).cast("int"))
+    held = held.withColumn("to", F.explode(F.filter(reached, lambda x: x["level"] > F.col("band")))).select("id", "v", "band", "split", "to.level", F.explode(F.sequence(F.lit(0), F.col("to.parts") - 1)).alias("g"))
     names = ["query_id", id_col, "score"]
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -181,7 +198,7 @@ def top_k(
             found = search_cell(q_ids, _matrix(left["v"], dim), least, np.asarray(right["id"], dtype=np.int64), _matrix(right["v"], dim), k, rotation.value)
         return pa.table([pa.array(q_ids[found[0]]), pa.array(found[1]), pa.array(found[2])], names=names)
 
-    key = ["g", "band", "split"]
+    key = ["level", "g", "band", "split"]
     found = asked.groupBy(*key).cogroup(held.groupBy(*key)).applyInArrow(cell, out)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", id_col, "score")
