@@ -256,9 +256,9 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
         around = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = around.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = salted_join(around.filter("v > u"), least, ["u"], "v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select("u", "v", "m")
+        small = salted_join(large, down, ["u"], "v").select("u", "v", "m")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         now, state = _counted(small, "edges", "u", "v")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
