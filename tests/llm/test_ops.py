@@ -65,29 +65,60 @@ def test_communication_matrix_margins_and_means():
     assert np.allclose(total[0] / 400, 50 * sizes / 103, atol=0.6)
 
 
+@pytest.mark.parametrize(("good", "bad", "sample", "limit"), [(2_000_000_000, 30_000_000_000, 5_000, 10**9), (60, 340, 100, 10), (7, 3, 6, 1), (5, 0, 3, 1), (0, 50, 10, 1)])
+def test_hypergeometric_beyond_numpy(monkeypatch, good, bad, sample, limit):
+    monkeypatch.setattr(sharding, "NUMPY_LIMIT", limit)
+    rng = np.random.default_rng(1)
+    drawn = np.array([sharding.hypergeometric(rng, good, bad, sample) for _ in range(4000)])
+    p, n = good / (good + bad), good + bad
+    spread = sample * p * (1 - p) * (n - sample) / max(n - 1, 1)
+    assert abs(drawn.mean() - sample * p) <= 5 * np.sqrt(spread / 4000) + 1e-9
+    assert abs(drawn.var() - spread) <= 0.12 * spread + 1e-9 and drawn.min() >= max(0, sample - bad) and drawn.max() <= min(sample, good)
+
+
+def test_communication_matrix_varies_as_a_permutation_does():
+    """Covariances over many draws against those of shuffled labels, which are known."""
+    counts, sizes = np.array([30, 50, 20]), np.array([40, 40, 20])
+    draws = np.array([sharding.communication_matrix(counts.tolist(), sizes, seed) for seed in range(3000)])
+    n = 100
+    want = counts[:, None] * sizes[None, :] * (n - counts[:, None]) * (n - sizes[None, :]) / (n * n * (n - 1))
+    assert np.allclose(draws.var(axis=0), want, rtol=0.12)
+    assert np.isclose(np.cov(draws[:, 0, 0], draws[:, 1, 1])[0, 1], counts[0] * counts[1] * sizes[0] * sizes[1] / (n * n * (n - 1)), rtol=0.3)
+
+
+def test_slots_are_uniform(spark):
+    """Over many seeds a row comes to every shard and every quarter of it as often as to any other."""
+    df = spark.range(64).selectExpr("id AS doc_id", "'x' AS text").coalesce(1)
+    seen = np.zeros((64, 16))
+    for seed in range(40):
+        for r in sharding.uniform_shards(df, shards=4, seed=seed, source_rows=8, bucket_rows=4).collect():
+            seen[r.doc_id, r.shard * 4 + r.slot // 4] += 1
+    expected = 40 / 16
+    chi2 = ((seen - expected) ** 2 / expected).sum()
+    assert abs(chi2 - 64 * 15) < 5 * np.sqrt(2 * 64 * 15)
+
+
 def key_of(line):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
 
 
 def plain_line_dedup(rows):
     held = defaultdict(set)
-    counted = Counter()
     for i, t in rows:
         if i is None:
             continue
         for k in {key_of(x) for x in (t or "").split("\n")}:
             held[k].add(i)
-            counted[k] += 1
     out = []
     for i, t in rows:
         lines = (t or "").split("\n")
-        kept = [x for x in lines if i is None or len(key_of(x)) < 20 or counted[key_of(x)] < 3 or max(held[key_of(x)]) == i]
+        kept = [x for x in lines if i is None or len(key_of(x)) < 20 or len(held[key_of(x)]) < 3 or max(held[key_of(x)]) == i]
         out.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
     return sorted(out, key=repr)
 
 
 def test_line_dedup(spark):
-    rows = [*ROWS, (10, "  THE QUICK brown fox jumps over the lazy dog.\t\nÉtude longue de vingt lettres\n"), (11, "étude longue de vingt lettres\nÉtude longue de vingt lettres"), (12, "x\nÉtude longue de vingt lettres\nx")]
+    rows = [*ROWS, (10, "  THE QUICK brown fox jumps over the lazy dog.\t\nÉtude longue de vingt lettres\n"), (11, "étude longue de vingt lettres\nÉtude longue de vingt lettres"), (12, "x\nÉtude longue de vingt lettres\nx"), (20, "a line of two ids in three rows"), (20, "a line of two ids in three rows\nx"), (21, "A line of two ids in three rows")]
     out = line_dedup.line_dedup(table(spark, rows))
     assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in out.collect()), key=repr) == plain_line_dedup(rows)
     assert out.columns.count("n_lines") == 1 and line_dedup.line_dedup(table(spark, [])).count() == 0
@@ -222,6 +253,37 @@ def test_tiff_column(spark):
     assert tiff.tiff_pages(tiff.store_texts(table(spark, []))).count() == 0
 
 
+def tiff_of(pages, tags=None):
+    """A file of (bits, width, height, bytes of the one strip, compression) pages."""
+    import struct
+
+    out, link = bytearray(b"II*\0\0\0\0\0"), 4
+    for bits, width, height, strip, compression in pages:
+        at = len(out)
+        out += strip + b"\0" * (len(strip) % 2)
+        entries = [(256, width), (257, height), (258, bits), (259, compression), (273, at), (277, 1), (278, height), (279, len(strip))]
+        struct.pack_into("<I", out, link, len(out))
+        out += struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", t, 4, 1, v) for t, v in entries)
+        link = len(out)
+        out += b"\0\0\0\0"
+    return bytes(out)
+
+
+def test_tiff_small_samples_and_pages_after_a_bad_one(spark):
+    rng = np.random.default_rng(3)
+    pages, want = [], []
+    for bits in (1, 2, 4):
+        a = rng.integers(0, 1 << bits, (5, 13), dtype=np.uint8)
+        rows = [np.packbits(np.concatenate([np.unpackbits(np.array([x], np.uint8))[8 - bits :] for x in row])).tobytes() for row in a]
+        pages.append((bits, 13, 5, tiff.packbits_encode(b"".join(rows)), tiff.PACKBITS))
+        want.append(a.tobytes())
+    pages.insert(1, (8, 4, 4, b"short", tiff.NONE))
+    pages.insert(2, (3, 4, 4, b"odd width", tiff.NONE))
+    out = sorted(tiff.tiff_pages(spark.createDataFrame([(1, tiff_of(pages))], "doc_id long, media binary")).collect(), key=lambda r: r.page)
+    assert [r.error is None for r in out] == [True, False, False, True, True]
+    assert [bytes(r.samples) for r in out if r.error is None] == want and [r.bits for r in out if r.error is None] == [1, 2, 4]
+
+
 @pytest.fixture(scope="module")
 def reference():
     with open(RANKS, "rb") as f:
@@ -297,6 +359,9 @@ def test_topk(spark, scale):
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<double>, rank int, score int")
     out = topk.top_k(df, F.col("vec_id") % 5 == 0, k=5, query_rows=16, band_rows=50)
     assert sorted(tuple(r) for r in out.collect()) == plain_top(rows, 5)
+    equal = spark.createDataFrame([(i, [float(x) for x in rng.permutation([3, -2, 1, 0.5, 4, 0, 0, -1])]) for i in range(200)], "vec_id long, embedding array<double>")
+    out = topk.top_k(equal, F.col("vec_id") % 5 == 0, k=5, query_rows=8, band_rows=30)  # one length, several cells
+    assert sorted(tuple(r) for r in out.collect()) == plain_top([tuple(r) for r in equal.collect()], 5)
     few = topk.top_k(df.limit(0), F.lit(True))
     assert few.count() == 0
     two = spark.createDataFrame([(0, [1.0]), (5, [2.0])], "vec_id long, embedding array<double>")
