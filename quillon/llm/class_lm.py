@@ -1,14 +1,16 @@
 """Brown class-based n-grams: words are clustered by exchange, texts scored by class transitions and word emissions.
 
-1. Each block of documents counts its training words, and for each word how often the buckets of its left and right
-   neighbours occur (a bucket is a hash of a word's last letters, or a text's border). The counts of a word meet in one
-   place and are written: all training words, none cut off.
-2. Exchange clustering: in each round every word moves to the class under whose counts of left and right neighbours its
-   own are likeliest; then the classes' counts are summed anew. Only the classes' counts (CLASSES x 128 numbers) pass
-   through the driver.
-3. Each block gets the count and class of its words back, and each document becomes counts of class transitions and
-   a sum of word emissions.
-4. Transitions are summed over the training documents and smoothed; documents are scored by them.
+1. One scan cuts the corpus into blocks. A block becomes its dictionary, its documents as codes into it, and the
+   counts of neighbouring words in its training documents. All of this is written.
+2. The dictionaries' words meet in buckets, where each distinct word gets a number and its count over the training
+   documents: all words, none cut off.
+3. Exchange clustering. In a round the words' classes go to the blocks, where the counts of neighbouring words become
+   counts of each word with the classes of its left and right neighbours; they meet by word. They give the counts of
+   class bigrams, hence the log likelihood of the class bigram model, and each word moves to the class under whose
+   neighbours its own are likeliest. Only the counts of class bigrams pass through the driver. The rounds end when the
+   likelihood rises by less than LEAST_RISE, and the classes with the highest one are taken: it never falls.
+4. Each block gets the count and class of its words, and each document becomes counts of class transitions and a sum
+   of word emissions. Transitions are summed over the training documents and smoothed; documents are scored by them.
 
 P(word | previous) = (1 - u) P(class | previous class) count(word) / count(class) for words seen in training. u, the
 share of unseen words after that class, follows from words seen once (Good and Turing); all unseen words are one event.
@@ -20,165 +22,290 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.blocks import MEET, Block, Index, blocks, blocks_met, by_bucket, meet, meet_rows, pack_words, squeeze, unpack_words, unsqueeze
+from quillon.llm.blocks import Block, Index, blocks, by_bucket, pack_words, squeeze, unpack_words, unsqueeze
 from quillon.llm.common import parallelism, words, written
 
 CLASSES = 32
-#: Buckets of neighbours on either side; the last one is a text's border.
-CONTEXTS = 64
-ROUNDS = 4
+#: The class of a text's border, in the counts of neighbours.
+EDGE = CLASSES
+#: Neighbours of a word: left classes and the border, then right ones.
+SIDES = 2 * (CLASSES + 1)
+#: Rounds of exchange at most, and the share by which the likelihood must rise for another one.
+ROUNDS, LEAST_RISE = 5, 0.002
 #: Strength of the smoothing, in observations: of transitions and of the share of unseen words.
 MU, KAPPA = 50.0, 50.0
 BORDER, UNSEEN = CLASSES, CLASSES + 1
 #: A document's states: words by class, its border, unseen words, and words seen once by class.
 STATES = 2 * CLASSES + 2
+#: Words whose counts a worker spreads out at a time.
 CHUNK = 20_000
+#: Bytes of text whose words meet in one bucket, about.
+BUCKET_BYTES = 64 << 20
 
+#: Rows of a coded corpus: of a block (or of a word bucket, with block 0) and a kind.
+CODED = "block long, kind int, bucket int, ids array<long>, data binary, words binary"
+DICTIONARY, DOCUMENTS, NEIGHBOURS = 0, 1, 2
+#: Rows of the vocabulary: the places that a bucket's words have in a block, and the words with counts.
+PLACES, WORDS = 3, 4
 
-def context_of(word: bytes) -> int:
-    return zlib.crc32(word[-3:]) % (CONTEXTS - 1)
 
+def _rows(found: list[tuple]) -> pa.RecordBatch:
+    """A batch of CODED rows."""
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+    columns = list(zip(*found, strict=True)) or [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["block", "kind", "bucket", "ids", "data", "words"])
 
-def _tokens(block: Block, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """(codes into the block's index, offsets) of the slice's words."""
+
+def _by_row(batches):
+    for batch in batches:
+        yield from zip(*(batch[c].to_pylist() for c in ("block", "kind", "bucket", "ids", "data", "words")), strict=True)
+
+
+def _together(df: DataFrame, buckets: int, by: str, last: str) -> DataFrame:
+    """All rows of one value of ``by`` behind one another, in the order of ``last``."""
+    return df.repartition(buckets, by).sortWithinPartitions(by, last)
+
+
+def _read(block: Block, part: pa.RecordBatch) -> None:
+    """Notes the slice's documents as codes into the block's index."""
     dictionary, codes, at = words(part["text"])
     place = np.fromiter((block.index[w.encode()] for w in dictionary.to_pylist()), np.int64, len(dictionary))
-    return place[codes] if len(codes) else codes, at
-
-
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and the sums of their counts."""
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return keys[head], np.add.reduceat(counts, head) if len(head) else counts
-
-
-def _contexts(block: Block, part: pa.RecordBatch) -> None:
-    """Notes (word, side and bucket) counts and word counts of the slice's training texts."""
-    codes, at = _tokens(block, part)
-    bucket = np.fromiter((context_of(w) for w in list(block.index)[len(block.extra) :]), np.int64)
-    block.extra = np.concatenate([block.extra, bucket])
-    train = np.repeat(np.asarray(part["train"], dtype=bool), np.diff(at))
-    left = np.full(len(codes), CONTEXTS - 1)
-    right = left.copy()
-    if len(codes):
-        near = block.extra[codes]
-        left[1:], right[:-1] = near[:-1], near[1:]
-        borders = at[np.flatnonzero(np.diff(at))]
-        left[borders] = CONTEXTS - 1
-        right[borders[1:] - 1] = CONTEXTS - 1
-        right[-1] = CONTEXTS - 1
-    codes, left, right = codes[train], left[train], right[train]
-    keys = np.concatenate([codes * 2 * CONTEXTS + left, codes * 2 * CONTEXTS + CONTEXTS + right])
-    block.kept.append(np.unique(keys, return_counts=True))
-
-
-class _Packed:
-    """Words with sparse counts, as columns: words, key counts of each word, keys, counts."""
-
-    @staticmethod
-    def rows(bucket: int, names: list[bytes], keys: np.ndarray, counts: np.ndarray):
-        """keys: place of the word x 2 CONTEXTS + its key, in order."""
-        word = keys // (2 * CONTEXTS)
-        for at in range(0, len(names), CHUNK):
-            a, b = np.searchsorted(word, [at, at + CHUNK])
-            sizes = np.bincount(word[a:b] - at, minlength=min(CHUNK, len(names) - at))
-            yield bucket, pack_words(names[at : at + CHUNK]), squeeze(sizes, keys[a:b] % (2 * CONTEXTS), counts[a:b])
-
-
-def _count_words(batches, buckets: int):
-    """Rows (bucket, words, counts) of each block's training words."""
-    for block in blocks(batches, _contexts):
-        keys, counts = _summed(*(np.concatenate(x) for x in zip(*block.kept, strict=True)))
-        if not len(keys):
+    block.kept.append((part["id"].to_pylist(), np.asarray(part["train"], dtype=bool), at, (place[codes] if len(codes) else codes).astype(np.int32)))
+
+
+def _neighbours(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left place, right place, count) of the block's training documents, in order; the border's place is the index's
+    length."""
+    edge = len(block.index)
+    keys = []
+    for _, train, at, codes in block.kept:
+        seq = np.full(len(codes) + len(train), edge, np.int64)  # each document and the border after it
+        last = np.cumsum(np.diff(at) + 1) - 1
+        inner = np.ones(len(seq), bool)
+        inner[last] = False
+        seq[inner] = codes
+        before = np.append(edge, seq[:-1])
+        use = np.repeat(train, np.diff(at) + 1)
+        keys.append(before[use] * (edge + 1) + seq[use])
+    found, counts = np.unique(np.concatenate(keys), return_counts=True)
+    return found // (edge + 1), found % (edge + 1), counts
+
+
+def coded_corpus(rows: DataFrame, buckets: int) -> DataFrame:
+    """The blocks of rows (id, text, train) as CODED rows, written."""
+
+    def code(batches):
+        first = TaskContext.get().partitionId() << 32  # the table is written once: its numbers hold
+        for number, block in enumerate(blocks(batches, _read), first):
+            names = list(block.index)
+            total = np.zeros(len(names), np.int64)
+            for ids, train, at, codes in block.kept:
+                total += np.bincount(codes[np.repeat(train, np.diff(at))], minlength=len(names))
+                marked = np.diff(at) << 1 | train
+                yield _rows(
+                    [
+                        (number, DOCUMENTS, None, ids[a : a + 512], squeeze(marked[a : a + 512], codes[at[a] : at[min(a + 512, len(marked))]]), None)
+                        for a in range(0, len(marked), 512)
+                    ]
+                )
+            left, right, counts = _neighbours(block)
+            if len(left):
+                yield _rows([(number, NEIGHBOURS, None, [], squeeze(left, right, counts), None)])
+            yield _rows([(number, DICTIONARY, b, [], squeeze(at, total[at]), pack_words([names[i] for i in at.tolist()])) for b, at in by_bucket(names, buckets)])
+
+    return written(rows.mapInArrow(code, CODED), "coded")
+
+
+def first_class(word: bytes) -> int:
+    return zlib.crc32(word[-3:]) % CLASSES
+
+
+def vocabulary(coded: DataFrame, buckets: int) -> DataFrame:
+    """PLACES rows (places in the block, numbers in the bucket) and a WORDS row of each bucket (counts, first classes;
+    the words), written."""
+
+    def number(batches):
+        bucket, index, totals = None, Index(), []
+
+        def done():
+            if bucket is not None:
+                n = np.zeros(len(index), np.int64)
+                for j, counts in totals:
+                    n[j] += counts.astype(np.int64)
+                yield _rows([(0, WORDS, bucket, [], squeeze(n & 0xFFFFFFFF, n >> 32, [first_class(w) for w in index]), pack_words(list(index)))])
+
+        for block, _, b, _, data, packed in _by_row(batches):
+            if b != bucket:
+                yield from done()
+                bucket, index, totals = b, Index(), []
+            places, counts = unsqueeze(data)
+            j = np.array([index[w] for w in unpack_words(packed)], np.int64)
+            totals.append((j, counts))
+            yield _rows([(block, PLACES, b, [], squeeze(places, j), None)])
+        yield from done()
+
+    return written(_together(coded.filter(F.col("kind") == DICTIONARY), buckets, "bucket", "block").mapInArrow(number, CODED), "vocabulary")
+
+
+def _counts_classes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    low, high, classes = (x.astype(np.int64) for x in unsqueeze(data))
+    return low | high << 32, classes
+
+
+def _placed(vocab: DataFrame, known: DataFrame, buckets: int) -> DataFrame:
+    """For each block and bucket the places, numbers, counts and classes of its words (kind DICTIONARY)."""
+
+    def place(batches):
+        n = classes = None
+        for block, kind, bucket, _, data, _ in _by_row(batches):
+            if kind == WORDS:
+                n, classes = _counts_classes(data)
+            else:
+                places, j = unsqueeze(data)
+                yield _rows([(block, DICTIONARY, bucket, [], squeeze(places, j, np.minimum(n[j], 2), classes[j], n[j] & 0xFFFFFFFF, n[j] >> 32), None)])
+
+    rows = vocab.filter(F.col("kind") == PLACES).unionByName(known)
+    return rows.withColumn("__o", -F.col("kind")).repartition(buckets, "bucket").sortWithinPartitions("bucket", "__o").drop("__o").mapInArrow(place, CODED)
+
+
+def _contexts(batches):
+    """For each block and bucket, of its words the counts of neighbours' classes: numbers, how many cells, cells, counts."""
+    block, held = None, []
+    for number, kind, bucket, _, data, _ in _by_row(batches):
+        if number != block:
+            block, held = number, []
+        if kind == DICTIONARY:
+            places, j, _, classes, _, _ = unsqueeze(data)
+            held.append((bucket, places.astype(np.int64), j, classes))
             continue
-        seen = np.unique(keys // (2 * CONTEXTS))
-        known = list(block.index)
-        names = [known[i] for i in seen.tolist()]
-        start = np.searchsorted(keys, seen * 2 * CONTEXTS)
-        size = np.diff(np.append(start, len(keys)))
-        out = []
-        for bucket, at in by_bucket(names, buckets):
-            take = np.repeat(start[at] - (np.cumsum(size[at]) - size[at]), size[at]) + np.arange(size[at].sum())
-            own = np.repeat(np.arange(len(at)), size[at]) * 2 * CONTEXTS + keys[take] % (2 * CONTEXTS)
-            out += _Packed.rows(bucket, [names[i] for i in at.tolist()], own, counts[take])
-        yield _word_rows(out)
+        left, right, counts = (x.astype(np.int64) for x in unsqueeze(data))
+        size = sum(len(h[1]) for h in held)
+        of = np.full(size + 1, EDGE, np.int64)
+        own, home = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for k, (_, places, j, classes) in enumerate(held):
+            of[places], own[places], home[places] = classes, j, k
+        order = np.argsort(right, kind="stable")
+        cells = []
+        for a in range(0, size, CHUNK):
+            b = min(a + CHUNK, size)
+            x, y = np.searchsorted(left, [a, b])
+            p, q = np.searchsorted(right[order], [a, b])
+            some = order[p:q]
+            key = np.concatenate([(left[x:y] - a) * SIDES + CLASSES + 1 + of[right[x:y]], (right[some] - a) * SIDES + of[left[some]]])
+            dense = np.bincount(key, np.concatenate([counts[x:y], counts[some]]), (b - a) * SIDES)
+            used = np.flatnonzero(dense)
+            cells.append((used // SIDES + a, used % SIDES, dense[used].astype(np.int64)))
+        place, cell, n = (np.concatenate(c) for c in zip(*cells, strict=True)) if cells else (np.zeros(0, np.int64),) * 3
+        order = np.argsort(home[place], kind="stable")
+        place, cell, n = place[order], cell[order], n[order]
+        cut = np.searchsorted(home[place], np.arange(len(held) + 1))
+        yield _rows([(block, NEIGHBOURS, h[0], [], squeeze(own[place[a:b]], cell[a:b], n[a:b]), None) for h, a, b in zip(held, cut[:-1], cut[1:], strict=True) if b > a])
+
+
+def _summed(batches):
+    """Of each bucket the words' classes and counts, and the sums of their neighbours' classes."""
+    bucket, data, total = None, None, None
 
+    def done():
+        if bucket is not None:
+            used = np.flatnonzero(total)
+            n = total[used]
+            yield _rows([(0, WORDS, bucket, [], data, squeeze(used // SIDES, used % SIDES, n & 0xFFFFFFFF, n >> 32))])
+
+    for _, kind, b, _, packed, _ in _by_row(batches):
+        if b != bucket:
+            yield from done()
+            bucket = b
+        if kind == WORDS:
+            data = packed
+            total = np.zeros(len(_counts_classes(packed)[0]) * SIDES, np.int64)
+        else:
+            j, cell, n = (x.astype(np.int64) for x in unsqueeze(packed))
+            total[j * SIDES + cell] += n  # a word's cells stand once in a block
+    yield from done()
 
-def _word_rows(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * 3
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "words", "counts"])
 
+def _cells(row: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    j, cell, low, high = (x.astype(np.int64) for x in unsqueeze(row))
+    return j, cell, low | high << 32
 
-WORDS = "bucket int, words binary, counts binary"
 
+def class_bigrams(summed: DataFrame) -> np.ndarray:
+    """Counts of class bigrams, (CLASSES + 1) x (CLASSES + 1) with the border; without empty documents."""
 
-def _merge_words(batches):
-    """The blocks' counts of each word, summed; all rows of a bucket stand together."""
-    bucket, index, found = None, Index(), []
+    def count(batches):
+        total = np.zeros((CLASSES + 1) ** 2, np.int64)
+        for _, _, _, _, data, cells in _by_row(batches):
+            _, classes = _counts_classes(data)
+            j, cell, n = _cells(cells)
+            after = cell <= EDGE  # a left neighbour, and the word's own class
+            np.add.at(total, cell[after] * (CLASSES + 1) + classes[j[after]], n[after])
+            last = cell == SIDES - 1  # the border after a word
+            np.add.at(total, classes[j[last]] * (CLASSES + 1) + EDGE, n[last])
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], names=["cell", "n"])
 
-    def done():
-        if bucket is not None and found:
-            keys, counts = _summed(*(np.concatenate(x) for x in zip(*found, strict=True)))
-            yield _word_rows(list(_Packed.rows(bucket, list(index), keys, counts)))
+    out = np.zeros((CLASSES + 1) ** 2)
+    for cell, n in summed.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect():  # (CLASSES + 1)^2
+        out[cell] = n
+    return out.reshape(CLASSES + 1, CLASSES + 1)
 
-    for batch in batches:
-        for b, packed, counted in zip(*(batch[c].to_pylist() for c in ("bucket", "words", "counts")), strict=True):
-            if b != bucket:
-                yield from done()
-                bucket, index, found = b, Index(), []
-            place = np.array([index[w] for w in unpack_words(packed)], np.int64)
-            sizes, keys, counts = (x.astype(np.int64) for x in unsqueeze(counted))
-            found.append((np.repeat(place, sizes) * 2 * CONTEXTS + keys, counts))
-            if len(found) == 64:  # keep what is held near the number of distinct counts
-                found = [_summed(*(np.concatenate(x) for x in zip(*found, strict=True)))]
-    yield from done()
 
+def likelihood(bigrams: np.ndarray) -> float:
+    """The classes' part of the log likelihood of the class bigram model: N(c, d) against N(c) N(d)."""
+    of = lambda x: float((x * np.log(np.maximum(x, 1))).sum())
+    return of(bigrams) - of(bigrams.sum(axis=0)) - of(bigrams.sum(axis=1))
 
-def _classes_of(counted: bytes, names: list[bytes], likelihood: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(class of each word, its count, place of the word of each key, keys x counts) of one row of the word table."""
-    sizes, keys, counts = (x.astype(np.int64) for x in unsqueeze(counted))
-    own = np.repeat(np.arange(len(sizes)), sizes)
-    total = np.bincount(own[keys < CONTEXTS], counts[keys < CONTEXTS], len(sizes)).astype(np.int64)
-    if likelihood is None:  # the first classes: by the last letters
-        classes = np.fromiter((context_of(w) % CLASSES for w in names), np.int64, len(names))
-    else:
-        start = np.cumsum(sizes) - sizes
-        classes = np.zeros(len(sizes), np.int64)
-        for at in range(0, len(sizes), 4_000):
-            a, b = start[at], start[at + 4_000] if at + 4_000 < len(sizes) else len(keys)
-            fit = np.add.reduceat(likelihood[keys[a:b]] * counts[a:b, None].astype(np.float32), start[at : at + 4_000] - a, axis=0)
-            classes[at : at + 4_000] = fit.argmax(axis=1)
-    return classes, total, own, np.stack([keys, counts])
-
-
-def exchange(table: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
-    """log P(bucket | class) of the classes that the rounds end with, 2 CONTEXTS x CLASSES."""
-    spark = table.sparkSession
-    likelihood = None
-    for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(likelihood)
-
-        def sums(batches, shared=shared):
-            total = np.zeros(CLASSES * 2 * CONTEXTS, np.int64)
-            for batch in batches:
-                for packed, counted in zip(batch["words"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-                    classes, _, own, (keys, counts) = _classes_of(counted, unpack_words(packed), shared.value)
-                    total += np.bincount(classes[own] * 2 * CONTEXTS + keys, counts, len(total)).astype(np.int64)
-            used = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], names=["cell", "n"])
 
-        cells = table.mapInArrow(sums, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # CLASSES x 128
-        matrix = np.full(CLASSES * 2 * CONTEXTS, 0.1)
-        for cell, n in cells:
-            matrix[cell] += n
-        matrix = matrix.reshape(CLASSES, 2, CONTEXTS)
-        likelihood = np.log(matrix / matrix.sum(axis=2, keepdims=True)).reshape(CLASSES, -1).T.astype(np.float32)
-    return likelihood
+def moved(data: bytes, cells: bytes, left: np.ndarray, right: np.ndarray) -> bytes:
+    """The words of a bucket with the class under which their neighbours are likeliest. left, right: log P(neighbour's
+    class | class)."""
+    low, high, classes = unsqueeze(data)
+    classes = classes.astype(np.int64)
+    j, cell, n = _cells(cells)
+    table = np.concatenate([left, right])  # SIDES x CLASSES
+    for a in range(0, len(classes), CHUNK):
+        x, y = np.searchsorted(j, [a, a + CHUNK])
+        if x == y:
+            continue
+        head = np.flatnonzero(np.append(True, j[x + 1 : y] != j[x : y - 1]))
+        fit = np.add.reduceat(table[cell[x:y]] * n[x:y, None], head, axis=0)
+        classes[j[x:y][head]] = fit.argmax(axis=1)
+    return squeeze(low, high, classes)
+
+
+def exchange(coded: DataFrame, vocab: DataFrame, buckets: int, rounds: int = ROUNDS) -> tuple[DataFrame, list[float]]:
+    """The vocabulary's WORDS rows with the classes of the highest likelihood, and the likelihoods of all rounds."""
+    n = max(parallelism(coded.sparkSession), buckets)
+    known = vocab.filter(F.col("kind") == WORDS).withColumn("words", F.lit(None).cast("binary"))
+    best, seen = known, []
+    for step in range(rounds):
+        pairs = coded.filter(F.col("kind") == NEIGHBOURS)
+        met = _together(_placed(vocab, known, buckets).unionByName(pairs), n, "block", "kind").mapInArrow(_contexts, CODED)
+        gathered = met.unionByName(known).withColumn("__o", -F.col("kind")).repartition(buckets, "bucket").sortWithinPartitions("bucket", "__o").drop("__o")
+        summed = written(gathered.mapInArrow(_summed, CODED), "contexts")
+        bigrams = class_bigrams(summed)
+        seen.append(likelihood(bigrams))
+        if len(seen) > 1 and seen[-1] <= max(seen[:-1]):
+            break
+        best = known
+        if step + 1 == rounds or len(seen) > 1 and seen[-1] - seen[-2] < LEAST_RISE * abs(seen[-2]):
+            break
+        counts = bigrams + 0.1
+        left = np.log(counts / counts.sum(axis=0, keepdims=True))[:, :CLASSES]
+        right = np.log(counts / counts.sum(axis=1, keepdims=True)).T[:, :CLASSES]
+        shared = coded.sparkSession.sparkContext.broadcast((left, right))  # SIDES x CLASSES numbers
+
+        def move(batches, shared=shared):
+            for _, kind, bucket, _, data, cells in _by_row(batches):
+                yield _rows([(0, kind, bucket, [], moved(data, cells, *shared.value), None)])
+
+        known = written(summed.mapInArrow(move, CODED), "classes")
+    return best, seen
 
 
 def class_lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,112 +314,83 @@ def class_lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     Learns from the rows for which ``train`` holds (null: not). Tokens are the words between ASCII white space with A-Z
     in lower case, then one end of text. base_score: log10 probability under add-one unigrams; score: under the class
     model. Null and empty texts are one end. Without training rows every word is unseen. Null ids stay; repeated rows
-    are scored, and learnt from, as often as they occur. Other columns are not returned. docs must give its rows in
-    the same order again (tables do).
+    are scored, and learnt from, as often as they occur. Other columns are not returned.
     """
-    spark = docs.sparkSession
-    buckets = parallelism(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    n_docs = rows.filter("train").count()
+    n_docs, size = rows.agg(F.count_if("train"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    buckets = int(max(parallelism(docs.sparkSession), -(-size // BUCKET_BYTES)))
+    coded = coded_corpus(rows, buckets)
+    vocab = vocabulary(coded, buckets)
+    known, _ = exchange(coded, vocab, buckets)
+    return scores(coded, vocab, known, buckets, int(n_docs), id_col)
 
-    table = written(rows.mapInArrow(lambda batches: _count_words(batches, buckets), WORDS).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge_words, WORDS), "words")
-    likelihood = spark.sparkContext.broadcast(exchange(table))
 
-    def classified(batches):
-        """The word table with count and class, as rows for the blocks' dictionaries to meet (kind 0)."""
-        for batch in batches:
-            out = []
-            for bucket, packed, counted in zip(*(batch[c].to_pylist() for c in ("bucket", "words", "counts")), strict=True):
-                classes, total, _, _ = _classes_of(counted, unpack_words(packed), likelihood.value)
-                out.append((bucket, 0, 0, squeeze(total, classes), packed))
-            yield lookup_rows(out)
+def word_classes(vocab: DataFrame, known: DataFrame) -> DataFrame:
+    """word, n (its count in training documents) and class of all words that training documents hold."""
+
+    def unpack(batches):
+        names = None
+        for _, kind, _, _, data, packed in _by_row(batches):
+            if packed is not None:
+                names = unpack_words(packed)
+            else:
+                n, classes = _counts_classes(data)
+                use = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([names[i].decode() for i in use]), pa.array(n[use]), pa.array(classes[use], pa.int32())], names=["word", "n", "class"])
+
+    both = vocab.filter(F.col("kind") == WORDS).unionByName(known.withColumn("words", F.lit(None).cast("binary")))
+    return both.withColumn("__o", F.col("words").isNull()).repartition(parallelism(vocab.sparkSession), "bucket").sortWithinPartitions("bucket", "__o").drop("__o").mapInArrow(unpack, "word string, n long, class int")
 
-    def lookup_rows(out):
-        columns = list(zip(*out, strict=True)) or [()] * 5
-        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "kind", "block", "numbers", "words"])
 
-    lookup = "bucket int, kind int, block long, numbers binary, words binary"
+def scores(coded: DataFrame, vocab: DataFrame, known: DataFrame, buckets: int, n_docs: int, id_col: str) -> DataFrame:
+    spark = coded.sparkSession
 
     def totals(batches):
         total = np.zeros((CLASSES, 2), np.int64)
-        for batch in batches:
-            for data in batch["numbers"].to_pylist():
-                n, classes = unsqueeze(data)
-                total[:, 0] += np.bincount(classes, n, CLASSES).astype(np.int64)
-                total[:, 1] += np.bincount(classes, minlength=CLASSES)
+        for _, _, _, _, data, _ in _by_row(batches):
+            n, classes = _counts_classes(data)
+            np.add.at(total[:, 0], classes, n)
+            total[:, 1] += np.bincount(classes[n > 0], minlength=CLASSES)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES), pa.int32()), pa.array(total[:, 0]), pa.array(total[:, 1])], names=["class", "n", "words"])
 
-    known = written(table.mapInArrow(classified, lookup), "classes")
-    in_class, vocabulary = np.zeros(CLASSES), int(n_docs > 0)
-    for row in known.mapInArrow(totals, "class int, n long, words long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).collect():
+    in_class, vocabulary_size = np.zeros(CLASSES), int(n_docs > 0)
+    for row in known.mapInArrow(totals, "class int, n long, words long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).collect():  # CLASSES
         in_class[row["class"]] = row["n"]
-        vocabulary += row["words"]
+        vocabulary_size += row["words"]
     tokens = int(in_class.sum()) + n_docs
-    base_of = np.log10(tokens + vocabulary + 1)
-
-    def note(block: Block, part: pa.RecordBatch) -> None:
-        _tokens(block, part)
-
-    def dictionaries(batches):
-        for block in blocks(batches, note):
-            names = list(block.index)
-            yield lookup_rows([(b, 1, block.number, squeeze(at), pack_words([names[i] for i in at.tolist()])) for b, at in by_bucket(names, buckets)])
-
-    def look_up(batches):
-        bucket, found = None, {}
-        for batch in batches:
-            out = []
-            for b, kind, number, numbers, packed in zip(*(batch[c].to_pylist() for c in ("bucket", "kind", "block", "numbers", "words")), strict=True):
-                if b != bucket:
-                    bucket, found = b, {}
-                if kind == 0:
-                    n, classes = unsqueeze(numbers)
-                    found.update(zip(unpack_words(packed), (n.astype(np.int64) << 8 | classes).tolist(), strict=True))
-                else:
-                    both = np.fromiter((found.get(w, UNSEEN) for w in unpack_words(packed)), np.int64)
-                    out.append((number, 0, [], squeeze(unsqueeze(numbers)[0], both >> 8, both & 255)))
-            yield meet_rows(out)
-
-    def code(block: Block, part: pa.RecordBatch) -> None:
-        codes, at = _tokens(block, part)
-        marked = np.diff(at) << 1 | np.asarray(part["train"], dtype=np.int64)
-        for a in range(0, len(marked), 512):
-            ends = at[[a, min(a + 512, len(marked))]]
-            block.kept.append((part["id"].slice(a, 512).to_pylist(), squeeze(marked[a : a + 512], codes[ends[0] : ends[1]])))
-
-    def documents(batches):
-        for block in blocks(batches, code):
-            for ids, data in block.kept:
-                yield meet_rows([(block.number, 1, ids, data)])
-
+    base_of = np.log10(tokens + vocabulary_size + 1)
     class_size = np.maximum(in_class, 1)
 
-    def start(packed: list[bytes]):
-        """State, base and emission of each word of a block."""
-        parts = [unsqueeze(p) for p in packed]
-        places, n, classes = (np.concatenate(x).astype(np.int64) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
-        state, count, emission = np.zeros(len(places), np.int64), np.zeros(len(places)), np.zeros(len(places))
-        state[places] = np.where(n == 0, UNSEEN, np.where(n == 1, CLASSES + 2 + classes, classes))
-        count[places] = n
-        emission[places] = np.where(n > 0, np.log10(np.maximum(n, 1) / class_size[np.minimum(classes, CLASSES - 1)]), 0.0)
-        return state, count, np.log10(count + 1) - base_of, emission
-
     def statistics(batches):
-        for (state, count, base, emission), ids, marked, codes in blocks_met(batches, start):
+        block, held, table = None, [], None
+        for number, kind, _, ids, data, _ in _by_row(batches):
+            if number != block:
+                block, held, table = number, [], None
+            if kind == DICTIONARY:
+                held.append([x.astype(np.int64) for x in unsqueeze(data)])
+                continue
+            if table is None:
+                size = sum(len(h[0]) for h in held)
+                state, count, emission = np.zeros(size, np.int64), np.zeros(size), np.zeros(size)
+                for places, _, seen, classes, low, high in held:
+                    n = low | high << 32
+                    state[places] = np.where(seen == 0, UNSEEN, np.where(seen == 1, CLASSES + 2 + classes, classes))
+                    count[places] = n
+                    emission[places] = np.where(n > 0, np.log10(np.maximum(n, 1) / class_size[classes]), 0.0)
+                table, held = (state, count, np.log10(count + 1) - base_of, emission), []
+            state, count, base, emission = table
+            marked, codes = (x.astype(np.int64) for x in unsqueeze(data))
             sizes, trained = marked >> 1, (marked & 1).astype(bool)
             n = len(sizes)
             own = np.repeat(np.arange(n), sizes)
             full = np.repeat(np.arange(n), sizes + 1)
             seq = np.full(len(codes) + n, BORDER)
-            last = np.cumsum(sizes + 1) - 1
             inner = np.ones(len(seq), bool)
-            inner[last] = False
+            inner[np.cumsum(sizes + 1) - 1] = False
             seq[inner] = state[codes]
             before = np.append(BORDER, seq[:-1])  # a text starts after the border of the one before
             keys, counts = np.unique(full * STATES * STATES + before * STATES + seq, return_counts=True)
-            doc = keys // (STATES * STATES)
-            cut = np.searchsorted(doc, np.arange(n + 1))
+            cut = np.searchsorted(keys // (STATES * STATES), np.arange(n + 1))
             cells = keys % (STATES * STATES)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -303,10 +401,8 @@ def class_lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text
                 names=["id", "train", "n_tokens", "n_known", "base", "emission", "pairs"],
             )
 
-    dictionary = known.unionByName(rows.mapInArrow(dictionaries, lookup)).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(look_up, MEET)
-    stats = written(
-        meet(dictionary, rows.mapInArrow(documents, MEET)).mapInArrow(statistics, "id long, train boolean, n_tokens long, n_known long, base double, emission double, pairs binary"), "transitions"
-    )
+    met = _together(_placed(vocab, known, buckets).unionByName(coded.filter(F.col("kind") == DOCUMENTS)), max(parallelism(spark), buckets), "block", "kind")
+    stats = written(met.mapInArrow(statistics, "id long, train boolean, n_tokens long, n_known long, base double, emission double, pairs binary"), "transitions")
 
     def transitions(batches):
         total = np.zeros(STATES * STATES, np.int64)

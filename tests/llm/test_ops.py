@@ -450,6 +450,79 @@ def test_class_lm(spark):
     assert class_lm_scores(table(spark, []), F.lit(True)).count() == 0
 
 
+def plain_scores(rows, train, classes):
+    """log10 probability of each text by the class model, from word classes alone."""
+    from quillon.llm import class_lm as lm
+
+    count = {w: n for w, (n, _) in classes.items()}
+    in_class = np.zeros(lm.CLASSES)
+    for n, c in classes.values():
+        in_class[c] += n
+    texts = [(i, (t or "").replace("\x0b", " ").lower().split()) for i, t in rows]
+    n_docs = sum(train(i) for i, _ in texts)
+    trans, rare = defaultdict(Counter), Counter()  # class before -> class after; class before -> words seen once
+    words_once = 0
+    for i, ws in texts:
+        if train(i):
+            before, before_once = lm.BORDER, False
+            for w in [*ws, None]:
+                now = lm.BORDER if w is None else classes[w][1]
+                once = w is not None and count[w] == 1
+                for state in (before, *([lm.UNSEEN] if before_once else [])):
+                    trans[state][now] += 1
+                    rare[state] += once
+                words_once += once
+                before, before_once = now, once
+    total = in_class.sum() + n_docs
+    share = (words_once + 1) / (total + 2)
+    out = []
+    for i, ws in texts:
+        p, before = 0.0, lm.BORDER
+        for w in [*ws, None]:
+            n = sum(trans[before].values())
+            unseen = (rare[before] + lm.KAPPA * share) / (n + lm.KAPPA)
+            if w is not None and w not in classes:
+                p, before = p + np.log10(unseen), lm.UNSEEN
+                continue
+            now = lm.BORDER if w is None else classes[w][1]
+            prior = (n_docs if w is None else in_class[now]) / total
+            p += np.log10((trans[before][now] + lm.MU * prior) / (n + lm.MU) * (1 - unseen))
+            if w is not None:
+                p += np.log10(count[w] / in_class[now])
+            before = now
+        out.append((i, round(float(p), 6)))
+    return sorted(out)
+
+
+def test_class_lm_against_plain(spark):
+    """Several blocks and partitions: the likelihood of the class bigrams and all scores, from the words' classes."""
+    from quillon.llm import class_lm as lm
+
+    rows = [*lm_rows(), *[(300 + i, f"once{i} the cat le chat nonce{i} ran") for i in range(40)], (500, None), (501, "")]
+    df = table(spark, rows).repartition(9, "doc_id")
+    out = sorted((r.doc_id, round(r.score, 6)) for r in lm.class_lm_scores(df, F.col("doc_id") % 5 != 0).collect())
+    source = df.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), (F.col("doc_id") % 5 != 0).alias("train"))
+    coded = lm.coded_corpus(source, 4)
+    assert coded.select("block").distinct().count() == 9
+    vocab = lm.vocabulary(coded, 4)
+    known, seen = lm.exchange(coded, vocab, 4)
+    classes = {r.word: (r.n, r["class"]) for r in lm.word_classes(vocab, known).collect()}
+    assert {w: n for w, (n, _) in classes.items()} == dict(Counter(w for i, t in rows if i % 5 for w in (t or "").split()))
+    assert out == plain_scores(rows, lambda i: i % 5 != 0, classes)
+
+    def plain_likelihood(of):
+        n = np.zeros((lm.CLASSES + 1, lm.CLASSES + 1))
+        for i, t in rows:
+            if i % 5 and (t or "").split():
+                cs = [lm.EDGE, *(of(w) for w in t.split()), lm.EDGE]
+                for a, b in zip(cs[:-1], cs[1:], strict=True):
+                    n[a, b] += 1
+        return lm.likelihood(n)
+
+    assert np.isclose(seen[0], plain_likelihood(lambda w: lm.first_class(w.encode())))
+    assert np.isclose(max(seen), plain_likelihood(lambda w: classes[w][1])) and max(seen) > seen[0]
+
+
 def test_class_lm_probabilities_sum_to_one():
     from quillon.llm import class_lm as lm
 
