@@ -11,35 +11,36 @@ DAY = 86_400
 WINDOW = WINDOW_DAYS * DAY
 
 
-def _means_by_range(runs: DataFrame) -> DataFrame:
-    """Means of sources whose clock only went forward: a range frame, without the run itself."""
-    w = Window.partitionBy("source").orderBy("at_epoch").rangeBetween(-WINDOW, 0)
-    own = F.when(F.col("ok"), F.col("item_count"))
-    total = F.sum(own).over(w) - F.coalesce(own, F.lit(0))
-    count = F.count(own).over(w) - F.when(own.isNotNull(), 1).otherwise(0)
-    return runs.select("source", "seq", F.when(count > 0, total / count).alias("rolling_mean"))
-
-
-def _means_by_pairs(runs: DataFrame) -> DataFrame:
-    """Means of sources whose clock was set back: runs of the window that also arrived before. The window of a run
-    lies in its own bucket of seven days and the one before, so an equi-join finds it."""
-    bucket = F.floor(F.col("at_epoch") / WINDOW)
-    older = runs.filter("ok").select("source", F.col("seq").alias("s2"), F.col("at_epoch").alias("e2"), F.col("item_count").alias("c2"), bucket.alias("bucket"))
-    near = runs.select("source", "seq", "at_epoch", F.explode(F.array(bucket, bucket - 1)).alias("bucket"))
-    inside = (F.col("s2") < F.col("seq")) & (F.col("e2") <= F.col("at_epoch")) & (F.col("e2") >= F.col("at_epoch") - WINDOW)
-    return near.join(older, ["source", "bucket"]).filter(inside).groupBy("source", "seq").agg((F.sum("c2") / F.count("c2")).alias("rolling_mean"))
-
-
 def before(runs: DataFrame) -> DataFrame:
     """runs with what preceded each: ``rolling_mean`` (of successful runs that arrived before it and are at most seven
-    days older; those later by the clock don't count) and ``last_productive`` (the last positive count, else 0)."""
+    days older; those later by the clock don't count) and ``last_productive`` (the last positive count, else 0).
+
+    The mean is a range frame over the clock, without the run itself and without runs that arrived after it and yet are
+    not later by the clock. Only runs after a clock that was set back, or of one second with the run before, can be such;
+    they meet the runs before them in buckets of seven days.
+    """
     order = Window.partitionBy("source").orderBy("seq")
     productive = F.last(F.when(F.col("ok") & (F.col("item_count") > 0), F.col("item_count")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    back = F.coalesce(F.col("at_epoch") <= F.lag("at_epoch").over(order), F.lit(False))
-    noted = runs.withColumn("last_productive", F.coalesce(productive, F.lit(0)).cast("long")).withColumn("back", back)
-    noted = noted.withColumn("set_back", F.bool_or("back").over(Window.partitionBy("source"))).drop("back")
-    means = _means_by_range(noted.filter("not set_back")).unionByName(_means_by_pairs(noted.filter("set_back")))
-    return noted.drop("set_back").join(means, ["source", "seq"], "left")
+    newest = F.max("at_epoch").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    near = Window.partitionBy("source").orderBy("at_epoch").rangeBetween(-WINDOW, 0)
+    own = F.when(F.col("ok"), F.col("item_count"))
+    noted = runs.withColumns(
+        {
+            "last_productive": F.coalesce(productive, F.lit(0)).cast("long"),
+            "__back": F.coalesce(F.col("at_epoch") <= newest, F.lit(False)),
+            "__total": F.coalesce(F.sum(own).over(near), F.lit(0)) - F.coalesce(own, F.lit(0)),
+            "__count": F.count(own).over(near) - F.when(own.isNotNull(), 1).otherwise(0),
+        }
+    )
+    bucket = F.floor(F.col("at_epoch") / WINDOW)
+    back = noted.filter("__back and ok").select("source", F.col("seq").alias("s2"), F.col("at_epoch").alias("e2"), F.col("item_count").alias("c2"), bucket.alias("bucket"))
+    wanted = noted.select("source", "seq", "at_epoch", F.explode(F.array(bucket, bucket - 1)).alias("bucket")).join(back.select("source", "bucket").distinct(), ["source", "bucket"], "left_semi")
+    inside = (F.col("s2") > F.col("seq")) & (F.col("e2") <= F.col("at_epoch")) & (F.col("e2") >= F.col("at_epoch") - WINDOW)
+    after = wanted.join(back, ["source", "bucket"]).filter(inside).groupBy("source", "seq").agg(F.sum("c2").alias("__late"), F.count(F.lit(1)).alias("__lates"))
+    joined = noted.join(after, ["source", "seq"], "left")
+    count = F.col("__count") - F.coalesce("__lates", F.lit(0))
+    mean = F.when(count > 0, (F.col("__total") - F.coalesce("__late", F.lit(0))) / count)
+    return joined.withColumn("rolling_mean", mean).drop("__back", "__total", "__count", "__late", "__lates")
 
 
 def summary(runs: DataFrame, now_epoch: int | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.shared import kept
+
 # Tolerances of rent (euros, share) and surface (square metres, share), facts that must agree.
 RENT_EUROS, RENT_SHARE, SURFACE_M2, SURFACE_SHARE, FACTS = 30.0, 0.03, 2.0, 0.03, 2
 
@@ -52,14 +54,6 @@ def duplicate_pairs(listings: DataFrame) -> DataFrame:
     return by_rent.select(*pick).unionByName(by_surface.select(*pick))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df computed once, in the folder of spark.checkpoint.dir (one of our own where that is unset, as in tests)."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"/tmp/quillon-checkpoints-{context.applicationId}")
-    return df.checkpoint()
-
-
 def clusters(listings: DataFrame, order: str = "seq") -> DataFrame:
     """(id, survivor): greedily in the order of arrival, a listing joins the first survivor that it is one property
     with, or becomes a survivor. Survivors alone are compared; rows without a place stand alone.
@@ -71,13 +65,13 @@ def clusters(listings: DataFrame, order: str = "seq") -> DataFrame:
     pairs = duplicate_pairs(listings)
     told = pairs.join(when.withColumnsRenamed({"id": "id_a", "at": "at_a"}), "id_a").join(when.withColumnsRenamed({"id": "id_b", "at": "at_b"}), "id_b")
     first = F.col("at_a") < F.col("at_b")
-    edges = _kept(told.select(F.when(first, F.col("id_a")).otherwise(F.col("id_b")).alias("early"), F.when(first, F.col("id_b")).otherwise(F.col("id_a")).alias("late"), F.least("at_a", "at_b").alias("at")))
+    edges = kept(told.select(F.when(first, F.col("id_a")).otherwise(F.col("id_b")).alias("early"), F.when(first, F.col("id_b")).otherwise(F.col("id_a")).alias("late"), F.least("at_a", "at_b").alias("at")), "edges")
     left, absorbed = edges.select("early", "late"), None
     while not left.isEmpty():
         waiting = left.select(F.col("late").alias("early")).distinct()
-        gone = _kept(left.join(waiting, "early", "left_anti").select("late").distinct())  # their early partner survives
+        gone = kept(left.join(waiting, "early", "left_anti").select("late").distinct(), "gone")  # their early partner survives
         absorbed = gone if absorbed is None else absorbed.unionByName(gone)
-        left = _kept(left.join(gone, "late", "left_anti").join(gone.withColumnRenamed("late", "early"), "early", "left_anti"))
+        left = kept(left.join(gone, "late", "left_anti").join(gone.withColumnRenamed("late", "early"), "early", "left_anti"), "left")
     if absorbed is not None:
         survivors = edges.join(absorbed.withColumnRenamed("late", "early"), "early", "left_anti")
         joined = survivors.join(absorbed, "late", "left_semi").groupBy("late").agg(F.min_by("early", "at").alias("survivor"))
@@ -87,22 +81,33 @@ def clusters(listings: DataFrame, order: str = "seq") -> DataFrame:
 
 
 def within_source(listings: DataFrame, key: str = "dedup_key", order: str = "seq") -> DataFrame:
-    """The first listing of each key."""
-    first = listings.groupBy(key).agg(F.min(order).alias(order))
-    return listings.join(first, [key, order], "left_semi")
+    """The first listing of each key; of several with the same order one (by a hash of all columns). Listings without a
+    key stand alone."""
+    content = [c for c, kind in listings.dtypes if not kind.startswith(("map", "variant"))]
+    first = Window.partitionBy(key).orderBy(order, F.xxhash64(*content))
+    once = listings.filter(F.col(key).isNotNull()).withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
+    return once.unionByName(listings.filter(F.col(key).isNull()))
 
 
 def adopt_groups(members: DataFrame, groups: DataFrame) -> DataFrame:
     """Groups after a batch of clusters. members: cluster, seq, key; groups: key, group_key (a key's group so far).
 
     A cluster of two or more takes its first member's group that exists, else its first member's key; keys of the
-    other groups it meets follow, as far as clusters chain (by the smallest name, until nothing changes).
+    other groups it meets follow. Where clusters chain over groups, all of the chain take the smallest of their names.
     """
     sized = members.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("cluster"))).filter("n > 1")
     known = sized.join(groups, "key", "left")
     adopted = known.groupBy("cluster").agg(F.coalesce(F.min_by("group_key", F.when(F.col("group_key").isNotNull(), F.col("seq"))), F.min_by("key", "seq")).alias("into"))
     moved = known.join(adopted, "cluster")
-    renamed = moved.filter(F.col("group_key").isNotNull()).groupBy(F.col("group_key").alias("old")).agg(F.min("into").alias("into"))
-    kept = groups.join(renamed, groups["group_key"] == renamed["old"], "left").select("key", F.coalesce("into", "group_key").alias("group_key"))
-    fresh = moved.filter(F.col("group_key").isNull()).groupBy("key").agg(F.min("into").alias("group_key"))
-    return kept.unionByName(fresh)
+    met = moved.filter(F.col("group_key").isNotNull()).select(F.col("group_key").alias("name"), "into").distinct()
+    links = kept(met.unionByName(met.select(F.col("into").alias("name"), "into")).distinct(), "links")  # names that one cluster joins
+    final = links.groupBy("name").agg(F.min("into").alias("into"))
+    while True:  # a chain's smallest name spreads over its links
+        by_cluster = links.join(final.withColumnRenamed("into", "least"), "name").groupBy("into").agg(F.min("least").alias("least"))
+        spread = kept(links.join(by_cluster, "into").groupBy("name").agg(F.min("least").alias("into")), "names")
+        if spread.join(final, ["name", "into"], "left_anti").isEmpty():
+            break
+        final = spread
+    old = groups.join(final, groups["group_key"] == final["name"], "left").select("key", F.coalesce("into", "group_key").alias("group_key"))
+    new = moved.filter(F.col("group_key").isNull()).select("key", F.col("into").alias("name")).join(final, "name", "left")
+    return old.unionByName(new.groupBy("key").agg(F.min(F.coalesce("into", "name")).alias("group_key")))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from bisect import bisect_right, insort
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,7 +47,7 @@ REPLAYED = T.StructType(
 
 
 class Ledger:
-    """The state of one key, fed in the order of arrival."""
+    """The state of one key, fed in the order of arrival. Its log is kept in the order of time."""
 
     def __init__(self, seen=None, rent=None, log=None):
         self.seen, self.rent, self.log = seen, rent, log or []  # log: (epoch, number, rent), in order
@@ -54,8 +56,9 @@ class Ledger:
         """(is_new, is_current, previous, delta, is_drop, logged) of a sighting."""
         is_new = self.seen is None
         current = is_new or epoch >= self.seen
-        before = next((r for e, _, r in reversed(self.log) if e <= epoch), None)
-        after = next((r for e, _, r in self.log if e > epoch), None)
+        at = bisect_right(self.log, (epoch, float("inf")))
+        before = self.log[at - 1][2] if at else None
+        after = self.log[at][2] if at < len(self.log) else None
         previous = (None if is_new else self.rent) if current else before
         if current:
             self.seen = epoch
@@ -64,25 +67,31 @@ class Ledger:
             self.rent = rent
         logged = rent is not None and rent != before and rent != after
         if logged:
-            self.log.append((epoch, len(self.log), rent))
-            self.log.sort()
+            insort(self.log, (epoch, len(self.log), rent))
         delta = rent - previous if rent is not None and previous is not None else None
         return is_new, current, previous, delta, current and delta is not None and delta < 0, logged
 
 
 def replay(sightings: DataFrame) -> DataFrame:
     """Every sighting (key, seq, at_epoch, rent) as it was judged when it arrived: late ones never move the state and
-    are compared with the rent that held at their time. One key's sightings are replayed together."""
-
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        ledger, out = Ledger(), []
-        for row in block.sort_values("seq").itertuples(index=False):
-            rent = None if pd.isna(row.rent) else int(row.rent)
-            new, current, previous, delta, drop, logged = ledger.sight(int(row.at_epoch), rent)
-            out.append((row.key, row.seq, new, current, rent, previous, delta, drop, logged))
-        return pd.DataFrame(out, columns=[f.name for f in REPLAYED]).astype({c: "Int64" for c in ("rent", "previous", "delta")})
-
-    return sightings.groupBy("key").applyInPandas(run, REPLAYED)
+    are compared with the rent that held at their time. A key's sightings stream through its ledger in the order of
+    arrival, so a worker holds the key's changes, not its sightings."""
+    schema = pa.schema([(f.name, pa.bool_() if f.dataType == T.BooleanType() else pa.int64()) for f in REPLAYED])
+
+    def run(batches):
+        key, ledger = None, None
+        for batch in batches:
+            out = []
+            for k, seq, epoch, rent in zip(*(batch[c].to_pylist() for c in ("key", "seq", "at_epoch", "rent")), strict=True):
+                if ledger is None or k != key:
+                    key, ledger = k, Ledger()
+                new, current, previous, delta, drop, logged = ledger.sight(epoch, rent)
+                out.append((k, seq, new, current, rent, previous, delta, drop, logged))
+            columns = list(zip(*out, strict=True)) or [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+    rows = sightings.select("key", "seq", "at_epoch", "rent")
+    return rows.repartition("key").sortWithinPartitions("key", "seq").mapInArrow(run, REPLAYED)
 
 
 def as_of_before(history: DataFrame, moments: DataFrame) -> DataFrame:
@@ -107,21 +116,40 @@ def as_of_after(history: DataFrame, moments: DataFrame) -> DataFrame:
 
 
 def merge_current(state: DataFrame, batch: DataFrame) -> DataFrame:
-    """State (key, url, title, rent, first_seen, seen_epoch) after a batch of later sightings (key, url, title, rent,
-    at_epoch, seq): what a sighting says replaces, what it leaves out stays."""
-    said = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("at_epoch", "seq")))
+    """State (key, url, title, rent, first_seen, seen_epoch) after a batch of sightings (key, url, title, rent, at_epoch,
+    seq: their order of arrival).
+
+    What a sighting says replaces what was known, and what it leaves out stays, unless it is late: older than one that
+    arrived before it. A late one fills what is still unknown, and moves no time. first_seen is the first arrival's.
+    """
+    arrival = Window.partitionBy("key").orderBy("seq", "at_epoch")
+    newest = F.max("at_epoch").over(arrival.rowsBetween(Window.unboundedPreceding, -1))
     clean = batch.withColumn("url", F.nullif("url", F.lit(""))).withColumn("title", F.nullif("title", F.lit("")))
-    news = clean.groupBy("key").agg(said("url").alias("n_url"), said("title").alias("n_title"), said("rent").alias("n_rent"), F.min("at_epoch").alias("n_first"), F.max("at_epoch").alias("n_seen"))
+    told = clean.join(state.select("key", "seen_epoch"), "key", "left").withColumn("late", F.coalesce(F.col("at_epoch") < F.greatest("seen_epoch", newest), F.lit(False)))
+    names = ("url", "title", "rent")
+    said = [F.max_by(c, F.when(~F.col("late") & F.col(c).isNotNull(), F.struct("seq", "at_epoch"))).alias(f"n_{c}") for c in names]
+    filled = [F.min_by(c, F.when(F.col("late") & F.col(c).isNotNull(), F.struct("seq", "at_epoch"))).alias(f"f_{c}") for c in names]
+    news = told.groupBy("key").agg(*said, *filled, F.min_by("at_epoch", F.struct("seq", "at_epoch")).alias("n_first"), F.max("at_epoch").alias("n_seen"))
     return state.join(news, "key", "full").select(
         "key",
-        F.coalesce("n_url", "url").alias("url"),
-        F.coalesce("n_title", "title").alias("title"),
-        F.coalesce("n_rent", "rent").alias("rent"),
+        *[F.coalesce(f"n_{c}", F.nullif(c, F.lit("")) if c != "rent" else F.col(c), f"f_{c}").alias(c) for c in names],
         F.coalesce("first_seen", "n_first").alias("first_seen"),
         F.greatest("seen_epoch", "n_seen").alias("seen_epoch"),
     )
 
 
+VERDICT = ("tenure", "confidence", "tenure_reasons")
+
+
+def with_verdicts(state: DataFrame, classified: DataFrame) -> DataFrame:
+    """State rows (with a key) with the tenure, confidence and tenure_reasons that the latest classification (by seq) of
+    their key came to; rows that none was made of keep theirs. :func:`stale_verdicts` reads them."""
+    latest = classified.groupBy("key").agg(F.max_by(F.struct(*VERDICT), "seq").alias("__v"))
+    lacking = {"tenure": "string", "confidence": "int", "tenure_reasons": "array<string>"}
+    full = state.withColumns({c: F.lit(None).cast(k) for c, k in lacking.items() if c not in state.columns})
+    return full.join(latest, "key", "left").select(*[F.when(F.col("__v").isNotNull(), F.col("__v")[c]).otherwise(F.col(c)).alias(c) if c in VERDICT else F.col(c) for c in full.columns])
+
+
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """table with rows, which win where keys meet; nulls in keys meet nothing."""
     return table.join(rows.select(*keys), keys, "left_anti").unionByName(rows, allowMissingColumns=True)

@@ -21,12 +21,14 @@ class Pass:
     judged: DataFrame  # survivors with outcome, score, reasons, what is new and what fell
     sightings: DataFrame  # every member as a sighting (key, url, title, rent, at_epoch, seq)
     members: DataFrame  # cluster, seq, key
+    verdicts: DataFrame  # key, seq, tenure, confidence, tenure_reasons of every member, for state.with_verdicts
     counters: DataFrame  # one row
 
 
-def run_pass(harvest: DataFrame, profiles: DataFrame, known: DataFrame, criteria: Criteria, weights: Weights, now_epoch: int, seed: bool = False) -> Pass:
+def run_pass(harvest: DataFrame, profiles: DataFrame, known: DataFrame, criteria: Criteria, weights: Weights, now_epoch: int, seed: bool = False, errors: list[tuple[str, str]] | None = None) -> Pass:
     """harvest: listing rows with ``seq``, their order of arrival. known: key, rent, first_seen, notified_at of listings
-    seen before. With ``seed`` everything is noted and nothing is new.
+    seen before. With ``seed`` everything is noted and nothing is new. ``errors``: of sources that failed (source,
+    message), as listings.gather returns them.
 
     Classification needs no other row, so it comes before the shuffle by place that clustering needs.
     """
@@ -53,8 +55,22 @@ def run_pass(harvest: DataFrame, profiles: DataFrame, known: DataFrame, criteria
     )
     sightings = listed.select("key", "url", "title", "rent", F.lit(now_epoch).cast("long").alias("at_epoch"), "seq")
     members = found.join(listed.select("id", "seq", "key"), "id").select(F.col("survivor").alias("cluster"), "seq", "key")
-    counters = judged.agg(
+    harvested = listed.agg(F.count_distinct("source").alias("answered"), F.count(F.lit(1)).alias("items"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    counted = judged.agg(
         F.count(F.lit(1)).alias("clusters"), F.count_if(F.col("outcome") == "MATCH").alias("matches"), F.count_if(F.col("outcome") == "DIGEST").alias("digests"), F.count_if(F.col("outcome") == "REJECT").alias("rejects"),
         F.count_if("is_new_match").alias("new"), F.count_if("rent_drop").alias("drops"),
     )
-    return Pass(judged, sightings, members, counters)
+    failed = len({source for source, _ in errors or []})
+    both = harvested.unionByName(counted, allowMissingColumns=True)
+    counters = both.agg(*map(total, both.columns)).select(
+        (F.col("answered") + failed).alias("sources_run"), F.lit(failed).cast("long").alias("sources_failed"), "items", "clusters", (F.col("items") - F.col("clusters")).alias("duplicates"),
+        "matches", "digests", "rejects", "new", "drops", F.lit(0).cast("long").alias("undelivered"),
+    )
+    verdicts = classified.select("key", "seq", *state.VERDICT)
+    return Pass(judged, sightings, members, verdicts, counters)
+
+
+def delivered(counters: DataFrame, events: DataFrame, sent: bool) -> DataFrame:
+    """counters with the events that no channel took as ``undelivered``."""
+    return counters.withColumn("undelivered", F.lit(0 if sent else events.count()).cast("long"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Window
@@ -12,6 +11,8 @@ from quillon.operators import filters as P
 from quillon.operators import health, state
 from quillon.plans.queries_listings import CRITERIA
 from quillon.plans.tables import RUNS_SQL, SIGHTINGS_SQL, run_log, sightings, table
+from quillon.shared import shared_folder
+from quillon.sources.listings import gather
 
 #: A moment inside the events' time (21 January 2024), for windows that end then.
 NOW = 1_705_795_200
@@ -50,10 +51,24 @@ def q_asof_after(spark, sf):
 
 
 def q_current_state(spark, sf):
-    s = sightings(spark, sf).withColumn("url", F.when(F.col("seq") % 3 == 0, F.concat(F.lit("u"), F.col("seq").cast("string"))).otherwise(F.lit(""))).withColumn("title", F.lit(None).cast("string"))
-    old = s.filter(F.col("at_epoch") < NOW)
+    """Two batches of sightings; those of the second are late in good part, and titles are known to late ones alone."""
+    s = sightings(spark, sf).withColumn("url", F.when(F.col("seq") % 3 == 0, F.concat(F.lit("u"), F.col("seq").cast("string"))).otherwise(F.lit("")))
+    s = s.withColumn("title", F.when(F.col("seq") % 35 == 0, F.concat(F.lit("t"), F.col("seq").cast("string"))))
+    second = F.col("seq") % 7 == 0
+    old = s.filter(~second)
     empty = old.limit(0).select("key", "url", "title", "rent", F.col("at_epoch").alias("first_seen"), F.col("at_epoch").alias("seen_epoch"))
-    return state.merge_current(state.merge_current(empty, old), s.filter(F.col("at_epoch") >= NOW))
+    return state.merge_current(state.merge_current(empty, old), s.filter(second))
+
+
+def q_verdicts(spark, sf):
+    """Verdicts of two passes written to the state; the later one's stand, and rows without one keep theirs."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("seen_epoch"))
+    known = o.withColumn("tenure", F.when(F.col("key") % 5 == 0, F.lit("PLS")))
+    k = F.col("key")
+    judged = o.withColumn("seq", F.explode(F.array(F.lit(1), F.lit(2)))).filter((k % 3 != 0) & ((F.col("seq") == 1) | (k % 2 == 0)))
+    judged = judged.select("key", "seq", F.when(F.col("seq") == 1, "UNKNOWN").otherwise("LLI").alias("tenure"), (F.col("seq") * 40).cast("int").alias("confidence"), F.array(F.concat(F.lit("r"), F.col("seq").cast("string"))).alias("tenure_reasons"))
+    out = state.with_verdicts(known, judged)
+    return state.stale_verdicts(out, ["UNKNOWN", "LLI"]).select("key", "tenure", "confidence", F.array_join("tenure_reasons", ",").alias("reasons"))
 
 
 def q_upsert(spark, sf):
@@ -76,10 +91,12 @@ def q_schema_migration(spark, sf):
 
 
 def q_harvest_union(spark, sf):
-    """Two sources' rows as one, the columns of either where the other lacks them."""
-    a = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit(1).alias("rooms"))
-    b = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    return a.unionByName(b, allowMissingColumns=True)
+    """Three sources' rows as one, of which the third can't be read (a lazy scan that fails when it runs)."""
+    a = lambda: table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    b = lambda: table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    bad = lambda: table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.raise_error(F.lit("no such page")).cast("string").alias("name"))
+    rows, errors = gather({"suppliers": a, "customers": b, "broken": bad})
+    return rows.withColumn("failed", F.lit(",".join(source for source, _ in errors)))
 
 
 def q_event_rows(spark, sf):
@@ -88,7 +105,7 @@ def q_event_rows(spark, sf):
     o = table(spark, sf, "orders")
     k = F.col("o_orderkey")
     judged = o.select(
-        F.element_at(F.array(F.lit("MATCH"), F.lit("DIGEST"), F.lit("REJECT")), (k % 3 + 1).cast("int")).alias("outcome"), F.format_string("o%08d", k).alias("headline"), F.lit("t").alias("text"),
+        F.concat(F.lit("s"), (k % 3 + k % 2).cast("string")).alias("source"), F.element_at(F.array(F.lit("MATCH"), F.lit("DIGEST"), F.lit("REJECT")), (k % 3 + 1).cast("int")).alias("outcome"), F.format_string("o%08d", k).alias("headline"), F.lit("t").alias("text"),
         (k % 5 == 0).alias("high_priority"), (k % 2 == 0).alias("is_new_match"), (k % 7 == 0).alias("rent_drop"),
     )
     return event_rows(judged).withColumn("text", F.md5("text"))
@@ -115,8 +132,7 @@ def q_replay_in_order(spark, sf):
 def q_stream_sightings(spark, sf):
     from quillon.streaming.sightings import run_available
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
-    base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     sightings(spark, sf).repartitionByRange(3, "at_epoch", "seq").sortWithinPartitions("at_epoch", "seq").write.parquet(f"{base}/landed")
     judged = run_available(spark, f"{base}/landed", "key long, seq long, at_epoch long, rent long", f"{base}/state", f"{base}/out", 3)
     return judged.groupBy("key").agg(F.count(F.lit(1)).alias("sightings"), F.count_if("is_new").alias("new"))
@@ -193,16 +209,38 @@ ORACLES = {
     "q_notable_drops": f"""WITH {SIGHTINGS_SQL}, {_LAG} SELECT key, seq, previous - rent >= 20 OR (previous > 0 AND (previous - rent) * 100.0 / previous >= 2) AS notable, previous > 250 AND rent <= 250 AS crossed FROM changes WHERE rent < previous""",
     "q_asof_before": f"""WITH {SIGHTINGS_SQL}, {_MOMENTS} SELECT m.key, moment_id, moment, arg_max(rent, at_epoch * 1000000 + seq) AS rent FROM moments m LEFT JOIN sightings s ON s.key = m.key AND s.rent IS NOT NULL AND s.at_epoch <= m.moment GROUP BY ALL""",
     "q_asof_after": f"""WITH {SIGHTINGS_SQL}, {_MOMENTS} SELECT m.key, moment_id, moment, arg_min(rent, at_epoch * 1000000 + seq) AS rent FROM moments m LEFT JOIN sightings s ON s.key = m.key AND s.rent IS NOT NULL AND s.at_epoch > m.moment GROUP BY ALL""",
-    "q_current_state": f"""WITH {SIGHTINGS_SQL} SELECT key, arg_max('u' || seq, at_epoch * 1000000 + seq) FILTER (WHERE seq % 3 = 0) AS url, CAST(NULL AS VARCHAR) AS title,
-      arg_max(rent, at_epoch * 1000000 + seq) FILTER (WHERE rent IS NOT NULL) AS rent, min(at_epoch) AS first_seen, max(at_epoch) AS seen_epoch FROM sightings GROUP BY key""",
+    "q_current_state": f"""WITH {SIGHTINGS_SQL}, s AS (SELECT *, CASE WHEN seq % 7 = 0 THEN 1000000000 ELSE 0 END + seq AS n, CASE WHEN seq % 3 = 0 THEN 'u' || seq END AS url, CASE WHEN seq % 35 = 0 THEN 't' || seq END AS title FROM sightings),
+      j AS (SELECT *, coalesce(at_epoch < max(at_epoch) OVER (PARTITION BY key ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM s)
+      SELECT key, coalesce(arg_max(url, n) FILTER (WHERE NOT late AND url IS NOT NULL), arg_min(url, n) FILTER (WHERE late AND url IS NOT NULL)) AS url,
+      coalesce(arg_max(title, n) FILTER (WHERE NOT late AND title IS NOT NULL), arg_min(title, n) FILTER (WHERE late AND title IS NOT NULL)) AS title,
+      coalesce(arg_max(rent, n) FILTER (WHERE NOT late AND rent IS NOT NULL), arg_min(rent, n) FILTER (WHERE late AND rent IS NOT NULL)) AS rent,
+      arg_min(at_epoch, n) AS first_seen, max(at_epoch) AS seen_epoch FROM j GROUP BY key""",
+    "q_verdicts": """SELECT key, tenure, confidence, reasons FROM (SELECT o_orderkey AS key,
+        CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderkey % 5 = 0 THEN 'PLS' END WHEN o_orderkey % 2 = 0 THEN 'LLI' ELSE 'UNKNOWN' END AS tenure,
+        CAST(CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN 80 ELSE 40 END AS INTEGER) AS confidence,
+        CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN 'r2' ELSE 'r1' END AS reasons FROM orders) WHERE tenure IS NULL OR tenure IN ('UNKNOWN', 'LLI')""",
+    "q_replay": f"""WITH RECURSIVE {SIGHTINGS_SQL}, s AS (SELECT key, at_epoch, rent, n AS seq, row_number() OVER (PARTITION BY key ORDER BY n) AS k
+        FROM (SELECT *, CASE WHEN seq % 7 = 0 THEN seq + 3000 ELSE seq END * 2 + CASE WHEN seq % 7 = 0 THEN 1 ELSE 0 END AS n FROM sightings)),
+      r AS (
+        SELECT key, k, seq, true AS is_new, true AS is_current, CAST(NULL AS BIGINT) AS previous, CAST(NULL AS BIGINT) AS delta, rent IS NOT NULL AS logged, at_epoch AS seen, rent AS held,
+          CASE WHEN rent IS NOT NULL THEN [{{'e': at_epoch, 'n': 0, 'r': rent}}] ELSE [] END AS log FROM s WHERE k = 1
+        UNION ALL
+        SELECT key, k, seq, false, cur, prev, rent - prev, fresh, greatest(seen, at_epoch), CASE WHEN cur THEN coalesce(rent, held) ELSE coalesce(held, rent) END,
+          CASE WHEN fresh THEN list_sort(list_append(log, {{'e': at_epoch, 'n': len(log), 'r': rent}})) ELSE log END
+        FROM (SELECT *, CASE WHEN cur THEN held ELSE older END AS prev, rent IS NOT NULL AND rent IS DISTINCT FROM older AND rent IS DISTINCT FROM newer AS fresh
+          FROM (SELECT s.key, s.k, s.seq, s.at_epoch, s.rent, r.seen, r.held, r.log, s.at_epoch >= r.seen AS cur,
+              list_filter(r.log, lambda x: x.e <= s.at_epoch)[-1].r AS older, list_filter(r.log, lambda x: x.e > s.at_epoch)[1].r AS newer
+            FROM r JOIN s ON s.key = r.key AND s.k = r.k + 1)))
+      SELECT key, seq, is_new, is_current, previous, delta, coalesce(is_current AND delta < 0, false) AS is_drop, logged FROM r""",
     "q_upsert": "SELECT o_custkey, CASE WHEN o_custkey % 3 = 0 THEN max(o_orderkey) ELSE min(o_orderkey) END AS k FROM orders WHERE o_custkey % 10 <> 0 GROUP BY o_custkey",
     "q_point_lookup": "SELECT o_custkey AS c_custkey, o_orderkey, CASE WHEN o_custkey % 4 <> 0 THEN c_mktsegment END AS c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey",
     "q_schema_migration": "SELECT s_suppkey, s_name, s_suppkey * 60 AS seen_epoch, CAST(NULL AS VARCHAR) AS tenure FROM supplier",
-    "q_harvest_union": "SELECT s_suppkey AS id, s_name AS name, 1 AS rooms FROM supplier UNION ALL SELECT c_custkey, c_name, NULL FROM customer",
-    "q_event_rows": """WITH j AS (SELECT ['MATCH', 'DIGEST', 'REJECT'][CAST(o_orderkey % 3 + 1 AS INTEGER)] AS outcome, printf('o%08d', o_orderkey) AS headline, o_orderkey AS k FROM orders)
+    "q_harvest_union": "SELECT s_suppkey AS id, s_name AS name, 'broken' AS failed FROM supplier UNION ALL SELECT c_custkey, c_name, 'broken' FROM customer",
+    "q_event_rows": """WITH j AS (SELECT ['MATCH', 'DIGEST', 'REJECT'][CAST(o_orderkey % 3 + 1 AS INTEGER)] AS outcome, printf('o%08d', o_orderkey) AS headline, o_orderkey AS k FROM orders),
+      d AS (SELECT 's' || (k % 3 + k % 2) AS source, headline, (row_number() OVER (PARTITION BY k % 3 + k % 2 ORDER BY headline) - 1) // 500 AS page FROM j WHERE outcome = 'DIGEST' AND k % 2 = 0)
       SELECT 'match' AS kind, CASE WHEN k % 5 = 0 THEN 5 ELSE 3 END AS priority, headline AS title, md5('t') AS text FROM j WHERE outcome = 'MATCH' AND k % 2 = 0
       UNION ALL SELECT 'rent_drop', 3, headline, md5('t') FROM j WHERE outcome = 'MATCH' AND k % 7 = 0
-      UNION ALL SELECT 'digest', 2, 'digest', md5(string_agg(headline, chr(10) ORDER BY headline)) FROM j WHERE outcome = 'DIGEST' AND k % 2 = 0""",
+      UNION ALL SELECT 'digest', 2, 'digest of ' || source || CASE WHEN page > 0 THEN ', ' || (page + 1) ELSE '' END, md5(string_agg(headline, chr(10) ORDER BY headline)) FROM d GROUP BY source, page""",
     "q_group_history": f"""WITH {SIGHTINGS_SQL}, {_LAG} SELECT key % 4 AS group_key, key, rent, seq, row_number() OVER (PARTITION BY key % 4 ORDER BY at_epoch, seq, key) AS step FROM changes WHERE rent IS NOT NULL AND rent IS DISTINCT FROM previous AND key % 4 <> 3""",
     "q_replay_in_order": f"""WITH {SIGHTINGS_SQL}, {_LAG}, n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY at_epoch, seq) AS k FROM changes) SELECT key, k AS seq, rent, previous, rent - previous AS delta, coalesce(rent < previous, false) AS is_drop FROM n""",
     "q_stream_sightings": f"WITH {SIGHTINGS_SQL} SELECT key, count(*) AS sightings, CAST(1 AS BIGINT) AS new FROM sightings GROUP BY key",

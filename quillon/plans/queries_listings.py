@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.functions.format import facts_line
-from quillon.functions.text import place_key
+from quillon.functions.text import dedup_key, place_key
 from quillon.operators import filters as P
 from quillon.operators import resolve, score, state
 from quillon.operators.classify import classify
+from quillon.plans.listing_pass import delivered, run_pass
 from quillon.plans.tables import LISTINGS_SQL, listings, table
 from quillon.schema import LISTING
+from quillon.sources.sinks import event_rows
 
 CRITERIA = P.Criteria(
     postcode_prefixes=["75", "78", "92"], min_rooms=3, min_surface_m2=60.0, max_rent=1800, exclude_patterns=["\\bparking\\b", "steel"], exclude_title_patterns=["^promo"],
@@ -103,15 +105,18 @@ def q_clusters(spark, sf):
 
 
 def q_group_adoption(spark, sf):
-    c = table(spark, sf, "customer")
-    members = c.select((F.col("c_custkey") % 500).alias("cluster"), F.col("c_custkey").alias("seq"), F.concat(F.lit("k"), F.col("c_custkey").cast("string")).alias("key")).filter("seq % 3 <> 0")
-    groups = c.filter("c_custkey % 6 = 1").select(F.concat(F.lit("k"), F.col("c_custkey").cast("string")).alias("key"), F.concat(F.lit("g"), (F.col("c_custkey") % 500).cast("string")).alias("group_key"))
+    """Clusters of some customers, groups of others: many clusters meet several groups, and chains of them form."""
+    c, k = table(spark, sf, "customer"), F.col("c_custkey")
+    name = F.concat(F.lit("k"), k.cast("string"))
+    members = c.select(F.floor(k / 4).alias("cluster"), k.alias("seq"), name.alias("key")).filter("seq % 3 <> 0")
+    groups = c.filter("c_custkey % 8 in (1, 2, 4)").select(name.alias("key"), F.concat(F.lit("g"), F.lpad(F.floor((k + 5) / 10).cast("string"), 6, "0")).alias("group_key"))
     return resolve.adopt_groups(members, groups)
 
 
 def q_within_source_dedup(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.concat_ws("|", "source", F.md5("text")).alias("key"))
-    return resolve.within_source(d, "key", "doc_id").select("doc_id")
+    """With ties in the order, and documents without a key."""
+    d = table(spark, sf, "documents").select("doc_id", F.floor(F.col("doc_id") / 3).alias("place"), F.when(F.col("doc_id") % 50 != 0, F.concat_ws("|", "source", F.md5("text"))).alias("key"))
+    return resolve.within_source(d, "key", "place").select("key", "place")
 
 
 def q_profile_lookup(spark, sf):
@@ -119,8 +124,12 @@ def q_profile_lookup(spark, sf):
     return state.with_profile(table(spark, sf, "documents").select("doc_id", "source"), profiles).select("doc_id", "family", "default_tenure", "mixed_tenure")
 
 
-#: Titles and fields by order, and what they must be classified as (without a default, on a mixed source).
+#: Titles, fields and more by order, and what they must be classified as (on a mixed source without a default, unless
+#: the source is b: one of free rents alone).
 TEXTS = [
+    ({"title": "LLI", "description": "logement social"}, "", "UNKNOWN"), ({"title": "loyer intermédiaire conventionné"}, "", "LLI"), ({"title": "LLI", "url": "https://x/hlm/1"}, "", "UNKNOWN"),
+    ({"title": "LLI", "field": "typeLogementSocial"}, "1", "UNKNOWN"), ({"field": "other"}, "HLM", "UNKNOWN"), ({"title": "PLUS ou PLAI"}, "", "PLUS"), ({"title": "x &eacute; LLI"}, "", "UNKNOWN"), ({"source": "b"}, "", "LIBRE"),
+    ({"description": "logement locatif social"}, "", "SOCIAL"), ({}, "plus", "PLUS"), ({"title": "logement\nintermédiaire"}, "", "UNKNOWN"),
     ("Logement intermédiaire", "", "LLI"), ("Appartement PLS", "", "PLS"), ("Résidence HLM", "", "SOCIAL"), ("financement PLUS.", "", "PLUS"), ("PLUS grand que prévu", "", "UNKNOWN"),
     ("T3", "PLAI", "PLAI"), ("LLI", "PLS", "PLS"), ("commission d'attribution", "", "SOCIAL"), ("sans commission d'attribution", "", "LLI"), ("loyers intermédiaires", "", "LLI"), ("T2 calme", "", "UNKNOWN"), ("LLI", "hlm?", "SOCIAL"),
 ]
@@ -129,13 +138,14 @@ TEXTS = [
 def _texts(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey")
     at = (F.col("o_orderkey") % len(TEXTS) + 1).cast("int")
-    value = F.element_at(F.array(*[F.lit(t[1]) for t in TEXTS]), at)
-    columns = {
-        "source": F.lit("a"), "external_id": F.col("o_orderkey").cast("string"), "title": F.element_at(F.array(*[F.lit(t[0]) for t in TEXTS]), at), "description": F.lit(""),
-        "fields": F.when(value != "", F.create_map(F.lit("financement"), value)).otherwise(F.create_map().cast("map<string,string>")),
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), at)
+    said = [t[0] if isinstance(t[0], dict) else {"title": t[0]} for t in TEXTS]
+    value = pick([t[1] for t in TEXTS])
+    columns = {k: pick([s.get(k, default) for s in said]) for k, default in (("source", "a"), ("title", ""), ("description", ""), ("url", None))} | {
+        "external_id": F.col("o_orderkey").cast("string"), "fields": F.when(value != "", F.create_map(pick([s.get("field", "financement") for s in said]), value)).otherwise(F.create_map().cast("map<string,string>")),
     }
     rows = o.select(*[columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in LISTING])
-    profile = spark.createDataFrame([("a", "institutional", None, True)], "source string, family string, default_tenure string, mixed_tenure boolean")
+    profile = spark.createDataFrame([("a", "institutional", None, True), ("b", "private", "LIBRE", False)], "source string, family string, default_tenure string, mixed_tenure boolean")
     return state.with_profile(rows, profile)
 
 
@@ -143,9 +153,26 @@ def q_classify(spark, sf):
     return classify(_texts(spark, sf)).select(F.col("external_id").cast("long").alias("id"), "tenure", "outcome")
 
 
+#: Titles by customer for a whole pass, and what they are classified as.
+PASS_TEXTS = [("Logement intermédiaire", "LLI"), ("Appartement PLS", "PLS"), ("T2 calme", "UNKNOWN"), ("LLI neuf", "LLI"), ("Résidence HLM", "SOCIAL")]
+
+
 def q_pass_counters(spark, sf):
-    out = classify(_texts(spark, sf))
-    return out.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("confidence") >= 90).alias("sure"))
+    """A whole pass over the customers as listings, one source of which failed; some are known, some notified."""
+    e = _entities(spark, sf).join(table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), "n_name"), "id")
+    columns = {
+        "source": F.col("source"), "external_id": F.col("id").cast("string"), "title": F.element_at(F.array(*[F.lit(t) for t, _ in PASS_TEXTS]), (F.col("id") % len(PASS_TEXTS) + 1).cast("int")), "description": F.lit(""),
+        "fields": F.create_map().cast("map<string,string>"), "commune": F.col("n_name"), "postcode": F.when(F.col("id") % 6 != 0, F.lit("75001")).otherwise(F.lit("13001")), "rent_cc": F.col("rent"),
+        "surface_m2": F.col("surface_m2"), "rooms": F.col("rooms"), "floor": F.col("floor"),
+    }
+    harvest = e.select(*[columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in LISTING], F.col("seq").cast("long").alias("seq"))
+    profiles = harvest.select("source").distinct().select("source", F.lit("private").alias("family"), F.lit(None).cast("string").alias("default_tenure"), F.lit(True).alias("mixed_tenure"))
+    known = e.filter("id % 5 = 0 or id % 4 = 0").select(
+        dedup_key(F.col("source"), F.col("id").cast("string"), F.lit(None).cast("string"), F.lit("")).alias("key"), (F.col("rent") + F.when(F.col("id") % 4 == 0, 100).otherwise(0)).cast("int").alias("rent"),
+        F.lit(0).cast("long").alias("first_seen"), F.when(F.col("id") % 5 == 0, F.lit(1)).alias("notified_at"),
+    )
+    out = run_pass(harvest, profiles, known, P.Criteria(postcode_prefixes=["75"], max_rent=1800), WEIGHTS, 1_000, errors=[("lost", "OSError: gone")])
+    return delivered(out.counters, out.judged.filter("is_new_match or rent_drop"), False)
 
 
 def q_stale_verdicts(spark, sf):
@@ -161,8 +188,9 @@ def q_not_notified(spark, sf):
 
 
 def q_digest(spark, sf):
-    d = table(spark, sf, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.format_string("%s-%06d", F.col("lang"), F.col("doc_id")))).alias("lines"))
-    return d.select("source", F.md5(F.array_join("lines", ",")).alias("digest"), F.size("lines").cast("long").alias("n"))
+    no = F.lit(False)
+    judged = table(spark, sf, "documents").select("source", F.lit("DIGEST").alias("outcome"), F.format_string("%s-%06d", F.col("lang"), F.col("doc_id")).alias("headline"), F.lit("").alias("text"), no.alias("high_priority"), F.lit(True).alias("is_new_match"), no.alias("rent_drop"))
+    return event_rows(judged).select("kind", "title", F.md5("text").alias("digest"))
 
 
 QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}
@@ -182,6 +210,15 @@ _SCORED = f"""WITH {LISTINGS_SQL}, judged AS (SELECT *, {_REASON} AS reason FROM
       + CASE WHEN age IS NULL OR age <= 3600 THEN 10 ELSE 0 END AS earned
     FROM judged WHERE reason IS NULL))"""
 _AGREED = "coalesce(r, true) AND coalesce(s, true) AND coalesce(n, true) AND coalesce(f, true) AND CAST(coalesce(r, false) AS INTEGER) + CAST(coalesce(s, false) AS INTEGER) + CAST(coalesce(n, false) AS INTEGER) >= 2"
+#: Greedy clusters, place by place in the order of ids.
+_CLUSTERS = f"""WITH RECURSIVE {ENTITIES_SQL}, before AS (SELECT id_b AS id, list(id_a) AS earlier FROM pairs WHERE {_AGREED} GROUP BY id_b),
+  numbered AS (SELECT e.id, e.place, row_number() OVER (PARTITION BY place ORDER BY e.id) AS k, coalesce(earlier, []) AS earlier FROM e LEFT JOIN before ON before.id = e.id),
+  walked AS (
+    SELECT DISTINCT place, CAST(0 AS BIGINT) AS k, CAST([] AS INT64[]) AS held, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS survivor FROM e
+    UNION ALL
+    SELECT place, k, CASE WHEN met IS NULL THEN list_append(held, id) ELSE held END, id, coalesce(met, id)
+    FROM (SELECT n.place, n.k, n.id, w.held, list_min(list_intersect(w.held, CAST(n.earlier AS INT64[]))) AS met FROM walked w JOIN numbered n ON n.place = w.place AND n.k = w.k + 1)
+  ), clusters AS (SELECT id, survivor FROM walked WHERE k > 0)"""
 _TENURES = "[" + ", ".join(f"'{t[2]}'" for t in TEXTS) + "]"
 _OUTCOME = "CASE WHEN tenure IN ('LLI', 'LIBRE') THEN 'MATCH' WHEN tenure = 'UNKNOWN' THEN 'DIGEST' ELSE 'REJECT' END"
 
@@ -201,12 +238,30 @@ ORACLES = {
       CASE WHEN surface_m2 IS NOT NULL THEN regexp_replace(replace(printf('%.1f', CAST(surface_m2 AS DOUBLE)), '.', ','), ',0$', '') || ' m²' END,
       CASE WHEN rent IS NOT NULL THEN replace(format('{{:,}}', rent), ',', ' ') || ' €' END) AS facts FROM listings""",
     "q_duplicate_pairs": f"WITH {ENTITIES_SQL} SELECT id_a, id_b FROM pairs WHERE {_AGREED}",
-    "q_within_source_dedup": "SELECT min(doc_id) AS doc_id FROM documents GROUP BY source, md5(text)",
+    "q_within_source_dedup": """WITH d AS (SELECT doc_id // 3 AS place, CASE WHEN doc_id % 50 <> 0 THEN source || '|' || md5(text) END AS key FROM documents)
+      SELECT key, min(place) AS place FROM d WHERE key IS NOT NULL GROUP BY key UNION ALL SELECT key, place FROM d WHERE key IS NULL""",
+    "q_clusters": f"{_CLUSTERS} SELECT id, survivor FROM clusters",
+    "q_pass_counters": f"""{_CLUSTERS}, judged AS (SELECT id, rent, CASE WHEN id % 6 = 0 OR coalesce(rent > 1800, false) THEN 'REJECT' ELSE ['MATCH', 'REJECT', 'DIGEST', 'MATCH', 'REJECT'][CAST(id % 5 + 1 AS INTEGER)] END AS outcome
+      FROM clusters JOIN e USING (id) WHERE id = survivor), marked AS (SELECT *, outcome <> 'REJECT' AND id % 5 <> 0 AS fresh, outcome = 'MATCH' AND id % 4 = 0 AND rent IS NOT NULL AS fell FROM judged)
+      SELECT (SELECT count(DISTINCT source) FROM e) + 1 AS sources_run, CAST(1 AS BIGINT) AS sources_failed, (SELECT count(*) FROM e) AS items, count(*) AS clusters, (SELECT count(*) FROM e) - count(*) AS duplicates,
+        count(*) FILTER (WHERE outcome = 'MATCH') AS matches, count(*) FILTER (WHERE outcome = 'DIGEST') AS digests, count(*) FILTER (WHERE outcome = 'REJECT') AS rejects,
+        count(*) FILTER (WHERE fresh) AS new, count(*) FILTER (WHERE fell) AS drops, count(*) FILTER (WHERE fresh OR fell) AS undelivered FROM marked""",
+    "q_group_adoption": """WITH RECURSIVE m AS (SELECT c_custkey // 4 AS cluster, c_custkey AS seq, 'k' || c_custkey AS key FROM customer WHERE c_custkey % 3 <> 0),
+      g AS (SELECT 'k' || c_custkey AS key, 'g' || lpad(CAST((c_custkey + 5) // 10 AS VARCHAR), 6, '0') AS group_key FROM customer WHERE c_custkey % 8 IN (1, 2, 4)),
+      known AS (SELECT m.*, group_key FROM m LEFT JOIN g USING (key) WHERE cluster IN (SELECT cluster FROM m GROUP BY cluster HAVING count(*) > 1)),
+      adopted AS (SELECT cluster, coalesce(arg_min(group_key, seq) FILTER (WHERE group_key IS NOT NULL), arg_min(key, seq)) AS name FROM known GROUP BY cluster),
+      links AS (SELECT DISTINCT group_key AS a, name AS b FROM known JOIN adopted USING (cluster) WHERE group_key IS NOT NULL),
+      edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+      reach AS (SELECT a, a AS b FROM edges UNION SELECT r.a, x.b FROM reach r JOIN edges x ON r.b = x.a),
+      final AS (SELECT r.a, min(r.b) AS name FROM reach r WHERE r.b IN (SELECT b FROM links) GROUP BY r.a)
+      SELECT key, coalesce(name, group_key) AS group_key FROM g LEFT JOIN final ON a = group_key
+      UNION ALL SELECT key, coalesce(final.name, adopted.name) FROM known JOIN adopted USING (cluster) LEFT JOIN final ON final.a = adopted.name WHERE group_key IS NULL""",
     "q_profile_lookup": """SELECT doc_id, CASE WHEN i < 12 AND i % 2 = 1 THEN 'private' ELSE 'institutional' END AS family, CASE WHEN i < 12 AND i % 3 = 0 THEN 'LIBRE' END AS default_tenure,
       CASE WHEN i < 12 THEN i % 4 = 0 ELSE true END AS mixed_tenure FROM (SELECT doc_id, CAST(substr(source, 4) AS INTEGER) AS i FROM documents)""",
     "q_classify": f"SELECT id, tenure, {_OUTCOME} AS outcome FROM (SELECT o_orderkey AS id, {_TENURES}[CAST(o_orderkey % {len(TEXTS)} + 1 AS INTEGER)] AS tenure FROM orders)",
     "q_stale_verdicts": """SELECT doc_id AS key, tenure FROM (SELECT d.doc_id, CASE WHEN quality = 1 THEN 'LLI' WHEN quality = 0 THEN 'UNKNOWN' END AS tenure FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
       WHERE tenure IS NULL OR tenure = 'UNKNOWN'""",
     "q_not_notified": "SELECT doc_id AS key, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",
-    "q_digest": "SELECT source, md5(string_agg(line, ',' ORDER BY line)) AS digest, count(*) AS n FROM (SELECT source, printf('%s-%06d', lang, doc_id) AS line FROM documents) GROUP BY source",
+    "q_digest": """SELECT 'digest' AS kind, 'digest of ' || source || CASE WHEN page > 0 THEN ', ' || (page + 1) ELSE '' END AS title, md5(string_agg(line, chr(10) ORDER BY line)) AS digest
+      FROM (SELECT source, line, (row_number() OVER (PARTITION BY source ORDER BY line) - 1) // 500 AS page FROM (SELECT source, printf('%s-%06d', lang, doc_id) AS line FROM documents)) GROUP BY source, page""",
 }

@@ -86,16 +86,18 @@ def q_iso_epoch(spark, sf):
 
 
 def q_html_title(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"))
+    return L.html_cards(table(spark, sf, "pages"), "head", {"title": "title"}).select("page_id", F.try_element_at("item", F.lit("title")).alias("title"))
 
 
 def q_html_links(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit("href=\"([^\"]*)\""), F.lit(1))).cast("long").alias("links"))
+    links = L.html_cards(table(spark, sf, "pages"), "a", {})
+    return links.groupBy("page_id").agg(F.count(F.try_element_at("item", F.lit("attr.href"))).alias("links"))
 
 
 def q_html_cards(spark, sf):
-    cards = L.html_cards(table(spark, sf, "pages"), "p", {"text": "p", "link": "a @href"})
-    return cards.groupBy("page_id").agg(F.count("position").alias("cards"))
+    cards = L.html_cards(table(spark, sf, "pages"), "nav li", {"link": "a @href", "name": "a", "letter": "a @href => /(.)"})
+    at = lambda k: F.try_element_at("item", F.lit(k)).alias(k.strip("_"))
+    return cards.select("page_id", "position", at("link"), at("name"), at("letter"), at("_text"), "error")
 
 
 def q_flatten(spark, sf):
@@ -147,6 +149,12 @@ def _fold_sql(c: str) -> str:
     return f"translate(trim(regexp_replace(regexp_replace({bare}, '[\\t\\v\\f\\r\\p{{Zs}}]+', ' ', 'g'), ' ?\\n\\s*', chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13)), {_LOW})"
 
 
+def _plain_html(c: str) -> str:
+    for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&amp;", "&")):
+        c = f"replace({c}, '{entity}', '{plain}')"
+    return c
+
+
 _ENTITY_SQL = "regexp_matches(text, '&(?:[a-zA-Z][a-zA-Z0-9]{1,10}|#\\d{1,6}|#[xX][0-9a-fA-F]{1,6});')"
 _CENTS = "CAST(round(o_totalprice * 100) AS BIGINT)"
 ORACLES = {
@@ -164,7 +172,12 @@ ORACLES = {
     "q_url_normalise": "SELECT page_id, 'https://www.example.org:8080' || regexp_replace(regexp_extract(url, '^[a-z]+://[^/]*(/.*)?$', 1), '#.*', '') AS url, 'https://example.org/p/' || page_id AS absolute FROM pages",
     "q_dedup_key": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'site%20a~b:id:id%20' || page_id ELSE 'site%20a~b:h:' || sha256(regexp_replace(url, '#.*', '') || chr(10) || 't') END AS key FROM pages",
     "q_iso_epoch": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN CAST(epoch(date_trunc('day', o_orderdate)) AS BIGINT) + 37230 - CASE WHEN o_orderkey % 3 = 1 THEN 7200 ELSE 0 END END AS epoch, CAST(NULL AS BIGINT) AS never FROM orders",
-    "q_html_title": "SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages",
+    "q_html_title": f"""SELECT page_id, nullif(trim(regexp_replace({_plain_html("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}, '\\s+', ' ', 'g')), '') AS title FROM pages""",
+    "q_html_cards": f"""WITH n AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<li>(.*?)</li>', 1) AS lis FROM pages),
+      c AS (SELECT page_id, unnest(lis) AS li, unnest(range(len(lis))) AS position FROM n)
+      SELECT page_id, CAST(position AS INTEGER) AS position, {_plain_html("regexp_extract(li, 'href=\"([^\"]*)\"', 1)")} AS link, {_plain_html("regexp_extract(li, '>([^<]*)<', 1)")} AS name,
+        left({_plain_html("regexp_extract(li, 'href=\"/([^\"]*)\"', 1)")}, 1) AS letter, {_plain_html("regexp_extract(li, '>([^<]*)<', 1)")} AS text, CAST(NULL AS VARCHAR) AS error FROM c
+      UNION ALL SELECT page_id, NULL, NULL, NULL, NULL, NULL, 'no card found' FROM n WHERE len(lis) = 0""",
     "q_html_links": "SELECT page_id, len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS links FROM pages",
     "q_flatten": "SELECT event_id, 'true' AS a0, json_extract_string(props, '$.k') AS k, CAST(2 AS BIGINT) AS n FROM events",
     "q_map_items": "SELECT event_id, event_type AS commune, CAST(event_id % 2000 AS INTEGER) AS rent_cc, 3 AS floor, true AS has_elevator, 'https://example.org/' || event_id AS url FROM events",

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.shared import kept
 from quillon.functions import extract as X
 from quillon.functions.text import absolute_url, is_listing_link, stable_link
 from quillon.schema import LISTING
@@ -284,12 +285,13 @@ def complete(pages: DataFrame, declared: DataFrame) -> DataFrame:
 def gather(scans: dict[str, object]) -> tuple[DataFrame | None, list[tuple[str, str]]]:
     """All scans' rows as one, and the errors (source, message) of those that failed: one source's failure stays its own.
 
-    A scan is a function without arguments that returns listing rows.
+    A scan is a function without arguments that returns listing rows. Each is run and landed in the shared folder by
+    itself, so a file that can't be read fails its own source, not what is done with all of them.
     """
     rows, errors = None, []
     for name, scan in scans.items():
         try:
-            found = scan()
+            found = kept(scan(), "scan")
             rows = found if rows is None else rows.unionByName(found)
         except Exception as e:
             errors.append((name, f"{type(e).__name__}: {e}"[:500]))

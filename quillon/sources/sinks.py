@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,7 +19,9 @@ class ConsoleChannel:
     name = "console"
 
     def send(self, events: DataFrame, batch: int) -> None:
-        events.select("kind", "priority", "title", "text").show(100, truncate=False)
+        """All events, a line each; the driver holds one partition of them at a time."""
+        for e in events.select("kind", "priority", "title", "text").toLocalIterator():
+            print(f"[{e.kind} {e.priority}] {e.title}: {e.text}")
 
 
 class FileChannel:
@@ -50,10 +52,17 @@ def notify(channels: list[Channel], problem: Callable[[str, Exception], None] =
     return send
 
 
+#: Headlines in one digest; what is more goes into further ones.
+DIGEST_LINES = 500
+
+
 def event_rows(judged: DataFrame) -> DataFrame:
-    """Notifications of judged listings (outcome, headline, text, high_priority, is_new_match, rent_drop): matches one by
-    one, drops, and one digest."""
+    """Notifications of judged listings (source, outcome, headline, text, high_priority, is_new_match, rent_drop): matches
+    one by one, drops, and digests of each source's other listings, in order of the headline, DIGEST_LINES in each."""
     one = judged.filter("outcome = 'MATCH' and is_new_match").select(F.lit("match").alias("kind"), F.when(F.col("high_priority"), 5).otherwise(3).alias("priority"), F.col("headline").alias("title"), "text")
     drop = judged.filter("outcome = 'MATCH' and rent_drop").select(F.lit("rent_drop").alias("kind"), F.lit(3).alias("priority"), F.col("headline").alias("title"), "text")
-    digest = judged.filter("outcome = 'DIGEST' and is_new_match").groupBy().agg(F.array_sort(F.collect_list("headline")).alias("lines")).filter(F.size("lines") > 0)
-    return one.unionByName(drop).unionByName(digest.select(F.lit("digest").alias("kind"), F.lit(2).alias("priority"), F.lit("digest").alias("title"), F.array_join("lines", "\n").alias("text")))
+    place = F.row_number().over(Window.partitionBy("source").orderBy("headline"))
+    paged = judged.filter("outcome = 'DIGEST' and is_new_match").select("source", "headline", F.floor((place - 1) / DIGEST_LINES).alias("page"))
+    digest = paged.groupBy("source", "page").agg(F.array_sort(F.collect_list("headline")).alias("lines"))
+    title = F.concat(F.lit("digest of "), F.col("source"), F.when(F.col("page") > 0, F.concat(F.lit(", "), (F.col("page") + 1).cast("string"))).otherwise(""))
+    return one.unionByName(drop).unionByName(digest.select(F.lit("digest").alias("kind"), F.lit(2).alias("priority"), title.alias("title"), F.array_join("lines", "\n").alias("text")))

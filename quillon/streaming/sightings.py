@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillon.operators.state import REPLAYED, Ledger
+from quillon.shared import kept
 
 STATE = "seen long, rent long, epochs array<long>, rents array<long>"
 
@@ -17,7 +18,7 @@ STATE = "seen long, rent long, epochs array<long>, rents array<long>"
 def _judge(key, frames, state: GroupState):
     """One key's new sightings, in the order of arrival, against its ledger."""
     seen, rent, epochs, rents = state.get if state.exists else (None, None, [], [])
-    ledger = Ledger(seen, rent, [(e, i, r) for i, (e, r) in enumerate(zip(epochs, rents, strict=True))])
+    ledger = Ledger(seen, rent, [(e, i, r) for i, (e, r) in enumerate(zip(epochs, rents, strict=True))])  # in the order of time
     rows = pd.concat(list(frames)).sort_values("seq")
     out = []
     for row in rows.itertuples(index=False):
@@ -57,7 +58,7 @@ def notify_once(events: DataFrame, ledger: str, batch: int, send) -> bool:
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
         fresh = events
-    fresh = fresh.checkpoint() if spark.sparkContext.getCheckpointDir() else fresh.persist()
+    fresh = kept(fresh, "events")
     if fresh.isEmpty() or not send(fresh, batch):
         return False
     fresh.select("key", F.lit(batch).alias("batch_id")).write.mode("overwrite").parquet(os.path.join(ledger, f"part={batch}"))

@@ -158,7 +158,9 @@ def test_run_pass(spark):
     judged = {r.external_id: r for r in out.judged.collect()}
     assert {k: v.outcome for k, v in judged.items()} == {"1": "MATCH", "3": "REJECT", "4": "REJECT", "5": "DIGEST"}
     assert judged["1"].rent_drop and judged["1"].is_new_match and "1 200 €" in judged["1"].text
-    assert tuple(out.counters.first()) == (4, 1, 1, 2, 2, 1)
+    assert tuple(out.counters.first()) == (2, 0, 5, 4, 1, 1, 1, 2, 2, 1, 0)
+    stored = state.with_verdicts(known, out.verdicts).first()
+    assert (stored.tenure, stored.rent) == ("LLI", 1200) and stored.confidence > 0 and stored.tenure_reasons
 
 
 def test_merged_with(spark):
@@ -166,3 +168,47 @@ def test_merged_with(spark):
     detail = spark.createDataFrame([listing(title="", description="d", fields={"x": "2"}, rooms=3)], LISTING)
     r = merged_with(base, detail, ["source", "external_id"]).first()
     assert (r.title, r.description, r.url, r.rooms, r.fields) == ("a", "d", "u", 3, {"x": "2", "y": "1"})
+
+
+def test_within_source_keeps_one_of_a_tie_and_all_without_a_key(spark):
+    df = spark.createDataFrame([("k", 1, "a"), ("k", 1, "b"), ("k", 2, "c"), (None, 1, "d"), (None, 1, "d"), ("m", 5, "e")], "dedup_key string, seq long, title string")
+    out = [tuple(r) for r in resolve.within_source(df).collect()]
+    assert len(out) == 4 and sum(r[0] is None for r in out) == 2 and ("m", 5, "e") in out and sum(r[:2] == ("k", 1) for r in out) == 1
+
+
+def test_merge_current_with_late_sightings(spark):
+    rng = random.Random(5)
+    batches, n = [], 0
+    for _ in range(3):
+        batches.append([(k, rng.choice([None, "", f"u{n + i}"]), rng.choice(["", f"t{n + i}"]), rng.choice([None, 100 + n + i]), rng.randrange(60), n + i) for i in range(40) for k in [rng.randrange(6)]])
+        n += 40
+    want = {}
+    for key, url, title, rent, at, _ in (row for b in batches for row in b):  # one by one
+        if key not in want:
+            want[key] = [url or None, title or None, rent, at, at]
+            continue
+        s = want[key]
+        if at >= s[4]:
+            s[0], s[1], s[2], s[4] = url or s[0], title or s[1], rent if rent is not None else s[2], at
+        else:
+            s[0], s[1], s[2] = s[0] or url or None, s[1] or title or None, rent if s[2] is None else s[2]
+    out = spark.createDataFrame([], "key long, url string, title string, rent long, first_seen long, seen_epoch long")
+    for b in batches:
+        out = state.merge_current(out, spark.createDataFrame(b, "key long, url string, title string, rent long, at_epoch long, seq long"))
+    assert {r.key: list(r)[1:] for r in out.collect()} == want
+
+
+def test_rolling_means_with_clocks_set_back(spark):
+    rng = random.Random(4)
+    runs = [(s, i, rng.randrange(12) * 100_000 if s == "wild" else i * 50_000 - (i % 7 == 0) * 80_000, rng.randrange(5), rng.random() < 0.8, None) for s in ("wild", "mostly") for i in range(60)]
+    out = {(r.source, r.seq): r.rolling_mean for r in health.before(spark.createDataFrame(runs, "source string, seq long, at_epoch long, item_count long, ok boolean, error string")).collect()}
+    for s, i, at, _, _, _ in runs:
+        seen = [n for s2, j, e, n, ok, _ in runs if s2 == s and j < i and ok and at - health.WINDOW <= e <= at]
+        assert out[s, i] == (sum(seen) / len(seen) if seen else None)
+
+
+def test_adopted_groups_chain(spark):
+    members = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 3, "b2"), (2, 4, "c"), (3, 5, "x"), (3, 6, "y"), (4, 7, "z")], "cluster long, seq long, key string")
+    groups = spark.createDataFrame([("a", "g1"), ("b", "g2"), ("b2", "g2"), ("c", "g3"), ("old", "g3"), ("z", "g9")], "key string, group_key string")
+    out = {r.key: r.group_key for r in resolve.adopt_groups(members, groups).collect()}
+    assert out == {"a": "g1", "b": "g1", "b2": "g1", "c": "g1", "old": "g1", "x": "x", "y": "x", "z": "g9"}

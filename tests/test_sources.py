@@ -60,8 +60,9 @@ def test_failures_stay_apart(spark):
     def bad():
         raise OSError("gone")
 
-    rows, errors = L.gather({"good": lambda: spark.range(3), "bad": bad, "more": lambda: spark.range(2)})
-    assert rows.count() == 5 and errors == [("bad", "OSError: gone")]
+    lazy = lambda: spark.range(3).selectExpr("id + raise_error('no such page') AS id")
+    rows, errors = L.gather({"good": lambda: spark.range(3), "bad": bad, "lazy": lazy, "more": lambda: spark.range(2)})
+    assert rows.count() == 5 and errors[0] == ("bad", "OSError: gone") and errors[1][0] == "lazy" and len(errors) == 2
 
 
 def test_notifications_are_sent_once(spark, tmp_path):
@@ -79,3 +80,15 @@ def test_notifications_are_sent_once(spark, tmp_path):
     assert not notify_once(events, str(tmp_path / "ledger"), 2, send)
     assert not notify_once(events, str(tmp_path / "none"), 1, notify([Broken()]))
     assert not (tmp_path / "none").exists()
+
+
+def test_the_console_prints_all_events(spark, capsys):
+    from quillon.sources.sinks import event_rows
+
+    rows = [("s", "MATCH", f"m{i}", "t", False, True, False) for i in range(250)] + [("s", "DIGEST", f"d{i:04}", "t", False, True, False) for i in range(1100)]
+    judged = spark.createDataFrame(rows, "source string, outcome string, headline string, text string, high_priority boolean, is_new_match boolean, rent_drop boolean")
+    events = event_rows(judged)
+    ConsoleChannel().send(events, 1)
+    out = capsys.readouterr().out
+    assert all(f"m{i}: t" in out for i in range(250)) and all(f"d{i:04}" in out for i in range(1100))
+    assert sorted(r.title for r in events.filter("kind = 'digest'").collect()) == ["digest of s", "digest of s, 2", "digest of s, 3"]
