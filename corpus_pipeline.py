@@ -28,30 +28,40 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that are predicted toxic. Null texts count as empty."""
+    """Without the documents that are predicted toxic. Null texts count as empty and are judged as such; null ids and
+    repeated rows are judged like others; an empty table stays empty."""
     return tox.score(docs, toxicity_model(spark, sf_dir, docs)).filter(F.col("toxic") == 0).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of at least 20 code points that three documents hold stay in the last of them alone. Null texts become
+    empty; rows with a null id stay whole; rows that repeat an id are one document; an empty table stays empty."""
     return _documents(drop_lines(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each class stays. Null texts are empty ones, all of which are one class;
+    rows with a null id stay; rows that repeat an id stay or go together; an empty table stays empty."""
     return drop_near_duplicates(docs).select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more stay where they occur first. Null texts become empty; rows with a null id stay
+    whole; rows that repeat id and text are cut alike; an empty table stays empty."""
     return _documents(cut_passages(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document in a sequence. Null texts are the end id alone; null ids stay null; repeated
+    rows are packed as often as they occur; an empty table gives no rows."""
     pieces = with_crc32(pack_along_curve(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("packing", packing)]
 
-#: Models and packing along the curve can't be put in SQL: tests/llm compares the stages with brute-force versions.
+#: Models and packing along the curve can't be put in SQL: tests/llm/test_pipeline.py compares each stage with a
+#: brute-force version.
 ORACLE_SQL = None
 
 

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 
-from quillon.llm.common import SLICE_BYTES, give_back, parallelism, slices
+from quillon.llm.common import SLICE_BYTES, give_back, slices
 
 BLOCK_BYTES = 16 << 20
 
@@ -109,9 +109,8 @@ def by_bucket(words: list[bytes], buckets: int) -> Iterator[tuple[int, np.ndarra
 MEET = "block long, kind int, ids array<long>, data binary"
 
 
-def meet(dictionary: DataFrame, documents: DataFrame) -> DataFrame:
-    """Both kinds of rows of each block together, the dictionary first."""
-    n = parallelism(dictionary.sparkSession)
+def meet(dictionary: DataFrame, documents: DataFrame, n: int) -> DataFrame:
+    """Both kinds of rows of each block together in n tasks, the dictionary first."""
     return dictionary.unionByName(documents).repartition(n, "block").sortWithinPartitions("block", "kind")
 
 

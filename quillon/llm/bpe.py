@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm.blocks import MEET, Block, blocks, blocks_met, by_bucket, meet, meet_rows, pack_words, squeeze, unpack_words, unsqueeze
-from quillon.llm.common import parallelism
+from quillon.llm.common import tasks_for, text_bytes
 
 
 #: White space that cuts before spaces would not leave in whole pre-tokens.
@@ -54,7 +54,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     are not returned. An empty table gives no rows. docs must give its rows in the same order again (tables do); if
     it doesn't, the job fails rather than mixing words up.
     """
-    buckets = parallelism(docs.sparkSession)
+    buckets = tasks_for(docs.sparkSession, text_bytes(docs, text_col))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     split = regex.compile(pattern).findall
 
@@ -135,7 +135,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=[id_col, "ids"])
 
     dictionary = rows.mapInArrow(words, "bucket int, block long, places binary, words binary").repartition(buckets, "bucket").mapInArrow(once, MEET)
-    return meet(dictionary, rows.mapInArrow(documents, MEET)).mapInArrow(assemble, f"`{id_col}` long, ids array<int>")
+    return meet(dictionary, rows.mapInArrow(documents, MEET), buckets).mapInArrow(assemble, f"`{id_col}` long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.blocks import Block, Index, blocks, by_bucket, pack_words, squeeze, unpack_words, unsqueeze
-from quillon.llm.common import parallelism, words, written
+from quillon.llm.common import parallelism, tasks_for, words, written
 
 CLASSES = 32
 #: The class of a text's border, in the counts of neighbours.
@@ -43,8 +43,6 @@ BORDER, UNSEEN = CLASSES, CLASSES + 1
 STATES = 2 * CLASSES + 2
 #: Words whose counts a worker spreads out at a time.
 CHUNK = 20_000
-#: Bytes of text whose words meet in one bucket, about.
-BUCKET_BYTES = 64 << 20
 
 #: Rows of a coded corpus: of a block (or of a word bucket, with block 0) and a kind.
 CODED = "block long, kind int, bucket int, ids array<long>, data binary, words binary"
@@ -317,8 +315,8 @@ def class_lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     are scored, and learnt from, as often as they occur. Other columns are not returned.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    n_docs, size = rows.agg(F.count_if("train"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    buckets = int(max(parallelism(docs.sparkSession), -(-size // BUCKET_BYTES)))
+    n_docs, size = rows.agg(F.count_if("train"), F.sum(F.octet_length("text").cast("long"))).first()
+    buckets = tasks_for(docs.sparkSession, size)
     coded = coded_corpus(rows, buckets)
     vocab = vocabulary(coded, buckets)
     known, _ = exchange(coded, vocab, buckets)

@@ -56,6 +56,19 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes that one task of a shuffle shall get, about.
+TASK_BYTES = 64 << 20
+
+
+def tasks_for(spark: SparkSession, size: int) -> int:
+    """Tasks for so many bytes: the session's, or more if theirs would be too large."""
+    return int(max(parallelism(spark), -(-(size or 0) // TASK_BYTES)))
+
+
+def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
+    return docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+
+
 #: Parts that the rows of one key are dealt into.
 SALTS = 8
 

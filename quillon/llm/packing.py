@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm.bpe import IRREGULAR, read_ranks
-from quillon.llm.common import mix64, parallelism, slices, written
+from quillon.llm.common import mix64, slices, tasks_for, text_bytes, written
 
 DIMENSIONS, KEY_BITS = 4, 12
 #: Distinct words that a worker remembers; then it starts anew.
@@ -141,7 +141,7 @@ def pack_along_curve(docs: DataFrame, path: str, ranks: str, pattern: str, lengt
     """
     spark = docs.sparkSession
     table = written(tokenised(docs, path, ranks, pattern, id_col, text_col), "tokens")
-    n = partitions or parallelism(spark)
+    n = partitions or tasks_for(spark, text_bytes(table, "ids"))
 
     def pack(batches):
         base = TaskContext.get().partitionId() << 36  # so many partitions keep their order along the curve

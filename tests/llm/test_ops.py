@@ -584,7 +584,7 @@ def plain_links(rows, threshold):
 
 def shingle_list(t):
     w = t.lower().split()
-    return [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))]
+    return [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
 
 
 def copies_of(rng, word, origin, n, changes, chain=0.3):
