@@ -21,6 +21,7 @@ INVISIBLE = (
     "\\x{2060}-\\x{206F}\\x{3164}\\x{FE00}-\\x{FE0F}\\x{FEFF}\\x{FFA0}\\x{FFF0}-\\x{FFF8}\\x{1BCA0}-\\x{1BCA3}\\x{1D173}-\\x{1D17A}\\x{E0000}-\\x{E0FFF}"
     "\\x{0000}-\\x{0008}\\x{000E}-\\x{001F}\\x{007F}-\\x{009F}\\x{2800}"
 )
+INVISIBLE_ASCII = "".join(map(chr, [*range(0x09), *range(0x0E, 0x20), 0x7F]))
 ENTITY = "&(?:[a-zA-Z][a-zA-Z0-9]{1,10}|#\\d{1,6}|#[xX][0-9a-fA-F]{1,6});"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TRIMMED = " \t\n\r\0\x0b"
@@ -46,10 +47,16 @@ def fold_keep_case(c: Column) -> Column:
     s = F.translate(c, ACCENTED + APOSTROPHES, PLAIN + "'" * len(APOSTROPHES))
     for one, two in DOUBLES:
         s = F.replace(s, F.lit(one), F.lit(two))
-    s = F.regexp_replace(s, f"[{INVISIBLE}]", "")
+    s = F.regexp_replace(s, f"(?=[^ -~\\n])[{INVISIBLE}]", "")  # most characters fail the first class, which is cheap
     s = F.regexp_replace(s, "(?U)[^\\S\\n]+", " ")
     s = F.regexp_replace(s, "(?U) ?\\n\\s*", "\n")
-    return F.when(F.is_valid_utf8(c) & ~c.rlike(ENTITY), F.btrim(s, F.lit(TRIMMED)))
+    ascii_alone = F.octet_length(c) == F.char_length(c)  # most texts, and the same rules are much less work
+    plain = F.translate(c, "`" + INVISIBLE_ASCII, "'")
+    blank = "[ \\t\\x0B\\f\\r]"
+    plain = F.regexp_replace(plain, f"(?:[\\t\\x0B\\f\\r]| (?={blank})){blank}*", " ")
+    plain = F.regexp_replace(plain, " ?\\n\\s*", "\n")
+    readable = F.is_valid_utf8(c) & ~(c.contains("&") & c.rlike(ENTITY))
+    return F.when(readable, F.btrim(F.when(ascii_alone, plain).otherwise(s), F.lit(TRIMMED)))
 
 
 def fold(c: Column) -> Column:

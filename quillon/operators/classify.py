@@ -39,11 +39,16 @@ PROCEDURES = [
 ]
 NEGATED_BY_SANS = ["commission d'attribution", "commission attribution"]
 ACRONYMS = "PLAI|PLUS|PLS|LLI"
-COLLOCATION = "logements?|financements?|categories?|types?|typologie|produits?|agrement|dispositif|programme|regime|conventionnement|financement"
-COMPARATIVE = (
-    "de|des|du|d'|que|qu'|grand|grande|grands|grandes|petit|petite|spacieux|spacieuse|lumineux|lumineuse|recent|recente|calme|proche|proches|cher|chere|tard|tot|haut|haute|bas|basse"
-    "|pres|loin|rapide|facile|eleve|elevee|beau|belle|joli|jolie|vaste|clair|claire|grand-e|important|importante"
-)
+# Words before PLUS that make it the name of a financing.
+COLLOCATION_WORDS = [
+    "logement", "logements", "financement", "financements", "categorie", "categories", "type", "types", "typologie", "produit", "produits", "agrement", "dispositif", "programme", "regime", "conventionnement",
+]
+# Words after PLUS that make it a comparative.
+COMPARATIVE_WORDS = [
+    "de", "des", "du", "d'", "que", "qu'", "grand", "grande", "grands", "grandes", "petit", "petite", "spacieux", "spacieuse", "lumineux", "lumineuse", "recent", "recente", "calme", "proche", "proches", "cher", "chere",
+    "tard", "tot", "haut", "haute", "bas", "basse", "pres", "loin", "rapide", "facile", "eleve", "elevee", "beau", "belle", "joli", "jolie", "vaste", "clair", "claire", "grand-e", "important", "importante",
+]
+COLLOCATION, COMPARATIVE = "|".join(COLLOCATION_WORDS), "|".join(COMPARATIVE_WORDS)
 
 # Folded text has spaces and line feeds alone as white space.
 _SEP = "[ /\\-,:;()]{1,3}"

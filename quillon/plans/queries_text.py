@@ -8,17 +8,17 @@ from quillon.functions import extract as X
 from quillon.functions import text as S
 from quillon.functions.format import drop_text
 from quillon.functions.redact import redact, redact_sql
-from quillon.plans.tables import table
+from quillon.plans.tables import table, texts
 from quillon.sources import listings as L
 
 
 def q_fold_text(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(S.fold(F.col("text"))).alias("folded"))
+    return texts(spark, sf, "documents").select("doc_id", F.md5(S.fold(F.col("text"))).alias("folded"))
 
 
 def q_token_hits(spark, sf):
     t = S.fold(F.col("text"))
-    return table(spark, sf, "documents").withColumn("t", t).select("doc_id", *[S.token_position(F.col("t"), w).isNotNull().alias(f"has_{w}") for w in ("the", "der", "les", "idiot")])
+    return texts(spark, sf, "documents").withColumn("t", t).select("doc_id", *[S.token_position(F.col("t"), w).isNotNull().alias(f"has_{w}") for w in ("the", "der", "les", "idiot")])
 
 
 def q_inflected_hits(spark, sf):
@@ -72,12 +72,12 @@ def q_sniffers(spark, sf):
 
 def q_url_normalise(spark, sf):
     made = F.concat(F.lit(" HTTPS://WWW.Example.ORG:8080"), F.regexp_extract("url", "^[a-z]+://[^/]*(/.*)?$", 1), F.lit("#part"))
-    return table(spark, sf, "pages").select("page_id", S.normal_url(made).alias("url"), S.absolute_url(F.concat(F.lit("/p/"), F.col("page_id").cast("string")), "https://example.org/").alias("absolute"))
+    return texts(spark, sf, "pages").select("page_id", S.normal_url(made).alias("url"), S.absolute_url(F.concat(F.lit("/p/"), F.col("page_id").cast("string")), "https://example.org/").alias("absolute"))
 
 
 def q_dedup_key(spark, sf):
     ext = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("id "), F.col("page_id").cast("string")))
-    return table(spark, sf, "pages").select("page_id", S.dedup_key(F.lit("site a~b"), ext, F.col("url"), F.lit("T")).alias("key"))
+    return texts(spark, sf, "pages").select("page_id", S.dedup_key(F.lit("site a~b"), ext, F.col("url"), F.lit("T")).alias("key"))
 
 
 def q_iso_epoch(spark, sf):
@@ -86,16 +86,16 @@ def q_iso_epoch(spark, sf):
 
 
 def q_html_title(spark, sf):
-    return L.html_cards(table(spark, sf, "pages"), "head", {"title": "title"}).select("page_id", F.try_element_at("item", F.lit("title")).alias("title"))
+    return L.html_cards(texts(spark, sf, "pages"), "head", {"title": "title"}).select("page_id", F.try_element_at("item", F.lit("title")).alias("title"))
 
 
 def q_html_links(spark, sf):
-    links = L.html_cards(table(spark, sf, "pages"), "a", {})
+    links = L.html_cards(texts(spark, sf, "pages"), "a", {})
     return links.groupBy("page_id").agg(F.count(F.try_element_at("item", F.lit("attr.href"))).alias("links"))
 
 
 def q_html_cards(spark, sf):
-    cards = L.html_cards(table(spark, sf, "pages"), "nav li", {"link": "a @href", "name": "a", "letter": "a @href => /(.)"})
+    cards = L.html_cards(texts(spark, sf, "pages"), "nav li", {"link": "a @href", "name": "a", "letter": "a @href => /(.)"})
     at = lambda k: F.try_element_at("item", F.lit(k)).alias(k.strip("_"))
     return cards.select("page_id", "position", at("link"), at("name"), at("letter"), at("_text"), "error")
 
@@ -128,7 +128,7 @@ def q_redact(spark, sf):
 
 
 def q_redact_all(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(redact(F.col("text"))).alias("masked"))
+    return texts(spark, sf, "documents").select("doc_id", F.md5(redact(F.col("text"))).alias("masked"))
 
 
 def q_drop_text(spark, sf):
