@@ -21,8 +21,23 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read again: computed once, and its lineage ends there."""
+    """df as a table in the shared folder, read again: computed once, and its lineage ends there. It stays there until
+    :func:`discard`."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    _written.append(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession) -> int:
+    """Deletes the tables that :func:`kept` has written in this process, once results that read them have been written
+    themselves; how many there were."""
+    found = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return found

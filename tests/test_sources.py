@@ -92,3 +92,14 @@ def test_the_console_prints_all_events(spark, capsys):
     out = capsys.readouterr().out
     assert all(f"m{i}: t" in out for i in range(250)) and all(f"d{i:04}" in out for i in range(1100))
     assert sorted(r.title for r in events.filter("kind = 'digest'").collect()) == ["digest of s", "digest of s, 2", "digest of s, 3"]
+
+
+def test_kept_tables_are_discarded(spark):
+    import os
+
+    from quillon import shared
+
+    shared.discard(spark)
+    df = shared.kept(spark.range(3), "three")
+    (path,) = shared._written
+    assert df.count() == 3 and os.path.isdir(path) and shared.discard(spark) == 1 and not os.path.exists(path)
