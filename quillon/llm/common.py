@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.shared import kept
+
 #: Bytes of text that a Python worker holds at a time, besides one text that is longer.
 SLICE_BYTES = 4 << 20
 
@@ -30,25 +31,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``. It is set here only where it is unset and all
-    executors are this machine (tests); on a cluster it must be set."""
-    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = f"/tmp/quillon-checkpoints-{spark.sparkContext.applicationId}"
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read again: computed once, and its lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Tables in the shared folder (``spark.checkpoint.dir``), which quillon.shared.discard deletes.
+written = kept
 
 
 def parallelism(spark: SparkSession) -> int:

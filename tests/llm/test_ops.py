@@ -334,6 +334,17 @@ def test_packing(spark):
     assert packing.pack_along_curve(table(spark, []), JSON, RANKS, PATTERN).count() == 0
 
 
+def test_packing_follows_the_curve(spark):
+    """Pieces in the order of sequences and places stand in the order of their documents on the curve, over partitions."""
+    rng = random.Random(7)
+    topics = [["alpha", "beta", "gamma"], ["le", "chat", "gris"], ["42", "17", "99"]]
+    df = table(spark, [(i, " ".join(rng.choice(topics[i % 3]) for _ in range(rng.randint(1, 60)))) for i in range(120)])
+    curve = {r.id: r.curve for r in packing.tokenised(df, JSON, RANKS, PATTERN).collect()}
+    pieces = sorted(packing.pack_along_curve(df, JSON, RANKS, PATTERN, length=64, partitions=3).collect(), key=lambda r: (r.sequence_id, r.offset))
+    along = [(curve[r.doc_id], r.doc_id, r.start) for r in pieces]
+    assert along == sorted(along) and len({r.sequence_id >> 36 for r in pieces}) == 3
+
+
 def test_hilbert_curve_is_one_path():
     points = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     keys = packing.hilbert_key(points, 3)
