@@ -84,10 +84,16 @@ def _raw(bias, weights, vectors, rows, terms, n) -> np.ndarray:
     return out
 
 
-def fit_arrays(rows: np.ndarray, terms: np.ndarray, labels: np.ndarray, bits: int = BITS, factors: int = FACTORS, seed: int = 7, l1: float = 0.5, l2: float = 0.02) -> ToxicityModel:
+def fit_arrays(rows: np.ndarray, terms: np.ndarray, labels: np.ndarray, bits: int = BITS, **more) -> ToxicityModel:
     """Fits on rows given as (row, term) pairs in order of row, and labels of 0 and 1."""
+    return fit_lists(np.searchsorted(rows, np.arange(len(labels) + 1)), terms, labels, bits, **more)
+
+
+def fit_lists(at: np.ndarray, terms: np.ndarray, labels: np.ndarray, bits: int = BITS, factors: int = FACTORS, seed: int = 7, l1: float = 0.5, l2: float = 0.02) -> ToxicityModel:
+    """Fits on rows given as lists of terms: those of row i are terms[at[i]:at[i + 1]]. What is held besides is about as
+    much as the terms once more."""
     n, size = len(labels), 1 << bits
-    weights, vectors = np.zeros(size), np.zeros((size, factors))
+    weights, vectors = np.zeros(size), np.zeros((size, factors), np.float32)
     positive = float(labels.sum())
     if not n or positive in (0, n):
         # nothing to tell apart: the share of label 1, and 0 without labels
@@ -95,16 +101,23 @@ def fit_arrays(rows: np.ndarray, terms: np.ndarray, labels: np.ndarray, bits: in
     rng = np.random.default_rng(seed)
     # chi-square of each term's presence against the label; the weight of a rare or neutral term can only be learnt by
     # heart, but a term that is neutral alone may matter in a pair: all that are not rare get vectors
-    with_term = np.bincount(terms, minlength=size).astype(float)
-    in_positive = np.bincount(terms[(labels > 0)[rows]], minlength=size)
+    with_term, in_positive = np.zeros(size), np.zeros(size)
+    for i in range(0, n, 512):
+        part, lengths = terms[at[i] : at[min(i + 512, n)]], np.diff(at[i : min(i + 512, n) + 1])
+        with_term += np.bincount(part, minlength=size)
+        in_positive += np.bincount(part[np.repeat(labels[i : i + 512] > 0, lengths)], minlength=size)
     expected = with_term * positive / n
     spread = expected * (1 - positive / n) * (1 - with_term / n)
     common = with_term >= LEAST_ROWS
-    counted = rows[common[terms]], terms[common[terms]]
     related = common & ((in_positive - expected) ** 2 >= LEAST_CHI2 * np.maximum(spread, 1e-9))
-    use = related[terms]
-    rows, terms = rows[use].astype(np.int64), terms[use].astype(np.int64)
-    at = np.searchsorted(rows, np.arange(n + 1))
+    own_rows, own_terms = [], []
+    for i in range(0, n, 512):
+        part = terms[at[i] : at[min(i + 512, n)]]
+        use = related[part]
+        own_rows.append(np.repeat(np.arange(i, min(i + 512, n)), np.diff(at[i : min(i + 512, n) + 1]))[use])
+        own_terms.append(part[use].astype(np.int64))
+    own_rows, own_terms = np.concatenate(own_rows), np.concatenate(own_terms)
+    own_at = np.searchsorted(own_rows, np.arange(n + 1))
     # weights: follow the regularised leader, each coordinate with its own step and an L1 threshold
     z, g2 = np.zeros(size), np.zeros(size)
     bias = float(np.log(positive / (n - positive)))
@@ -112,8 +125,8 @@ def fit_arrays(rows: np.ndarray, terms: np.ndarray, labels: np.ndarray, bits: in
     batch = 64
     for _ in range(8):
         for block in np.array_split(rng.permutation(n), -(-n // batch)):
-            idx = np.concatenate([terms[at[i] : at[i + 1]] for i in block])
-            own = np.repeat(np.arange(len(block)), at[block + 1] - at[block])
+            idx = np.concatenate([own_terms[own_at[i] : own_at[i + 1]] for i in block])
+            own = np.repeat(np.arange(len(block)), own_at[block + 1] - own_at[block])
             used, inverse = np.unique(idx, return_inverse=True)
             w = np.where(np.abs(z[used]) <= l1, 0.0, -(z[used] - np.sign(z[used]) * l1) / (4.0 * (1.0 + np.sqrt(g2[used])) + l2))
             error = _logistic(bias + np.bincount(own, w[inverse], len(block))) - labels[block]
@@ -124,9 +137,8 @@ def fit_arrays(rows: np.ndarray, terms: np.ndarray, labels: np.ndarray, bits: in
             gb += float(error.sum()) ** 2
             bias -= 0.5 * float(error.sum()) / (1 + np.sqrt(gb))
     weights = np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / (4.0 * (1.0 + np.sqrt(g2)) + l2))
-    _fit_weights(model := ToxicityModel(bias, weights, vectors), rows, terms, labels, l2)
-    del rows, terms
-    _fit_pairs(model, *counted, labels, rng)
+    _fit_weights(model := ToxicityModel(bias, weights, vectors), own_rows, own_terms, labels, l2)
+    _fit_pairs(model, at, terms, common, labels, rng)
     return model
 
 
@@ -149,34 +161,31 @@ def _fit_weights(model: ToxicityModel, rows, terms, labels, l2: float) -> None:
     model.weights[active], model.bias = w, float(bias)
 
 
-def _fit_pairs(model: ToxicityModel, rows, terms, labels, rng, rounds: int = ROUNDS, rate: float = RATE, shrink: float = SHRINK) -> None:
-    """Vectors of all terms given, and bias and weights with them, in blocks of rows."""
-    n, size, factors = len(labels), *model.vectors.shape
-    at = np.searchsorted(rows, np.arange(n + 1))
-    has = np.zeros(size, bool)
-    has[terms] = True
-    v = np.where(has[:, None], rng.normal(0, 0.01, (size, factors)), 0).astype(np.float32)
+def _fit_pairs(model: ToxicityModel, at, terms, common, labels, rng, rounds: int = ROUNDS, rate: float = RATE, shrink: float = SHRINK) -> None:
+    """Vectors of the common terms, and bias and weights with them, in blocks of rows."""
+    n, (size, factors) = len(labels), model.vectors.shape
+    v = np.where(common[:, None], rng.normal(0, 0.01, (size, factors)), 0).astype(np.float32)
     w, bias = model.weights, model.bias
     hv, hw, hb = np.full((size, factors), 1e-4, np.float32), np.full(size, 1.0), 1.0
     blocks = []
     for block in np.array_split(rng.permutation(n), -(-n // 128)):
-        block = block[at[block + 1] > at[block]]
-        if len(block):
-            own = terms[np.concatenate([np.arange(at[i], at[i + 1]) for i in block])].astype(np.int32)
-            order = np.argsort(own, kind="stable").astype(np.int32)
-            head = np.flatnonzero(np.append(True, own[order][1:] != own[order][:-1])).astype(np.int32)
-            blocks.append((block, own, order, head))
+        lists = [x[common[x]] for x in (terms[at[i] : at[i + 1]] for i in block)]
+        block, lists = block[[len(x) > 0 for x in lists]], [x for x in lists if len(x)]
+        if lists:
+            own = np.concatenate(lists).astype(np.int32)
+            blocks.append((block, own, np.array([len(x) for x in lists]), np.argsort(own, kind="stable").astype(np.int32)))
     for _ in range(rounds):
         for k in rng.permutation(len(blocks)):
-            block, own, order, head = blocks[k]
-            lengths = at[block + 1] - at[block]
+            block, own, lengths, order = blocks[k]
             starts = np.cumsum(lengths) - lengths
+            ordered = own[order]
+            head = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+            used = ordered[head]
             one = v[own]
             total = np.add.reduceat(one, starts)
             pairs = 0.5 * ((total * total).sum(1) - np.add.reduceat((one * one).sum(1), starts))
             error = (_logistic(bias + np.add.reduceat(w[own], starts) + pairs) - labels[block]).astype(np.float32)
             each = np.repeat(error, lengths)
-            used = own[order[head]]
             g = np.add.reduceat((each[:, None] * (np.repeat(total, lengths, axis=0) - one))[order], head) + shrink * v[used]
             hv[used] += g * g
             v[used] -= rate * g / np.sqrt(hv[used])
@@ -221,9 +230,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: st
     labels = np.asarray(sample["__y"], dtype=np.float64)
     lists = sample["terms"].combine_chunks()
     del sample
-    rows = np.repeat(np.arange(len(lists), dtype=np.int32), np.asarray(pc.list_value_length(lists), dtype=np.int64))
-    model = fit_arrays(rows, np.asarray(lists.flatten()), labels)
-    del rows, lists
+    give_back()
+    at = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists), dtype=np.int64))])
+    model = fit_lists(at, np.asarray(lists.flatten()), labels)
+    del lists
     give_back()
     return model
 
