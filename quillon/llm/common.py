@@ -107,6 +107,14 @@ def words(texts: pa.Array, lower: bool = True):
     return coded.dictionary, codes, np.concatenate([[0], np.cumsum(lengths)])
 
 
+def translated(texts: pa.Array, table: np.ndarray) -> pa.Array:
+    """The texts with each byte replaced by ``table[byte]``, which must keep bytes of 128 and more; null is empty."""
+    texts = pc.fill_null(texts, "")
+    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(at - at[0]), pa.py_buffer(table[data]))
+
+
 def word_hashes(values: pa.Array) -> np.ndarray:
     """A 64-bit hash of each string, the same on every machine."""
     return np.fromiter(map(xxhash.xxh64_intdigest, values.to_pylist()), np.uint64, len(values))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import toxicity
+from quillon.llm import language_id, toxicity
 from quillon.llm.class_lm import class_lm_scores
 from quillon.llm.common import table
 
@@ -30,5 +30,12 @@ def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), F.coalesce(fold(7) != 2, F.lit(True)))
 
 
-QUERIES = {"op6_class_lm": op6_class_lm, "op7_toxicity": op7_toxicity}
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs, F.coalesce(fold(5) != 0, F.lit(False)))
+    held_out = F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out")
+    return language_id.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out, "lang_pred", "score")
+
+
+QUERIES = {"op6_class_lm": op6_class_lm, "op7_toxicity": op7_toxicity, "op12_language_id": op12_language_id}
 ORACLES: dict[str, str] = {}

@@ -18,7 +18,7 @@ def test_query(spark, duck, name):
 
 
 def test_registry():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14)) and set(ORACLES) <= set(QUERIES)
 
 
 def test_tiff_query_against_plain(spark, duck):
