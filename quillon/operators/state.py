@@ -46,19 +46,32 @@ REPLAYED = T.StructType(
 )
 
 
+class Log:
+    """Changes (epoch, number, rent) in the order of time."""
+
+    def __init__(self):
+        self.rows: list[tuple[int, int, int]] = []
+
+    def around(self, epoch: int) -> tuple[int | None, int | None]:
+        """The rents that held at a moment, and after it."""
+        at = bisect_right(self.rows, (epoch, float("inf")))
+        return self.rows[at - 1][2] if at else None, self.rows[at][2] if at < len(self.rows) else None
+
+    def add(self, epoch: int, rent: int) -> None:
+        insort(self.rows, (epoch, len(self.rows), rent))
+
+
 class Ledger:
     """The state of one key, fed in the order of arrival. Its log is kept in the order of time."""
 
     def __init__(self, seen=None, rent=None, log=None):
-        self.seen, self.rent, self.log = seen, rent, log or []  # log: (epoch, number, rent), in order
+        self.seen, self.rent, self.log = seen, rent, log or Log()
 
     def sight(self, epoch: int, rent: int | None):
         """(is_new, is_current, previous, delta, is_drop, logged) of a sighting."""
         is_new = self.seen is None
         current = is_new or epoch >= self.seen
-        at = bisect_right(self.log, (epoch, float("inf")))
-        before = self.log[at - 1][2] if at else None
-        after = self.log[at][2] if at < len(self.log) else None
+        before, after = self.log.around(epoch)
         previous = (None if is_new else self.rent) if current else before
         if current:
             self.seen = epoch
@@ -67,7 +80,7 @@ class Ledger:
             self.rent = rent
         logged = rent is not None and rent != before and rent != after
         if logged:
-            insort(self.log, (epoch, len(self.log), rent))
+            self.log.add(epoch, rent)
         delta = rent - previous if rent is not None and previous is not None else None
         return is_new, current, previous, delta, current and delta is not None and delta < 0, logged
 

@@ -118,9 +118,7 @@ def q_group_history(spark, sf):
 
 
 def q_replay(spark, sf):
-    """In an arrival order that is not the order of time: every seventh sighting comes late."""
-    s = sightings(spark, sf).withColumn("seq", F.when(F.col("seq") % 7 == 0, F.col("seq") + 3000).otherwise(F.col("seq")) * 2 + (F.col("seq") % 7 == 0).cast("long"))
-    return state.replay(s).select("key", "seq", "is_new", "is_current", "previous", "delta", "is_drop", "logged")
+    return state.replay(_late(spark, sf)).select("key", "seq", "is_new", "is_current", "previous", "delta", "is_drop", "logged")
 
 
 def q_replay_in_order(spark, sf):
@@ -129,13 +127,50 @@ def q_replay_in_order(spark, sf):
     return state.replay(s).select("key", "seq", "rent", "previous", "delta", "is_drop")
 
 
+def _late(spark, sf):
+    """Sightings in an arrival order that is not the order of time: every seventh comes late."""
+    s = sightings(spark, sf)
+    return s.withColumn("seq", F.when(F.col("seq") % 7 == 0, F.col("seq") + 3000).otherwise(F.col("seq")) * 2 + (F.col("seq") % 7 == 0).cast("long"))
+
+
 def q_stream_sightings(spark, sf):
-    from quillon.streaming.sightings import run_available
+    """Late sightings, a third of them of one key, landed in three parts with a pass of the stream after each. The second
+    pass fails when its batch has been written; the third one judges that batch again."""
+    from quillon.streaming.sightings import run_available, watch
 
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    sightings(spark, sf).repartitionByRange(3, "at_epoch", "seq").sortWithinPartitions("at_epoch", "seq").write.parquet(f"{base}/landed")
-    judged = run_available(spark, f"{base}/landed", "key long, seq long, at_epoch long, rent long", f"{base}/state", f"{base}/out", 3)
-    return judged.groupBy("key").agg(F.count(F.lit(1)).alias("sightings"), F.count_if("is_new").alias("new"))
+    late = _late(spark, sf).withColumn("key", F.when(F.col("seq") % 3 == 0, F.lit(0)).otherwise(F.col("key")))
+    most = late.agg(F.max("seq")).first()[0] or 0
+    landed = iter(range(3))
+    now = []
+
+    def one_pass():
+        part = next(landed)
+        now[:] = [part]
+        late.filter((F.col("seq") > most * part // 3 - (part == 0)) & (F.col("seq") <= most * (part + 1) // 3)).coalesce(1).write.mode("append").parquet(f"{base}/landed")
+
+        def trip(batch, number):
+            if now == [1]:
+                raise OSError("no channel")
+
+        run_available(spark, f"{base}/landed", "key long, seq long, at_epoch long, rent long", f"{base}/state", f"{base}/out", each=trip)
+
+    errors = []
+    done = watch(one_pass, range(3), lambda number, message: errors.append(number))
+    judged = spark.read.parquet(f"{base}/out").drop("batch")
+    return judged.withColumn("passes", F.lit(done).cast("long")).withColumn("failed", F.lit(",".join(map(str, errors))))
+
+
+def q_notify_once(spark, sf):
+    """Four batches of events of overlapping keys; the second batch meets no channel, so its keys go with later ones."""
+    from quillon.streaming.sightings import notify_once
+
+    ledger = f"{shared_folder(spark)}/notified-{uuid.uuid4().hex}"
+    d = table(spark, sf, "documents")
+    for batch in range(4):
+        keys = d.filter(F.col("doc_id") % 4 == batch).select(F.concat("source", F.lit("/"), (F.floor(F.col("doc_id") / 5) % 200).cast("string")).alias("key")).distinct()
+        notify_once(keys, ledger, batch, lambda events, number: number != 1)
+    return spark.read.schema("key string, batch_id long").parquet(ledger).select("key", "batch_id")
 
 
 def q_run_log(spark, sf):
@@ -201,6 +236,22 @@ _SUMMARY = f"""{_MEAN}, tail AS (SELECT source, max(CASE WHEN NOT (ok AND item_c
     FROM (SELECT 's' || i AS source FROM range(10) t(i)) s LEFT JOIN summary t USING (source) LEFT JOIN latest USING (source))"""
 _ALERTS = f"alerts(source, status, at_epoch) AS (VALUES ('s1', 'WARN_FLAKY', {NOW} - 3600), ('s2', 'WARN_FLAKY', {NOW} - 90000), ('s8', 'NEVER_RUN', {NOW} + 10), ('s3', 'BROKEN', {NOW} - 10))"
 
+_LATE = """late AS (SELECT key, at_epoch, rent, n FROM (SELECT *, CASE WHEN seq % 7 = 0 THEN seq + 3000 ELSE seq END * 2 + CASE WHEN seq % 7 = 0 THEN 1 ELSE 0 END AS n FROM sightings))"""
+#: Each sighting of late as it is judged on arrival, one after the other.
+_REPLAYED = """s AS (SELECT key, at_epoch, rent, n AS seq, row_number() OVER (PARTITION BY key ORDER BY n) AS k
+        FROM late),
+      r AS (
+        SELECT key, k, seq, rent, true AS is_new, true AS is_current, CAST(NULL AS BIGINT) AS previous, CAST(NULL AS BIGINT) AS delta, rent IS NOT NULL AS logged, at_epoch AS seen, rent AS held,
+          CASE WHEN rent IS NOT NULL THEN [{'e': at_epoch, 'n': 0, 'r': rent}] ELSE [] END AS log FROM s WHERE k = 1
+        UNION ALL
+        SELECT key, k, seq, rent, false, cur, prev, rent - prev, fresh, greatest(seen, at_epoch), CASE WHEN cur THEN coalesce(rent, held) ELSE coalesce(held, rent) END,
+          CASE WHEN fresh THEN list_sort(list_append(log, {'e': at_epoch, 'n': len(log), 'r': rent})) ELSE log END
+        FROM (SELECT *, CASE WHEN cur THEN held ELSE older END AS prev, rent IS NOT NULL AND rent IS DISTINCT FROM older AND rent IS DISTINCT FROM newer AS fresh
+          FROM (SELECT s.key, s.k, s.seq, s.at_epoch, s.rent, r.seen, r.held, r.log, s.at_epoch >= r.seen AS cur,
+              list_filter(r.log, lambda x: x.e <= s.at_epoch)[-1].r AS older, list_filter(r.log, lambda x: x.e > s.at_epoch)[1].r AS newer
+            FROM r JOIN s ON s.key = r.key AND s.k = r.k + 1))),
+      judged AS (SELECT key, seq, rent, is_new, is_current, previous, delta, coalesce(is_current AND delta < 0, false) AS is_drop, logged FROM r)"""
+
 ORACLES = {
     "q_seen_set": f"""WITH {SIGHTINGS_SQL} SELECT key, min(at_epoch) AS first_seen, max(at_epoch) AS last_seen,
       arg_max(rent, at_epoch * 1000000 + seq) FILTER (WHERE rent IS NOT NULL) AS rent, count(*) AS sightings FROM sightings GROUP BY key""",
@@ -219,19 +270,11 @@ ORACLES = {
         CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderkey % 5 = 0 THEN 'PLS' END WHEN o_orderkey % 2 = 0 THEN 'LLI' ELSE 'UNKNOWN' END AS tenure,
         CAST(CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN 80 ELSE 40 END AS INTEGER) AS confidence,
         CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN 'r2' ELSE 'r1' END AS reasons FROM orders) WHERE tenure IS NULL OR tenure IN ('UNKNOWN', 'LLI')""",
-    "q_replay": f"""WITH RECURSIVE {SIGHTINGS_SQL}, s AS (SELECT key, at_epoch, rent, n AS seq, row_number() OVER (PARTITION BY key ORDER BY n) AS k
-        FROM (SELECT *, CASE WHEN seq % 7 = 0 THEN seq + 3000 ELSE seq END * 2 + CASE WHEN seq % 7 = 0 THEN 1 ELSE 0 END AS n FROM sightings)),
-      r AS (
-        SELECT key, k, seq, true AS is_new, true AS is_current, CAST(NULL AS BIGINT) AS previous, CAST(NULL AS BIGINT) AS delta, rent IS NOT NULL AS logged, at_epoch AS seen, rent AS held,
-          CASE WHEN rent IS NOT NULL THEN [{{'e': at_epoch, 'n': 0, 'r': rent}}] ELSE [] END AS log FROM s WHERE k = 1
-        UNION ALL
-        SELECT key, k, seq, false, cur, prev, rent - prev, fresh, greatest(seen, at_epoch), CASE WHEN cur THEN coalesce(rent, held) ELSE coalesce(held, rent) END,
-          CASE WHEN fresh THEN list_sort(list_append(log, {{'e': at_epoch, 'n': len(log), 'r': rent}})) ELSE log END
-        FROM (SELECT *, CASE WHEN cur THEN held ELSE older END AS prev, rent IS NOT NULL AND rent IS DISTINCT FROM older AND rent IS DISTINCT FROM newer AS fresh
-          FROM (SELECT s.key, s.k, s.seq, s.at_epoch, s.rent, r.seen, r.held, r.log, s.at_epoch >= r.seen AS cur,
-              list_filter(r.log, lambda x: x.e <= s.at_epoch)[-1].r AS older, list_filter(r.log, lambda x: x.e > s.at_epoch)[1].r AS newer
-            FROM r JOIN s ON s.key = r.key AND s.k = r.k + 1)))
-      SELECT key, seq, is_new, is_current, previous, delta, coalesce(is_current AND delta < 0, false) AS is_drop, logged FROM r""",
+    "q_replay": f"""WITH RECURSIVE {SIGHTINGS_SQL}, {_LATE}, {_REPLAYED}
+      SELECT key, seq, is_new, is_current, previous, delta, is_drop, logged FROM judged""",
+    "q_stream_sightings": f"""WITH RECURSIVE {SIGHTINGS_SQL}, {_LATE.replace("SELECT key,", "SELECT CASE WHEN n % 3 = 0 THEN 0 ELSE key END AS key,")}, {_REPLAYED}
+      SELECT key, seq, is_new, is_current, rent, previous, delta, is_drop, logged, CAST(2 AS BIGINT) AS passes, '1' AS failed FROM judged""",
+    "q_notify_once": """SELECT key, min(b) AS batch_id FROM (SELECT source || '/' || ((doc_id // 5) % 200) AS key, doc_id % 4 AS b FROM documents) WHERE b <> 1 GROUP BY key""",
     "q_upsert": "SELECT o_custkey, CASE WHEN o_custkey % 3 = 0 THEN max(o_orderkey) ELSE min(o_orderkey) END AS k FROM orders WHERE o_custkey % 10 <> 0 GROUP BY o_custkey",
     "q_point_lookup": "SELECT o_custkey AS c_custkey, o_orderkey, CASE WHEN o_custkey % 4 <> 0 THEN c_mktsegment END AS c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey",
     "q_schema_migration": "SELECT s_suppkey, s_name, s_suppkey * 60 AS seen_epoch, CAST(NULL AS VARCHAR) AS tenure FROM supplier",
@@ -243,7 +286,6 @@ ORACLES = {
       UNION ALL SELECT 'digest', 2, 'digest of ' || source || CASE WHEN page > 0 THEN ', ' || (page + 1) ELSE '' END, md5(string_agg(headline, chr(10) ORDER BY headline)) FROM d GROUP BY source, page""",
     "q_group_history": f"""WITH {SIGHTINGS_SQL}, {_LAG} SELECT key % 4 AS group_key, key, rent, seq, row_number() OVER (PARTITION BY key % 4 ORDER BY at_epoch, seq, key) AS step FROM changes WHERE rent IS NOT NULL AND rent IS DISTINCT FROM previous AND key % 4 <> 3""",
     "q_replay_in_order": f"""WITH {SIGHTINGS_SQL}, {_LAG}, n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY at_epoch, seq) AS k FROM changes) SELECT key, k AS seq, rent, previous, rent - previous AS delta, coalesce(rent < previous, false) AS is_drop FROM n""",
-    "q_stream_sightings": f"WITH {SIGHTINGS_SQL} SELECT key, count(*) AS sightings, CAST(1 AS BIGINT) AS new FROM sightings GROUP BY key",
     "q_run_log": f"WITH {RUNS_SQL} SELECT * FROM runs",
     "q_rolling_mean": f"WITH {RUNS_SQL}, {_MEAN} SELECT source, seq, round(rolling_mean, 6) AS rolling_mean, last_productive FROM before",
     "q_source_summary": f"WITH {RUNS_SQL}, {_SUMMARY} SELECT source, last_ok, last_count, last_success, last_failure, ever_produced, successful_runs, total_runs, span, empty_streak, runs_in_window, failed_in_window, newest FROM summary",

@@ -1,65 +1,157 @@
-"""Sightings as a stream: state of each key on the executors, late data never dropped, notifications once."""
+"""Sightings as a stream: each key's ledger in the state store, late data never dropped, notifications at least once.
+
+A key's changes lie in RocksDB in chunks of time, found through an index of their first moments. A batch reads and
+writes the chunks that its sightings fall into, and no others, however long the key's history is.
+"""
 
 from __future__ import annotations
 
-import os
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quillon.operators.state import REPLAYED, Ledger
-from quillon.shared import kept
+from quillon.shared import exists, kept
+
+#: Changes in a chunk, after which it is split.
+CHUNK = 256
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class ChunkedLog:
+    """A key's changes in the order of time: chunks of (moments, rents) behind ``read``, and an index of (first moment,
+    number of the chunk). What was touched is in ``changed``."""
+
+    def __init__(self, starts: list[int], numbers: list[int], read: Callable[[int], tuple[list[int], list[int]]]):
+        self.starts, self.numbers, self.read = starts, numbers, read
+        self.held: dict[int, tuple[list[int], list[int]]] = {}
+        self.changed: set[int] = set()
+
+    def _chunk(self, place: int) -> tuple[list[int], list[int]]:
+        number = self.numbers[place]
+        if number not in self.held:
+            self.held[number] = self.read(number)
+        return self.held[number]
+
+    def around(self, epoch: int) -> tuple[int | None, int | None]:
+        """The rents that held at a moment, and after it."""
+        if not self.numbers:
+            return None, None
+        place = max(bisect_right(self.starts, epoch) - 1, 0)
+        moments, rents = self._chunk(place)
+        at = bisect_right(moments, epoch)
+        following = rents[at] if at < len(rents) else self._chunk(place + 1)[1][0] if place + 1 < len(self.numbers) else None
+        return rents[at - 1] if at else None, following
+
+    def add(self, epoch: int, rent: int) -> None:
+        if not self.numbers:
+            self.starts, self.numbers, self.held[0] = [epoch], [0], ([], [])
+        place = max(bisect_right(self.starts, epoch) - 1, 0)
+        moments, rents = self._chunk(place)
+        at = bisect_right(moments, epoch)
+        moments.insert(at, epoch)
+        rents.insert(at, rent)
+        self.starts[place] = moments[0]
+        self.changed.add(self.numbers[place])
+        if len(moments) > CHUNK:
+            number, half = max(self.numbers) + 1, len(moments) // 2
+            self.held[number] = (moments[half:], rents[half:])
+            del moments[half:], rents[half:]
+            self.starts.insert(place + 1, self.held[number][0][0])
+            self.numbers.insert(place + 1, number)
+            self.changed.add(number)
 
-STATE = "seen long, rent long, epochs array<long>, rents array<long>"
 
+class Sightings(StatefulProcessor):
+    """Judges each key's new sightings in the order of arrival (seq) against its ledger."""
 
-def _judge(key, frames, state: GroupState):
-    """One key's new sightings, in the order of arrival, against its ledger."""
-    seen, rent, epochs, rents = state.get if state.exists else (None, None, [], [])
-    ledger = Ledger(seen, rent, [(e, i, r) for i, (e, r) in enumerate(zip(epochs, rents, strict=True))])  # in the order of time
-    rows = pd.concat(list(frames)).sort_values("seq")
-    out = []
-    for row in rows.itertuples(index=False):
-        amount = None if pd.isna(row.rent) else int(row.rent)
-        new, current, previous, delta, drop, logged = ledger.sight(int(row.at_epoch), amount)
-        out.append((key[0], row.seq, new, current, amount, previous, delta, drop, logged))
-    state.update((ledger.seen, ledger.rent, [e for e, _, _ in ledger.log], [r for _, _, r in ledger.log]))
-    yield pd.DataFrame(out, columns=[f.name for f in REPLAYED]).astype({c: "Int64" for c in ("rent", "previous", "delta")})
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.now = handle.getValueState("now", "seen long, rent long, starts array<long>, numbers array<long>")
+        self.chunks = handle.getMapState("chunks", "number long", "moments array<long>, rents array<long>")
+
+    def _read(self, number: int) -> tuple[list[int], list[int]]:
+        moments, rents = self.chunks.getValue((number,))
+        return list(map(int, moments)), list(map(int, rents))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = self.now.get() if self.now.exists() else None
+        seen, rent, starts, numbers = known or (None, None, [], [])
+        log = ChunkedLog(list(map(int, starts)), list(map(int, numbers)), self._read)
+        ledger = Ledger(seen, rent, log)
+        parts = [(p["seq"].to_numpy(np.int64), p["at_epoch"].to_numpy(np.int64), p["rent"].astype("Int64")) for p in rows]
+        seqs, epochs, rents = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), pd.concat([p[2] for p in parts])
+        order = np.argsort(seqs, kind="stable")
+        for at in range(0, len(order), 10_000):
+            out = []
+            for seq, epoch, amount in zip(seqs[order[at : at + 10_000]].tolist(), epochs[order[at : at + 10_000]].tolist(), rents.iloc[order[at : at + 10_000]], strict=True):
+                amount = None if amount is pd.NA else int(amount)
+                new, current, previous, delta, drop, logged = ledger.sight(epoch, amount)
+                out.append((key[0], seq, new, current, amount, previous, delta, drop, logged))
+            yield pd.DataFrame(out, columns=[f.name for f in REPLAYED]).astype({c: "Int64" for c in ("rent", "previous", "delta")})
+        for number in log.changed:
+            self.chunks.updateValue((number,), log.held[number])
+        self.now.update((ledger.seen, ledger.rent, log.starts, log.numbers))
+
+    def close(self) -> None:
+        pass
 
 
 def judged_stream(sightings: DataFrame) -> DataFrame:
-    """A stream of sightings (key, seq, at_epoch, rent) as each was judged on arrival; no watermark: state stays."""
-    return sightings.groupBy("key").applyInPandasWithState(_judge, REPLAYED, STATE, "append", GroupStateTimeout.NoTimeout)
+    """A stream of sightings (key, seq, at_epoch, rent) as each was judged on arrival; no watermark: state stays. The
+    session's state store must be RocksDB (:func:`run_available` sees to it)."""
+    return sightings.groupBy("key").transformWithStateInPandas(statefulProcessor=Sightings(), outputStructType=REPLAYED, outputMode="Append", timeMode="None")
 
 
-def run_available(spark: SparkSession, folder: str, schema: str, checkpoint: str, out: str, files_per_batch: int = 1) -> DataFrame:
+def run_available(spark: SparkSession, folder: str, schema: str, checkpoint: str, out: str, files_per_batch: int = 1, each: Callable[[DataFrame, int], None] = lambda batch, number: None) -> DataFrame:
     """Judges all sightings that have landed as Parquet files in folder since the last call, and returns all results
-    so far. The checkpoint holds the state; a batch that is repeated overwrites its own output."""
+    so far. The checkpoint holds the state; a batch that is repeated overwrites its own output. ``each`` is called with
+    every batch as written and its number; if it fails, the batch is judged again by the next call, from the state
+    before it."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        path = f"{out}/batch={number}"
+        batch.write.mode("overwrite").parquet(path)
+        each(spark.read.schema(batch.schema).parquet(path), number)
 
-    query = judged_stream(stream).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        judged_stream(stream).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(PROVIDER, before)
     return spark.read.parquet(out).drop("batch")
 
 
+def watch(run: Callable[[], object], passes: Iterable[int], failed: Callable[[int, str], None]) -> int:
+    """Runs a pass for each of ``passes``, one after the other; how many succeeded. One that fails is reported with its
+    number and message, and the next one runs: it finds what landed in between and what the failed one left."""
+    done = 0
+    for number in passes:
+        try:
+            run()
+            done += 1
+        except Exception as e:
+            failed(number, f"{type(e).__name__}: {e}")
+    return done
+
+
 def notify_once(events: DataFrame, ledger: str, batch: int, send) -> bool:
-    """Sends the events (with a key) that no batch before this one has sent, and notes their keys only if they were
-    delivered; a batch that runs again meets its own note and sends nothing twice."""
+    """Sends the events (with a key) that no batch before this one has sent, and notes their keys once they were
+    delivered. A batch that runs again after its note sends nothing; one that stops between sending and noting sends
+    again, so an event arrives at least once."""
     spark = events.sparkSession
-    try:
-        sent = spark.read.parquet(ledger).select("key").distinct()
-        fresh = events.join(sent, "key", "left_anti")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        fresh = events
+    fresh = events
+    if exists(spark, ledger):
+        fresh = events.join(spark.read.schema("key string, batch_id long").parquet(ledger).select(F.col("key").cast(events.schema["key"].dataType)).distinct(), "key", "left_anti")
     fresh = kept(fresh, "events")
     if fresh.isEmpty() or not send(fresh, batch):
         return False
-    fresh.select("key", F.lit(batch).alias("batch_id")).write.mode("overwrite").parquet(os.path.join(ledger, f"part={batch}"))
+    fresh.select(F.col("key").cast("string").alias("key"), F.lit(batch).cast("long").alias("batch_id")).distinct().write.mode("overwrite").parquet(f"{ledger}/part={batch}")
     return True
