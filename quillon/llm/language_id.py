@@ -8,6 +8,7 @@ words, and as many n-grams of each length.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ LONGEST = 5
 WORD_LENGTH = 40
 #: What is added to each count.
 SMOOTHING = 0.5
-#: Distinct words whose scores a worker remembers, and words it adds up before it hands their counts on.
-REMEMBERED, HELD = 1 << 17, 1 << 18
+#: Words that a worker adds up before it hands their counts on.
+HELD = 1 << 18
 #: Marks of a word's start and end in its n-grams; no letters.
 START, END = "^", "$"
 
@@ -77,6 +78,11 @@ class Level:
         return Level(np.log(SMOOTHING) - norm, places, logs - norm)
 
 
+def _places(level: Level, entries: list[str]) -> np.ndarray:
+    """Rows of the entries in a level, -1 for unknown ones."""
+    return np.fromiter(map(level.places.get, entries, repeat(-1)), np.int64, len(entries))
+
+
 @dataclass
 class LanguageModel:
     """languages in order, log shares of the training documents, the words, and n-grams from the longest to single
@@ -87,37 +93,42 @@ class LanguageModel:
     words: Level | None
     grams: list[tuple[int, Level]]
 
-    def word(self, word: str) -> np.ndarray:
-        """Log frequency of a word in each language; unseen ones back off to n-grams, shorter and shorter until one is
-        known, and then score by the mean of those known. Zeros, if none is: such a word says nothing."""
-        if (at := self.words.places.get(word)) is not None:
-            return self.words.logs[at]
+    def words_scores(self, found: list[str]) -> np.ndarray:
+        """Log frequencies (words x languages). Unseen words back off to n-grams, shorter and shorter until one is known,
+        and then score by the mean of those known; zeros if none is, for such a word says nothing."""
+        out = np.zeros((len(found), len(self.languages)))
+        places = _places(self.words, found)
+        out[places >= 0] = self.words.logs[places[places >= 0]]
+        unseen = np.flatnonzero(places < 0)
         for n, level in self.grams:
-            found = [level.places[g] for g in grams(word, n) if g in level.places]
-            if found:
-                return level.logs[found].mean(0)
-        return np.zeros(len(self.languages))
-
-    def predict(self, texts: pa.Array, memory: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
-        """(language, its posterior probability) of each text; ``memory`` keeps scores of words between calls."""
+            if not len(unseen):
+                break
+            marked = [START + found[i] + END for i in unseen.tolist()]
+            counts = np.fromiter((max(len(m) - n + 1, 0) for m in marked), np.int64, len(marked))
+            at = _places(level, [m[i : i + n] for m in marked for i in range(len(m) - n + 1)])
+            owner = np.repeat(np.arange(len(marked)), counts)[at >= 0]
+            at = at[at >= 0]
+            known = np.bincount(owner, minlength=len(marked))
+            some = known > 0
+            for k in range(out.shape[1]):
+                out[unseen[some], k] = (np.bincount(owner, weights=level.logs[at, k], minlength=len(marked)) / np.maximum(known, 1))[some]
+            unseen = unseen[~some]
+        return out
+
+    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        """(language, its posterior probability) of each text."""
         pieces, codes, offsets = letter_runs(texts)
         if not self.languages:
             return ["und"] * len(texts), np.zeros(len(texts))
-        scores = np.zeros((len(pieces), len(self.languages)))
-        for i, found in enumerate(pieces):
-            for w in found:
-                known = memory.get(w)
-                if known is None:
-                    known = self.word(w)
-                    if len(memory) < REMEMBERED and len(w) <= WORD_LENGTH:
-                        memory[w] = known
-                scores[i] += known
-        lettered = np.fromiter((bool(p) for p in pieces), bool, len(pieces))
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        scores = self.words_scores([w for p in pieces for w in p])
+        ends = np.cumsum(sizes)
         total = np.empty((len(texts), len(self.languages)))
         sums = lambda v: np.diff(np.concatenate([[0], np.cumsum(v[codes])])[offsets])
         for k in range(len(self.languages)):  # one language at a time: memory of a place, not of places x languages
-            total[:, k] = sums(scores[:, k]) + self.priors[k]
-        speaks = sums(lettered.astype(np.int64)) > 0
+            run = np.concatenate([[0], np.cumsum(scores[:, k])])
+            total[:, k] = sums(run[ends] - run[ends - sizes]) + self.priors[k]
+        speaks = sums(sizes) > 0
         best = total.argmax(1)
         p = 1 / np.exp(total - total[np.arange(len(total)), best][:, None]).sum(1)
         return [self.languages[b] if s else "und" for b, s in zip(best, speaks, strict=True)], np.where(speaks, p, 0.0)
@@ -210,9 +221,8 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     shared = docs.sparkSession.sparkContext.broadcast(model)  # ENTRIES strings for words and for each length of n-grams
 
     def add(batches):
-        memory: dict[str, np.ndarray] = {}
         for batch in slices(batches, text_col):
-            languages, p = shared.value.predict(batch[text_col], memory)
+            languages, p = shared.value.predict(batch[text_col])
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(languages, pa.string()), pa.array(p)], names=[*names, "lang_pred", "score"])
 
     return docs.mapInArrow(add, T.StructType([*keep, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
