@@ -58,8 +58,9 @@ def embedded_json(page: Column, marker: str) -> Column:
     return F.try_parse_json(F.regexp_extract(page, f"(?s)<script[^>]*{re.escape(marker)}[^>]*>(.*?)</script>", 1))
 
 
-def map_items(items: DataFrame, source: str, fields: FieldMap, item: str = "item") -> DataFrame:
-    """Listing rows of VARIANT items. Items without a reference are left out: see :func:`unmapped_items`."""
+def map_items(items: DataFrame, source: str, fields: FieldMap, item: str = "item", keep: list[str] | None = None) -> DataFrame:
+    """Listing rows of VARIANT items, with the columns ``keep`` of items. Items without a reference are left out: see
+    :func:`unmapped_items`."""
     value = lambda paths: X.first_of(*[X.scalar(X.path_value(F.col(item), p)) for p in paths]) if paths else F.lit(None).cast("string")
     amount, hc = X.rents(X.whole(value(fields.rent)), X.whole(value(fields.rent_hc)), fields.charges_included)
     text = lambda paths: X.text_value(value(paths))
@@ -80,6 +81,7 @@ def map_items(items: DataFrame, source: str, fields: FieldMap, item: str = "item
         X.floor_level(value(fields.floor)).alias("floor"),
         X.number(value(fields.surface)).alias("surface_m2"),
         X.flag(value(fields.elevator)).alias("has_elevator"),
+        *(keep or []),
     ).filter(F.col("external_id").isNotNull())
 
 
@@ -180,6 +182,20 @@ def _resolve(root: Node, selector: Selector) -> str | None:
     return None
 
 
+def card_items(text: str | None, item: Selector, named: dict[str, Selector]):
+    """A map for each element of a page that ``item`` finds: what the named selectors find in it, its text as ``_text``,
+    its attributes as ``attr.*``, and the data attributes in it as ``data.*``, of which the last of a name stays."""
+    tree = _Tree()
+    tree.feed(text or "")
+    for node in _select(tree.root, item.steps):
+        out = {k: v for k, s in named.items() if (v := _resolve(node, s)) is not None}
+        out["_text"] = re.sub(r"\s+", " ", node.text()).strip()
+        out.update({f"attr.{k}": v for k, v in node.attrs.items() if not k.startswith("data-")})
+        for n in [node, *node.walk()]:
+            out.update({"data." + k[5:]: v for k, v in n.attrs.items() if k.startswith("data-") and v})
+        yield out
+
+
 CARDS = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("position", T.IntegerType()), T.StructField("item", T.MapType(T.StringType(), T.StringType())), T.StructField("error", T.StringType())])
 
 
@@ -190,22 +206,11 @@ def html_cards(pages: DataFrame, item_selector: str, selectors: dict[str, str],
     item = Selector.parse(item_selector)
     named = {k: Selector.parse(v) for k, v in selectors.items()}
 
-    def cards(text: str | None):
-        tree = _Tree()
-        tree.feed(text or "")
-        for node in _select(tree.root, item.steps):
-            out = {k: v for k, s in named.items() if (v := _resolve(node, s)) is not None}
-            out["_text"] = re.sub(r"\s+", " ", node.text()).strip()
-            out.update({f"attr.{k}": v for k, v in node.attrs.items() if not k.startswith("data-")})
-            for n in [node, *node.walk()]:
-                out.update({"data." + k[5:]: v for k, v in n.attrs.items() if k.startswith("data-") and v})
-            yield out
-
     def parse(frames):
         for frame in frames:
             rows = []
             for i, text in zip(frame["id"], frame["html"], strict=True):
-                found = list(cards(text))
+                found = list(card_items(text, item, named))
                 rows += [(i, k, c, None) for k, c in enumerate(found)] or [(i, None, None, "no card found")]
             yield pd.DataFrame(rows, columns=["page_id", "position", "item", "error"]).astype({"position": "Int32"})
 
@@ -239,19 +244,24 @@ def parse_mail(raw: bytes) -> tuple[str, str, str, list[str]]:
     return str(message.get("From", "")), str(message.get("Subject", "")), body, links
 
 
-def mails(spark: SparkSession, path: str, newest: int = 50) -> DataFrame:
-    """The mails of a folder of .eml files, the last names first."""
+def mails(spark: SparkSession, path: str, newest: int | None = None) -> DataFrame:
+    """The mails of a folder of .eml files; of ``newest`` (if given) files alone, those whose names sort last. Names are
+    chosen before any content is read."""
 
     def parse(frames):
         for frame in frames:
             yield pd.DataFrame([(p, *parse_mail(c)) for p, c in zip(frame["path"], frame["content"], strict=True)], columns=[f.name for f in MAIL])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.eml").load(path).select("path", "content")
-    return files.orderBy(F.desc("path")).limit(newest).mapInPandas(parse, MAIL)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.eml").load(path)
+    if newest is not None:
+        names = files.select("path").orderBy(F.desc("path")).limit(newest)  # the scan of names reads no content
+        files = spark.read.format("binaryFile").load([r.path for r in names.collect()]) if not names.isEmpty() else files.limit(0)
+    return files.select("path", "content").mapInPandas(parse, MAIL)
 
 
-def mail_listings(mail: DataFrame, source: str, sender: str | None = None, host: str | None = None, places: dict[str, str] | None = None, charges_included: bool | None = None) -> DataFrame:
-    """A listing row for each link of the mails that leads to one; facts come from the mail's text."""
+def mail_listings(mail: DataFrame, source: str, sender: str | None = None, host: str | None = None, places: dict[str, str] | None = None, charges_included: bool | None = None, keep: list[str] | None = None) -> DataFrame:
+    """A listing row for each link of the mails that leads to one, with the columns ``keep`` of the mail; facts come from
+    its text."""
     known = mail.filter(F.lower("sender").contains(sender.lower())) if sender else mail
     each = known.select("*", F.explode("links").alias("link")).filter(is_listing_link(F.col("link"), host))
     rent, none = X.sniff_rent(F.col("body")), F.lit(None)
@@ -262,7 +272,7 @@ def mail_listings(mail: DataFrame, source: str, sender: str | None = None, host:
         "rent_cc": rent if charges_included is True else none, "rent_hc": rent if charges_included is False else none,
         "surface_m2": X.sniff_surface(F.col("body")), "rooms": X.sniff_rooms(F.col("body")),
     }
-    return each.select(*[columns.get(f.name, none).cast(f.dataType).alias(f.name) for f in LISTING])
+    return each.select(*[columns.get(f.name, none).cast(f.dataType).alias(f.name) for f in LISTING], *(keep or []))
 
 
 def robots_allows(rules: DataFrame, paths: DataFrame) -> DataFrame:
@@ -294,5 +304,5 @@ def gather(scans: dict[str, object]) -> tuple[DataFrame | None, list[tuple[str,
             found = kept(scan(), "scan")
             rows = found if rows is None else rows.unionByName(found)
         except Exception as e:
-            errors.append((name, f"{type(e).__name__}: {e}"[:500]))
+            errors.append((name, f"{type(e).__name__}: {e}"))
     return rows, errors

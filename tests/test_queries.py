@@ -2,10 +2,11 @@ import pytest
 from same import rows_of, rows_of_sql
 
 from conftest import SMALL
-from quillon.plans import queries_history, queries_listings, queries_text
+from quillon.plans import queries_history, queries_listings, queries_sources, queries_text
 
-ALL = {k: v for m in (queries_listings, queries_text, queries_history) for k, v in m.QUERIES.items()}
-SQL = {k: v for m in (queries_listings, queries_text, queries_history) for k, v in m.ORACLES.items()}
+MODULES = (queries_listings, queries_text, queries_history, queries_sources)
+ALL = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+SQL = {k: v for m in MODULES for k, v in m.ORACLES.items()}
 
 
 @pytest.mark.parametrize("name", sorted(ALL))
