@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,8 +11,8 @@ from quillon.operators import state
 from quillon.plans.queries_text import _plain_html
 from quillon.plans.tables import table, texts
 from quillon.shared import shared_folder
+from quillon.sources import cards, landed
 from quillon.sources import contract as C
-from quillon.sources import landed
 from quillon.sources.listings import FieldMap
 
 #: When the harvest of these queries runs.
@@ -121,6 +122,27 @@ def q_hydrated(spark, sf):
     return out.select(F.col("external_id").cast("long").alias("id"), "title", "rooms", F.try_element_at("fields", F.lit("own")).alias("own"), F.try_element_at("fields", F.lit("both")).alias("both"))
 
 
+#: A selector of each shape: tags, descendants, classes, ids, attributes that must be there, what is taken, patterns.
+_SHAPES = {"link": "a @href", "name": "a", "letter": "a @href => /(.)", "any": "*", "rel": "[rel] @rel", "both": "p.big.red b", "by_id": "#pick", "whole": "p.red", "none": "p.blue", "tail": "b => [^ ]*$", "deep": "div p.big @data-n"}
+
+
+def q_html_shapes(spark, sf):
+    """A table function called from SQL over pages in a frame of our own, with selectors of every shape."""
+    cards.register(spark)
+    k = F.col("page_id").cast("string")
+    frame = F.concat(
+        F.lit('<section class="x card" id="s'), k, F.lit('" data-page="'), k, F.lit('" lang=fr>'), F.when(F.col("page_id") % 3 == 0, F.lit("<i>no link</i>")).otherwise(F.concat(F.lit("<a href='/"), k, F.lit("?a=1&amp;b=2'>Page &eacute; "), k, F.lit("</a>"))),
+        F.lit('<div data-n="outer"><p class="red big" data-n="'), k, F.lit('">plain <b>bold '), k, F.lit("</b><br>end<p class=blue></div>"), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<span id=pick rel=next>picked "), k, F.lit("</span>"))).otherwise(""),
+        F.lit("</section><section>no card</section>"),
+    )
+    texts(spark, sf, "pages").select("page_id", F.when(F.col("page_id") % 10 != 9, F.concat("html", frame)).otherwise(F.lit("<p>nothing</p>")).alias("html")).createOrReplaceTempView("framed_pages")
+    columns = ", ".join(f"c.`{c}`" for c in _SHAPES)
+    return spark.sql(
+        f"""SELECT page_id, c.position, {columns}, c.text, c.attributes['attr.id'] AS own_id, c.attributes['attr.class'] AS own_class, c.attributes['data.page'] AS page, c.attributes['data.n'] AS n, c.error
+          FROM framed_pages p, LATERAL html_cards(p.html, 'section.card[lang]', '{json.dumps(_SHAPES)}') c"""
+    )
+
+
 QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}
 
 _CARDS = f"""cards AS (SELECT page_id, unnest(lis) AS li, CAST(unnest(range(len(lis))) AS INTEGER) AS position FROM (
@@ -148,6 +170,14 @@ ORACLES = {
         NOT EXISTS (SELECT 1 FROM quarantine q WHERE q.source = s.source AND position IS NULL) AS ok FROM (VALUES ('customers'), ('alerts'), ('pages'), ('gone')) s(source))
       SELECT source, item_count, ok, CAST({NOW} AS BIGINT) AS at_epoch, CASE WHEN ok THEN 'OK' ELSE 'BROKEN' END AS status, (SELECT count(*) FROM listed) AS items, (SELECT count(*) FROM quarantine) AS quarantined FROM runs""",
     "q_landed_names": "SELECT 'm' || page_id || '.eml' AS file FROM pages WHERE page_id % 10 = 7",
+    "q_html_shapes": """SELECT page_id, CASE WHEN f THEN CAST(0 AS INTEGER) END AS position, CASE WHEN f AND a THEN '/' || page_id || '?a=1&b=2' END AS link, CASE WHEN f AND a THEN 'Page é ' || page_id END AS name,
+        CASE WHEN f AND a THEN left(CAST(page_id AS VARCHAR), 1) END AS letter, CASE WHEN f THEN CASE WHEN a THEN 'Page é ' || page_id ELSE 'no link' END END AS any, CASE WHEN f AND s THEN 'next' END AS rel,
+        CASE WHEN f THEN 'bold ' || page_id END AS both, CASE WHEN f AND s THEN 'picked ' || page_id END AS by_id, CASE WHEN f THEN 'plain bold ' || page_id || ' end' END AS whole, CAST(NULL AS VARCHAR) AS none,
+        CASE WHEN f THEN CAST(page_id AS VARCHAR) END AS tail, CASE WHEN f THEN CAST(page_id AS VARCHAR) END AS deep,
+        CASE WHEN f THEN CASE WHEN a THEN 'Page é ' || page_id ELSE 'no link' END || ' plain bold ' || page_id || ' end' || CASE WHEN s THEN ' picked ' || page_id ELSE '' END END AS text,
+        CASE WHEN f THEN 's' || page_id END AS own_id, CASE WHEN f THEN 'x card' END AS own_class, CASE WHEN f THEN CAST(page_id AS VARCHAR) END AS page, CASE WHEN f THEN CAST(page_id AS VARCHAR) END AS n,
+        CASE WHEN NOT f THEN 'no card found' END AS error
+      FROM (SELECT page_id, page_id % 10 <> 9 AS f, page_id % 3 <> 0 AS a, page_id % 2 = 0 AS s FROM pages)""",
     "q_hydrated": """SELECT o_orderkey AS id, CASE WHEN d AND o_custkey % 2 = 0 THEN c_name WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END AS title,
         CASE WHEN d AND o_custkey % 3 = 0 THEN 9 WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 7 END AS rooms, '1' AS own, CASE WHEN d THEN 'page' ELSE 'list' END AS both
       FROM (SELECT *, o_orderkey % 4 < 2 AND o_orderkey % 2 = 0 AND c_custkey IS NOT NULL AS d FROM orders LEFT JOIN customer ON o_custkey = c_custkey)""",

@@ -100,8 +100,19 @@ def q_html_cards(spark, sf):
     return cards.select("page_id", "position", at("link"), at("name"), at("letter"), at("_text"), "error")
 
 
+def _nested(spark, sf):
+    """Payloads of every depth to fourteen: events' properties below lists and objects, with equal paths and nulls."""
+    e, k = table(spark, sf, "events"), F.col("event_id")
+    deep = (k % 15).cast("int")
+    inner = F.concat(F.lit('{"p": '), F.col("props"), F.lit(', "t": "'), F.col("event_type"), F.lit('", "x": null, "v": '), k.cast("string"), F.lit(', "e": [], "q.r": 1, "q": {"r": 2, "s": [true, "", {"u": 0.25}]}}'))
+    nested = F.concat(F.repeat(F.lit('{"n": [null, '), deep / 2), F.when(deep % 2 == 1, '{"o": ').otherwise(""), inner, F.when(deep % 2 == 1, "}").otherwise(""), F.repeat(F.lit("]}"), deep / 2))
+    return e.select("event_id", F.when(k % 100 == 7, F.concat(F.lit("{"), nested)).when(k % 100 == 8, "12").otherwise(nested).alias("payload"))
+
+
 def q_flatten(spark, sf):
-    return table(spark, sf, "events").select("event_id", X.flatten_json(F.concat(F.lit('{"a": [true, null, {"b": '), F.col("props"), F.lit("}]}"))).alias("m")).select("event_id", F.try_element_at("m", F.lit("a.0")).alias("a0"), F.try_element_at("m", F.lit("a.2.b.k")).alias("k"), F.size("m").cast("long").alias("n"))
+    flat = _nested(spark, sf).select("event_id", X.flatten_json(F.col("payload")).alias("m"))
+    lines = F.array_join(F.array_sort(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "\n")
+    return flat.select("event_id", F.size("m").cast("long").alias("n"), F.md5(lines).alias("digest"))
 
 
 def q_map_items(spark, sf):
@@ -179,7 +190,15 @@ ORACLES = {
         left({_plain_html("regexp_extract(li, 'href=\"/([^\"]*)\"', 1)")}, 1) AS letter, {_plain_html("regexp_extract(li, '>([^<]*)<', 1)")} AS text, CAST(NULL AS VARCHAR) AS error FROM c
       UNION ALL SELECT page_id, NULL, NULL, NULL, NULL, NULL, 'no card found' FROM n WHERE len(lis) = 0""",
     "q_html_links": "SELECT page_id, len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS links FROM pages",
-    "q_flatten": "SELECT event_id, 'true' AS a0, json_extract_string(props, '$.k') AS k, CAST(2 AS BIGINT) AS n FROM events",
+    # of equal paths the one below an object comes first (q before q.r); 13 names lead to a leaf at most
+    "q_flatten": """WITH d AS (SELECT event_id, event_id % 15 AS d, '{"p": ' || props || ', "t": "' || event_type || '", "x": null, "v": ' || event_id || ', "e": [], "q.r": 1, "q": {"r": 2, "s": [true, "", {"u": 0.25}]}}' AS inner_text FROM events),
+      p AS (SELECT event_id, CASE WHEN event_id % 100 = 7 THEN NULL WHEN event_id % 100 = 8 THEN '12'
+        ELSE repeat('{"n": [null, ', d // 2) || CASE WHEN d % 2 = 1 THEN '{"o": ' ELSE '' END || inner_text || CASE WHEN d % 2 = 1 THEN '}' ELSE '' END || repeat(']}', d // 2) END AS j FROM d),
+      leaves AS (SELECT event_id, replace(replace(replace(substr(t.fullkey, 3), '[', '.'), ']', ''), '"', '') AS path, json_extract_string(t.value, '$') AS text, t.fullkey LIKE '%"q.r"%' AS second,
+          len(regexp_extract_all(replace(t.fullkey, '"q.r"', 'qr'), '[.\[]')) AS names FROM p, json_tree(CAST(p.j AS JSON)) t WHERE t.type NOT IN ('OBJECT', 'ARRAY', 'NULL')),
+      kept AS (SELECT event_id, path, arg_min(text, second) AS text FROM leaves WHERE names BETWEEN 1 AND 13 GROUP BY ALL)
+      SELECT event_id, CASE WHEN j IS NOT NULL THEN count(path) END AS n, CASE WHEN j IS NOT NULL THEN md5(coalesce(string_agg(path || '=' || text, chr(10) ORDER BY path || '=' || text), '')) END AS digest
+      FROM p LEFT JOIN kept USING (event_id) GROUP BY event_id, j""",
     "q_map_items": "SELECT event_id, event_type AS commune, CAST(event_id % 2000 AS INTEGER) AS rent_cc, 3 AS floor, true AS has_elevator, 'https://example.org/' || event_id AS url FROM events",
     "q_redact": """SELECT event_id, [
       'GET https://[masked]@host.org/x?api_key=[masked]&page=2', 'Authorization: [masked]', 'a1 LOGIN [masked]', 'LOGIN failed for session number ' || event_id, '{"accessToken": [masked], "topic":[masked]}',

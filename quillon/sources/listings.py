@@ -69,7 +69,7 @@ def map_items(items: DataFrame, source: str, fields: FieldMap, item: str = "item
         text(fields.ref).alias("external_id"),
         F.coalesce(text(fields.title), F.lit("")).alias("title"),
         F.coalesce(text(fields.description), F.lit("")).alias("description"),
-        X.flatten_json(F.to_json(F.col(item))).alias("fields"),
+        X.flatten_variant(F.col(item)).alias("fields"),
         absolute_url(text(fields.url), fields.base_url).alias("url"),
         text(fields.commune).alias("commune"),
         text(fields.postcode).alias("postcode"),

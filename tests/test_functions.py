@@ -76,3 +76,18 @@ def test_sniffers(spark):
     assert one(spark, X.sniff_surface, "T3 de 62,5 m² au 2e", "3 m2", "m² 45 m^2", None) == [62.5, None, 45.0, None]
     assert one(spark, X.sniff_rooms, "Appartement T 4", "F2 meublé", "4 pièces", "3 pieces T2", "T0", "néant") == [4, 2, 4, 3, None, None]
     assert one(spark, X.sniff_postcode, "à 92100 Boulogne", "13001 Marseille 75011 Paris", "750112") == ["92100", "75011", None]
+
+
+def test_flatten_in_the_jvm(spark):
+    from pyspark.sql import functions as F
+
+    from quillon.functions.extract import flatten_json
+
+    deep = '{"a": ' * 12 + '[1, [2]]' + "}" * 12
+    rows = [
+        ('{"x": {"y": null, "z": [true, {"w": "s"}, [], {}]}, "n": 1.50, "e": 1e3, "é": "", "x.z.0": 5, "big": 12345678901234567890}', {"x.z.0": "true", "x.z.1.w": "s", "n": "1.5", "e": "1000.0", "é": "", "big": "12345678901234567890"}),
+        ("[1, {\"a\": 2}]", {"0": "1", "1.a": "2"}), ("{}", {}), ('"text"', {}), ("3", {}), ("null", {}), ("{oops", None), ("", None), (None, None), (deep, {".".join("a" * 12) + ".0": "1"}),
+    ]
+    df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(rows)], "i int, s string").select("i", flatten_json(F.col("s")).alias("m"))
+    assert [r.m for r in df.orderBy("i").collect()] == [m for _, m in rows]
+    assert "Python" not in df._jdf.queryExecution().toString()

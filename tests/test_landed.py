@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from quillon.schema import LISTING
+from quillon.sources import cards, landed
 from quillon.sources import contract as C
-from quillon.sources import landed
 from quillon.sources.listings import FieldMap
 
 
@@ -109,3 +109,19 @@ def test_details_need_a_gate(spark):
     out = {r.external_id: r.rooms for r in C.hydrated(rows, details, C.undecided()).collect()}
     assert sorted(asked) == ["0", "1"] and out == {"0": 9, "1": 9, "2": 2, "3": 3}
     assert C.hydrated(rows, details, F.lit(None).cast("boolean")).filter("rooms = 9").count() == 0
+
+
+def test_html_table_function(spark):
+    cards.register(spark)
+    page = '<ul><li class="a b" data-k="1"><a href="/x">One</a></li><li class="a"><a>Two</a><i data-k="2" data-z="3"></i></li></ul>'
+    spark.createDataFrame([(1, page), (2, "<p>"), (3, None)], "id int, html string").createOrReplaceTempView("t_pages")
+    call = lambda card, selectors: spark.sql(f"SELECT id, c.* FROM t_pages p, LATERAL html_cards(p.html, {card}, {selectors}) c")
+    out = call("'li.a'", """'{"to": "a @href", "name": "a => ^(.)", "both": ".b a"}'""")
+    assert out.columns == ["id", "position", "to", "name", "both", "text", "attributes", "error"]
+    assert sorted(map(tuple, out.collect())) == [
+        (1, 0, "/x", "O", "One", "One", {"attr.class": "a b", "data.k": "1"}, None), (1, 1, None, "T", None, "Two", {"attr.class": "a", "data.k": "2", "data.z": "3"}, None),
+        (2, None, None, None, None, None, None, "no card found"), (3, None, None, None, None, None, None, "no card found"),
+    ]
+    for card, selectors, said in [("'li'", "html", "constant"), ("'li >> a'", "'{}'", "not understood"), ("'li'", "'[1]'", "JSON object"), ("'li'", """'{"text": "a"}'""", "other than"), ("'li'", "'{'", "JSON object")]:
+        with pytest.raises(Exception, match=said):
+            call(card, selectors).collect()
