@@ -6,14 +6,17 @@ values), so a listing is classified where it is and nothing is shuffled. Positio
 
 from __future__ import annotations
 
+import html
 import re
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.functions.text import ascii_lower, decode_entities, field_key, fold, fold_keep_case, inflected_pattern, let
+from quillon.functions.text import ascii_lower, field_key, fold, fold_keep_case, inflected_pattern, let
 from quillon.schema import ELIGIBLE, EXCLUDED, listing_text
 
 # Confidence by tier, what other tiers add or take, limits, the least that a mixed source needs.
@@ -79,33 +82,39 @@ def _squashed(literal: str) -> str:
     return re.sub("[^a-z0-9]", "", literal)
 
 
+def _stem(words: str) -> str:
+    """The longest part that every form of the words holds: patterns run only where it occurs."""
+    return max((w[:-2] if w.endswith("al") else w for w in words.split(" ")), key=len)
+
+
+def _at(text: Column, words: str) -> Column:
+    """Place (from 0) of the first form of the words, or null."""
+    return F.when(text.contains(_stem(words)), F.nullif(F.regexp_instr(text, F.lit(inflected_pattern(words))), F.lit(0)) - 1)
+
+
 _EXCLUDED_LABELS = [(w, t) for w, t in LABELS if t not in ELIGIBLE]
 _EXCLUDED_PROCEDURES = [(w, t) for w, t in PROCEDURES if t not in ELIGIBLE]
 #: Several words without spaces, the longest first: as identifiers hold them.
 _KEYS = sorted({_squashed(w): w for w, _ in _EXCLUDED_LABELS + _EXCLUDED_PROCEDURES if " " in w and len(_squashed(w)) >= 8}.items(), key=lambda x: -len(x[0]))
-_ANY_LABEL = "|".join(inflected_pattern(w) for w, _ in LABELS)
-_ANY_PROCEDURE = "|".join(inflected_pattern(w) for w, _ in PROCEDURES)
-_ANY_EXCLUDED = "|".join([*(inflected_pattern(w) for w, _ in _EXCLUDED_LABELS + _EXCLUDED_PROCEDURES), PLUS_ANY])
 _ANY_KEY = "|".join(k for k, _ in _KEYS)
 
 
-@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
-def _decoded_map(s: pd.Series) -> pd.Series:
-    import html
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _decoded(values: pa.Array) -> pa.Array:
+    """Entities decoded until nothing changes, three times at most; batches without any value are passed on as they are."""
+    found = values.flatten()
+    if not len(found):
+        return values
 
-    def one(m):
-        if m is None:
-            return None
-        out = {}
-        for k, v in dict(m).items():
-            for _ in range(3):
-                if v is None or "&" not in v or html.unescape(v) == v:
-                    break
-                v = html.unescape(v)
-            out[k] = v
-        return out
+    def one(x: str) -> str:
+        for _ in range(3):
+            if (y := html.unescape(x)) == x:
+                break
+            x = y
+        return x
 
-    return s.map(one)
+    out = pa.array([one(x) for x in found.to_pylist()], found.type)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False))]), pa.int32()), out)
 
 
 def signal(tier, tenure, reason: Column, evidence: Column, position=None, length=None) -> Column:
@@ -122,11 +131,15 @@ def _none() -> Column:
 
 def label_hits(folded: Column) -> Column:
     """The first occurrence of each label: struct(position, literal, tenure, matched); of those at one place the longest."""
-    one = lambda w, t: F.struct((F.regexp_instr(folded, F.lit(inflected_pattern(w))) - 1).alias("position"), F.lit(w).alias("literal"), F.lit(t).alias("tenure"), F.regexp_extract(folded, inflected_pattern(w), 0).alias("matched"))
-    hits = F.filter(F.array(*[one(w, t) for w, t in LABELS]), lambda h: h["position"] >= 0)
-    longest = F.filter(hits, lambda h: ~F.exists(hits, lambda o: (o["position"] == h["position"]) & (F.length(o["literal"]) > F.length(h["literal"]))))
-    kept = F.filter(longest, lambda h: ~(h["tenure"].isin(ELIGIBLE) & h["matched"].contains("\n")))
-    return F.when(folded.rlike(_ANY_LABEL), kept).otherwise(F.array().cast("array<struct<position:int,literal:string,tenure:string,matched:string>>"))
+
+    def one(w: str, t: str) -> Column:
+        matched = F.regexp_extract(folded, inflected_pattern(w), 0)
+        return let(_at(folded, w), lambda at: F.when(at.isNotNull(), F.struct(at.alias("position"), F.lit(w).alias("literal"), F.lit(t).alias("tenure"), matched.alias("matched"))))
+
+    def longest(hits: Column) -> Column:
+        return F.filter(hits, lambda h: ~(h["tenure"].isin(ELIGIBLE) & h["matched"].contains("\n")) & ~F.exists(hits, lambda o: (o["position"] == h["position"]) & (F.length(o["literal"]) > F.length(h["literal"]))))
+
+    return let(F.filter(F.array(*[one(w, t) for w, t in LABELS]), lambda h: h.isNotNull()), longest)
 
 
 def _after_sans(text: Column, position: Column) -> Column:
@@ -134,32 +147,33 @@ def _after_sans(text: Column, position: Column) -> Column:
 
 
 def procedure_signals(folded: Column) -> Column:
-    found = []
-    for w, t in PROCEDURES:
-        p = inflected_pattern(w)
-        at = F.regexp_instr(folded, F.lit(p)) - 1
-        ok = at >= 0
-        if w in NEGATED_BY_SANS:
-            ok = ok & ~_after_sans(folded, at)
-        if t in ELIGIBLE:
-            ok = ok & ~F.regexp_extract(folded, p, 0).contains("\n")
-        found.append(F.when(ok, signal(3, t, F.lit(f"procedure: {w}"), F.lit(w), at)))
-    return F.when(folded.rlike(_ANY_PROCEDURE), F.filter(F.array(*found), lambda x: x.isNotNull())).otherwise(_none())
+    def one(w: str, t: str) -> Column:
+        def of(at: Column) -> Column:
+            ok = at.isNotNull()
+            if w in NEGATED_BY_SANS:
+                ok = ok & ~_after_sans(folded, at)
+            if t in ELIGIBLE:
+                ok = ok & ~F.regexp_extract(folded, inflected_pattern(w), 0).contains("\n")
+            return F.when(ok, signal(3, t, F.lit(f"procedure: {w}"), F.lit(w), at))
+
+        return let(_at(folded, w), of)
+
+    return F.filter(F.array(*[one(w, t) for w, t in PROCEDURES]), lambda x: x.isNotNull())
 
 
 def excluded_word(cased: Column) -> Column:
     """The first excluded word in a value or identifier (cased: folded with its case), or null."""
 
     def of(s: Column) -> Column:
-        found = [F.when(s.rlike(inflected_pattern(w)), F.lit(w)) for w, _ in _EXCLUDED_LABELS]
+        has = lambda w: s.contains(_stem(w)) & s.rlike(inflected_pattern(w))
+        found = [F.when(has(w), F.lit(w)) for w, _ in _EXCLUDED_LABELS]
         for w, _ in _EXCLUDED_PROCEDURES:
-            p = inflected_pattern(w)
-            ok = s.rlike(p)
+            ok = has(w)
             if w in NEGATED_BY_SANS:
-                ok = ok & ~_after_sans(s, F.regexp_instr(s, F.lit(p)) - 1)
+                ok = ok & ~_after_sans(s, F.regexp_instr(s, F.lit(inflected_pattern(w))) - 1)
             found.append(F.when(ok, F.lit(w)))
-        found.append(F.when(s.rlike(PLUS_ANY), F.lit("PLUS")))
-        return F.when(s.rlike(_ANY_EXCLUDED), F.coalesce(*found))
+        found.append(F.when(s.contains("plus") & s.rlike(PLUS_ANY), F.lit("PLUS")))
+        return F.coalesce(*found)
 
     def squashed(key: Column) -> Column:
         found = [F.when(key.contains(k) & (~key.contains("sans" + k) if w in NEGATED_BY_SANS else F.lit(True)), F.lit(w)) for k, w in _KEYS]
@@ -263,12 +277,15 @@ def classify(listings: DataFrame) -> DataFrame:
     """
     text = listing_text(F.col("title"), F.col("description"), F.col("fields"))
     df = listings.withColumn("__text", text).withColumn("__cased", fold_keep_case(F.col("__text"))).withColumn("__folded", ascii_lower(F.col("__cased")))
-    df = df.withColumn("__fields", _decoded_map("fields"))
     names = ["url", "commune", "postcode", "external_id"]
-    for c in names:
-        df = df.withColumn(f"__{c}", decode_entities(F.col(c)))
-    named = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"__{c}").alias("value")) for c in names])
-    df = df.withColumn("__named", F.transform(named, lambda x: F.struct(x["name"].alias("name"), fold_keep_case(x["value"]).alias("cased"))))
+    # what holds an entity goes to Python and back, in one batch with all of a row's values
+    entries = F.coalesce(F.map_entries("fields"), F.array().cast("array<struct<key:string,value:string>>"))
+    pending = F.filter(F.concat(F.array(*names), F.transform(entries, lambda e: e["value"])), lambda x: F.coalesce(x.contains("&"), F.lit(False)))
+    df = df.withColumn("__pending", F.array_distinct(pending)).withColumn("__decoded", _decoded("__pending"))
+    plain = lambda x: F.when(x.contains("&"), F.get("__decoded", F.array_position("__pending", x).cast("int") - 1)).otherwise(x)
+    df = df.withColumn("__fields", F.transform_values("fields", lambda k, v: plain(v)))
+    named = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in names])
+    df = df.withColumn("__named", F.transform(named, lambda x: F.struct(x["name"].alias("name"), fold_keep_case(plain(x["value"])).alias("cased"))))
     df = df.withColumn("__entries", F.coalesce(field_entries(F.col("__fields")), F.array().cast("array<struct<name:string,name_cased:string,key:string,given:boolean,cased:string>>")))
     page = F.try_element_at("__fields", F.lit("_text"))
     df = df.withColumn("__surfaces", F.filter(F.concat(F.array("__folded"), F.transform("__entries", lambda e: ascii_lower(e["cased"])), F.array(fold(page))), lambda x: x.isNotNull()))

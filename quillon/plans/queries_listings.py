@@ -10,7 +10,7 @@ from quillon.operators import filters as P
 from quillon.operators import resolve, score, state
 from quillon.operators.classify import classify
 from quillon.plans.listing_pass import delivered, run_pass
-from quillon.plans.tables import LISTINGS_SQL, listings, table
+from quillon.plans.tables import LISTINGS_SQL, listings, spread, table
 from quillon.schema import LISTING
 from quillon.sources.sinks import event_rows
 
@@ -124,19 +124,30 @@ def q_profile_lookup(spark, sf):
     return state.with_profile(table(spark, sf, "documents").select("doc_id", "source"), profiles).select("doc_id", "family", "default_tenure", "mixed_tenure")
 
 
-#: Titles, fields and more by order, and what they must be classified as (on a mixed source without a default, unless
-#: the source is b: one of free rents alone).
+#: Titles, fields and more by order, and what they must be classified as, with which confidence and reasons (on a mixed
+#: source without a default, unless the source is b, one of free rents alone, or c, mixed with a default).
 TEXTS = [
-    ({"title": "LLI", "description": "logement social"}, "", "UNKNOWN"), ({"title": "loyer intermédiaire conventionné"}, "", "LLI"), ({"title": "LLI", "url": "https://x/hlm/1"}, "", "UNKNOWN"),
-    ({"title": "LLI", "field": "typeLogementSocial"}, "1", "UNKNOWN"), ({"field": "other"}, "HLM", "UNKNOWN"), ({"title": "PLUS ou PLAI"}, "", "PLUS"), ({"title": "x &eacute; LLI"}, "", "UNKNOWN"), ({"source": "b"}, "", "LIBRE"),
-    ({"description": "logement locatif social"}, "", "SOCIAL"), ({}, "plus", "PLUS"), ({"title": "logement\nintermédiaire"}, "", "UNKNOWN"),
-    ("Logement intermédiaire", "", "LLI"), ("Appartement PLS", "", "PLS"), ("Résidence HLM", "", "SOCIAL"), ("financement PLUS.", "", "PLUS"), ("PLUS grand que prévu", "", "UNKNOWN"),
-    ("T3", "PLAI", "PLAI"), ("LLI", "PLS", "PLS"), ("commission d'attribution", "", "SOCIAL"), ("sans commission d'attribution", "", "LLI"), ("loyers intermédiaires", "", "LLI"), ("T2 calme", "", "UNKNOWN"), ("LLI", "hlm?", "SOCIAL"),
+    ({"title": "LLI", "description": "logement social"}, "", "UNKNOWN", 0, "text: lli|conflict|text: logement social"), ({"title": "loyer intermédiaire conventionné"}, "", "LLI", 90, "text: loyer intermediaire"),
+    ({"title": "LLI", "url": "https://x/hlm/1"}, "", "UNKNOWN", 0, "check: url|text: lli|conflict"), ({"title": "LLI", "field": "typeLogementSocial"}, "1", "UNKNOWN", 0, "check: name of field typeLogementSocial|text: lli|conflict"),
+    ({"field": "other"}, "HLM", "UNKNOWN", 0, "check: field other"), ({"title": "PLUS ou PLAI"}, "", "PLUS", 90, "text: PLUS in context|text: plai"), ({"title": "x &eacute; LLI"}, "", "UNKNOWN", 0, "unreadable text"),
+    ({"source": "b"}, "", "LIBRE", 50, "default of the source"), ({"description": "logement locatif social"}, "", "SOCIAL", 90, "text: logement locatif social"), ({}, "plus", "PLUS", 97, "field financement"),
+    ({"title": "logement\nintermédiaire"}, "", "UNKNOWN", 0, ""), ("Logement intermédiaire", "", "LLI", 90, "text: logement intermediaire"), ("Appartement PLS", "", "PLS", 90, "text: pls"), ("Résidence HLM", "", "SOCIAL", 90, "text: hlm"),
+    ("financement PLUS.", "", "PLUS", 90, "text: PLUS in context"), ("PLUS grand que prévu", "", "UNKNOWN", 0, ""), ("T3", "PLAI", "PLAI", 97, "field financement"), ("LLI", "PLS", "PLS", 82, "field financement|text: lli"),
+    ("commission d'attribution", "", "SOCIAL", 80, "procedure: commission d'attribution"), ("sans commission d'attribution", "", "LLI", 80, "procedure: sans commission d'attribution"),
+    ("loyers intermédiaires", "", "LLI", 90, "text: loyer intermediaire"), ("T2 calme", "", "UNKNOWN", 0, ""), ("LLI", "hlm?", "SOCIAL", 82, "field financement|text: lli"),
+    # financing fields: codes alone, with others, in any case; in prose a doubt, or nothing where it compares
+    ("T4", "PLUS CD", "PLUS", 97, "field financement"), ("T4", "PLUS / PLAI", "PLUS", 97, "field financement|field financement"), ("T4", "plai, plus", "PLAI", 97, "field financement|field financement"),
+    ("T4", "Prêt PLUS", "UNKNOWN", 0, "field financement"), ("T4", "PLUS|CD", "UNKNOWN", 0, "field financement"), ("T4", "T3 PLUS", "UNKNOWN", 0, "field financement"), ("T4", "appartement de PLUS de 60 m2", "UNKNOWN", 0, ""),
+    ("T4", "Logement PLUS.", "PLUS", 97, "field financement"),
+    # what other tiers add and take
+    ("LLI, attribution directe", "", "LLI", 93, "text: lli|procedure: attribution directe"), ("logement social, commission d'attribution", "", "SOCIAL", 93, "text: logement social|procedure: commission d'attribution"),
+    ("badge logement social", "PLAI", "PLAI", 99, "field financement|text: logement social"), ({"source": "c"}, "", "UNKNOWN", 0, "too unsure for a mixed source|default of the source"),
+    ("numéro unique d'enregistrement requis", "", "SOCIAL", 80, "procedure: numero unique d'enregistrement|procedure: numero unique"), ("hlm, sans commission d'attribution", "", "SOCIAL", 75, "text: hlm|procedure: sans commission d'attribution"),
 ]
 
 
 def _texts(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey")
+    o = spread(table(spark, sf, "orders").select("o_orderkey"))
     at = (F.col("o_orderkey") % len(TEXTS) + 1).cast("int")
     pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), at)
     said = [t[0] if isinstance(t[0], dict) else {"title": t[0]} for t in TEXTS]
@@ -145,12 +156,12 @@ def _texts(spark, sf):
         "external_id": F.col("o_orderkey").cast("string"), "fields": F.when(value != "", F.create_map(pick([s.get("field", "financement") for s in said]), value)).otherwise(F.create_map().cast("map<string,string>")),
     }
     rows = o.select(*[columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in LISTING])
-    profile = spark.createDataFrame([("a", "institutional", None, True), ("b", "private", "LIBRE", False)], "source string, family string, default_tenure string, mixed_tenure boolean")
+    profile = spark.createDataFrame([("a", "institutional", None, True), ("b", "private", "LIBRE", False), ("c", "institutional", "LLI", True)], "source string, family string, default_tenure string, mixed_tenure boolean")
     return state.with_profile(rows, profile)
 
 
 def q_classify(spark, sf):
-    return classify(_texts(spark, sf)).select(F.col("external_id").cast("long").alias("id"), "tenure", "outcome")
+    return classify(_texts(spark, sf)).select(F.col("external_id").cast("long").alias("id"), "tenure", "outcome", "confidence", F.array_join("tenure_reasons", "|").alias("reasons"))
 
 
 #: Titles by customer for a whole pass, and what they are classified as.
@@ -219,7 +230,7 @@ _CLUSTERS = f"""WITH RECURSIVE {ENTITIES_SQL}, before AS (SELECT id_b AS id, lis
     SELECT place, k, CASE WHEN met IS NULL THEN list_append(held, id) ELSE held END, id, coalesce(met, id)
     FROM (SELECT n.place, n.k, n.id, w.held, list_min(list_intersect(w.held, CAST(n.earlier AS INT64[]))) AS met FROM walked w JOIN numbered n ON n.place = w.place AND n.k = w.k + 1)
   ), clusters AS (SELECT id, survivor FROM walked WHERE k > 0)"""
-_TENURES = "[" + ", ".join(f"'{t[2]}'" for t in TEXTS) + "]"
+_WANTED = [f"({i}, '{t}', {n}, '" + why.replace("'", "''") + "')" for i, (_, _, t, n, why) in enumerate(TEXTS)]
 _OUTCOME = "CASE WHEN tenure IN ('LLI', 'LIBRE') THEN 'MATCH' WHEN tenure = 'UNKNOWN' THEN 'DIGEST' ELSE 'REJECT' END"
 
 ORACLES = {
@@ -258,7 +269,8 @@ ORACLES = {
       UNION ALL SELECT key, coalesce(final.name, adopted.name) FROM known JOIN adopted USING (cluster) LEFT JOIN final ON final.a = adopted.name WHERE group_key IS NULL""",
     "q_profile_lookup": """SELECT doc_id, CASE WHEN i < 12 AND i % 2 = 1 THEN 'private' ELSE 'institutional' END AS family, CASE WHEN i < 12 AND i % 3 = 0 THEN 'LIBRE' END AS default_tenure,
       CASE WHEN i < 12 THEN i % 4 = 0 ELSE true END AS mixed_tenure FROM (SELECT doc_id, CAST(substr(source, 4) AS INTEGER) AS i FROM documents)""",
-    "q_classify": f"SELECT id, tenure, {_OUTCOME} AS outcome FROM (SELECT o_orderkey AS id, {_TENURES}[CAST(o_orderkey % {len(TEXTS)} + 1 AS INTEGER)] AS tenure FROM orders)",
+    "q_classify": f"""SELECT o_orderkey AS id, tenure, {_OUTCOME} AS outcome, CAST(confidence AS INTEGER) AS confidence, reasons
+      FROM orders JOIN (VALUES {", ".join(_WANTED)}) w(k, tenure, confidence, reasons) ON k = o_orderkey % {len(TEXTS)}""",
     "q_stale_verdicts": """SELECT doc_id AS key, tenure FROM (SELECT d.doc_id, CASE WHEN quality = 1 THEN 'LLI' WHEN quality = 0 THEN 'UNKNOWN' END AS tenure FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
       WHERE tenure IS NULL OR tenure = 'UNKNOWN'""",
     "q_not_notified": "SELECT doc_id AS key, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",

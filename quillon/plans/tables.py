@@ -10,11 +10,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df for work that takes long for a row: if its scan has fewer tasks than the session has cores (a small table of few
+    row groups), its rows are dealt out to all of them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of long texts. One file of one row group is read by one task, however many there are for it: then its rows
-    are dealt to all of them, which costs less than the work on the texts."""
-    df = table(spark, sf_dir, name)
-    return df.repartition(spark.sparkContext.defaultParallelism) if len(df.inputFiles()) == 1 else df
+    """A table of long texts, spread."""
+    return spread(table(spark, sf_dir, name))
 
 
 #: Two digits of postcodes, dealt by customer.
