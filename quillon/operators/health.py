@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,36 +13,94 @@ DAY = 86_400
 WINDOW = WINDOW_DAYS * DAY
 
 
+class Earlier:
+    """Counts and sums of the values that have come before, by moment: sorted layers, each at least twice as long as the
+    next, merged as they grow. A block of n values costs their sorting, and a search in each layer."""
+
+    def __init__(self):
+        self.layers: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # moments in order, counts and sums before each
+
+    def _layer(self, moments: np.ndarray, counts: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(moments, kind="stable")
+        return moments[order], np.concatenate([[0], np.cumsum(counts[order])]), np.concatenate([[0], np.cumsum(values[order])])
+
+    def _up_to(self, moments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and sums of all held values at or before each moment."""
+        n, total = np.zeros(len(moments), np.int64), np.zeros(len(moments), np.int64)
+        for held, counts, sums in self.layers:
+            at = np.searchsorted(held, moments, side="right")
+            n += counts[at]
+            total += sums[at]
+        return n, total
+
+    def _block(self, moments: np.ndarray, counts: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each value the values of its own block that come before it, at or before what it asks for."""
+        n, total = np.zeros(len(moments), np.int64), np.zeros(len(moments), np.int64)
+        width = 1
+        while width < len(moments):  # left halves answer right halves, for all blocks of a width at once
+            block = np.arange(len(moments)) // width
+            left, right = np.flatnonzero(block % 2 == 0), np.flatnonzero(block % 2 == 1)
+            order = left[np.lexsort((moments[left], block[left]))]
+            ends = np.searchsorted(block[order], block[right] - 1, side="right")
+            starts = np.searchsorted(block[order], block[right] - 1, side="left")
+            ranks, shift = np.unique(np.concatenate([moments[order], wanted[right]]), return_inverse=True)
+            held, asked = shift[: len(order)], shift[len(order) :]
+            keys = block[order] * len(ranks) + held
+            at = np.clip(np.searchsorted(keys, (block[right] - 1) * len(ranks) + asked, side="right"), starts, ends)
+            c, v = np.concatenate([[0], np.cumsum(counts[order])]), np.concatenate([[0], np.cumsum(values[order])])
+            n[right] += c[at] - c[starts]
+            total[right] += v[at] - v[starts]
+            width *= 2
+        return n, total
+
+    def take(self, moments: np.ndarray, counts: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each of the next values, in the order in which they come: how many before it were at or before ``wanted``,
+        and their sum. Then they are held themselves."""
+        n, total = self._up_to(wanted)
+        own, sums = self._block(moments, counts, values, wanted)
+        some = counts > 0
+        self.layers.append(self._layer(moments[some], counts[some], values[some]))
+        while len(self.layers) > 1 and len(self.layers[-2][0]) < 2 * len(self.layers[-1][0]):
+            (m1, c1, s1), (m2, c2, s2) = self.layers.pop(), self.layers.pop()
+            self.layers.append(self._layer(np.concatenate([m1, m2]), np.concatenate([np.diff(c1), np.diff(c2)]), np.concatenate([np.diff(s1), np.diff(s2)])))
+        return n + own, total + sums
+
+
+def _window_parts(batches):
+    """(source, seq, n, total) of rows sorted by source, week and seq: what came before them in the week, up to wanted."""
+    at, earlier = None, Earlier()
+    for batch in batches:
+        sources, weeks = batch["source"].to_pylist(), np.asarray(batch["week"])
+        moments, counts, values, wanted = (np.asarray(batch[c], dtype=np.int64) for c in ("moment", "counts", "value", "wanted"))
+        edges = [i for i in range(len(sources)) if i == 0 or sources[i] != sources[i - 1] or weeks[i] != weeks[i - 1]] + [len(sources)]
+        n, total = np.zeros(len(sources), np.int64), np.zeros(len(sources), np.int64)
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if (key := (sources[a], weeks[a])) != at:
+                at, earlier = key, Earlier()
+            n[a:b], total[a:b] = earlier.take(moments[a:b], counts[a:b], values[a:b], wanted[a:b])
+        yield pa.RecordBatch.from_arrays([batch["source"], batch["seq"], pa.array(n), pa.array(total)], names=["source", "seq", "n", "total"])
+
+
 def before(runs: DataFrame) -> DataFrame:
     """runs with what preceded each: ``rolling_mean`` (of successful runs that arrived before it and are at most seven
     days older; those later by the clock don't count) and ``last_productive`` (the last positive count, else 0).
 
-    The mean is a range frame over the clock, without the run itself and without runs that arrived after it and yet are
-    not later by the clock. Only runs after a clock that was set back, or of one second with the run before, can be such;
-    they meet the runs before them in buckets of seven days.
+    The window of a run reaches over two weeks of the clock: its own, up to its moment, and the one before, from seven
+    days earlier on (up to the opposite moment, if moments are negated). Each week of a source is passed once in the
+    order of arrival, so clocks that were wrong cost no more than others.
     """
     order = Window.partitionBy("source").orderBy("seq")
     productive = F.last(F.when(F.col("ok") & (F.col("item_count") > 0), F.col("item_count")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    newest = F.max("at_epoch").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    near = Window.partitionBy("source").orderBy("at_epoch").rangeBetween(-WINDOW, 0)
-    own = F.when(F.col("ok"), F.col("item_count"))
-    noted = runs.withColumns(
-        {
-            "last_productive": F.coalesce(productive, F.lit(0)).cast("long"),
-            "__back": F.coalesce(F.col("at_epoch") <= newest, F.lit(False)),
-            "__total": F.coalesce(F.sum(own).over(near), F.lit(0)) - F.coalesce(own, F.lit(0)),
-            "__count": F.count(own).over(near) - F.when(own.isNotNull(), 1).otherwise(0),
-        }
-    )
-    bucket = F.floor(F.col("at_epoch") / WINDOW)
-    back = noted.filter("__back and ok").select("source", F.col("seq").alias("s2"), F.col("at_epoch").alias("e2"), F.col("item_count").alias("c2"), bucket.alias("bucket"))
-    wanted = noted.select("source", "seq", "at_epoch", F.explode(F.array(bucket, bucket - 1)).alias("bucket")).join(back.select("source", "bucket").distinct(), ["source", "bucket"], "left_semi")
-    inside = (F.col("s2") > F.col("seq")) & (F.col("e2") <= F.col("at_epoch")) & (F.col("e2") >= F.col("at_epoch") - WINDOW)
-    after = wanted.join(back, ["source", "bucket"]).filter(inside).groupBy("source", "seq").agg(F.sum("c2").alias("__late"), F.count(F.lit(1)).alias("__lates"))
-    joined = noted.join(after, ["source", "seq"], "left")
-    count = F.col("__count") - F.coalesce("__lates", F.lit(0))
-    mean = F.when(count > 0, (F.col("__total") - F.coalesce("__late", F.lit(0))) / count)
-    return joined.withColumn("rolling_mean", mean).drop("__back", "__total", "__count", "__late", "__lates")
+    noted = runs.withColumn("last_productive", F.coalesce(productive, F.lit(0)).cast("long"))
+    e, week, ok = F.col("at_epoch").cast("long"), F.floor(F.col("at_epoch") / WINDOW).cast("long"), F.coalesce(F.col("ok"), F.lit(False)).cast("long")
+    n, value, nothing = ok.alias("counts"), F.when(F.col("ok"), F.col("item_count")).cast("long"), F.lit(0).cast("long")
+    row = lambda k, moment, counts, amount, wanted: F.struct(k.alias("week"), moment.alias("moment"), counts.alias("counts"), F.coalesce(amount, nothing).alias("value"), wanted.alias("wanted"))
+    least = F.lit(-(1 << 62)).cast("long")
+    parts = F.array(row(2 * week, e, n, value, e), row(2 * week + 1, -e, n, value, least), row(2 * week - 1, least, nothing, nothing, WINDOW - e))
+    rows = runs.select("source", F.col("seq").cast("long").alias("seq"), F.explode(parts).alias("p")).select("source", "seq", "p.*")
+    passed = rows.repartition("source", "week").sortWithinPartitions("source", "week", "seq").mapInArrow(_window_parts, "source string, seq long, n long, total long")
+    seen = passed.groupBy("source", "seq").agg(F.sum("n").alias("__n"), F.sum("total").alias("__total"))
+    return noted.join(seen, ["source", "seq"], "left").withColumn("rolling_mean", F.when(F.col("__n") > 0, F.col("__total") / F.col("__n"))).drop("__n", "__total")
 
 
 def summary(runs: DataFrame, now_epoch: int | None = None) -> DataFrame:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from functools import reduce
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from quillon.operators.graph import components
 from quillon.shared import kept
 
 # Tolerances of rent (euros, share) and surface (square metres, share), facts that must agree.
@@ -27,87 +33,151 @@ def same_property(a: str, b: str) -> Column:
     return ~veto & (facts >= FACTS)
 
 
-def duplicate_pairs(listings: DataFrame) -> DataFrame:
-    """Pairs (id_a < id_b) of different sources that are one property. listings: id, source, family, place_key, rent,
-    surface_m2, rooms, floor.
+#: Facts of a listing, each with what it takes to differ by a cell at most: tolerances, or None for equality.
+_FACTS = {"rent": (RENT_EUROS, RENT_SHARE), "surface_m2": (SURFACE_M2, SURFACE_SHARE), "rooms": None, "floor": None}
+
+
+def _cell(c: str) -> Column:
+    """The cell of a number: numbers that agree lie in one cell or in neighbouring ones. Cells are as wide as the
+    tolerance or wider: the amount decides below the turn, the share above it."""
+    if _FACTS[c] is None:
+        return F.col(c).cast("long")
+    absolute, share = _FACTS[c]
+    turn, wider = absolute / share, 1 + 1e-9  # than the rounding of a logarithm
+    x = F.col(c).cast("double")
+    high = F.floor(F.log(x / turn) / (-F.log(F.lit(1 - share)) * wider)) + F.lit(int(turn / absolute))
+    return F.when(x < turn, F.floor(x / (absolute * wider))).otherwise(high).cast("long")
 
-    Rents that agree lie in the same or neighbouring buckets of a logarithmic scale, as wide as the tolerance, and
-    so do surfaces: an equi-join on family, place and bucket finds them, and a place's pairs are not all compared.
-    At least one of both is known wherever two facts agree.
+
+def candidate_pairs(listings: DataFrame) -> DataFrame:
+    """Pairs of listings (structs a and b; first and second, the sets of facts that they know) that are looked at.
+
+    Two listings meet on the facts that both know: in neighbouring cells of rent and surface, and equal rooms and floor.
+    Which facts those are depends on both (16 sets at most), so a listing asks for each set that partners have, and it
+    asks only for sources other than its own that have listings there. Pairs that are looked at are then wanted ones but
+    for the cells' width, in a dense place too.
     """
+    facts = list(_FACTS)
     known = listings.filter(F.col("place_key").isNotNull() & (F.col("place_key") != ""))
+    mask = sum((F.when(F.col(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(facts)), F.lit(0))
+    rows = known.select("id", "source", "family", "place_key", *facts, *[_cell(c).alias(f"__{c}") for c in facts], mask.alias("mask"))
+    masks = sorted(r.mask for r in rows.select("mask").distinct().collect())  # 16 at most
+    enough = lambda m: bin(m & 0b111).count("1") >= FACTS
+    partners = lambda fits: F.create_map(*[x for own in masks for x in (F.lit(own), F.array(*[F.lit(m) for m in masks if fits(own, m) and enough(own & m)]).cast("array<int>"))])
+    place = ["family", "place_key", "first", "second", *[f"__{c}" for c in facts]]
+    both = F.col("first").bitwiseAND(F.col("second"))
+    shared = lambda i, c: F.when(both.bitwiseAND(1 << i) != 0, c)
+    if not any(enough(m) for m in masks):
+        none = F.struct("id", *facts)
+        return rows.limit(0).select(F.col("mask").alias("first"), F.col("mask").alias("second"), none.alias("a"), none.alias("b"))
+    # the one with the smaller set of facts asks
+    asking = rows.withColumn("first", F.col("mask")).withColumn("second", F.explode(partners(lambda own, m: m >= own)[F.col("mask")]))
+    asked = rows.withColumn("second", F.col("mask")).withColumn("first", F.explode(partners(lambda own, m: m <= own)[F.col("mask")]))
+    for i, c in enumerate(facts):
+        cell = F.col(f"__{c}")
+        near = F.array(cell) if _FACTS[c] is None else F.array(cell - 1, cell, cell + 1)
+        asking = asking.withColumn(f"__{c}", F.explode(F.when(both.bitwiseAND(1 << i) != 0, near).otherwise(F.array(F.lit(-(1 << 40))))))
+        asked = asked.withColumn(f"__{c}", F.coalesce(shared(i, cell), F.lit(-(1 << 40))))
+    there = asked.select(*place, F.col("source").alias("other")).distinct()
+    named = asking.withColumnsRenamed({c: f"a_{c}" for c in ("id", "source", *facts)}).drop("mask")
+    sought = named.join(there, place).filter(F.col("a_source") != F.col("other"))
+    met = sought.join(asked.withColumnRenamed("source", "other"), [*place, "other"])
+    struct = lambda prefix: F.struct(*[F.col(f"{prefix}{c}").alias(c) for c in ("id", *facts)])
+    return met.filter((F.col("first") < F.col("second")) | (F.col("a_id") < F.col("id"))).select("first", "second", struct("a_").alias("a"), struct("").alias("b"))
+
+
+def duplicate_pairs(listings: DataFrame) -> DataFrame:
+    """Pairs (id_a < id_b) of different sources that are one property. listings: id, source, family, place_key, rent,
+    surface_m2, rooms, floor."""
+    pairs = candidate_pairs(listings).filter(same_property("a", "b"))
+    return pairs.select(F.least("a.id", "b.id").alias("id_a"), F.greatest("a.id", "b.id").alias("id_b"))
+
+
+#: Rounds in which all that can be decided is; what is left then is decided component by component.
+ROUNDS = 6
+
 
-    def bucket(c: str, absolute: float, share: float) -> Column:
-        # below absolute / share the amount decides, above it the share
-        turn = absolute / share
-        x = F.col(c).cast("double")
-        return F.when(x <= 0, F.lit(-1)).when(x < turn, F.floor(x / absolute)).otherwise(F.floor(F.log(x / turn) / -F.log(F.lit(1 - share))) + F.lit(int(turn / absolute) + 1)).cast("long")
+def _in_order(edges: DataFrame) -> DataFrame:
+    """The late ones that join an early one, of edges (early, late, early_at, late_at) whose components are decided one
+    by one: in the order of arrival, a listing is absorbed by any earlier partner that is not absorbed itself."""
+    pieces = components(edges.select(F.col("early").alias("a"), F.col("late").alias("b")))
+    told = edges.join(pieces.select(F.col("node").alias("late"), "component"), "late")
 
-    keyed = known.withColumn("b1", bucket("rent", RENT_EUROS, RENT_SHARE)).withColumn("b2", bucket("surface_m2", SURFACE_M2, SURFACE_SHARE))
-    near = lambda c: F.array(F.col(c) - 2, F.col(c) - 1, F.col(c), F.col(c) + 1, F.col(c) + 2)
-    on = (F.col("a.family") == F.col("b.family")) & (F.col("a.place_key") == F.col("b.place_key"))
-    fits = (F.col("a.source") != F.col("b.source")) & (F.col("a.id") < F.col("b.id")) & same_property("a", "b")
-    by_rent = keyed.filter("b1 is not null").withColumn("at", F.explode(near("b1"))).alias("a").join(keyed.filter("b1 is not null").alias("b"), on & (F.col("a.at") == F.col("b.b1"))).filter(fits)
-    some = F.col("a.rent").isNull() | F.col("b.rent").isNull()
-    by_surface = keyed.filter("b2 is not null").withColumn("at", F.explode(near("b2"))).alias("a").join(keyed.filter("b2 is not null").alias("b"), on & (F.col("a.at") == F.col("b.b2"))).filter(fits & some)
-    pick = [F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")]
-    return by_rent.select(*pick).unionByName(by_surface.select(*pick))
+    def decide(batches):
+        component, gone = None, set()
+        for batch in batches:
+            out = []
+            for c, early, late in zip(*(batch[n].to_pylist() for n in ("component", "early", "late")), strict=True):
+                if c != component:
+                    component, gone = c, set()
+                if early not in gone and late not in gone:
+                    gone.add(late)
+                    out.append(late)
+            yield pa.RecordBatch.from_arrays([pa.array(out, batch.schema.field("late").type)], names=["late"])
+
+    ordered = told.repartition("component").sortWithinPartitions("component", "late_at", "early_at").select("component", "early", "late")
+    return ordered.mapInArrow(decide, T.StructType([T.StructField("late", edges.schema["late"].dataType)]))
 
 
 def clusters(listings: DataFrame, order: str = "seq") -> DataFrame:
     """(id, survivor): greedily in the order of arrival, a listing joins the first survivor that it is one property
     with, or becomes a survivor. Survivors alone are compared; rows without a place stand alone.
 
-    The order is kept without one task that holds a place: a listing survives once no earlier partner is undecided or
-    survives, its later partners are absorbed, and so on, in as many rounds as the longest chain of such decisions.
+    First in ROUNDS rounds over all pairs at once: a listing survives once no earlier partner is undecided or survives,
+    and its later partners are absorbed. In a crowd that decides nearly all. What is left are chains of decisions: their
+    components are found, and each is decided in one sorted pass, holding its absorbed listings.
     """
     when = listings.select("id", F.struct(order, "id").alias("at"))
     pairs = duplicate_pairs(listings)
     told = pairs.join(when.withColumnsRenamed({"id": "id_a", "at": "at_a"}), "id_a").join(when.withColumnsRenamed({"id": "id_b", "at": "at_b"}), "id_b")
     first = F.col("at_a") < F.col("at_b")
-    edges = kept(told.select(F.when(first, F.col("id_a")).otherwise(F.col("id_b")).alias("early"), F.when(first, F.col("id_b")).otherwise(F.col("id_a")).alias("late"), F.least("at_a", "at_b").alias("at")), "edges")
-    left, absorbed = edges.select("early", "late"), None
-    while not left.isEmpty():
+    sides = [F.when(first, F.col(f"{x}_a")).otherwise(F.col(f"{x}_b")).alias(n) for x, n in (("id", "early"), ("at", "early_at"))]
+    sides += [F.when(first, F.col(f"{x}_b")).otherwise(F.col(f"{x}_a")).alias(n) for x, n in (("id", "late"), ("at", "late_at"))]
+    edges = kept(told.select(*sides), "edges")
+    left, absorbed = edges, []
+    for step in range(ROUNDS + 1):
+        if left.isEmpty():
+            break
+        if step == ROUNDS:
+            absorbed.append(kept(_in_order(left), "gone"))
+            break
         waiting = left.select(F.col("late").alias("early")).distinct()
         gone = kept(left.join(waiting, "early", "left_anti").select("late").distinct(), "gone")  # their early partner survives
-        absorbed = gone if absorbed is None else absorbed.unionByName(gone)
+        absorbed.append(gone)
         left = kept(left.join(gone, "late", "left_anti").join(gone.withColumnRenamed("late", "early"), "early", "left_anti"), "left")
-    if absorbed is not None:
-        survivors = edges.join(absorbed.withColumnRenamed("late", "early"), "early", "left_anti")
-        joined = survivors.join(absorbed, "late", "left_semi").groupBy("late").agg(F.min_by("early", "at").alias("survivor"))
-        found = listings.select("id").join(joined, F.col("id") == F.col("late"), "left")
-        return found.select(F.col("id").cast("long"), F.coalesce("survivor", "id").cast("long").alias("survivor"))
-    return listings.select(F.col("id").cast("long"), F.col("id").cast("long").alias("survivor"))
+    own = F.col("id").cast("long")
+    if not absorbed:
+        return listings.select(own.alias("id"), own.alias("survivor"))
+    lost = reduce(DataFrame.unionByName, absorbed)
+    survivors = edges.join(lost.withColumnRenamed("late", "early"), "early", "left_anti")
+    joined = survivors.join(lost, "late", "left_semi").groupBy("late").agg(F.min_by("early", "early_at").alias("survivor"))
+    found = listings.select("id").join(joined, F.col("id") == F.col("late"), "left")
+    return found.select(own.alias("id"), F.coalesce("survivor", "id").cast("long").alias("survivor"))
 
 
 def within_source(listings: DataFrame, key: str = "dedup_key", order: str = "seq") -> DataFrame:
     """The first listing of each key; of several with the same order one (by a hash of all columns). Listings without a
-    key stand alone."""
+    key stand alone. Tasks choose among their own rows before anything is exchanged."""
     content = [c for c, kind in listings.dtypes if not kind.startswith(("map", "variant"))]
-    first = Window.partitionBy(key).orderBy(order, F.xxhash64(*content))
-    once = listings.filter(F.col(key).isNotNull()).withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
+    once = listings.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*listings.columns), F.struct(order, F.xxhash64(*content))).alias("__row")).select("__row.*")
     return once.unionByName(listings.filter(F.col(key).isNull()))
 
 
-def adopt_groups(members: DataFrame, groups: DataFrame) -> DataFrame:
+def adopt_groups(members: DataFrame, groups: DataFrame, each: Callable[[int, DataFrame], None] = lambda step, pairs: None) -> DataFrame:
     """Groups after a batch of clusters. members: cluster, seq, key; groups: key, group_key (a key's group so far).
 
     A cluster of two or more takes its first member's group that exists, else its first member's key; keys of the
-    other groups it meets follow. Where clusters chain over groups, all of the chain take the smallest of their names.
+    other groups it meets follow. Where clusters chain over groups, all of the chain take the smallest of their names:
+    chains are components of the graph of groups that one cluster joins. ``each`` is told of that search's rounds.
     """
-    sized = members.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("cluster"))).filter("n > 1")
-    known = sized.join(groups, "key", "left")
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("cluster")
+    known = members.join(sizes, "cluster", "left_semi").join(groups, "key", "left")
     adopted = known.groupBy("cluster").agg(F.coalesce(F.min_by("group_key", F.when(F.col("group_key").isNotNull(), F.col("seq"))), F.min_by("key", "seq")).alias("into"))
-    moved = known.join(adopted, "cluster")
-    met = moved.filter(F.col("group_key").isNotNull()).select(F.col("group_key").alias("name"), "into").distinct()
-    links = kept(met.unionByName(met.select(F.col("into").alias("name"), "into")).distinct(), "links")  # names that one cluster joins
-    final = links.groupBy("name").agg(F.min("into").alias("into"))
-    while True:  # a chain's smallest name spreads over its links
-        by_cluster = links.join(final.withColumnRenamed("into", "least"), "name").groupBy("into").agg(F.min("least").alias("least"))
-        spread = kept(links.join(by_cluster, "into").groupBy("name").agg(F.min("least").alias("into")), "names")
-        if spread.join(final, ["name", "into"], "left_anti").isEmpty():
-            break
-        final = spread
+    moved = kept(known.join(adopted, "cluster"), "moved")
+    met = moved.filter(F.col("group_key").isNotNull()).select(F.col("group_key").alias("a"), F.col("into").alias("b")).distinct()
+    chains = kept(components(met, each), "chains")
+    names = chains.join(met.select(F.col("b").alias("node")).distinct(), "node", "left_semi").groupBy("component").agg(F.min("node").alias("into"))
+    final = chains.join(names, "component").select(F.col("node").alias("name"), "into")
     old = groups.join(final, groups["group_key"] == final["name"], "left").select("key", F.coalesce("into", "group_key").alias("group_key"))
     new = moved.filter(F.col("group_key").isNull()).select("key", F.col("into").alias("name")).join(final, "name", "left")
     return old.unionByName(new.groupBy("key").agg(F.min(F.coalesce("into", "name")).alias("group_key")))

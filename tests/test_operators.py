@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pytest
+
 from pyspark.sql import functions as F
 
 from quillon.operators import health, resolve, state
@@ -212,3 +215,27 @@ def test_adopted_groups_chain(spark):
     groups = spark.createDataFrame([("a", "g1"), ("b", "g2"), ("b2", "g2"), ("c", "g3"), ("old", "g3"), ("z", "g9")], "key string, group_key string")
     out = {r.key: r.group_key for r in resolve.adopt_groups(members, groups).collect()}
     assert out == {"a": "g1", "b": "g1", "b2": "g1", "c": "g1", "old": "g1", "x": "x", "y": "x", "z": "g9"}
+
+
+def test_one_clock_far_ahead_costs_nothing_more(spark):
+    """All runs after the one that is years ahead count as set back: each still sees its own seven days."""
+    rng = random.Random(6)
+    runs = [("s", i, 2_000_000_000 if i == 5 else i * 3_600 - (i % 11 == 0) * 90_000, rng.randrange(9), rng.random() < 0.9, None) for i in range(700)]
+    out = {r.seq: r.rolling_mean for r in health.before(spark.createDataFrame(runs, "source string, seq long, at_epoch long, item_count long, ok boolean, error string")).collect()}
+    for _, i, at, _, _, _ in runs:
+        seen = [n for _, j, e, n, ok, _ in runs if j < i and ok and at - health.WINDOW <= e <= at]
+        assert out[i] == (sum(seen) / len(seen) if seen else None)
+
+
+@pytest.mark.parametrize("block", [1, 3, 64, 500])
+def test_earlier_values(block):
+    rng = np.random.default_rng(block)
+    m, c, v, w = rng.integers(0, 40, 500), rng.integers(0, 2, 500), rng.integers(0, 9, 500), rng.integers(-5, 45, 500)
+    v = v * c
+    earlier = health.Earlier()
+    out = [earlier.take(m[i : i + block], c[i : i + block], v[i : i + block], w[i : i + block]) for i in range(0, 500, block)]
+    n, total = np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+    for i in range(500):
+        met = (m[:i] <= w[i]) & (c[:i] > 0)
+        assert (n[i], total[i]) == (met.sum(), v[:i][met].sum())
+    assert len(earlier.layers) <= 10
