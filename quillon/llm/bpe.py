@@ -26,6 +26,9 @@ from quillon.llm.blocks import MEET, Block, blocks, blocks_met, by_bucket, meet,
 from quillon.llm.common import tasks_for, text_bytes
 
 
+#: Words of the documents that travel in one row and are put together at a time, one longer document aside.
+ROW_CODES = 1 << 17
+
 #: White space that cuts before spaces would not leave in whole pre-tokens.
 IRREGULAR = re.compile(r"\s \s|\s \Z")
 
@@ -107,10 +110,11 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def keep(block: Block, part: pa.RecordBatch) -> None:
         lengths, codes = code(block, part)
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        for at in range(0, len(lengths), 512):
-            to = min(at + 512, len(lengths))
-            block.kept.append((part["id"].slice(at, 512).to_pylist(), squeeze(lengths[at:to], codes[ends[at] : ends[to]])))
+        ends, at = np.concatenate([[0], np.cumsum(lengths)]), 0
+        while at < len(lengths):
+            to = min(at + 512, len(lengths), max(at + 1, int(np.searchsorted(ends, ends[at] + ROW_CODES, side="right")) - 1))
+            block.kept.append((part["id"].slice(at, to - at).to_pylist(), squeeze(lengths[at:to], codes[ends[at] : ends[to]])))
+            at = to
 
     def documents(batches):
         for block in blocks(batches, keep):
