@@ -130,6 +130,9 @@ def _messages():
         F.concat(F.lit("GET https://me:pw"), k, F.lit("@host.org/x?api_key=k"), k, F.lit("&page=2")), F.concat(F.lit("Authorization: Bearer abcdefgh"), k), F.concat(F.lit("a1 LOGIN user"), k, F.lit(" \"pass word\"")),
         F.concat(F.lit("LOGIN failed for session number "), k), F.concat(F.lit('{"accessToken": "t'), k, F.lit('", "topic":"x"}')), F.concat(F.lit("https://api.telegram.org/bot12345678:AA"), k, F.lit("/send ntfy.example.org/mine")),
         F.concat(F.lit("Mot de passe : s"), k, F.lit("; RFR : 23 456, mail a.b"), k, F.lit("@c.co.uk")), F.concat(F.lit("AUTH PLAIN dXNlcgBwYXNzd29yZA\nS: QWxhZGRpbjpvcGVuIHNlc2FtZQ"), k, F.lit("==")), F.concat(F.lit("the key is on the table: "), k),
+        F.concat(F.lit("RFR_N2=4125"), k, F.lit(" trop haut; IMAP_PASSWORD2=h"), k, F.lit(", x2password=h"), k), F.concat(F.lit("CLIENT -> SERVER: bW90ZGVwYXNzZXNl\nNO "), k), F.concat(F.lit("refused: key=https://cb.org/hook?apikey=a"), k),
+        F.concat(F.lit("LOGIN sur imap.org, AUTHENTICATE mechanism not supported, PASS erreur "), k), F.concat(F.lit("sum\n"), F.sha2(k, 256), F.lit("\nother")), F.concat(F.lit("AUTHENTICATE XOAUTH2 rejected, clientSecret=s"), k, F.lit(" bypass: no")),
+        F.concat(F.lit("from "), F.col("event_type"), F.lit(": pass 2 of 3, PASSAGE="), k, F.lit(", unexpected token: }")), F.concat(F.lit("https://api.telegram.org:443/file/bot1:x"), k, F.lit("/f.jpg and 77"), k, F.lit(":AAbbCCddEEffGGhhIIjjKKllMMnnOOpp_q")),
     ]
     return F.element_at(F.array(*kinds), (F.col("event_id") % len(kinds) + 1).cast("int"))
 
@@ -202,8 +205,11 @@ ORACLES = {
     "q_map_items": "SELECT event_id, event_type AS commune, CAST(event_id % 2000 AS INTEGER) AS rent_cc, 3 AS floor, true AS has_elevator, 'https://example.org/' || event_id AS url FROM events",
     "q_redact": """SELECT event_id, [
       'GET https://[masked]@host.org/x?api_key=[masked]&page=2', 'Authorization: [masked]', 'a1 LOGIN [masked]', 'LOGIN failed for session number ' || event_id, '{"accessToken": [masked], "topic":[masked]}',
-      'https://api.telegram.org/bot[masked]/send ntfy.example.org/[masked]', 'Mot de passe : [masked]; RFR : [masked], mail [masked]', 'AUTH PLAIN [masked]' || chr(10) || 'S: [masked]', 'the key is on the table: ' || event_id
-      ][CAST(event_id % 9 + 1 AS INTEGER)] AS masked FROM events""",
+      'https://api.telegram.org/bot[masked]/send ntfy.example.org/[masked]', 'Mot de passe : [masked]; RFR : [masked], mail [masked]', 'AUTH PLAIN [masked]' || chr(10) || 'S: [masked]', 'the key is on the table: ' || event_id,
+      'RFR_N2=[masked] trop haut; IMAP_PASSWORD2=[masked], x2password=[masked]', 'CLIENT -> SERVER: [masked]' || chr(10) || 'NO ' || event_id, 'refused: key=https://cb.org/hook?apikey=[masked]',
+      'LOGIN sur imap.org, AUTHENTICATE mechanism not supported, PASS erreur ' || event_id, 'sum' || chr(10) || sha256(CAST(event_id AS VARCHAR)) || chr(10) || 'other', 'AUTHENTICATE XOAUTH2 rejected, clientSecret=[masked] bypass: no',
+      'from ' || event_type || ': pass 2 of 3, PASSAGE=' || event_id || ', unexpected token: }', 'https://api.telegram.org:443/file/bot[masked]/f.jpg and ' || CASE WHEN event_id >= 100 THEN '[masked]' ELSE '77' || event_id || ':AAbbCCddEEffGGhhIIjjKKllMMnnOOpp_q' END
+      ][CAST(event_id % 17 + 1 AS INTEGER)] AS masked FROM events""",
     "q_redact_all": f"SELECT doc_id, md5({redact_sql('text')}) AS masked FROM documents",
     "q_drop_text": """SELECT o_orderkey, replace(format('{:,}', b), ',', ' ') || ' € → ' || replace(format('{:,}', n), ',', ' ') || ' € (−' || replace(format('{:,}', b - n), ',', ' ') || ' €, −'
       || regexp_replace(replace(printf('%.1f', round((b - n) * 100.0 / b, 1)), '.', ','), ',0$', '') || ' %)' AS text FROM (SELECT o_orderkey, o_orderkey % 3000 + 1000 AS b, o_orderkey % 900 + 500 AS n FROM orders)""",
