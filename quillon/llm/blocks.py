@@ -34,7 +34,7 @@ def squeeze(*arrays: np.ndarray) -> bytes:
     return zstandard.compress(head + np.ascontiguousarray(planes).tobytes(), 3)
 
 
-def unsqueeze(data: bytes) -> list[np.ndarray]:
+def unsqueeze(data: bytes | pa.Buffer) -> list[np.ndarray]:
     raw = zstandard.decompress(data)
     count = int(np.frombuffer(raw, "<u4", 1)[0])
     lengths = np.frombuffer(raw, "<u4", count, 4).astype(np.int64)
@@ -73,7 +73,7 @@ class Block:
         return int.from_bytes(self.digest.digest(), "little", signed=True)
 
 
-def blocks(batches, read: Callable[[Block, pa.RecordBatch], None]) -> Iterator[Block]:
+def blocks(batches, read: Callable[[Block, pa.RecordBatch], None], limit: int = BLOCK_BYTES) -> Iterator[Block]:
     """Reads batches (columns id and text) slice by slice into blocks, and yields each block when it is full."""
     block = None
     for part in slices(batches, "text", SLICE_BYTES):
@@ -86,7 +86,7 @@ def blocks(batches, read: Callable[[Block, pa.RecordBatch], None]) -> Iterator[B
             block.digest.update(memoryview(texts.buffers()[2])[int(at[0]) : int(at[-1])])
         block.bytes += int(pc.sum(sizes).as_py() or 0)
         read(block, part)
-        if block.bytes >= BLOCK_BYTES:
+        if block.bytes >= limit:
             yield block
             block = None
     if block is not None:
@@ -125,15 +125,19 @@ def blocks_met(batches, start: Callable[[list[bytes]], object]):
     """Yields (what start makes of a block's dictionary rows, ids, code lengths, codes) for each document row."""
     block, held, known = None, [], None
     for batch in batches:
-        for number, kind, ids, data in zip(*(batch[c].to_pylist() for c in ("block", "kind", "ids", "data")), strict=True):
+        numbers, kinds = batch["block"].to_pylist(), batch["kind"].to_pylist()
+        for i, (number, kind) in enumerate(zip(numbers, kinds, strict=True)):  # one row's data at a time
             if number != block:
                 block, held, known = number, [], None
             if kind == 0:
-                held.append(data)
+                held.append(batch["data"][i].as_py())
                 continue
-            lengths, codes = unsqueeze(data)
+            ids = batch["ids"][i].as_py()
+            lengths, codes = unsqueeze(batch["data"][i].as_buffer())
             if known is None:
                 if len(codes) and not held:
                     raise RuntimeError("the input's rows came in another order when they were read again; write it to a table first")
                 known, held = (start(held),), []
             yield known[0], ids, lengths.astype(np.int64), codes.astype(np.int64)
+        del batch
+        give_back()

@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm.blocks import MEET, Block, blocks, blocks_met, by_bucket, meet, meet_rows, pack_words, squeeze, unpack_words, unsqueeze
-from quillon.llm.common import tasks_for, text_bytes
-
+from quillon.llm.common import give_back, tasks_for, text_bytes
 
 #: Words of the documents that travel in one row and are put together at a time, one longer document aside.
 ROW_CODES = 1 << 17
 
+#: Bytes of text in a block.
+BLOCK = 8 << 20
+
 #: White space that cuts before spaces would not leave in whole pre-tokens.
 IRREGULAR = re.compile(r"\s \s|\s \Z")
 
@@ -85,12 +87,13 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         return lengths, codes
 
     def words(batches):
-        for block in blocks(batches, code):
+        for block in blocks(batches, code, BLOCK):
             known = [w.encode() for w in block.index]
             found = [(b, block.number, squeeze(at), pack_words([known[i] for i in at.tolist()])) for b, at in by_bucket(known, buckets)]
             columns = list(zip(*found, strict=True)) or [()] * 4
             kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "block", "places", "words"])
+            del block, known, found, columns
 
     def once(batches):
         """Each distinct word that comes to this partition is encoded once."""
@@ -107,6 +110,9 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                     ids.append(found)
                 out.append((number, 0, [], squeeze(unsqueeze(places)[0], np.fromiter(map(len, ids), np.uint32, len(ids)), np.fromiter((i for x in ids for i in x), np.uint32))))
             yield meet_rows(out)
+            del out, batch
+        known.clear()
+        give_back()
 
     def keep(block: Block, part: pa.RecordBatch) -> None:
         lengths, codes = code(block, part)
@@ -117,9 +123,10 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             at = to
 
     def documents(batches):
-        for block in blocks(batches, keep):
+        for block in blocks(batches, keep, BLOCK):
             for ids, data in block.kept:
                 yield meet_rows([(block.number, 1, ids, data)])
+            del block
 
     def table(packed: list[bytes]):
         parts = [unsqueeze(p) for p in packed]
@@ -168,5 +175,8 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
                     raw = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(np.ascontiguousarray(bounds[ends])), joined.buffers()[2]])
                 raw = pc.if_else(lists.is_valid(), raw, None).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in names), raw], names=[*names, "decoded"])
+                del part, lists, joined, raw
+            del batch
+            give_back()
 
     return encoded.mapInArrow(join, T.StructType([*keep, T.StructField("decoded", T.BinaryType())]))
