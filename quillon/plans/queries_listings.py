@@ -8,7 +8,7 @@ from quillon.functions.format import facts_line
 from quillon.functions.text import dedup_key, place_key
 from quillon.operators import filters as P
 from quillon.operators import resolve, score, state
-from quillon.operators.classify import classify
+from quillon.operators.classify import classify, income_band
 from quillon.plans.listing_pass import delivered, run_pass
 from quillon.plans.tables import LISTINGS_SQL, listings, spread, table
 from quillon.schema import LISTING
@@ -168,7 +168,7 @@ def q_classify(spark, sf):
 PASS_TEXTS = [("Logement intermédiaire", "LLI"), ("Appartement PLS", "PLS"), ("T2 calme", "UNKNOWN"), ("LLI neuf", "LLI"), ("Résidence HLM", "SOCIAL")]
 
 
-def q_pass_counters(spark, sf):
+def _pass(spark, sf, seed=False):
     """A whole pass over the customers as listings, one source of which failed; some are known, some notified."""
     e = _entities(spark, sf).join(table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), "n_name"), "id")
     columns = {
@@ -180,12 +180,43 @@ def q_pass_counters(spark, sf):
     profiles = harvest.select("source").distinct().select("source", F.lit("private").alias("family"), F.lit(None).cast("string").alias("default_tenure"), F.lit(True).alias("mixed_tenure"))
     known = e.filter("id % 5 = 0 or id % 4 = 0").select(
         dedup_key(F.col("source"), F.col("id").cast("string"), F.lit(None).cast("string"), F.lit("")).alias("key"), (F.col("rent") + F.when(F.col("id") % 4 == 0, 100).otherwise(0)).cast("int").alias("rent"),
-        F.lit(0).cast("long").alias("first_seen"), F.when(F.col("id") % 5 == 0, F.lit(1)).alias("notified_at"),
+        (F.col("id") % 2000).cast("long").alias("first_seen"), F.when(F.col("id") % 5 == 0, F.lit(1)).alias("notified_at"),
     )
-    out = run_pass(harvest, profiles, known, P.Criteria(postcode_prefixes=["75"], max_rent=1800), WEIGHTS, 1_000, errors=[("lost", "OSError: gone")])
+    return run_pass(harvest, profiles, known, P.Criteria(postcode_prefixes=["75"], max_rent=1800, freshness_minutes=10), WEIGHTS, 1_000, seed, errors=[("lost", "OSError: gone")])
+
+
+def q_pass_counters(spark, sf):
+    out = _pass(spark, sf)
     return delivered(out.counters, out.judged.filter("is_new_match or rent_drop"), False)
 
 
+def q_seed_pass(spark, sf):
+    """The pass that only notes what there is: nothing is new and nothing has fallen; ages come from what was known."""
+    out = _pass(spark, sf, seed=True)
+    age = state.age_seconds(F.col("first_seen"), 1_000)
+    told = out.judged.select("id", F.lit("survivor").alias("kind"), age.alias("age"), (F.col("is_new_match") | F.col("rent_drop")).alias("told"), F.array_contains("reasons", "fresh").alias("fresh"))
+    noted = out.sightings.groupBy().agg(F.count(F.lit(1)).alias("id")).select("id", F.lit("sightings").alias("kind"), F.lit(None).cast("long").alias("age"), F.lit(None).cast("boolean").alias("told"), F.lit(None).cast("boolean").alias("fresh"))
+    return told.unionByName(noted)
+
+
+
+
+def q_income_bands(spark, sf):
+    """The tenure whose band holds an income ceiling, where bands are given; without bands none."""
+    bands = [("PLAI", 0, 49_999), ("PLUS", 50_000, 99_999), ("PLS", 100_000, 199_999)]
+    amount = F.floor("o_totalprice").cast("int")
+    return table(spark, sf, "orders").select("o_orderkey", income_band(amount, bands).alias("band"), income_band(amount, []).alias("none"))
+
+
+def q_existence(spark, sf):
+    """Whether there is any row, group by group, and at all."""
+    o = table(spark, sf, "orders")
+    some = {"any": not o.isEmpty(), "none": not o.filter("o_orderkey < 0").isEmpty()}
+    c = table(spark, sf, "customer").select("c_custkey")
+    has = c.join(o.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").withColumn("has", F.lit(True))
+    return c.join(has, "c_custkey", "left").select("c_custkey", F.coalesce("has", F.lit(False)).alias("has"), *[F.lit(v).alias(k) for k, v in some.items()])
+
+
 def q_stale_verdicts(spark, sf):
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
     rows = d.select(F.col("doc_id").alias("key"), F.col("n_chars").alias("seen_epoch"), F.when(F.col("quality") == 1, "LLI").when(F.col("quality") == 0, "UNKNOWN").alias("tenure"))
@@ -257,6 +288,10 @@ ORACLES = {
       SELECT (SELECT count(DISTINCT source) FROM e) + 1 AS sources_run, CAST(1 AS BIGINT) AS sources_failed, (SELECT count(*) FROM e) AS items, count(*) AS clusters, (SELECT count(*) FROM e) - count(*) AS duplicates,
         count(*) FILTER (WHERE outcome = 'MATCH') AS matches, count(*) FILTER (WHERE outcome = 'DIGEST') AS digests, count(*) FILTER (WHERE outcome = 'REJECT') AS rejects,
         count(*) FILTER (WHERE fresh) AS new, count(*) FILTER (WHERE fell) AS drops, count(*) FILTER (WHERE fresh OR fell) AS undelivered FROM marked""",
+    "q_seed_pass": f"""{_CLUSTERS}, known AS (SELECT id, CASE WHEN id % 5 = 0 OR id % 4 = 0 THEN greatest(0, 1000 - id % 2000) ELSE 0 END AS age FROM clusters WHERE id = survivor)
+      SELECT id, 'survivor' AS kind, age, false AS told, age <= 600 AS fresh FROM known UNION ALL SELECT count(*), 'sightings', NULL, NULL, NULL FROM e""",
+    "q_income_bands": """SELECT o_orderkey, CASE WHEN floor(o_totalprice) <= 49999 THEN 'PLAI' WHEN floor(o_totalprice) <= 99999 THEN 'PLUS' WHEN floor(o_totalprice) <= 199999 THEN 'PLS' END AS band, CAST(NULL AS VARCHAR) AS none FROM orders""",
+    "q_existence": 'SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders) AS has, (SELECT count(*) > 0 FROM orders) AS "any", false AS none FROM customer',
     "q_group_adoption": """WITH RECURSIVE m AS (SELECT c_custkey // 4 AS cluster, c_custkey AS seq, 'k' || c_custkey AS key FROM customer WHERE c_custkey % 3 <> 0),
       g AS (SELECT 'k' || c_custkey AS key, 'g' || lpad(CAST((c_custkey + 5) // 10 AS VARCHAR), 6, '0') AS group_key FROM customer WHERE c_custkey % 8 IN (1, 2, 4)),
       known AS (SELECT m.*, group_key FROM m LEFT JOIN g USING (key) WHERE cluster IN (SELECT cluster FROM m GROUP BY cluster HAVING count(*) > 1)),

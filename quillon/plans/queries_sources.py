@@ -11,8 +11,9 @@ from quillon.operators import state
 from quillon.plans.queries_text import _plain_html
 from quillon.plans.tables import table, texts
 from quillon.shared import shared_folder
-from quillon.sources import cards, landed
+from quillon.sources import cards, landed, robots
 from quillon.sources import contract as C
+from quillon.sources import listings as L
 from quillon.sources.listings import FieldMap
 
 #: When the harvest of these queries runs.
@@ -122,6 +123,60 @@ def q_hydrated(spark, sf):
     return out.select(F.col("external_id").cast("long").alias("id"), "title", "rooms", F.try_element_at("fields", F.lit("own")).alias("own"), F.try_element_at("fields", F.lit("both")).alias("both"))
 
 
+#: A robots.txt of each kind, dealt to sites; the first can't be read.
+ROBOTS = [
+    None, "User-agent: *\nDisallow: /private/\nAllow: /private/open\n", "User-agent: *\nDisallow: /\n\nUser-agent: Other\nUser-agent: quillon\nDisallow: /b*n$\nAllow: /\n", "User-agent: *\nDisallow:\n",
+    "# all\r\nUSER-AGENT: quillon # us\r\nDISALLOW: /item # none\r\nAllow: /item/1\r\nno rule\r\nCrawl-delay: 2.5\r\n", "User-agent: Other\nDisallow: /\n", "User-agent: *\nDisallow: /a+b\nDisallow: /*.pdf\nAllow: /*/open.pdf\nCrawl-delay: soon\n",
+]
+
+
+def q_robots(spark, sf):
+    """Paths of parts on sites of suppliers, under the sites' landed robots.txt; every eighth site has none."""
+    k = F.col("s_suppkey")
+    files = table(spark, sf, "supplier").filter(k % 8 != 7).select(k.alias("site"), F.element_at(F.array(*[F.lit(r) for r in ROBOTS]), (k % 8 + 1).cast("int")).alias("body"))
+    p = F.col("p_partkey")
+    shapes = ["/private/", "/private/open/", "/b", "/item/", "", "/a+b/", "/x/", "/x/open.pdf?"]
+    path = F.element_at(F.array(*[F.lit(x) for x in shapes]), (F.floor(p / 16) % 8 + 1).cast("int"))
+    tail = F.when(F.floor(p / 16) % 8 == 4, "").when(p % 3 == 0, F.concat((p % 100).cast("string"), F.lit("n"))).otherwise(F.concat((p % 100).cast("string"), F.lit(".pdf")))
+    paths = table(spark, sf, "part").select(p, (p % 16).alias("site"), F.concat(path, tail).alias("path"))
+    out = robots.robots_allows(robots.robots_rules(files, "Quillon"), paths)
+    return out.join(robots.crawl_delays(files, "quillon"), "site", "left").select("p_partkey", "site", "path", "allowed", "seconds")
+
+
+def q_complete(spark, sf):
+    """Sources whose pages declare more items than have landed."""
+    d = table(spark, sf, "documents").select("source")
+    declared = d.groupBy("source").agg(F.count(F.lit(1)).alias("n")).select("source", (F.col("n") + F.length("source") % 2).alias("total")).unionByName(spark.createDataFrame([("none", 3)], "source string, total long"))
+    return L.complete(d, declared)
+
+
+def q_embedded_json(spark, sf):
+    """A payload in a script element of each page, some of them broken off."""
+    k = F.col("page_id").cast("string")
+    script = F.concat(F.lit('<script id="__DATA__" type="application/json">{"props": {"id": '), k, F.lit(', "tags": ["a", "b"]}'), F.when(F.col("page_id") % 4 == 0, "").otherwise("}"), F.lit("</script><script>var x = {};</script>"))
+    found = texts(spark, sf, "pages").select("page_id", L.embedded_json(F.concat("html", script), "__DATA__").alias("v"))
+    return found.select("page_id", F.try_variant_get("v", "$.props.id", "long").alias("id"), F.try_variant_get("v", "$.props.tags[1]", "string").alias("tag"))
+
+
+def q_file_channel(spark, sf):
+    """Events through two channels, of which one fails; the batch that is sent again writes its files again."""
+    from quillon.sources.sinks import FileChannel, notify
+
+    class Down:
+        name = "down"
+
+        def send(self, events, batch):
+            raise OSError("no route")
+
+    out = f"{shared_folder(spark)}/sent-{uuid.uuid4().hex}"
+    problems: list[str] = []
+    send = notify([Down(), FileChannel(out)], lambda name, e: problems.append(name))
+    o = table(spark, sf, "orders").select(F.lit("match").alias("kind"), F.lit(3).alias("priority"), F.format_string("o%08d", "o_orderkey").alias("title"), F.col("o_orderpriority").alias("text"))
+    sent = [send(o, 1), send(o, 1), send(o.filter("title like '%7'"), 2)]
+    read = spark.read.schema("kind string, priority int, title string, text string, batch int").json(out)
+    return read.withColumn("delivered", F.lit(sum(sent))).withColumn("problems", F.lit(",".join(problems)))
+
+
 #: A selector of each shape: tags, descendants, classes, ids, attributes that must be there, what is taken, patterns.
 _SHAPES = {"link": "a @href", "name": "a", "letter": "a @href => /(.)", "any": "*", "rel": "[rel] @rel", "both": "p.big.red b", "by_id": "#pick", "whole": "p.red", "none": "p.blue", "tail": "b => [^ ]*$", "deep": "div p.big @data-n"}
 
@@ -170,6 +225,16 @@ ORACLES = {
         NOT EXISTS (SELECT 1 FROM quarantine q WHERE q.source = s.source AND position IS NULL) AS ok FROM (VALUES ('customers'), ('alerts'), ('pages'), ('gone')) s(source))
       SELECT source, item_count, ok, CAST({NOW} AS BIGINT) AS at_epoch, CASE WHEN ok THEN 'OK' ELSE 'BROKEN' END AS status, (SELECT count(*) FROM listed) AS items, (SELECT count(*) FROM quarantine) AS quarantined FROM runs""",
     "q_landed_names": "SELECT 'm' || page_id || '.eml' AS file FROM pages WHERE page_id % 10 = 7",
+    "q_robots": """WITH asked AS (SELECT p_partkey, p_partkey % 16 AS site, p_partkey // 16 % 8 AS s, ['/private/', '/private/open/', '/b', '/item/', '', '/a+b/', '/x/', '/x/open.pdf?'][CAST(p_partkey // 16 % 8 + 1 AS INTEGER)]
+        || CASE WHEN p_partkey // 16 % 8 = 4 THEN '' WHEN p_partkey % 3 = 0 THEN p_partkey % 100 || 'n' ELSE p_partkey % 100 || '.pdf' END AS path FROM part),
+      k AS (SELECT *, CASE WHEN site IN (SELECT s_suppkey FROM supplier) THEN site % 8 ELSE 7 END AS kind FROM asked)
+      SELECT p_partkey, site, path, CASE kind WHEN 0 THEN false WHEN 1 THEN NOT starts_with(path, '/private/') OR starts_with(path, '/private/open') WHEN 2 THEN NOT (starts_with(path, '/b') AND ends_with(path, 'n'))
+        WHEN 4 THEN NOT starts_with(path, '/item') OR starts_with(path, '/item/1') WHEN 6 THEN CASE WHEN path LIKE '/%/open.pdf%' THEN true ELSE NOT (starts_with(path, '/a+b') OR path LIKE '/%.pdf%') END ELSE true END AS allowed,
+        CASE WHEN kind = 4 THEN 3 END AS seconds FROM k""",
+    "q_complete": """SELECT source, count(*) + length(source) % 2 AS total, count(*) AS items FROM documents GROUP BY source HAVING length(source) % 2 = 1 UNION ALL SELECT 'none', 3, 0""",
+    "q_embedded_json": "SELECT page_id, CASE WHEN page_id % 4 <> 0 THEN page_id END AS id, CASE WHEN page_id % 4 <> 0 THEN 'b' END AS tag FROM pages",
+    "q_file_channel": """SELECT 'match' AS kind, CAST(3 AS INTEGER) AS priority, printf('o%08d', o_orderkey) AS title, o_orderpriority AS text, CAST(b AS INTEGER) AS batch, CAST(3 AS INTEGER) AS delivered, 'down,down,down' AS problems
+      FROM orders JOIN (VALUES (1), (2)) t(b) ON b = 1 OR o_orderkey % 10 = 7""",
     "q_html_shapes": """SELECT page_id, CASE WHEN f THEN CAST(0 AS INTEGER) END AS position, CASE WHEN f AND a THEN '/' || page_id || '?a=1&b=2' END AS link, CASE WHEN f AND a THEN 'Page é ' || page_id END AS name,
         CASE WHEN f AND a THEN left(CAST(page_id AS VARCHAR), 1) END AS letter, CASE WHEN f THEN CASE WHEN a THEN 'Page é ' || page_id ELSE 'no link' END END AS any, CASE WHEN f AND s THEN 'next' END AS rel,
         CASE WHEN f THEN 'bold ' || page_id END AS both, CASE WHEN f AND s THEN 'picked ' || page_id END AS by_id, CASE WHEN f THEN 'plain bold ' || page_id || ' end' END AS whole, CAST(NULL AS VARCHAR) AS none,

@@ -26,6 +26,42 @@ def q_inflected_hits(spark, sf):
     return table(spark, sf, "part").withColumn("t", S.fold(t)).select("p_partkey", *[S.inflected_position(F.col("t"), w).isNotNull().alias(f"has_{i}") for i, w in enumerate(("steel bolt", "small", "metal"))])
 
 
+def q_token_places(spark, sf):
+    """Where words stand: the place of their first whole occurrence, as it is and in its inflected forms."""
+    t = S.fold(F.col("text"))
+    found = texts(spark, sf, "documents").withColumn("t", t)
+    plain = [S.token_position(F.col("t"), w).alias(f"at_{w}") for w in ("the", "der", "les")]
+    part = [S.inflected_position(F.col("t"), w).alias(f"form_{i}") for i, w in enumerate(("und", "general de"))]
+    return found.select("doc_id", *plain, *part)
+
+
+def q_entities_spaces(spark, sf):
+    """Entities that were encoded up to three times, and white space of every kind."""
+    made = F.concat(F.lit("&lt;b&gt; &amp;eacute; &amp;amp;#8364; &amp;amp;amp;eacute; "), F.col("p_name"), F.lit(" &nosuch; R&D"))
+    spaces = F.concat(F.lit("\u2003\u00a0 "), F.replace("p_name", F.lit(" "), F.lit("\t\u00a0\n\u2028")), F.lit("\x85"))
+    return spread(table(spark, sf, "part")).select("p_partkey", S.decode_entities(made).alias("decoded"), S.squeeze_space(spaces).alias("squeezed"))
+
+
+def q_links(spark, sf):
+    """Which links lead to listings of a host, and what names their page."""
+    k = F.col("page_id")
+    tails = F.element_at(F.array(*[F.lit(x) for x in ("?utm_medium=beacon", "/Unsubscribe", "?a=1#b", "/pixel.gif", "")]), (k % 5 + 1).cast("int"))
+    url = F.when(k % 7 == 0, F.lit("mailto:me@example.org")).otherwise(F.concat(F.lit("https://Shop.example.org:444/l/"), k.cast("string"), tails))
+    return texts(spark, sf, "pages").select("page_id", S.is_listing_link(url).alias("listing"), S.is_listing_link(url, "example.org:444").alias("of_host"), S.stable_link(url).alias("name"))
+
+
+def q_headlines(spark, sf):
+    """Headlines, digests and health lines as they are sent."""
+    from quillon.functions.format import digest_text, headline, health_text
+
+    o, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    title = F.when(k % 3 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), F.col("o_orderpriority")))
+    place = F.when(k % 2 == 0, F.lit("Lyon"))
+    rooms, surface, rent = F.when(k % 5 != 0, (k % 6).cast("int")), F.when(k % 4 == 0, (k % 90) + 0.5), F.when(k % 7 == 0, (k % 5000).cast("int"))
+    lines = F.array(F.col("o_orderpriority"), F.lit("b"), F.concat(F.lit("a"), k.cast("string")))
+    return o.select("o_orderkey", headline(title, place, rooms, surface, rent).alias("headline"), digest_text(lines).alias("digest"), health_text(F.lit("s"), F.upper("o_orderstatus"), F.when(k % 3 != 0, k % 50)).alias("health"))
+
+
 def q_place_key(spark, sf):
     made = F.concat(F.lit("  Saint-"), F.col("n_name"), F.lit(" / l'Île "))
     return table(spark, sf, "nation").select("n_nationkey", S.place_key(made).alias("place_key"), S.field_key(F.concat(F.lit("Type de "), F.col("n_name"))).alias("field_key"))
@@ -175,6 +211,14 @@ ORACLES = {
     "q_fold_text": f"SELECT doc_id, CASE WHEN NOT {_ENTITY_SQL} THEN md5({_fold_sql('text')}) END AS folded FROM documents",
     "q_token_hits": "SELECT doc_id, " + ", ".join(f"coalesce(regexp_matches(t, '(^|[^a-z0-9]){w}([^a-z0-9]|$)'), false) AS has_{w}" for w in ("the", "der", "les", "idiot")) + f" FROM (SELECT doc_id, CASE WHEN NOT {_ENTITY_SQL} THEN {_fold_sql('text')} END AS t FROM documents)",
     "q_inflected_hits": "SELECT p_partkey, " + ", ".join(f"regexp_matches(t, '(^|[^a-z0-9])(?:{p})([^a-z0-9]|$)') AS has_{i}" for i, p in enumerate(("steel(?:es|e|s|x)?\\s*bolt(?:es|e|s|x)?", "small(?:es|e|s|x)?", "(?:metal(?:es|e)?|metaux)"))) + " FROM (SELECT p_partkey, lower(translate(p_name, '_#-', '   ')) AS t FROM part)",
+    "q_token_places": "SELECT doc_id, " + ", ".join(f"CASE WHEN regexp_matches(t, '(^|[^a-z0-9]){w}([^a-z0-9]|$)') THEN CAST(length(regexp_extract(t, '(?s)^(.*?[^a-z0-9])??(?:{w})(?:[^a-z0-9]|$)', 1)) AS INTEGER) END AS {n}" for n, w in (("at_the", "the"), ("at_der", "der"), ("at_les", "les"), ("form_0", "(?:und(?:es|e|s|x)?)"), ("form_1", "(?:(?:general(?:es|e)?|generaux)\\s*de(?:es|e|s|x)?)"))) + f" FROM (SELECT doc_id, CASE WHEN NOT {_ENTITY_SQL} THEN {_fold_sql('text')} END AS t FROM documents)",
+    "q_entities_spaces": "SELECT p_partkey, '<b> é € &eacute; ' || p_name || ' &nosuch; R&D' AS decoded, trim(regexp_replace(p_name, ' +', ' ', 'g')) AS squeezed FROM part",
+    "q_links": """SELECT page_id, page_id % 7 <> 0 AND page_id % 5 NOT IN (0, 1, 3) AS listing, page_id % 7 <> 0 AND page_id % 5 NOT IN (0, 1, 3) AS of_host,
+      CASE WHEN page_id % 7 = 0 THEN 'mailto://' ELSE 'https://Shop.example.org/l/' || page_id || CASE page_id % 5 WHEN 1 THEN '/Unsubscribe' WHEN 3 THEN '/pixel.gif' ELSE '' END END AS name FROM pages""",
+    "q_headlines": """WITH f AS (SELECT *, concat_ws(' · ', CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 6 || ' rooms' END, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 90 || ',5 m²' END,
+        CASE WHEN o_orderkey % 7 = 0 THEN replace(format('{:,}', o_orderkey % 5000), ',', ' ') || ' €' END) AS facts FROM orders)
+      SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority WHEN o_orderkey % 2 = 0 THEN 'Lyon' ELSE 'listing' END || CASE WHEN facts <> '' THEN ' — ' || facts ELSE '' END AS headline,
+        '- ' || array_to_string(list_sort([o_orderpriority, 'b', 'a' || o_orderkey]), chr(10) || '- ') AS digest, 's: ' || lower(o_orderstatus) || ' (' || CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderkey % 50 AS VARCHAR) ELSE 'no' END || ' items in the last run)' AS health FROM f""",
     "q_place_key": "SELECT n_nationkey, trim(regexp_replace(lower('saint-' || n_name || ' / l''ile '), '[^a-z0-9]+', ' ', 'g')) AS place_key, regexp_replace('type ' || lower(n_name), '[^a-z0-9]', '', 'g') AS field_key FROM nation",
     "q_department": "SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN ['Paris', 'Seine-et-Marne', 'Yvelines', NULL][CAST(c_custkey % 4 + 1 AS INTEGER)] END AS department FROM customer",
     "q_json_path": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, json_extract_string(props, '$.k') AS text, true AS absent FROM events",
@@ -198,7 +242,7 @@ ORACLES = {
       p AS (SELECT event_id, CASE WHEN event_id % 100 = 7 THEN NULL WHEN event_id % 100 = 8 THEN '12'
         ELSE repeat('{"n": [null, ', d // 2) || CASE WHEN d % 2 = 1 THEN '{"o": ' ELSE '' END || inner_text || CASE WHEN d % 2 = 1 THEN '}' ELSE '' END || repeat(']}', d // 2) END AS j FROM d),
       leaves AS (SELECT event_id, replace(replace(replace(substr(t.fullkey, 3), '[', '.'), ']', ''), '"', '') AS path, json_extract_string(t.value, '$') AS text, t.fullkey LIKE '%"q.r"%' AS second,
-          len(regexp_extract_all(replace(t.fullkey, '"q.r"', 'qr'), '[.\[]')) AS names FROM p, json_tree(CAST(p.j AS JSON)) t WHERE t.type NOT IN ('OBJECT', 'ARRAY', 'NULL')),
+          len(regexp_extract_all(replace(t.fullkey, '"q.r"', 'qr'), '[.\\[]')) AS names FROM p, json_tree(CAST(p.j AS JSON)) t WHERE t.type NOT IN ('OBJECT', 'ARRAY', 'NULL')),
       kept AS (SELECT event_id, path, arg_min(text, second) AS text FROM leaves WHERE names BETWEEN 1 AND 13 GROUP BY ALL)
       SELECT event_id, CASE WHEN j IS NOT NULL THEN count(path) END AS n, CASE WHEN j IS NOT NULL THEN md5(coalesce(string_agg(path || '=' || text, chr(10) ORDER BY path || '=' || text), '')) END AS digest
       FROM p LEFT JOIN kept USING (event_id) GROUP BY event_id, j""",

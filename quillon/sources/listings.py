@@ -275,17 +275,6 @@ def mail_listings(mail: DataFrame, source: str, sender: str | None = None, host:
     return each.select(*[columns.get(f.name, none).cast(f.dataType).alias(f.name) for f in LISTING], *(keep or []))
 
 
-def robots_allows(rules: DataFrame, paths: DataFrame) -> DataFrame:
-    """Whether each path (site, path) may be fetched under its site's rules (site, pattern, allow; ``*`` and a final
-    ``$`` are wild cards): the longest pattern that fits decides, allowing wins ties, and no rule allows."""
-    quoted = F.regexp_replace("pattern", "([.?+^()\\[\\]{}|\\\\])", "\\\\$1")
-    rx = F.concat(F.lit("^"), F.replace(quoted, F.lit("*"), F.lit(".*")))
-    book = rules.filter(F.length("pattern") > 0).groupBy("site").agg(F.collect_list(F.struct(rx.alias("rx"), F.length("pattern").alias("n"), F.col("allow"))).alias("rules"))  # a file's lines
-    fits = F.filter("rules", lambda r: F.regexp_like(F.col("path"), r["rx"]))
-    best = F.array_max(F.transform(fits, lambda r: F.struct(r["n"].alias("n"), r["allow"].alias("allow"))))
-    return paths.join(book, "site", "left").withColumn("allowed", F.coalesce(best["allow"], F.lit(True))).drop("rules")
-
-
 def complete(pages: DataFrame, declared: DataFrame) -> DataFrame:
     """Sources whose landed items are fewer than their pages declare (source, total)."""
     counted = pages.groupBy("source").agg(F.count(F.lit(1)).alias("items"))

@@ -2,6 +2,7 @@ import json
 
 from quillon.sources import listings as L
 from quillon.sources.sinks import ConsoleChannel, FileChannel, notify
+from quillon.sources.robots import crawl_delays, robots_allows, robots_rules
 from quillon.streaming.sightings import notify_once
 
 
@@ -39,7 +40,21 @@ def test_robots(spark):
     rules = spark.createDataFrame([("s", "/a", False), ("s", "/a/b", True), ("s", "/*.pdf$", False), ("s", "/a/b", False), ("t", "/", False)], "site string, pattern string, allow boolean")
     paths = spark.createDataFrame([("s", p) for p in ("/", "/a/x", "/a/b/c", "/x.pdf", "/x.pdf?y")] + [("t", "/t"), ("u", "/u")], "site string, path string")
     want = {"/": True, "/a/x": False, "/a/b/c": True, "/x.pdf": False, "/x.pdf?y": True, "/t": False, "/u": True}
-    assert {r.path: r.allowed for r in L.robots_allows(rules, paths).collect()} == want
+    assert {r.path: r.allowed for r in robots_allows(rules, paths).collect()} == want
+
+
+def test_robots_files(spark):
+    bodies = {
+        "late": "User-agent: *\nDisallow: /\n\nUser-agent: a\nUser-agent: Quill\nDisallow: /x\nCrawl-delay: 1.2\n# end", "open": "User-agent: *\nDisallow:\n", "none": "", "other": "User-agent: b\nDisallow: /\n",
+        "split": "User-agent: quillon\nDisallow: /x\n\nUser-agent: *\nDisallow: /\n\nUser-agent: quillon\nAllow: /x/y\nnonsense\nCrawl-delay: soon\nCrawl-delay: 3", "lost": None, "cr": "user-AGENT : *\r  disallow:/x # no \rAllow: /x/y",
+    }
+    files = spark.createDataFrame(list(bodies.items()), "site string, body string")
+    rules = {(r.site, r.pattern, r.allow) for r in robots_rules(files, "Quillon").collect()}
+    assert rules == {("late", "/x", False), ("split", "/x", False), ("split", "/x/y", True), ("lost", "/", False), ("cr", "/x", False), ("cr", "/x/y", True)}
+    assert {tuple(r) for r in crawl_delays(files, "quillon").collect()} == {("late", 2), ("split", 3)}
+    paths = spark.createDataFrame([(s, p) for s in bodies for p in ("", "/x/y", "/x")] + [("late", "/x")], "site string, path string")
+    denied = [(r.site, r.path) for r in robots_allows(robots_rules(files, "Quillon"), paths).collect() if not r.allowed]
+    assert sorted(denied) == [("cr", "/x"), ("late", "/x"), ("late", "/x"), ("late", "/x/y"), ("lost", ""), ("lost", "/x"), ("lost", "/x/y"), ("split", "/x")]
 
 
 def test_embedded_json(spark):
