@@ -9,9 +9,11 @@ two, so nothing is padded.
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,10 +25,13 @@ from quillon.llm.common import mix64, slices, tasks_for, text_bytes, written
 DIMENSIONS, KEY_BITS = 4, 12
 #: Distinct words that a worker remembers; then it starts anew.
 REMEMBERED = 500_000
+#: Bytes of text whose distinct words are looked up at a time: the more, the fewer look-ups.
+WORDS_BYTES = 12 << 20
 SPECIAL = "<|endoftext|>"
 #: Where the next id ends a document.
 END_ID = 0
 
+
 class Encoder:
     """Ids of whole texts by a ``tokenizers`` file of 2^16 ids at most.
 
@@ -44,21 +49,41 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 16-bit ids of each text, without special tokens added."""
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        cut = [t.split(" ") if SPECIAL not in t and not IRREGULAR.search(t) else None for t in texts]
-        for word in set().union(*(words[1:] for words in cut if words)):
-            if word not in known:
-                known[word] = np.array(self.one(" " + word), "<u2").tobytes()
-        get, first = known.__getitem__, self.one
-        return [
-            self.whole(t) if words is None else np.array(first(words[0]), "<u2").tobytes() + b"".join(map(get, words[1:])) for t, words in zip(texts, cut, strict=True)
-        ]
+        return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def word(self, word: str) -> bytes:
+        """Ids of a word or words that are cut from what stands before them, as 16-bit numbers."""
+        found = self.known.get(word)
+        if found is None:
+            found = self.known[word] = array("H", self.one(word)).tobytes()
+        return found
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(16-bit ids of all texts one after the other, each followed by the end id; offsets of the texts)."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        listed = texts.to_pylist()
+        whole = np.fromiter((SPECIAL in t or bool(IRREGULAR.search(t)) for t in listed), bool, len(listed))
+        cut = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")  # one empty word stands for a whole text
+        coded = cut.flatten().dictionary_encode()
+        sizes = np.asarray(pc.list_value_length(cut), dtype=np.int64)
+        # entries: words after a space, the end, then the texts' beginnings
+        entries = [self.word(" " + w) for w in coded.dictionary.to_pylist()]
+        end = len(entries)
+        entries.append(array("H", [END_ID]).tobytes())
+        entries += [self.whole(t) if w else self.word(t.partition(" ")[0]) for t, w in zip(listed, whole.tolist(), strict=True)]
+        ends = np.cumsum(sizes + 1)
+        codes = np.full(int(ends[-1]) if len(ends) else 0, end, np.int64)
+        inner = np.ones(len(codes), bool)
+        inner[ends - 1] = False
+        codes[inner] = np.asarray(coded.indices)
+        codes[ends - sizes - 1] = end + 1 + np.arange(len(listed))
+        table = np.frombuffer(b"".join(entries), np.uint16)
+        length = np.fromiter(map(len, entries), np.int64, len(entries)) // 2
+        each = length[codes]
+        total = np.concatenate([[0], np.cumsum(each)])
+        flat = table[np.repeat((np.cumsum(length) - length)[codes] - total[:-1], each) + np.arange(int(total[-1]))]
+        return flat, total[np.concatenate([[0], ends])]
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -111,14 +136,13 @@ def tokenised(docs: DataFrame, path: str, ranks: str, pattern: str, id_col: str
 
     def encode(batches):
         encoder, directions = _encoder(path, ranks, pattern), token_directions()
-        for batch in slices(batches, "text"):
-            ids = [x + END_ID.to_bytes(2, "little") for x in encoder.ids(batch["text"].to_pylist())]
-            flat = np.frombuffer(b"".join(ids), "<u2")
-            at = np.cumsum([0, *(len(x) // 2 for x in ids)])
+        for batch in slices(batches, "text", WORDS_BYTES):
+            flat, at = encoder.ids(batch["text"])
             means = np.add.reduceat(directions[flat], at[:-1], axis=0).astype(np.float64)
             means /= np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-12)
             points = np.clip(((means + 1) / 2 * (1 << KEY_BITS)).astype(np.int64), 0, (1 << KEY_BITS) - 1)
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(hilbert_key(points)), pa.array(ids, pa.binary())], names=["id", "curve", "ids"])
+            ids = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((2 * at).astype(np.int32)), pa.py_buffer(flat.astype("<u2"))])
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(hilbert_key(points)), ids], names=["id", "curve", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(encode, "id long, curve long, ids binary")
 

@@ -307,7 +307,9 @@ ODD = st.lists(st.sampled_from([" ", "  ", "\n", "\t", "a", "bc", "'s", "'", "ll
 @given(ODD)
 def test_packing_ids_are_the_tokenizers(text):
     encoder = packing._encoder(JSON, RANKS, PATTERN)
-    assert np.frombuffer(encoder.ids([text])[0], "<u2").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    flat, at = encoder.ids(pa.array([text, "", "a " + text, text]))
+    wanted = [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [packing.END_ID] for t in (text, "", "a " + text, text)]
+    assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == wanted
 
 
 def test_packing(spark):
