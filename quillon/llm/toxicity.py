@@ -6,7 +6,8 @@ product of two short vectors: pairs weigh more (or less) than their terms do alo
 
 The model is fitted on a bounded sample of labelled rows (``MAX_ROWS``, chosen by a hash of the id over the whole
 label table): terms that go with a label more than chance would have it get weights with an L1 penalty, which leaves
-few; then vectors of all terms of at least ``LEAST_ROWS`` rows are fitted, and those weights with them. Scoring reads every whole text and needs no shuffle.
+few; then vectors of all terms of at least ``LEAST_ROWS`` rows are fitted, and those weights with them, in tasks. A part
+of the sample only judges how far the vectors help. Scoring reads every whole text and needs no shuffle.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import give_back, mix64, slices, word_hashes, words
+from quillon.llm.common import give_back, mix64, slices, word_hashes, words, written
 
 #: Labelled rows that a model is fitted on at most.
 MAX_ROWS = 16_000
@@ -31,8 +32,16 @@ FACTORS = 8
 #: A term has a vector if so many rows of the sample have it, and may have a weight if its chi-square with the label is at
 #: least this.
 LEAST_ROWS, LEAST_CHI2 = 3, 16.0
-#: Vectors: how often the sample is gone through, step and L2 penalty.
-ROUNDS, RATE, SHRINK = 12, 0.02, 0.3
+#: Vectors: how often the sample is gone through at most, and L2 penalty.
+ROUNDS, SHRINK = 8, 0.3
+#: One row in so many teaches nothing and judges the vectors; rounds without a better one after which none follows; shares
+#: of the pairs that are tried.
+JUDGES, PATIENCE, SHARES = 8, 2, (0.1, 0.25, 0.5, 0.75, 1.0)
+#: Steps, and sums of squared gradients that the vectors' steps start from: careful ones, which long texts need, then bold
+#: ones, which pairs of neutral terms need. Both are tried.
+STARTS = ((0.02, 30.0), (0.1, 1.0))
+#: Rows that one task learns from; parts' results are averaged.
+PART_ROWS = 4_096
 #: Code points trimmed from the ends of words.
 MARKS = ".,;:!?\"'()[]{}<>|%$&*#@~^_=+/\\-"
 
@@ -84,61 +93,76 @@ def _raw(bias, weights, vectors, rows, terms, n) -> np.ndarray:
     return out
 
 
-def fit_arrays(rows: np.ndarray, terms: np.ndarray, labels: np.ndarray, bits: int = BITS, **more) -> ToxicityModel:
-    """Fits on rows given as (row, term) pairs in order of row, and labels of 0 and 1."""
-    return fit_lists(np.searchsorted(rows, np.arange(len(labels) + 1)), terms, labels, bits, **more)
+@dataclass
+class _State:
+    """What the rounds over pairs work on: the model, and the sums of squared gradients that its steps go by."""
+
+    rate: float
+    bias: float
+    w: np.ndarray
+    v: np.ndarray
+    hb: float
+    hw: np.ndarray
+    hv: np.ndarray
+
+
+def fit_arrays(rows: np.ndarray, terms: np.ndarray, labels: np.ndarray, bits: int = BITS) -> ToxicityModel:
+    """Fits on rows given as (row, term) pairs in order of row, and labels of 0 and 1: all in this process, in one part."""
+    at = np.searchsorted(rows, np.arange(len(labels) + 1))
+    size = 1 << bits
+    judges = np.arange(len(labels)) % JUDGES == JUDGES - 1
+    lists = [terms[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+    taught, judging = [x for x, j in zip(lists, judges, strict=True) if not j], [x for x, j in zip(lists, judges, strict=True) if j]
+    y = labels[~judges]
+    flat = np.concatenate([*taught, np.zeros(0, np.int64)]).astype(np.int64)
+    of = np.repeat(np.arange(len(y)), [len(x) for x in taught])
+    counts = np.bincount(flat, minlength=size), np.bincount(flat[y[of] > 0], minlength=size)
+    related, common = _kinds(*counts, y)
+    own = [x[related[x]] for x in taught]
+    model = _linear(own, y, size)
+    return _with_pairs(model, common, judging, labels[judges], lambda state, step: [_epoch(state, taught, y, common, step)])
+
+
+def _kinds(with_term: np.ndarray, in_positive: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(terms that may have weights, terms that have vectors). Chi-square is of a term's presence against the label: the
+    weight of a rare or neutral term can only be learnt by heart, but a term that is neutral alone may matter in a pair,
+    so all that are not rare get vectors."""
+    n, positive = max(len(labels), 1), float(labels.sum())
+    expected = with_term * positive / n
+    spread = expected * (1 - positive / n) * (1 - with_term / n)
+    common = with_term >= LEAST_ROWS
+    return common & ((in_positive - expected) ** 2 >= LEAST_CHI2 * np.maximum(spread, 1e-9)), common
 
 
-def fit_lists(at: np.ndarray, terms: np.ndarray, labels: np.ndarray, bits: int = BITS, factors: int = FACTORS, seed: int = 7, l1: float = 0.5, l2: float = 0.02) -> ToxicityModel:
-    """Fits on rows given as lists of terms: those of row i are terms[at[i]:at[i + 1]]. What is held besides is about as
-    much as the terms once more."""
-    n, size = len(labels), 1 << bits
+def _linear(own: list[np.ndarray], labels: np.ndarray, size: int, factors: int = FACTORS, seed: int = 7, l1: float = 0.5, l2: float = 0.02) -> ToxicityModel:
+    """Bias and weights of rows given as lists of the terms that may have weights; no vectors yet."""
+    n = len(labels)
     weights, vectors = np.zeros(size), np.zeros((size, factors), np.float32)
     positive = float(labels.sum())
     if not n or positive in (0, n):
         # nothing to tell apart: the share of label 1, and 0 without labels
         return ToxicityModel(35.0 if n and positive else -35.0, weights, vectors)
     rng = np.random.default_rng(seed)
-    # chi-square of each term's presence against the label; the weight of a rare or neutral term can only be learnt by
-    # heart, but a term that is neutral alone may matter in a pair: all that are not rare get vectors
-    with_term, in_positive = np.zeros(size), np.zeros(size)
-    for i in range(0, n, 512):
-        part, lengths = terms[at[i] : at[min(i + 512, n)]], np.diff(at[i : min(i + 512, n) + 1])
-        with_term += np.bincount(part, minlength=size)
-        in_positive += np.bincount(part[np.repeat(labels[i : i + 512] > 0, lengths)], minlength=size)
-    expected = with_term * positive / n
-    spread = expected * (1 - positive / n) * (1 - with_term / n)
-    common = with_term >= LEAST_ROWS
-    related = common & ((in_positive - expected) ** 2 >= LEAST_CHI2 * np.maximum(spread, 1e-9))
-    own_rows, own_terms = [], []
-    for i in range(0, n, 512):
-        part = terms[at[i] : at[min(i + 512, n)]]
-        use = related[part]
-        own_rows.append(np.repeat(np.arange(i, min(i + 512, n)), np.diff(at[i : min(i + 512, n) + 1]))[use])
-        own_terms.append(part[use].astype(np.int64))
-    own_rows, own_terms = np.concatenate(own_rows), np.concatenate(own_terms)
-    own_at = np.searchsorted(own_rows, np.arange(n + 1))
-    # weights: follow the regularised leader, each coordinate with its own step and an L1 threshold
+    # follow the regularised leader, each coordinate with its own step and an L1 threshold
     z, g2 = np.zeros(size), np.zeros(size)
     bias = float(np.log(positive / (n - positive)))
-    zb = gb = 0.0
-    batch = 64
+    gb = 0.0
     for _ in range(8):
-        for block in np.array_split(rng.permutation(n), -(-n // batch)):
-            idx = np.concatenate([own_terms[own_at[i] : own_at[i + 1]] for i in block])
-            own = np.repeat(np.arange(len(block)), own_at[block + 1] - own_at[block])
+        for block in np.array_split(rng.permutation(n), -(-n // 64)):
+            idx = np.concatenate([own[i] for i in block])
+            row = np.repeat(np.arange(len(block)), [len(own[i]) for i in block])
             used, inverse = np.unique(idx, return_inverse=True)
             w = np.where(np.abs(z[used]) <= l1, 0.0, -(z[used] - np.sign(z[used]) * l1) / (4.0 * (1.0 + np.sqrt(g2[used])) + l2))
-            error = _logistic(bias + np.bincount(own, w[inverse], len(block))) - labels[block]
-            g = np.bincount(inverse, error[own], len(used))
+            error = _logistic(bias + np.bincount(row, w[inverse], len(block))) - labels[block]
+            g = np.bincount(inverse, error[row], len(used))
             sigma = 4.0 * (np.sqrt(g2[used] + g * g) - np.sqrt(g2[used]))
             z[used] += g - sigma * w
             g2[used] += g * g
             gb += float(error.sum()) ** 2
             bias -= 0.5 * float(error.sum()) / (1 + np.sqrt(gb))
     weights = np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / (4.0 * (1.0 + np.sqrt(g2)) + l2))
-    _fit_weights(model := ToxicityModel(bias, weights, vectors), own_rows, own_terms, labels, l2)
-    _fit_pairs(model, at, terms, common, labels, rng)
+    model = ToxicityModel(bias, weights, vectors)
+    _fit_weights(model, np.repeat(np.arange(n), [len(x) for x in own]), np.concatenate(own).astype(np.int64), labels, l2)
     return model
 
 
@@ -161,48 +185,89 @@ def _fit_weights(model: ToxicityModel, rows, terms, labels, l2: float) -> None:
     model.weights[active], model.bias = w, float(bias)
 
 
-def _fit_pairs(model: ToxicityModel, at, terms, common, labels, rng, rounds: int = ROUNDS, rate: float = RATE, shrink: float = SHRINK) -> None:
-    """Vectors of the common terms, and bias and weights with them, in blocks of rows."""
-    n, (size, factors) = len(labels), model.vectors.shape
-    v = np.where(common[:, None], rng.normal(0, 0.01, (size, factors)), 0).astype(np.float32)
-    w, bias = model.weights, model.bias
-    hv, hw, hb = np.full((size, factors), 1e-4, np.float32), np.full(size, 1.0), 1.0
-    blocks = []
-    for block in np.array_split(rng.permutation(n), -(-n // 128)):
-        lists = [x[common[x]] for x in (terms[at[i] : at[i + 1]] for i in block)]
-        block, lists = block[[len(x) > 0 for x in lists]], [x for x in lists if len(x)]
-        if lists:
-            own = np.concatenate(lists).astype(np.int32)
-            blocks.append((block, own, np.array([len(x) for x in lists]), np.argsort(own, kind="stable").astype(np.int32)))
-    for _ in range(rounds):
-        for k in rng.permutation(len(blocks)):
-            block, own, lengths, order = blocks[k]
-            starts = np.cumsum(lengths) - lengths
-            ordered = own[order]
-            head = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-            used = ordered[head]
-            one = v[own]
-            total = np.add.reduceat(one, starts)
-            pairs = 0.5 * ((total * total).sum(1) - np.add.reduceat((one * one).sum(1), starts))
-            error = (_logistic(bias + np.add.reduceat(w[own], starts) + pairs) - labels[block]).astype(np.float32)
-            each = np.repeat(error, lengths)
-            g = np.add.reduceat((each[:, None] * (np.repeat(total, lengths, axis=0) - one))[order], head) + shrink * v[used]
-            hv[used] += g * g
-            v[used] -= rate * g / np.sqrt(hv[used])
-            gw = np.where(w[used] != 0, np.add.reduceat(each[order], head), 0)
-            hw[used] += gw * gw
-            w[used] -= rate * gw / np.sqrt(hw[used])
-            hb += float(error.sum()) ** 2
-            bias -= rate * float(error.sum()) / np.sqrt(hb)
-    model.vectors[:], model.bias = v, float(bias)
+def _epoch(state: _State, lists: list[np.ndarray], labels: np.ndarray, common: np.ndarray, seed: int) -> _State:
+    """The state after one pass over the rows in blocks: vectors of the common terms, and bias and weights with them."""
+    rng = np.random.default_rng(seed)
+    s = _State(state.rate, state.bias, state.w.copy(), state.v.copy(), state.hb, state.hw.copy(), state.hv.copy())
+    for block in np.array_split(rng.permutation(len(labels)), max(1, -(-len(labels) // 128))):
+        some = [(i, x) for i in block.tolist() if len(x := lists[i][common[lists[i]]])]
+        if not some:
+            continue
+        y = labels[[i for i, _ in some]]
+        own, lengths = np.concatenate([x for _, x in some]).astype(np.int32), np.array([len(x) for _, x in some])
+        order = np.argsort(own, kind="stable")
+        starts = np.cumsum(lengths) - lengths
+        ordered = own[order]
+        head = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        used = ordered[head]
+        one = s.v[own]
+        total = np.add.reduceat(one, starts)
+        pairs = 0.5 * ((total * total).sum(1) - np.add.reduceat((one * one).sum(1), starts))
+        error = (_logistic(s.bias + np.add.reduceat(s.w[own], starts) + pairs) - y).astype(np.float32)
+        each = np.repeat(error, lengths)
+        g = np.add.reduceat((each[:, None] * (np.repeat(total, lengths, axis=0) - one))[order], head) + SHRINK * s.v[used]
+        s.hv[used] += g * g
+        s.v[used] -= s.rate * g / np.sqrt(s.hv[used])
+        gw = np.where(s.w[used] != 0, np.add.reduceat(each[order], head), 0)
+        s.hw[used] += gw * gw
+        s.w[used] -= s.rate * gw / np.sqrt(s.hw[used])
+        s.hb += float(error.sum()) ** 2
+        s.bias -= s.rate * float(error.sum()) / np.sqrt(s.hb)
+    return s
+
+
+def _loss(p: np.ndarray, y: np.ndarray) -> float:
+    p = np.clip(p, 1e-9, 1 - 1e-9)
+    return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()) if len(y) else 0.0
+
+
+def _with_pairs(model: ToxicityModel, common: np.ndarray, judging: list[np.ndarray], y: np.ndarray, one_round) -> ToxicityModel:
+    """The model with vectors, as far as rows that teach nothing say that they help: after each round those judge how
+    much of the pairs to take (SHARES), and the best of all rounds stays. The model without vectors is one of them."""
+    if not len(y) or abs(model.bias) == 35.0:
+        return model
+    size, factors = model.vectors.shape
+    rows, terms = np.repeat(np.arange(len(y)), [len(x) for x in judging]), np.concatenate([*judging, np.zeros(0, np.int64)]).astype(np.int64)
+    nothing = np.zeros((size, 0), np.float32)
+    best, least = model, _loss(_logistic(_raw(model.bias, model.weights, nothing, rows, terms, len(y))), y)
+    for rate, start in STARTS:
+        v = np.where(common[:, None], np.random.default_rng(11).normal(0, 0.01, (size, factors)), 0).astype(np.float32)
+        state, since = _State(rate, model.bias, model.weights.copy(), v, 1.0, np.full(size, 1.0), np.full((size, factors), start, np.float32)), 0
+        for step in range(ROUNDS):
+            parts = one_round(state, step)
+            state = parts[0] if len(parts) == 1 else _joined(state, parts)
+            alone = _raw(state.bias, state.w, nothing, rows, terms, len(y))
+            pairs = _raw(0.0, np.zeros(size), state.v, rows, terms, len(y))
+            found, share = min((_loss(_logistic(alone + share * pairs), y), share) for share in SHARES)
+            since += 1
+            if found < least:
+                best, least, since = ToxicityModel(state.bias, state.w, state.v * np.float32(np.sqrt(share))), found, 0
+            if since >= PATIENCE:
+                break
+    return best
+
+
+def _joined(before: _State, parts: list[_State]) -> _State:
+    """The mean of the parts' states; of a term, over the parts that have moved it."""
+    moved = np.sum([(p.hv != before.hv).any(1) for p in parts], axis=0)
+    share = np.maximum(moved, 1)
+    mean = lambda c: getattr(before, c) + sum(getattr(p, c) - getattr(before, c) for p in parts) / (share[:, None] if getattr(before, c).ndim == 2 else share)
+    of = lambda c: float(np.mean([getattr(p, c) for p in parts]))
+    return _State(before.rate, of("bias"), mean("w"), mean("v").astype(np.float32), of("hb"), mean("hw"), mean("hv").astype(np.float32))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", seed: int = 7) -> ToxicityModel:
     """A model of ``labels`` (id and a label of 0 or 1) for the texts of ``docs``.
 
-    Of the labelled rows the ``max_rows`` with the smallest hash of the id are used. Null ids and labels take no
-    part; null texts are empty. Without labelled rows, or with one class alone, scores are 0 (or 1, if all are 1).
+    Of the labelled rows the ``max_rows`` with the smallest hash of the id are used; rows that repeat an id, with one
+    label or several, are rows of their own. Null ids and labels take no part; null texts are empty. Without labelled
+    rows, or with one class alone, scores are 0 (or 1, if all are 1).
+
+    The rows' terms stay in the shared folder. Tasks count terms and go through parts of PART_ROWS rows; the driver gets
+    the counts, the terms that may have weights, the rows that judge (one in JUDGES) and the parts' states: numbers that
+    ``max_rows`` and the number of hashed terms bound.
     """
+    spark, size = docs.sparkSession, 1 << BITS
     chosen = (
         labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
         .select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y"))
@@ -218,24 +283,80 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: st
                 [batch["__o"], batch["__y"], pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(terms, pa.int32()))], names=["__o", "__y", "terms"]
             )
 
-    sample = (
+    every = written(
         docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         .join(F.broadcast(chosen), "__id")  # max_rows rows of two numbers
         .select(F.xxhash64(F.lit(seed), "__id", "text").alias("__o"), "__y", "text")
-        .mapInArrow(features, "__o long, __y int, terms array<int>")
-        .orderBy("__o", "__y")
-        .limit(max_rows)
-        .toArrow()
+        .mapInArrow(features, "__o long, __y int, terms array<int>"),
+        "terms",
     )
-    labels = np.asarray(sample["__y"], dtype=np.float64)
-    lists = sample["terms"].combine_chunks()
-    del sample
+    last = every.select("__o").orderBy("__o").limit(max_rows).agg(F.max("__o"), F.count(F.lit(1))).first()  # repeated ids may be more rows
+    if not last[1]:
+        return _linear([], np.zeros(0), size)
+    sample = every.filter(F.col("__o") <= last[0])
+    judges = F.pmod(F.xxhash64(F.lit(seed + 1), "__o"), F.lit(JUDGES)) == JUDGES - 1
+    taught = sample.filter(~judges)
+    found = taught.select("__y", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("__y").alias("p")).toArrow()  # a row for each hashed term
+    counts = np.zeros((2, size))
+    counts[0, np.asarray(found["term"])], counts[1, np.asarray(found["term"])] = np.asarray(found["n"]), np.asarray(found["p"])
+    y = np.asarray(taught.select("__y").toArrow()["__y"], dtype=np.float64)
+    related, common = _kinds(counts[0], counts[1], y)
+
+    def own_terms(batches):
+        for batch in batches:
+            flat = np.asarray(batch["terms"].flatten())
+            ends = np.concatenate([[0], np.cumsum(related[flat])])[np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(batch["terms"])))])]
+            yield pa.RecordBatch.from_arrays([batch["__o"], batch["__y"], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[related[flat]], pa.int32()))], names=["__o", "__y", "terms"])
+
+    own, y = _lists(taught.mapInArrow(own_terms, taught.schema).orderBy("__o", "__y"))
+    model = _linear(own, y, size)
+    judging, judged = _lists(sample.filter(judges).orderBy("__o", "__y"))
+    parts = max(1, -(-len(y) // PART_ROWS))
+    dealt = taught.withColumn("part", F.pmod(F.xxhash64(F.lit(seed + 2), "__o"), F.lit(parts)).cast("int"))
+
+    def one_round(state: _State, step: int) -> list[_State]:
+        shared = spark.sparkContext.broadcast((state, common))  # the model's size, whatever the input
+
+        def learn(key, table):
+            before, of_use = shared.value
+            order = pc.sort_indices(table, sort_keys=[("__o", "ascending"), ("__y", "ascending")])
+            lists, labels = _of(table.take(order))
+            after = _epoch(before, lists, labels, of_use, step)
+            at = np.flatnonzero((after.hv != before.hv).any(1))
+            arrays = [np.append(at, -1), np.append(after.w[at], after.bias), np.append(after.hw[at], after.hb), *np.vstack([np.hstack([after.v[at], after.hv[at]]), np.zeros((1, 2 * FACTORS), np.float32)]).T]
+            return pa.table([pa.array(np.full(len(at) + 1, key[0].as_py()), pa.int32()), pa.array(arrays[0], pa.int32()), *map(pa.array, arrays[1:3]), *(pa.array(x, pa.float32()) for x in arrays[3:])], names=columns)
+
+        columns = ["part", "term", "w", "hw", *(f"v{i}" for i in range(FACTORS)), *(f"h{i}" for i in range(FACTORS))]
+        kinds = "part int, term int, w double, hw double, " + ", ".join(f"{c} float" for c in columns[4:])
+        moved = dealt.groupBy("part").applyInArrow(learn, kinds).toArrow()
+        shared.destroy()
+        out = []
+        for part in np.unique(np.asarray(moved["part"])).tolist():
+            rows = moved.filter(pc.equal(moved["part"], part))
+            term = np.asarray(rows["term"])
+            at, k = term >= 0, int(np.flatnonzero(term < 0)[0])
+            s = _State(state.rate, float(rows["w"][k].as_py()), state.w.copy(), state.v.copy(), float(rows["hw"][k].as_py()), state.hw.copy(), state.hv.copy())
+            s.w[term[at]], s.hw[term[at]] = np.asarray(rows["w"])[at], np.asarray(rows["hw"])[at]
+            for i in range(FACTORS):
+                s.v[term[at], i], s.hv[term[at], i] = np.asarray(rows[f"v{i}"])[at], np.asarray(rows[f"h{i}"])[at]
+            out.append(s)
+        return out
+
+    out = _with_pairs(model, common, judging, judged, one_round)
     give_back()
-    at = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists), dtype=np.int64))])
-    model = fit_lists(at, np.asarray(lists.flatten()), labels)
-    del lists
-    give_back()
-    return model
+    return out
+
+
+def _of(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+    """Lists of terms, and labels, of rows."""
+    lists = table["terms"].combine_chunks()
+    lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
+    flat, ends = np.asarray(lists.flatten()), np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists), dtype=np.int64))])
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], np.asarray(table["__y"], dtype=np.float64)
+
+
+def _lists(rows: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
+    return _of(rows.select("terms", "__y").toArrow())
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:

@@ -414,6 +414,27 @@ def test_toxicity_learns_pairs_of_neutral_terms():
     assert raw([1, 2]) > 0.5 and raw([1]) < 0.3 and raw([2]) < 0.3
 
 
+@pytest.mark.parametrize("part_rows", [100, 4_096])
+def test_toxicity_vectors_cost_no_held_out_loss(spark, monkeypatch, part_rows):
+    """Terms that the label goes with, terms that it doesn't, and a pair that matters; learnt in one part or in several."""
+    monkeypatch.setattr(toxicity, "PART_ROWS", part_rows)
+    rng = random.Random(3)
+    rows = []
+    for i in range(1_400):
+        a, b, vile = rng.random() < 0.35, rng.random() < 0.35, rng.random() < 0.12
+        label = int(vile and rng.random() < 0.95 or a and b and rng.random() < 0.9)
+        ws = [f"w{rng.randrange(300):03d}" for _ in range(25)] + ["group"] * a + ["insult"] * b + ["vile"] * vile
+        rng.shuffle(ws)
+        rows.append((i, " ".join(ws), label))
+    docs = table(spark, [(i, t) for i, t, _ in rows])
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows if i < 900], "doc_id long, toxic int"))
+    held = pa.array([t for i, t, _ in rows if i >= 900]), np.array([y for i, _, y in rows if i >= 900], float)
+    with_pairs = toxicity._loss(model.score(held[0]), held[1])
+    alone = toxicity._loss(toxicity.ToxicityModel(model.bias, model.weights, np.zeros_like(model.vectors)).score(held[0]), held[1])
+    assert with_pairs <= alone
+    assert toxicity.fit(docs, spark.createDataFrame([(i, 1) for i in range(9)], "doc_id long, toxic int")).score(held[0]).min() > 0.99
+
+
 def test_toxicity_on_held_out_texts(spark):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 7)))
