@@ -37,6 +37,8 @@ ROUNDS, SHRINK = 8, 0.3
 #: One row in so many teaches nothing and judges the vectors; rounds without a better one after which none follows; shares
 #: of the pairs that are tried.
 JUDGES, PATIENCE, SHARES = 8, 2, (0.1, 0.25, 0.5, 0.75, 1.0)
+#: Rows of either label that must be among the judges.
+LEAST_JUDGES = 8
 #: Steps, and sums of squared gradients that the vectors' steps start from: careful ones, which long texts need, then bold
 #: ones, which pairs of neutral terms need. Both are tried.
 STARTS = ((0.02, 30.0), (0.1, 1.0))
@@ -216,20 +218,22 @@ def _epoch(state: _State, lists: list[np.ndarray], labels: np.ndarray, common: n
     return s
 
 
-def _loss(p: np.ndarray, y: np.ndarray) -> float:
+def _losses(p: np.ndarray, y: np.ndarray) -> np.ndarray:
     p = np.clip(p, 1e-9, 1 - 1e-9)
-    return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()) if len(y) else 0.0
+    return -(y * np.log(p) + (1 - y) * np.log(1 - p))
 
 
 def _with_pairs(model: ToxicityModel, common: np.ndarray, judging: list[np.ndarray], y: np.ndarray, one_round) -> ToxicityModel:
     """The model with vectors, as far as rows that teach nothing say that they help: after each round those judge how
-    much of the pairs to take (SHARES), and the best of all rounds stays. The model without vectors is one of them."""
-    if not len(y) or abs(model.bias) == 35.0:
+    much of the pairs to take (SHARES), and the best of all rounds stays. It must beat the model without vectors by the
+    standard error of the difference, and few judges (LEAST_JUDGES) judge nothing."""
+    if min(y.sum(), len(y) - y.sum()) < LEAST_JUDGES or abs(model.bias) == 35.0:
         return model
     size, factors = model.vectors.shape
     rows, terms = np.repeat(np.arange(len(y)), [len(x) for x in judging]), np.concatenate([*judging, np.zeros(0, np.int64)]).astype(np.int64)
     nothing = np.zeros((size, 0), np.float32)
-    best, least = model, _loss(_logistic(_raw(model.bias, model.weights, nothing, rows, terms, len(y))), y)
+    plain = _losses(_logistic(_raw(model.bias, model.weights, nothing, rows, terms, len(y))), y)
+    best, least = model, np.inf
     for rate, start in STARTS:
         v = np.where(common[:, None], np.random.default_rng(11).normal(0, 0.01, (size, factors)), 0).astype(np.float32)
         state, since = _State(rate, model.bias, model.weights.copy(), v, 1.0, np.full(size, 1.0), np.full((size, factors), start, np.float32)), 0
@@ -238,10 +242,12 @@ def _with_pairs(model: ToxicityModel, common: np.ndarray, judging: list[np.ndarr
             state = parts[0] if len(parts) == 1 else _joined(state, parts)
             alone = _raw(state.bias, state.w, nothing, rows, terms, len(y))
             pairs = _raw(0.0, np.zeros(size), state.v, rows, terms, len(y))
-            found, share = min((_loss(_logistic(alone + share * pairs), y), share) for share in SHARES)
             since += 1
-            if found < least:
-                best, least, since = ToxicityModel(state.bias, state.w, state.v * np.float32(np.sqrt(share))), found, 0
+            for share in SHARES:
+                losses = _losses(_logistic(alone + share * pairs), y)
+                gain = plain - losses
+                if losses.mean() < least and gain.mean() > gain.std() / np.sqrt(len(y)):
+                    best, least, since = ToxicityModel(state.bias, state.w, state.v * np.float32(np.sqrt(share))), losses.mean(), 0
             if since >= PATIENCE:
                 break
     return best
