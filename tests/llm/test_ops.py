@@ -54,6 +54,17 @@ def test_sharding(spark):
     assert sharding.uniform_shards(table(spark, [])).count() == 0
 
 
+def test_equal_rows_spread_over_sources_and_buckets(spark):
+    """Thousands of rows that are equal in every column: no task gets them all, and all places are filled."""
+    df = spark.createDataFrame([(7, "same")] * 6_000 + [(i, f"t{i}") for i in range(2_000)], "doc_id long, text string").repartition(6)
+    rows = sharding.uniform_shards(df, shards=5, source_rows=200, bucket_rows=100).select("doc_id", "shard", "slot").collect()
+    equal = Counter(r.shard for r in rows if r.doc_id == 7)
+    assert all(abs(n - 1_200) < 150 for n in equal.values()) and len(rows) == 8_000
+    for shard in range(5):
+        assert sorted(r.slot for r in rows if r.shard == shard) == list(range(1_600))
+    assert sharding.uniform_shards(df.limit(3), shards=300_000).count() == 3  # more shards than rows, or than the matrix has room for
+
+
 def test_communication_matrix_margins_and_means():
     sizes = sharding.exact_sizes(103, 4)
     assert sizes.tolist() == [26, 26, 26, 25]
