@@ -14,6 +14,7 @@ from quillon.operators.classify import classify
 from quillon.operators.filters import Criteria
 from quillon.operators.score import Weights
 from quillon.schema import effective_rent
+from quillon.shared import kept
 
 
 @dataclass
@@ -35,8 +36,8 @@ def run_pass(harvest: DataFrame, profiles: DataFrame, known: DataFrame, criteria
     rent = effective_rent(F.col("rent_cc"), F.col("rent_hc"), F.col("charges"))
     listed = state.with_profile(harvest, profiles).withColumn("key", dedup_key(F.col("source"), F.col("external_id"), F.col("url"), F.col("title"))).withColumn("rent", rent)
     listed = listed.withColumn("place_key", place_key(F.col("commune"))).withColumn("id", F.col("seq").cast("long"))
-    classified = classify(listed)
-    found = resolve.clusters(listed.select("id", "seq", "source", "family", "place_key", "rent", "surface_m2", "rooms", "floor"))
+    classified = kept(classify(listed), "classified")  # judged, verdicts and counters read it
+    found = resolve.clusters(classified.select("id", "seq", "source", "family", "place_key", "rent", "surface_m2", "rooms", "floor"))
     before = known.select("key", F.col("rent").alias("previous"), "first_seen", "notified_at")
     survivors = classified.join(found.filter("id = survivor").select("id"), "id").join(before, "key", "left")
     reason = filters.disqualifier(*[F.col(c) for c in ("commune", "postcode", "title", "description", "rooms", "surface_m2", "rent")], criteria)
@@ -53,9 +54,9 @@ def run_pass(harvest: DataFrame, profiles: DataFrame, known: DataFrame, criteria
         .withColumn("headline", headline(F.col("title"), F.col("commune"), F.col("rooms"), F.col("surface_m2"), F.col("rent")))
         .withColumn("text", F.when(F.col("rent_drop"), drop_text(F.col("previous"), F.col("rent"))).otherwise(digest_text(F.col("reasons"))))
     )
-    sightings = listed.select("key", "url", "title", "rent", F.lit(now_epoch).cast("long").alias("at_epoch"), "seq")
-    members = found.join(listed.select("id", "seq", "key"), "id").select(F.col("survivor").alias("cluster"), "seq", "key")
-    harvested = listed.agg(F.count_distinct("source").alias("answered"), F.count(F.lit(1)).alias("items"))
+    sightings = classified.select("key", "url", "title", "rent", F.lit(now_epoch).cast("long").alias("at_epoch"), "seq")
+    members = found.join(classified.select("id", "seq", "key"), "id").select(F.col("survivor").alias("cluster"), "seq", "key")
+    harvested = classified.agg(F.count_distinct("source").alias("answered"), F.count(F.lit(1)).alias("items"))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
     counted = judged.agg(
         F.count(F.lit(1)).alias("clusters"), F.count_if(F.col("outcome") == "MATCH").alias("matches"), F.count_if(F.col("outcome") == "DIGEST").alias("digests"), F.count_if(F.col("outcome") == "REJECT").alias("rejects"),

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Protocol
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators.graph import numbered
+
 
 class Channel(Protocol):
     name: str
@@ -61,8 +63,8 @@ def event_rows(judged: DataFrame) -> DataFrame:
     one by one, drops, and digests of each source's other listings, in order of the headline, DIGEST_LINES in each."""
     one = judged.filter("outcome = 'MATCH' and is_new_match").select(F.lit("match").alias("kind"), F.when(F.col("high_priority"), 5).otherwise(3).alias("priority"), F.col("headline").alias("title"), "text")
     drop = judged.filter("outcome = 'MATCH' and rent_drop").select(F.lit("rent_drop").alias("kind"), F.lit(3).alias("priority"), F.col("headline").alias("title"), "text")
-    place = F.row_number().over(Window.partitionBy("source").orderBy("headline"))
-    paged = judged.filter("outcome = 'DIGEST' and is_new_match").select("source", "headline", F.floor((place - 1) / DIGEST_LINES).alias("page"))
+    placed = numbered(judged.filter("outcome = 'DIGEST' and is_new_match").select("source", "headline"), ["source"], [F.col("headline")])
+    paged = placed.select("source", "headline", F.floor(F.col("place") / DIGEST_LINES).alias("page"))
     digest = paged.groupBy("source", "page").agg(F.array_sort(F.collect_list("headline")).alias("lines"))
     title = F.concat(F.lit("digest of "), F.col("source"), F.when(F.col("page") > 0, F.concat(F.lit(", "), (F.col("page") + 1).cast("string"))).otherwise(""))
     return one.unionByName(drop).unionByName(digest.select(F.lit("digest").alias("kind"), F.lit(2).alias("priority"), title.alias("title"), F.array_join("lines", "\n").alias("text")))
