@@ -122,7 +122,7 @@ def fit_arrays(rows: np.ndarray, terms: np.ndarray, labels: np.ndarray, bits: in
     related, common = _kinds(*counts, y)
     own = [x[related[x]] for x in taught]
     model = _linear(own, y, size)
-    return _with_pairs(model, common, judging, labels[judges], lambda state, step: [_epoch(state, taught, y, common, step)])
+    return _with_pairs(model, common, judging, labels[judges], lambda state, step: _epoch(state, taught, y, common, step))
 
 
 def _kinds(with_term: np.ndarray, in_positive: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,8 +238,7 @@ def _with_pairs(model: ToxicityModel, common: np.ndarray, judging: list[np.ndarr
         v = np.where(common[:, None], np.random.default_rng(11).normal(0, 0.01, (size, factors)), 0).astype(np.float32)
         state, since = _State(rate, model.bias, model.weights.copy(), v, 1.0, np.full(size, 1.0), np.full((size, factors), start, np.float32)), 0
         for step in range(ROUNDS):
-            parts = one_round(state, step)
-            state = parts[0] if len(parts) == 1 else _joined(state, parts)
+            state = one_round(state, step)
             alone = _raw(state.bias, state.w, nothing, rows, terms, len(y))
             pairs = _raw(0.0, np.zeros(size), state.v, rows, terms, len(y))
             since += 1
@@ -253,15 +252,6 @@ def _with_pairs(model: ToxicityModel, common: np.ndarray, judging: list[np.ndarr
     return best
 
 
-def _joined(before: _State, parts: list[_State]) -> _State:
-    """The mean of the parts' states; of a term, over the parts that have moved it."""
-    moved = np.sum([(p.hv != before.hv).any(1) for p in parts], axis=0)
-    share = np.maximum(moved, 1)
-    mean = lambda c: getattr(before, c) + sum(getattr(p, c) - getattr(before, c) for p in parts) / (share[:, None] if getattr(before, c).ndim == 2 else share)
-    of = lambda c: float(np.mean([getattr(p, c) for p in parts]))
-    return _State(before.rate, of("bias"), mean("w"), mean("v").astype(np.float32), of("hb"), mean("hw"), mean("hv").astype(np.float32))
-
-
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", seed: int = 7) -> ToxicityModel:
     """A model of ``labels`` (id and a label of 0 or 1) for the texts of ``docs``.
 
@@ -320,32 +310,34 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: st
     parts = max(1, -(-len(y) // PART_ROWS))
     dealt = taught.withColumn("part", F.pmod(F.xxhash64(F.lit(seed + 2), "__o"), F.lit(parts)).cast("int"))
 
-    def one_round(state: _State, step: int) -> list[_State]:
+    columns = ["w", "hw", *(f"v{i}" for i in range(FACTORS)), *(f"h{i}" for i in range(FACTORS))]
+    kinds = "term int, " + ", ".join(f"{c} float" for c in columns)
+
+    def one_round(state: _State, step: int) -> _State:
+        """The mean of what the parts make of the state; of a term, over the parts that have moved it."""
         shared = spark.sparkContext.broadcast((state, common))  # the model's size, whatever the input
 
         def learn(key, table):
             before, of_use = shared.value
-            order = pc.sort_indices(table, sort_keys=[("__o", "ascending"), ("__y", "ascending")])
-            lists, labels = _of(table.take(order))
+            lists, labels = _of(table.take(pc.sort_indices(table, sort_keys=[("__o", "ascending"), ("__y", "ascending")])))
             after = _epoch(before, lists, labels, of_use, step)
             at = np.flatnonzero((after.hv != before.hv).any(1))
-            arrays = [np.append(at, -1), np.append(after.w[at], after.bias), np.append(after.hw[at], after.hb), *np.vstack([np.hstack([after.v[at], after.hv[at]]), np.zeros((1, 2 * FACTORS), np.float32)]).T]
-            return pa.table([pa.array(np.full(len(at) + 1, key[0].as_py()), pa.int32()), pa.array(arrays[0], pa.int32()), *map(pa.array, arrays[1:3]), *(pa.array(x, pa.float32()) for x in arrays[3:])], names=columns)
+            moved = np.column_stack([after.w[at], after.hw[at], after.v[at], after.hv[at]]).astype(np.float32)
+            own = np.zeros((1, moved.shape[1]), np.float32)  # of term -1: bias
+            own[0, :2] = after.bias, after.hb
+            values = np.vstack([moved, own]).T
+            return pa.table([pa.array(np.append(at, -1), pa.int32()), *map(pa.array, np.ascontiguousarray(values))], names=["term", *columns])
 
-        columns = ["part", "term", "w", "hw", *(f"v{i}" for i in range(FACTORS)), *(f"h{i}" for i in range(FACTORS))]
-        kinds = "part int, term int, w double, hw double, " + ", ".join(f"{c} float" for c in columns[4:])
-        moved = dealt.groupBy("part").applyInArrow(learn, kinds).toArrow()
+        met = dealt.groupBy("part").applyInArrow(learn, kinds).groupBy("term").agg(*[F.avg(c).cast("float").alias(c) for c in columns]).toArrow()  # a row for each hashed term
         shared.destroy()
-        out = []
-        for part in np.unique(np.asarray(moved["part"])).tolist():
-            rows = moved.filter(pc.equal(moved["part"], part))
-            term = np.asarray(rows["term"])
-            at, k = term >= 0, int(np.flatnonzero(term < 0)[0])
-            s = _State(state.rate, float(rows["w"][k].as_py()), state.w.copy(), state.v.copy(), float(rows["hw"][k].as_py()), state.hw.copy(), state.hv.copy())
-            s.w[term[at]], s.hw[term[at]] = np.asarray(rows["w"])[at], np.asarray(rows["hw"])[at]
-            for i in range(FACTORS):
-                s.v[term[at], i], s.hv[term[at], i] = np.asarray(rows[f"v{i}"])[at], np.asarray(rows[f"h{i}"])[at]
-            out.append(s)
+        term = np.asarray(met["term"])
+        at, own = term >= 0, np.flatnonzero(term < 0)[:1]
+        out = _State(state.rate, float(np.asarray(met["w"])[own][0]), state.w.copy(), state.v.copy(), float(np.asarray(met["hw"])[own][0]), state.hw.copy(), state.hv.copy())
+        out.w[term[at]], out.hw[term[at]] = np.asarray(met["w"])[at], np.asarray(met["hw"])[at]
+        for i in range(FACTORS):
+            out.v[term[at], i], out.hv[term[at], i] = np.asarray(met[f"v{i}"])[at], np.asarray(met[f"h{i}"])[at]
+        del met
+        give_back()
         return out
 
     out = _with_pairs(model, common, judging, judged, one_round)
