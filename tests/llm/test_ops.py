@@ -392,6 +392,29 @@ def test_topk(spark, scale):
     assert sorted(tuple(r) for r in topk.top_k(two, F.lit(True)).collect()) == [(0, 1, 5, 131072), (5, 1, 0, 131072)]
 
 
+@pytest.mark.parametrize("tasks", [2, 23])
+def test_bpe_with_several_blocks_in_a_partition(spark, monkeypatch, tasks):
+    """Blocks of some texts, rows of few words, and more or fewer tasks than the session has."""
+    monkeypatch.setattr(bpe, "BLOCK", 3_000)
+    monkeypatch.setattr(bpe, "ROW_CODES", 40)
+    monkeypatch.setattr(bpe, "tasks_for", lambda *a: tasks)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdeé日 ") for _ in range(rng.randint(1, 9)))
+    rows = [(i, " ".join(word() for _ in range(rng.choice([0, 3, 60, 400])))) for i in range(150)] + [(i, "one and the same text ") for i in range(200, 260)]
+    plain = tiktoken.Encoding("r", pat_str=PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    out = bpe.decode(bpe.encode(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), RANKS, PATTERN), RANKS).collect()
+    want = dict(rows)
+    assert len(out) == len(rows) and all(r.ids == plain.encode_ordinary(want[r.doc_id]) and bytes(r.decoded).decode() == want[r.doc_id] for r in out)
+
+
+def test_toxicity_of_texts_longer_than_a_slice(spark):
+    long = "word " * 1_000_000  # 5 MB
+    docs = table(spark, [(i, ("vile " if i % 2 else "kind ") + f"w{i} x{i % 7}") for i in range(60)] + [(100, long + "vile"), (101, long)])
+    model = toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(60)] + [(100, 1), (101, 0)], "doc_id long, toxic int"))
+    out = {r.doc_id: r.toxicity for r in toxicity.score(docs, model).collect()}
+    assert out[100] > out[101] and out[1] > 0.5 > out[0]
+
+
 def test_toxicity_learns_pairs():
     rng = np.random.default_rng(0)
     rows, terms, labels = [], [], []
