@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import written
@@ -26,14 +26,14 @@ CHUNK = 2_048
 EXACT = float(1 << 53)
 
 
-def whole_vectors(df: DataFrame, id_col: str, vector_col: str, factor: float) -> DataFrame:
-    """id, v (floor(factor * x) of each component) and norm; without rows whose vector is null or holds a null or
+def whole_vectors(df: DataFrame, id_col: str, vector_col: str, factor: float, asks: Column) -> DataFrame:
+    """id, v (floor(factor * x) of each component), norm, and whether the row asks; without rows whose vector is null or holds a null or
     non-finite component, or whose id is null."""
     x = F.transform(F.col(vector_col), lambda c: c.cast("double"))
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     return (
         df.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & ~F.coalesce(bad, F.lit(True)))
-        .select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c * factor)).alias("v"))
+        .select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c * factor)).alias("v"), F.coalesce(asks, F.lit(False)).alias("asks"))
         .withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))))
     )
 
@@ -146,13 +146,14 @@ def top_k(
     are answers as often as they occur. An empty table gives no rows.
     """
     spark = df.sparkSession
-    vectors = whole_vectors(df, id_col, vector_col, factor)
+    asks = is_query if isinstance(is_query, Column) else F.expr(is_query)
+    vectors = written(whole_vectors(df, id_col, vector_col, factor, asks), "vectors")  # read several times
     rows, dim, longest = vectors.agg(F.count(F.lit(1)), F.max(F.size("v")), F.max("norm")).first()
     out = f"query_id long, `{id_col}` long, score long"
     if not rows or not dim:
         dim = 1
     rotation = spark.sparkContext.broadcast(rotation_of(vectors, dim) if rows else np.eye(1))
-    queries = whole_vectors(df.filter(is_query), id_col, vector_col, factor).groupBy("id").agg(F.min("v").alias("v"), F.min_by("norm", "v").alias("norm"))
+    queries = vectors.filter("asks").groupBy("id").agg(F.min("v").alias("v"), F.min_by("norm", "v").alias("norm"))
     seeds = vectors.orderBy(F.desc("norm"), "id").limit(SEEDS).select("id", "v").toArrow()  # SEEDS rows
     seeded = spark.sparkContext.broadcast((np.asarray(seeds["id"], dtype=np.int64), _matrix(seeds["v"], dim)))
 
