@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.shared import kept
+from quillon.shared import kept, shuffled
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -17,7 +17,7 @@ def _state(edges: DataFrame) -> tuple:
 def _star(pairs: DataFrame, least: DataFrame) -> DataFrame:
     """pairs (u, v) with the least node of u's neighbours: least is written, so both sides of the join are plain shuffles
     and Spark can split a hub's pairs."""
-    return pairs.join(kept(least, "least"), "u")
+    return pairs.join(shuffled(kept(least, "least")), "u")
 
 
 def components(edges: DataFrame, each: Callable[[int, DataFrame], None] = lambda step, pairs: None) -> DataFrame:
@@ -46,7 +46,7 @@ def components(edges: DataFrame, each: Callable[[int, DataFrame], None] = lambda
         if after == before:
             break
         before = after
-    return nodes.join(tied.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return nodes.join(shuffled(tied.select(F.col("u").alias("node"), F.col("v").alias("component"))), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def numbered(df: DataFrame, keys: list[str], order: list, name: str = "place") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.operators.graph import components
-from quillon.shared import kept
+from quillon.shared import kept, shuffled
 
 # Tolerances of rent (euros, share) and surface (square metres, share), facts that must agree.
 RENT_EUROS, RENT_SHARE, SURFACE_M2, SURFACE_SHARE, FACTS = 30.0, 0.03, 2.0, 0.03, 2
@@ -80,8 +80,8 @@ def candidate_pairs(listings: DataFrame) -> DataFrame:
         asked = asked.withColumn(f"__{c}", F.coalesce(shared(i, cell), F.lit(-(1 << 40))))
     there = asked.select(*place, F.col("source").alias("other")).distinct()
     named = asking.withColumnsRenamed({c: f"a_{c}" for c in ("id", "source", *facts)}).drop("mask")
-    sought = named.join(there, place).filter(F.col("a_source") != F.col("other"))
-    met = sought.join(asked.withColumnRenamed("source", "other"), [*place, "other"])
+    sought = named.join(shuffled(there), place).filter(F.col("a_source") != F.col("other"))
+    met = sought.join(shuffled(asked.withColumnRenamed("source", "other")), [*place, "other"])
     struct = lambda prefix: F.struct(*[F.col(f"{prefix}{c}").alias(c) for c in ("id", *facts)])
     return met.filter((F.col("first") < F.col("second")) | (F.col("a_id") < F.col("id"))).select("first", "second", struct("a_").alias("a"), struct("").alias("b"))
 
@@ -101,7 +101,7 @@ def _in_order(edges: DataFrame) -> DataFrame:
     """The late ones that join an early one, of edges (early, late, early_at, late_at) whose components are decided one
     by one: in the order of arrival, a listing is absorbed by any earlier partner that is not absorbed itself."""
     pieces = components(edges.select(F.col("early").alias("a"), F.col("late").alias("b")))
-    told = edges.join(pieces.select(F.col("node").alias("late"), "component"), "late")
+    told = edges.join(shuffled(pieces.select(F.col("node").alias("late"), "component")), "late")
 
     def decide(batches):
         component, gone = None, set()
@@ -127,7 +127,7 @@ def clusters(listings: DataFrame, order: str = "seq") -> DataFrame:
     and its later partners are absorbed. In a crowd that decides nearly all. What is left are chains of decisions: their
     components are found, and each is decided in one sorted pass, holding its absorbed listings.
     """
-    when = listings.select("id", F.struct(order, "id").alias("at"))
+    when = shuffled(listings.select("id", F.struct(order, "id").alias("at")))
     pairs = duplicate_pairs(listings)
     told = pairs.join(when.withColumnsRenamed({"id": "id_a", "at": "at_a"}), "id_a").join(when.withColumnsRenamed({"id": "id_b", "at": "at_b"}), "id_b")
     first = F.col("at_a") < F.col("at_b")
@@ -142,15 +142,15 @@ def clusters(listings: DataFrame, order: str = "seq") -> DataFrame:
             absorbed.append(kept(_in_order(left), "gone"))
             break
         waiting = left.select(F.col("late").alias("early")).distinct()
-        gone = kept(left.join(waiting, "early", "left_anti").select("late").distinct(), "gone")  # their early partner survives
+        gone = kept(left.join(shuffled(waiting), "early", "left_anti").select("late").distinct(), "gone")  # their early partner survives
         absorbed.append(gone)
-        left = kept(left.join(gone, "late", "left_anti").join(gone.withColumnRenamed("late", "early"), "early", "left_anti"), "left")
+        left = kept(left.join(shuffled(gone), "late", "left_anti").join(shuffled(gone.withColumnRenamed("late", "early")), "early", "left_anti"), "left")
     own = F.col("id").cast("long")
     if not absorbed:
         return listings.select(own.alias("id"), own.alias("survivor"))
-    lost = reduce(DataFrame.unionByName, absorbed)
+    lost = shuffled(reduce(DataFrame.unionByName, absorbed))
     survivors = edges.join(lost.withColumnRenamed("late", "early"), "early", "left_anti")
-    joined = survivors.join(lost, "late", "left_semi").groupBy("late").agg(F.min_by("early", "early_at").alias("survivor"))
+    joined = shuffled(survivors.join(lost, "late", "left_semi").groupBy("late").agg(F.min_by("early", "early_at").alias("survivor")))
     found = listings.select("id").join(joined, F.col("id") == F.col("late"), "left")
     return found.select(own.alias("id"), F.coalesce("survivor", "id").cast("long").alias("survivor"))
 

@@ -39,6 +39,12 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as the side of a join that grows with the other side: both are shuffled and merged. Spark takes a table's
+    compressed bytes for its size and would send millions of narrow rows through the driver to every worker."""
+    return df.hint("merge")
+
+
 def discard(spark: SparkSession) -> int:
     """Deletes the tables that :func:`kept` has written in this process, once results that read them have been written
     themselves; how many there were."""

@@ -123,3 +123,14 @@ def test_groups_that_chain_over_many_clusters(spark):
     rounds = []
     out = resolve.adopt_groups(members, groups, lambda step, pairs: rounds.append(step)).collect()
     assert len(out) == 400 and {r.group_key for r in out} == {"g000"} and len(rounds) <= 9
+
+
+def test_no_table_of_listings_is_broadcast(spark):
+    from conftest import SMALL
+    from quillon.plans import queries_listings as Q
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rows = spark.range(60).selectExpr("id", "id as seq", "concat('s', id % 3) as source", "'private' as family", "concat('p', id % 4) as place_key", "int(500) as rent", "double(40) as surface_m2", "2 as rooms", "1 as floor")
+    assert "BroadcastHashJoin" not in plan(resolve.clusters(rows))
+    assert "BroadcastHashJoin" not in plan(resolve.duplicate_pairs(rows))
+    assert "BroadcastHashJoin" not in plan(Q._pass(spark, SMALL).members)
