@@ -205,9 +205,9 @@ def age_seconds(first_seen: Column, now_epoch) -> Column:
 
 def with_profile(listings: DataFrame, profiles: DataFrame) -> DataFrame:
     """listings with family, default_tenure and mixed_tenure of their source; unknown sources are institutional and
-    mixed. Profiles are one row per source: the optimiser broadcasts them while they are small."""
+    mixed. Profiles are one row per source and broadcast: by the source, listings would go to a task for each."""
     return (
-        listings.join(profiles, "source", "left")
+        listings.join(F.broadcast(profiles), "source", "left")
         .withColumn("family", F.coalesce("family", F.lit("institutional")))
         .withColumn("mixed_tenure", F.coalesce("mixed_tenure", F.lit(True)))
     )

@@ -10,8 +10,9 @@ from quillon.operators import filters as P
 from quillon.operators import resolve, score, state
 from quillon.operators.classify import classify, income_band
 from quillon.plans.listing_pass import delivered, run_pass
-from quillon.plans.tables import LISTINGS_SQL, listings, spread, table
+from quillon.plans.tables import LISTINGS_SQL, dealt, listings, spread, table
 from quillon.schema import LISTING
+from quillon.shared import shuffled
 from quillon.sources.sinks import event_rows
 
 CRITERIA = P.Criteria(
@@ -170,7 +171,8 @@ PASS_TEXTS = [("Logement intermédiaire", "LLI"), ("Appartement PLS", "PLS"), ("
 
 def _pass(spark, sf, seed=False):
     """A whole pass over the customers as listings, one source of which failed; some are known, some notified."""
-    e = _entities(spark, sf).join(table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), "n_name"), "id")
+    names = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), "n_name")
+    e = dealt(_entities(spark, sf).join(shuffled(names), "id"), "id", table(spark, sf, "customer").count())
     columns = {
         "source": F.col("source"), "external_id": F.col("id").cast("string"), "title": F.element_at(F.array(*[F.lit(t) for t, _ in PASS_TEXTS]), (F.col("id") % len(PASS_TEXTS) + 1).cast("int")), "description": F.lit(""),
         "fields": F.create_map().cast("map<string,string>"), "commune": F.col("n_name"), "postcode": F.when(F.col("id") % 6 != 0, F.lit("75001")).otherwise(F.lit("13001")), "rent_cc": F.col("rent"),

@@ -17,6 +17,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Rows of a task whose work takes a good part of a millisecond for a row.
+TASK_ROWS = 100_000
+
+
+def dealt(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """df, of so many rows, dealt out by a key to all of the session's cores, and to tasks of TASK_ROWS rows at most,
+    about: a task's time stays the same however large the table is."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)), key)
+
+
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of long texts, spread."""
     return spread(table(spark, sf_dir, name))

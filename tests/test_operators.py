@@ -239,3 +239,16 @@ def test_earlier_values(block):
         met = (m[:i] <= w[i]) & (c[:i] > 0)
         assert (n[i], total[i]) == (met.sum(), v[:i][met].sum())
     assert len(earlier.layers) <= 10
+
+
+def test_a_pass_is_dealt_by_rows_and_not_by_sources(spark, monkeypatch):
+    from conftest import SMALL
+    from quillon.plans import queries_listings, tables
+
+    monkeypatch.setattr(tables, "TASK_ROWS", 10)
+    assert tables.dealt(spark.range(95), "id", 95).rdd.getNumPartitions() == 10
+    rows = queries_listings._texts(spark, SMALL)
+    assert "Exchange hashpartitioning(source" not in rows._jdf.queryExecution().executedPlan().toString()
+    profiles = rows.select("source", "family").distinct().withColumn("mixed_tenure", F.lit(True))
+    joined = state.with_profile(rows.drop("family", "mixed_tenure"), profiles)
+    assert "SortMergeJoin" not in joined._jdf.queryExecution().executedPlan().toString()
