@@ -8,7 +8,7 @@ from quillon.functions import extract as X
 from quillon.functions import text as S
 from quillon.functions.format import drop_text
 from quillon.functions.redact import redact, redact_sql
-from quillon.plans.tables import spread, table, texts
+from quillon.plans.tables import dealt, spread, table, texts
 from quillon.sources import listings as L
 
 
@@ -138,7 +138,8 @@ def q_html_cards(spark, sf):
 
 def _nested(spark, sf):
     """Payloads of every depth to fourteen: events' properties below lists and objects, with equal paths and nulls."""
-    e, k = spread(table(spark, sf, "events")), F.col("event_id")
+    e, k = table(spark, sf, "events"), F.col("event_id")
+    e = dealt(e, "event_id", e.count())
     deep = (k % 15).cast("int")
     inner = F.concat(F.lit('{"p": '), F.col("props"), F.lit(', "t": "'), F.col("event_type"), F.lit('", "x": null, "v": '), k.cast("string"), F.lit(', "e": [], "q.r": 1, "q": {"r": 2, "s": [true, "", {"u": 0.25}]}}'))
     nested = F.concat(F.repeat(F.lit('{"n": [null, '), deep / 2), F.when(deep % 2 == 1, '{"o": ').otherwise(""), inner, F.when(deep % 2 == 1, "}").otherwise(""), F.repeat(F.lit("]}"), deep / 2))

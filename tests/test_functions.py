@@ -91,3 +91,11 @@ def test_flatten_in_the_jvm(spark):
     df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(rows)], "i int, s string").select("i", flatten_json(F.col("s")).alias("m"))
     assert [r.m for r in df.orderBy("i").collect()] == [m for _, m in rows]
     assert "Python" not in df._jdf.queryExecution().toString()
+
+
+def test_events_are_flattened_in_tasks_of_bounded_rows(spark, monkeypatch):
+    from conftest import SMALL
+    from quillon.plans import queries_text, tables
+
+    monkeypatch.setattr(tables, "TASK_ROWS", 10)
+    assert queries_text._nested(spark, SMALL).rdd.getNumPartitions() >= 10
