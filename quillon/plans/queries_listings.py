@@ -10,7 +10,7 @@ from quillon.operators import filters as P
 from quillon.operators import resolve, score, state
 from quillon.operators.classify import classify, income_band
 from quillon.plans.listing_pass import delivered, run_pass
-from quillon.plans.tables import LISTINGS_SQL, dealt, listings, spread, table
+from quillon.plans.tables import LISTINGS_SQL, dealt, listings, table
 from quillon.schema import LISTING
 from quillon.shared import shuffled
 from quillon.sources.sinks import event_rows
@@ -148,7 +148,8 @@ TEXTS = [
 
 
 def _texts(spark, sf):
-    o = spread(table(spark, sf, "orders").select("o_orderkey"))
+    o = table(spark, sf, "orders").select("o_orderkey")
+    o = dealt(o, "o_orderkey", o.count())
     at = (F.col("o_orderkey") % len(TEXTS) + 1).cast("int")
     pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), at)
     said = [t[0] if isinstance(t[0], dict) else {"title": t[0]} for t in TEXTS]
