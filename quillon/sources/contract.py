@@ -12,12 +12,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.functions import extract as X
 from quillon.operators import health
 from quillon.schema import ELIGIBLE, LISTING, TENURES, merged_with
 from quillon.shared import kept
 from quillon.sources import landed
-from quillon.sources.listings import FieldMap, mail_listings, map_items
+from quillon.sources.listings import FieldMap, mail_listings, mapped_items
 
 FAMILIES = ("institutional", "private")
 
@@ -63,25 +62,22 @@ class Source:
     def listings(self, spark: SparkSession) -> DataFrame:
         """Listing rows with path, position and error: rows with an error have no other columns but source. Items that
         give no listing (without a reference; mails without a link to one) have an error too; mails of other senders
-        are nobody's."""
+        are nobody's. What has landed is scanned once for all of these."""
         scanned = self.scan(spark)
-        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in LISTING if f.name != "source"]
         where = ["path", "position", "error"]
-        wrong = scanned.filter(F.col("error").isNotNull()).select(F.lit(self.name).alias("source"), *none, *where)
-        good = scanned.filter(F.col("error").isNull())
         if self.kind == "mail":
-            mail = good.select("path", "position", "error", F.from_json("item", "sender string, subject string, body string, links array<string>").alias("m")).select("path", "position", "error", "m.*")
+            mail = scanned.select(*where, F.from_json("item", "sender string, subject string, body string, links array<string>").alias("m")).select(*where, "m.*")
             if self.sender:
-                mail = mail.filter(F.contains(F.lower("sender"), F.lit(self.sender.lower())))
-            found = mail_listings(mail, self.name, host=self.host, charges_included=self.charges_included, keep=where)
-            lost = mail.join(found.select("path").distinct(), "path", "left_anti").select(*where)
+                mail = mail.filter(F.col("error").isNotNull() | F.contains(F.lower("sender"), F.lit(self.sender.lower())))
+            found = mail_listings(mail, self.name, host=self.host, charges_included=self.charges_included, keep=where, every=True)
+            named, why = "url", "no link to a listing"
         else:
-            items = good.withColumn("__v", F.parse_json("item"))
-            found = map_items(items, self.name, self.fields, "__v", keep=where)
-            lost = items.filter(X.first_of(*[X.scalar(X.path_value(F.col("__v"), p)) for p in self.fields.ref]).isNull()).select(*where)
-        why = "no link to a listing" if self.kind == "mail" else "no reference"
-        rest = lost.select(F.lit(self.name).alias("source"), *none, "path", "position", F.lit(why).alias("error"))
-        return found.select(*[f.name for f in LISTING], *where).unionByName(wrong).unionByName(rest)
+            found = mapped_items(scanned.withColumn("__v", F.parse_json("item")), self.name, self.fields, "__v", keep=where)
+            named, why = "external_id", "no reference"
+        wrong = F.coalesce("error", F.when(F.col(named).isNull(), F.lit(why)))
+        given = found.withColumn("error", wrong)
+        listing = [F.when(F.col("error").isNull(), F.col(f.name)).alias(f.name) if f.name != "source" else F.col("source") for f in LISTING]
+        return given.select(*listing, *where)
 
 
 def profiles(spark: SparkSession, sources: list[Source]) -> DataFrame:

@@ -125,3 +125,14 @@ def test_html_table_function(spark):
     for card, selectors, said in [("'li'", "html", "constant"), ("'li >> a'", "'{}'", "not understood"), ("'li'", "'[1]'", "JSON object"), ("'li'", """'{"text": "a"}'""", "other than"), ("'li'", "'{'", "JSON object")]:
         with pytest.raises(Exception, match=said):
             call(card, selectors).collect()
+
+
+def test_what_has_landed_is_scanned_once(spark, tmp_path):
+    from quillon.sources import landed as scans
+    from quillon.sources.contract import Source
+    from quillon.sources.listings import FieldMap
+
+    scans.register(spark)
+    (tmp_path / "a.json").write_text('[{"id": 1}, {}, 2]')
+    for source in (Source("j", "json", str(tmp_path), FieldMap(ref=["id"])), Source("m", "mail", str(tmp_path), sender="x", host="h")):
+        assert source.listings(spark)._jdf.queryExecution().optimizedPlan().toString().count("RelationV2") == 1
