@@ -147,13 +147,13 @@ def q_stream_sightings(spark, sf):
     def one_pass():
         part = next(landed)
         now[:] = [part]
-        late.filter((F.col("seq") > most * part // 3 - (part == 0)) & (F.col("seq") <= most * (part + 1) // 3)).coalesce(1).write.mode("append").parquet(f"{base}/landed")
+        late.filter((F.col("seq") > most * part // 3 - (part == 0)) & (F.col("seq") <= most * (part + 1) // 3)).write.mode("append").parquet(f"{base}/landed")
 
         def trip(batch, number):
             if now == [1]:
                 raise OSError("no channel")
 
-        run_available(spark, f"{base}/landed", "key long, seq long, at_epoch long, rent long", f"{base}/state", f"{base}/out", each=trip)
+        run_available(spark, f"{base}/landed", "key long, seq long, at_epoch long, rent long", f"{base}/state", f"{base}/out", files_per_batch=None, each=trip)
 
     errors = []
     done = watch(one_pass, range(3), lambda number, message: errors.append(number))
