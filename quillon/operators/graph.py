@@ -63,5 +63,5 @@ def numbered(df: DataFrame, keys: list[str], order: list, name: str = "place") -
     on = safe[0]
     for c in safe[1:]:
         on = on & c
-    joined = placed.alias("l").join(starts.alias("r"), on)
+    joined = placed.alias("l").join(shuffled(starts).alias("r"), on)
     return joined.select(*[F.col(f"l.{c}").alias(c) for c in df.columns], (F.col("l.__id") - F.col("r.__first") + F.col("r.__before")).alias(name))

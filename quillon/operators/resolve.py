@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.operators.graph import components
+from quillon.operators.graph import components, numbered
 from quillon.shared import kept, shuffled
 
 # Tolerances of rent (euros, share) and surface (square metres, share), facts that must agree.
@@ -49,8 +49,9 @@ def _cell(c: str) -> Column:
     return F.when(x < turn, F.floor(x / (absolute * wider))).otherwise(high).cast("long")
 
 
-def candidate_pairs(listings: DataFrame) -> DataFrame:
-    """Pairs of listings (structs a and b; first and second, the sets of facts that they know) that are looked at.
+def candidate_pairs(listings: DataFrame, later: DataFrame | None = None) -> DataFrame:
+    """Pairs of listings (structs a and b; first and second, the sets of facts that they know) that are looked at. With
+    ``later``, a is one of listings and b one of those.
 
     Two listings meet on the facts that both know: in neighbouring cells of rent and surface, and equal rooms and floor.
     Which facts those are depends on both (16 sets at most), so a listing asks for each set that partners have, and it
@@ -58,10 +59,11 @@ def candidate_pairs(listings: DataFrame) -> DataFrame:
     for the cells' width, in a dense place too.
     """
     facts = list(_FACTS)
-    known = listings.filter(F.col("place_key").isNotNull() & (F.col("place_key") != ""))
     mask = sum((F.when(F.col(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(facts)), F.lit(0))
-    rows = known.select("id", "source", "family", "place_key", *facts, *[_cell(c).alias(f"__{c}") for c in facts], mask.alias("mask"))
-    masks = sorted(r.mask for r in rows.select("mask").distinct().collect())  # 16 at most
+    placed = lambda df: df.filter(_placed()).select("id", "source", "family", "place_key", *facts, *[_cell(c).alias(f"__{c}") for c in facts], mask.alias("mask"))
+    rows = placed(listings)
+    others = rows if later is None else placed(later)
+    masks = sorted({r.mask for df in ([rows] if later is None else [rows, others]) for r in df.select("mask").distinct().collect()})  # 16 at most
     enough = lambda m: bin(m & 0b111).count("1") >= FACTS
     partners = lambda fits: F.create_map(*[x for own in masks for x in (F.lit(own), F.array(*[F.lit(m) for m in masks if fits(own, m) and enough(own & m)]).cast("array<int>"))])
     place = ["family", "place_key", "first", "second", *[f"__{c}" for c in facts]]
@@ -70,9 +72,9 @@ def candidate_pairs(listings: DataFrame) -> DataFrame:
     if not any(enough(m) for m in masks):
         none = F.struct("id", *facts)
         return rows.limit(0).select(F.col("mask").alias("first"), F.col("mask").alias("second"), none.alias("a"), none.alias("b"))
-    # the one with the smaller set of facts asks
-    asking = rows.withColumn("first", F.col("mask")).withColumn("second", F.explode(partners(lambda own, m: m >= own)[F.col("mask")]))
-    asked = rows.withColumn("second", F.col("mask")).withColumn("first", F.explode(partners(lambda own, m: m <= own)[F.col("mask")]))
+    # the one with the smaller set of facts asks, or the one that is not later
+    asking = rows.withColumn("first", F.col("mask")).withColumn("second", F.explode(partners(lambda own, m: later is not None or m >= own)[F.col("mask")]))
+    asked = others.withColumn("second", F.col("mask")).withColumn("first", F.explode(partners(lambda own, m: later is not None or m <= own)[F.col("mask")]))
     for i, c in enumerate(facts):
         cell = F.col(f"__{c}")
         near = F.array(cell) if _FACTS[c] is None else F.array(cell - 1, cell, cell + 1)
@@ -83,7 +85,12 @@ def candidate_pairs(listings: DataFrame) -> DataFrame:
     sought = named.join(shuffled(there), place).filter(F.col("a_source") != F.col("other"))
     met = sought.join(shuffled(asked.withColumnRenamed("source", "other")), [*place, "other"])
     struct = lambda prefix: F.struct(*[F.col(f"{prefix}{c}").alias(c) for c in ("id", *facts)])
-    return met.filter((F.col("first") < F.col("second")) | (F.col("a_id") < F.col("id"))).select("first", "second", struct("a_").alias("a"), struct("").alias("b"))
+    once = F.lit(True) if later is not None else (F.col("first") < F.col("second")) | (F.col("a_id") < F.col("id"))
+    return met.filter(once).select("first", "second", struct("a_").alias("a"), struct("").alias("b"))
+
+
+def _placed() -> Column:
+    return F.col("place_key").isNotNull() & (F.col("place_key") != "")
 
 
 def duplicate_pairs(listings: DataFrame) -> DataFrame:
@@ -95,6 +102,8 @@ def duplicate_pairs(listings: DataFrame) -> DataFrame:
 
 #: Rounds in which all that can be decided is; what is left then is decided component by component.
 ROUNDS = 6
+#: Kinds of listings of a place that are decided first, and how many times as many are decided by each step.
+FIRST, TIMES = 1_000, 8
 
 
 def _in_order(edges: DataFrame) -> DataFrame:
@@ -119,21 +128,16 @@ def _in_order(edges: DataFrame) -> DataFrame:
     return ordered.mapInArrow(decide, T.StructType([T.StructField("late", edges.schema["late"].dataType)]))
 
 
-def clusters(listings: DataFrame, order: str = "seq") -> DataFrame:
-    """(id, survivor): greedily in the order of arrival, a listing joins the first survivor that it is one property
-    with, or becomes a survivor. Survivors alone are compared; rows without a place stand alone.
+def _absorbed(kinds: DataFrame) -> DataFrame | None:
+    """(late, survivor) of kinds that others of them absorb; None if there are none. A kind is named by its ``id``, the
+    struct of order and id of its first listing.
 
-    First in ROUNDS rounds over all pairs at once: a listing survives once no earlier partner is undecided or survives,
+    First in ROUNDS rounds over all pairs at once: a kind survives once no earlier partner is undecided or survives,
     and its later partners are absorbed. In a crowd that decides nearly all. What is left are chains of decisions: their
-    components are found, and each is decided in one sorted pass, holding its absorbed listings.
+    components are found, and each is decided in one sorted pass, holding its absorbed kinds.
     """
-    when = shuffled(listings.select("id", F.struct(order, "id").alias("at")))
-    pairs = duplicate_pairs(listings)
-    told = pairs.join(when.withColumnsRenamed({"id": "id_a", "at": "at_a"}), "id_a").join(when.withColumnsRenamed({"id": "id_b", "at": "at_b"}), "id_b")
-    first = F.col("at_a") < F.col("at_b")
-    sides = [F.when(first, F.col(f"{x}_a")).otherwise(F.col(f"{x}_b")).alias(n) for x, n in (("id", "early"), ("at", "early_at"))]
-    sides += [F.when(first, F.col(f"{x}_b")).otherwise(F.col(f"{x}_a")).alias(n) for x, n in (("id", "late"), ("at", "late_at"))]
-    edges = kept(told.select(*sides), "edges")
+    told = duplicate_pairs(kinds)
+    edges = kept(told.select(*[F.col(f"{x}.id").alias(n) for x, n in (("id_a", "early"), ("id_b", "late"))], F.col("id_a").alias("early_at"), F.col("id_b").alias("late_at")), "edges")
     left, absorbed = edges, []
     for step in range(ROUNDS + 1):
         if left.isEmpty():
@@ -145,13 +149,58 @@ def clusters(listings: DataFrame, order: str = "seq") -> DataFrame:
         gone = kept(left.join(shuffled(waiting), "early", "left_anti").select("late").distinct(), "gone")  # their early partner survives
         absorbed.append(gone)
         left = kept(left.join(shuffled(gone), "late", "left_anti").join(shuffled(gone.withColumnRenamed("late", "early")), "early", "left_anti"), "left")
-    own = F.col("id").cast("long")
     if not absorbed:
-        return listings.select(own.alias("id"), own.alias("survivor"))
+        return None
     lost = shuffled(reduce(DataFrame.unionByName, absorbed))
     survivors = edges.join(lost.withColumnRenamed("late", "early"), "early", "left_anti")
-    joined = shuffled(survivors.join(lost, "late", "left_semi").groupBy("late").agg(F.min_by("early", "early_at").alias("survivor")))
-    found = listings.select("id").join(joined, F.col("id") == F.col("late"), "left")
+    return kept(survivors.join(lost, "late", "left_semi").groupBy("late").agg(F.min("early_at").alias("survivor")), "absorbed")
+
+
+def clusters(listings: DataFrame, order: str = "seq") -> DataFrame:
+    """(id, survivor): greedily in the order of arrival, a listing joins the first survivor that it is one property
+    with, or becomes a survivor. Survivors alone are compared; rows without a place stand alone.
+
+    Listings of one source, place and equal facts are one kind, and share what becomes of them: if the first joins a
+    survivor, all others find the same one first; if it survives, no partner of theirs does. So kinds are decided, by
+    their first listings, and what is decided grows with the kinds, not with their listings.
+
+    In a crowd the pairs of kinds would grow with the square of a place. A place's first kinds are decided before
+    others, then what they absorb goes, then as many times TIMES are decided of what is left, and so on: what comes late
+    and is left has few partners among the others, or it would have met a survivor. So pairs grow with the kinds, unless
+    facts follow the order of arrival.
+    """
+    alike = ["source", "family", "place_key", *_FACTS]
+    known = sum((F.col(c).isNotNull().cast("int") for c in list(_FACTS)[:3]), F.lit(0))
+    partnered = listings.filter(_placed() & F.col("id").isNotNull() & F.col("source").isNotNull() & (known >= FACTS))
+    kinds = kept(partnered.groupBy(*alike).agg(F.min(F.struct(F.col(order).alias("at"), F.col("id").alias("id"))).alias("id")), "kinds")
+    most = kinds.groupBy("family", "place_key").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    bounds = [FIRST]
+    while bounds[-1] < most:
+        bounds.append(bounds[-1] * TIMES)
+    left, absorbed = kinds, []
+    if len(bounds) > 1:
+        step = sum(((F.col("place") >= b).cast("int") for b in bounds), F.lit(0))
+        left = kept(numbered(kinds, ["family", "place_key"], [F.col("id")]).withColumn("step", step).drop("place"), "left")
+    for step in range(len(bounds)):
+        now = left.filter(F.col("step") == step) if len(bounds) > 1 else left
+        gone = _absorbed(now)
+        absorbed += [gone] if gone else []
+        if step == len(bounds) - 1:
+            break
+        if gone:
+            now = now.join(shuffled(gone.select(F.col("late").alias("gone"))), F.col("id.id") == F.col("gone"), "left_anti")
+        rest = left.filter(F.col("step") > step)
+        met = candidate_pairs(kept(now, "first"), rest).filter(same_property("a", "b"))
+        gone = kept(met.groupBy(F.col("b.id.id").alias("late")).agg(F.min("a.id").alias("survivor")), "absorbed")
+        absorbed.append(gone)
+        left = kept(rest.join(shuffled(gone.select(F.col("late").alias("gone"))), F.col("id.id") == F.col("gone"), "left_anti"), "left")
+    own = F.col("id").cast("long")
+    if not absorbed:
+        return listings.select(own.alias("id"), own.alias("survivor"))
+    lost = shuffled(reduce(DataFrame.unionByName, absorbed).select("late", F.col("survivor.id").alias("survivor")))
+    lost = kinds.join(lost, F.col("id.id") == F.col("late")).select(*[F.col(c).alias(f"k_{c}") for c in alike], "survivor")
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in alike])
+    found = listings.select("id", *alike).join(shuffled(lost), same, "left")
     return found.select(own.alias("id"), F.coalesce("survivor", "id").cast("long").alias("survivor"))
 
 

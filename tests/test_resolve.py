@@ -117,6 +117,41 @@ def test_long_chains_of_decisions(spark, monkeypatch):
     assert kept["gone"] == resolve.ROUNDS + 1
 
 
+def written(monkeypatch, *names):
+    """Rows of the tables that resolve writes, by name."""
+    rows, real = Counter(), resolve.kept
+
+    def kept(df, name):
+        out = real(df, name)
+        if name in names:
+            rows[name] += out.count()
+        return out
+
+    monkeypatch.setattr(resolve, "kept", kept)
+    return rows
+
+
+def test_copies_make_no_more_pairs(spark, monkeypatch):
+    """Twelve later copies of each listing are of its kind: the pairs are those of kinds."""
+    once = crowd(random.Random(5), 120)
+    rows = [(i + 1_000 * k, seq + 1_000 * k, *facts) for k in range(13) for i, seq, *facts in once]
+    told = written(monkeypatch, "edges")
+    assert {r.id: r.survivor for r in resolve.clusters(spark.createDataFrame(rows, LISTING)).collect()} == greedy(rows)
+    assert 0 < told["edges"] <= sum(same(a, b) for i, a in enumerate(once) for b in once[i + 1 :])
+
+
+def test_pairs_of_a_crowd_grow_with_its_listings(spark, monkeypatch):
+    """A place whose listings are all different is decided in steps; each step's pairs are a few for a listing."""
+    monkeypatch.setattr(resolve, "FIRST", 50)
+    monkeypatch.setattr(resolve, "TIMES", 8)
+    rng = random.Random(4)
+    rows = [(i, 10_000 - i, rng.choice("abc"), "p", rng.choice(["paris"] * 9 + ["lyon"]), rng.randrange(900, 1_100), round(rng.uniform(60, 70), 3), rng.choice([None, 2]), rng.choice([None, 1])) for i in range(1_500)]
+    told = written(monkeypatch, "edges")
+    assert {r.id: r.survivor for r in resolve.clusters(spark.createDataFrame(rows, LISTING)).collect()} == greedy(rows)
+    pairs = sum(same(a, b) for i, a in enumerate(rows) for b in rows[i + 1 :])
+    assert 0 < told["edges"] <= 2 * len(rows) and pairs > 40 * len(rows)
+
+
 def test_groups_that_chain_over_many_clusters(spark):
     members = spark.createDataFrame([x for c in range(200) for x in ((c, 2 * c, f"m{c}"), (c, 2 * c + 1, f"w{c}"))], "cluster long, seq long, key string")
     groups = spark.createDataFrame([x for c in range(200) for x in ((f"m{c}", f"g{c:03d}"), (f"w{c}", f"g{c + 1:03d}"))], "key string, group_key string")
