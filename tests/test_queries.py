@@ -41,7 +41,7 @@ def copied(tmp_path_factory):
     return there, c
 
 
-@pytest.mark.parametrize("name", ["q_seed_pass"])
+@pytest.mark.parametrize("name", ["q_pass_counters", "q_seed_pass"])
 def test_a_pass_over_copies(spark, copied, monkeypatch, name):
     """19 pairs among 500 customers; their copies differ in what is unknown of rent and surface alone: four kinds of each."""
     there, c = copied
